@@ -141,6 +141,15 @@ def one_vs_rest(df: DataFrame, prob_col: str, y_col: str = "y", key_col: str = "
                               (F.col("_floe_y") == F.col("class")).cast("int").alias("is_pos"))
 
 
+def one_vs_rest_shared(df: DataFrame, score_col: str, y_col: str, num_classes: int,
+                       key_col: str = "row_id") -> DataFrame:
+    """E7 for one score per row: the same score ranks the row for every class."""
+    return df.select(c(key_col), F.explode(F.sequence(F.lit(0), F.lit(num_classes - 1))).alias("class"),
+                     c(score_col).cast("double").alias("score"), c(y_col).alias("_floe_y")).select(
+        c(key_col), F.col("class").cast("int").alias("class"), "score",
+        (F.col("_floe_y") == F.col("class")).cast("int").alias("is_pos"))
+
+
 def _roc_points(ovr: DataFrame, num_partitions: int | None = None) -> DataFrame:
     """Cumulative (tp, fp) per distinct score, scores descending, per class."""
     per_score = ovr.groupBy("class", "score").agg(

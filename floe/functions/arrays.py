@@ -15,16 +15,28 @@ EPSILON = 1e-7
 ATTENTION_EPS = 1e-8
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once per row and pass it to ``body`` as a lambda variable.
+
+    Inside a lambda, any expression that is not a lambda variable is
+    re-evaluated for every element; binding it first keeps array operators
+    linear in the array length.  (A one-element ``aggregate`` whose
+    accumulator is the value.)
+    """
+    return F.aggregate(F.array(F.lit(0)), value, lambda acc, _x: acc, body)
+
+
 def array_sum(arr: Column) -> Column:
     return F.aggregate(arr, F.lit(0.0).cast("double"), lambda acc, x: acc + x)
 
 
 def softmax(arr: Column) -> Column:
-    """Max-subtracted softmax of a numeric array."""
-    m = F.array_max(arr)
-    e = F.transform(arr, lambda x: F.exp(x - m))
-    total = array_sum(e)
-    return F.transform(e, lambda x: x / total)
+    """Max-subtracted softmax of a numeric array (each input evaluated once)."""
+    def with_values(a):
+        return F.aggregate(a, F.lit(float("-inf")), lambda m, x: F.greatest(m, x), lambda m: F.aggregate(
+            a, F.lit(0.0).cast("double"), lambda t, x: t + F.exp(x - m),
+            lambda t: F.transform(a, lambda x: F.exp(x - m) / t)))
+    return let(arr.cast("array<double>"), with_values)
 
 
 def temperature_softmax(arr: Column, temperature: float = 10.0) -> Column:
@@ -70,8 +82,9 @@ def attention_map(feature_map: Column) -> Column:
     """Per position sum of squares over channels, normalized over positions."""
     energy = F.transform(feature_map, lambda row: F.aggregate(
         row, F.lit(0.0).cast("double"), lambda acc, x: acc + x * x))
-    total = array_sum(energy) + F.lit(ATTENTION_EPS)
-    return F.transform(energy, lambda a: a / total)
+    return let(energy, lambda en: F.aggregate(
+        en, F.lit(0.0).cast("double"), lambda t, a: t + a,
+        lambda t: F.transform(en, lambda a: a / (t + F.lit(ATTENTION_EPS)))))
 
 
 def mean_squared_error(a: Column, b: Column) -> Column:
@@ -86,20 +99,24 @@ def resample_linear(arr: Column, length: int) -> Column:
     Output position i samples the input at (i + 0.5) * n / length - 0.5,
     interpolating between the clamped floor and ceil neighbours.
     """
-    n = F.size(arr)
     out = F.sequence(F.lit(0), F.lit(int(length) - 1))
 
-    def sample(i):
-        src = (i + F.lit(0.5)) * n / F.lit(float(length)) - F.lit(0.5)
-        base = F.floor(src)
-        lo = F.greatest(base, F.lit(0)).cast("int")
-        hi = F.least(F.ceil(src), n - 1).cast("int")
-        w = src - base
-        x_lo = F.element_at(arr, lo + 1)
-        x_hi = F.element_at(arr, hi + 1)
-        return x_lo + (x_hi - x_lo) * w
+    def resample(a):
+        n = F.size(a)
 
-    return F.transform(out, sample)
+        def sample(i):
+            src = (i + F.lit(0.5)) * n / F.lit(float(length)) - F.lit(0.5)
+            base = F.floor(src)
+            lo = F.greatest(base, F.lit(0)).cast("int")
+            hi = F.least(F.ceil(src), n - 1).cast("int")
+            w = src - base
+            x_lo = F.element_at(a, lo + 1)
+            x_hi = F.element_at(a, hi + 1)
+            return x_lo + (x_hi - x_lo) * w
+
+        return F.transform(out, sample)
+
+    return let(arr.cast("array<double>"), resample)
 
 
 def argmax(arr: Column) -> Column:
@@ -128,6 +145,9 @@ def magnitude_prune(w: Column, sparsity: float = 0.5) -> Column:
     """
     mags = F.sort_array(F.transform(w, lambda x: F.abs(x)), asc=False)
     k = F.bround(F.size(w) * F.lit(1.0 - float(sparsity)), 0).cast("int")
-    threshold = F.when(k > 0, F.element_at(mags, F.greatest(k, F.lit(1))))
-    return F.transform(w, lambda x: F.when(threshold.isNotNull() & (F.abs(x) >= threshold), x)
-                       .otherwise(F.lit(0.0)))
+    threshold = F.when(k > 0, F.element_at(mags, F.greatest(k, F.lit(1)))).cast("double")
+
+    def keep(thr):
+        return F.transform(w, lambda x: F.when(thr.isNotNull() & (F.abs(x) >= thr), x).otherwise(F.lit(0.0)))
+
+    return F.aggregate(F.array(F.lit(0)), threshold, lambda acc, _x: acc, keep)

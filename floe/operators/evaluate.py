@@ -72,6 +72,9 @@ def classification_report(conf: DataFrame, class_names: list[str] | None = None)
     support bigint.  The accuracy row repeats the accuracy in the three
     score columns and carries the total row count as support.
     """
+    # k*k rows, read by four branches: cached once instead of recomputing
+    # the prediction table behind it for every branch.
+    conf = conf.persist()
     scores = per_class_scores(conf)
     if class_names is not None:
         names = F.array(*[F.lit(v) for v in class_names])

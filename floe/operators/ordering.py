@@ -18,6 +18,8 @@ same partition assignment, also when a lost block is recomputed.
 
 from __future__ import annotations
 
+import math
+
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,12 +40,15 @@ def _as_col(x) -> Column:
 def running_totals(df: DataFrame, group_cols: list[str], order_cols: list,
                    values: dict[str, Column] | None = None,
                    index_col: str | None = None, size_col: str | None = None,
-                   num_partitions: int | None = None) -> DataFrame:
+                   num_partitions: int | None = None, cached: list | None = None) -> DataFrame:
     """Inclusive running sums of ``values`` within each group in order.
 
     ``order_cols`` must make the order unique within a group.  Adds one
     column per ``values`` key, optionally ``index_col`` (0-based position)
-    and ``size_col`` (rows in the group).
+    and ``size_col`` (rows in the group).  Pass narrow frames: every input
+    column travels through two exchanges.  ``cached`` collects the
+    persisted intermediate so a caller that finishes with an action can
+    unpersist it.
     """
     values = dict(values or {})
     n = _partitions(df, num_partitions)
@@ -55,6 +60,8 @@ def running_totals(df: DataFrame, group_cols: list[str], order_cols: list,
     ranged = (base.repartitionByRange(n, *range_keys)
               .withColumn(PID, F.spark_partition_id())
               .persist(StorageLevel.MEMORY_AND_DISK))
+    if cached is not None:
+        cached.append(ranged)
     summed = list(tmp.values()) + ["_floe_one"]
     cell = Window.partitionBy(PID, *group_cols).orderBy(*orders).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
@@ -67,7 +74,10 @@ def running_totals(df: DataFrame, group_cols: list[str], order_cols: list,
         PID, *group_cols,
         *[F.coalesce(F.sum(f"{s}_tot").over(before), F.lit(0)).alias(f"{s}_off") for s in summed],
         F.sum("_floe_one_tot").over(whole).alias("_floe_size"))
-    joined = local.join(offsets, on=[PID, *group_cols], how="inner")
+    # Sort-merge join: ``local`` is already hash-partitioned and sorted on
+    # (PID, groups) by its window, so only the small offsets table moves.
+    # Without the hint, runtime planning may broadcast the large side.
+    joined = local.hint("merge").join(offsets, on=[PID, *group_cols], how="inner")
     out = [F.col(c) for c in df.columns]
     for k, s in tmp.items():
         out.append((F.col(f"{s}_loc") + F.col(f"{s}_off")).alias(k))
@@ -80,10 +90,10 @@ def running_totals(df: DataFrame, group_cols: list[str], order_cols: list,
 
 def row_index(df: DataFrame, order_cols: list, index_col: str = "idx",
               group_cols: list[str] | None = None, size_col: str | None = None,
-              num_partitions: int | None = None) -> DataFrame:
+              num_partitions: int | None = None, cached: list | None = None) -> DataFrame:
     """0-based positional index in ``order_cols`` order (per group)."""
     return running_totals(df, list(group_cols or []), order_cols, {}, index_col=index_col,
-                          size_col=size_col, num_partitions=num_partitions)
+                          size_col=size_col, num_partitions=num_partitions, cached=cached)
 
 
 def shuffle_key(row_key: Column, seed: int = 42, epoch: int = 0) -> Column:
@@ -106,15 +116,43 @@ def assign_batches(df: DataFrame, row_key: str, batch_size: int = 256, seed: int
             .drop("_floe_pos"))
 
 
-def tail_split(df: DataFrame, order_cols: list, fraction: float = 0.1,
+def tail_split(df: DataFrame, order_cols: list[str], fraction: float = 0.1,
                split_col: str = "split") -> DataFrame:
     """The last ``fraction`` of rows in order form the validation slice.
 
     As with a Keras ``validation_split``: the first floor(n * (1 - fraction))
-    rows train, the rest validate.
+    rows train, the rest validate.  Only the boundary row is located (a
+    ranking of the narrow order columns); the split itself is then a
+    comparison against that one key, with no shuffle of the rows.
     """
-    indexed = row_index(df, order_cols, "_floe_idx", size_col="_floe_n")
-    cut = F.floor(F.col("_floe_n") * F.lit(1.0 - float(fraction)))
-    return (indexed.withColumn(split_col, F.when(F.col("_floe_idx") < cut, F.lit("train"))
-                               .otherwise(F.lit("validation")))
-            .drop("_floe_idx", "_floe_n"))
+    n = df.count()
+    cut = int(math.floor(n * (1.0 - float(fraction))))
+    if cut >= n:
+        return df.withColumn(split_col, F.lit("train"))
+    if cut <= 0:
+        return df.withColumn(split_col, F.lit("validation"))
+    cached: list = []
+    narrow = df.select(*order_cols)
+    idx = row_index(narrow, order_cols, "_floe_idx", cached=cached)
+    first_val = idx.where(F.col("_floe_idx") == cut).select(*order_cols).first()
+    for frame in cached:
+        frame.unpersist()
+    is_val = key_at_or_after([F.col(o) for o in order_cols], [first_val[o] for o in order_cols])
+    return df.withColumn(split_col, F.when(is_val, F.lit("validation")).otherwise(F.lit("train")))
+
+
+def key_at_or_after(cols: list[Column], values: list) -> Column:
+    """Lexicographic (c1, c2, ...) >= (v1, v2, ...) for non-null keys."""
+    expr = None
+    for col, v in reversed(list(zip(cols, values))):
+        lit = F.lit(v)
+        expr = (col >= lit) if expr is None else ((col > lit) | ((col == lit) & expr))
+    return expr
+
+
+def key_at_or_before(cols: list[Column], bounds: list[Column]) -> Column:
+    """Lexicographic (c1, c2, ...) <= (b1, b2, ...)."""
+    expr = None
+    for col, b in reversed(list(zip(cols, bounds))):
+        expr = (col <= b) if expr is None else ((col < b) | ((col == b) & expr))
+    return expr

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from floe.functions.text import c
-from floe.operators.ordering import running_totals, shuffle_key
+from floe.operators.ordering import key_at_or_before, running_totals, shuffle_key
 
 BIG = "decimal(38,0)"
 
@@ -49,15 +49,55 @@ def stratified_split(df: DataFrame, label_col: str, key_col: str, test_size: flo
     ``running_totals`` over a range partitioning, so a class holding a
     large share of the rows is still spread over many tasks.
     """
-    quotas = stratified_quotas(df, label_col, test_size).select(label_col, "n_test_class")
-    keyed = df.withColumn("_floe_h", shuffle_key(c(key_col), seed, 0))
-    pos = running_totals(keyed, [label_col], ["_floe_h", key_col], {}, index_col="_floe_pos",
-                         num_partitions=num_partitions)
+    quotas = stratified_quotas(df, label_col, test_size).select(
+        F.col(label_col).alias("_floe_lbl"), "n_test_class")
+    h = shuffle_key(c(key_col), seed, 0)
+    narrow = df.select(c(label_col).alias("_floe_lbl"), h.alias("_floe_h"), c(key_col).alias("_floe_key"))
+    cached: list = []
+    pos = running_totals(narrow, ["_floe_lbl"], ["_floe_h", "_floe_key"], {}, index_col="_floe_pos",
+                         num_partitions=num_partitions, cached=cached)
     # quotas: one row per class -> broadcast is bounded by the class count
-    joined = pos.join(F.broadcast(quotas), on=label_col, how="inner")
-    return (joined.withColumn(split_col, F.when(F.col("_floe_pos") < F.col("n_test_class"), F.lit("test"))
-                              .otherwise(F.lit("train")))
-            .drop("_floe_h", "_floe_pos", "n_test_class"))
+    last = (pos.join(F.broadcast(quotas), "_floe_lbl")
+            .where(F.col("_floe_pos") == F.col("n_test_class") - 1)
+            .select("_floe_lbl", "_floe_h", "_floe_key"))
+    rows = last.limit(BOUNDS_AS_LITERALS + 1).collect()
+    if len(rows) <= BOUNDS_AS_LITERALS:
+        for frame in cached:
+            frame.unpersist()
+        return _assign_by_literals(df, label_col, key_col, h, rows, split_col)
+    # very many classes: the boundary table stays distributed (AQE sizes the join)
+    b = last.select(F.col("_floe_lbl").alias("_floe_blbl"), F.col("_floe_h").alias("_floe_bh"),
+                    F.col("_floe_key").alias("_floe_bkey"))
+    joined = df.join(b, c(label_col).eqNullSafe(F.col("_floe_blbl")), "left")
+    is_test = F.col("_floe_bh").isNotNull() & key_at_or_before(
+        [h, c(key_col)], [F.col("_floe_bh"), F.col("_floe_bkey")])
+    return (joined.withColumn(split_col, F.when(is_test, F.lit("test")).otherwise(F.lit("train")))
+            .drop("_floe_blbl", "_floe_bh", "_floe_bkey"))
+
+
+# Up to this many classes the per-class boundaries are inlined as literals.
+BOUNDS_AS_LITERALS = 10_000
+
+
+def _assign_by_literals(df: DataFrame, label_col: str, key_col: str, h, rows, split_col: str) -> DataFrame:
+    """Row is test iff (hash, key) <= its class boundary; classes without one are train."""
+    if not rows:
+        return df.withColumn(split_col, F.lit("train"))
+    key_type = dict(df.dtypes)[key_col]
+    keyed = [r for r in rows if r["_floe_lbl"] is not None]
+    empty = F.create_map().cast(f"map<string,{key_type}>")
+    m_h = F.create_map(*[x for r in keyed for x in (F.lit(r["_floe_lbl"]), F.lit(r["_floe_h"]))]) if keyed \
+        else F.create_map().cast("map<string,string>")
+    m_k = F.create_map(*[x for r in keyed for x in (F.lit(r["_floe_lbl"]), F.lit(r["_floe_key"]).cast(key_type))]) \
+        if keyed else empty
+    label = c(label_col)
+    null_bound = [r for r in rows if r["_floe_lbl"] is None]
+    bh = F.element_at(m_h, label) if not null_bound else F.when(
+        label.isNull(), F.lit(null_bound[0]["_floe_h"])).otherwise(F.element_at(m_h, label))
+    bk = F.element_at(m_k, label) if not null_bound else F.when(
+        label.isNull(), F.lit(null_bound[0]["_floe_key"]).cast(key_type)).otherwise(F.element_at(m_k, label))
+    is_test = bh.isNotNull() & key_at_or_before([h, c(key_col)], [bh, bk])
+    return df.withColumn(split_col, F.when(is_test, F.lit("test")).otherwise(F.lit("train")))
 
 
 def stratified_sample(df: DataFrame, label_col: str, key_col: str, fraction: float,

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,7 +37,9 @@ def prepare_flows(flows: DataFrame, key: str, label: str, categories=(), drop=()
     the one-file scripts do); 'train' fits them on the train part only.
     """
     labelled = flows.withColumn(label, fill_missing(c(label)))
-    split = stratified_split(labelled, label, key, test_size, seed).persist(StorageLevel.MEMORY_AND_DISK)
+    # The split is a projection with per-class boundary literals: reusing it
+    # re-reads the pruned columns instead of caching the whole table.
+    split = stratified_split(labelled, label, key, test_size, seed)
     train = split.where(F.col("split") == "train").drop("split")
     test = split.where(F.col("split") == "test").drop("split")
     prep = Preprocess(key, label, drop=drop, bools=bools, categories=categories)

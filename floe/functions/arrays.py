@@ -30,8 +30,40 @@ def array_sum(arr: Column) -> Column:
     return F.aggregate(arr, F.lit(0.0).cast("double"), lambda acc, x: acc + x)
 
 
-def softmax(arr: Column) -> Column:
-    """Max-subtracted softmax of a numeric array (each input evaluated once)."""
+# Every output of the scalar form repeats all inputs, so it is used only for
+# narrow, flat inputs; wider or nested ones use the let-bound lambda form.
+SCALAR_SOFTMAX_MAX = 10
+
+
+def softmax_of(values: list[Column]) -> Column:
+    """Softmax of a fixed list of scalar columns, as plain (codegen) expressions.
+
+    Used when the width is known when the plan is built (number of classes,
+    fixture widths); avoids interpreted lambdas entirely.
+    """
+    if len(values) > SCALAR_SOFTMAX_MAX:
+        return softmax(F.array(*values))
+    vals = [v.cast("double") for v in values]
+    m = F.greatest(*vals) if len(vals) > 1 else vals[0]
+    exps = [F.exp(v - m) for v in vals]
+    total = exps[0]
+    for e in exps[1:]:
+        total = total + e
+    return F.array(*[e / total for e in exps])
+
+
+def _elements(arr: Column, width: int) -> list[Column]:
+    return [F.element_at(arr, i + 1).cast("double") for i in range(width)]
+
+
+def softmax(arr: Column, width: int | None = None) -> Column:
+    """Max-subtracted softmax of a numeric array (each input evaluated once).
+
+    With ``width`` (known array length) it compiles to scalar expressions.
+    """
+    if width:
+        return softmax_of(_elements(arr, width))
+
     def with_values(a):
         return F.aggregate(a, F.lit(float("-inf")), lambda m, x: F.greatest(m, x), lambda m: F.aggregate(
             a, F.lit(0.0).cast("double"), lambda t, x: t + F.exp(x - m),
@@ -39,9 +71,11 @@ def softmax(arr: Column) -> Column:
     return let(arr.cast("array<double>"), with_values)
 
 
-def temperature_softmax(arr: Column, temperature: float = 10.0) -> Column:
+def temperature_softmax(arr: Column, temperature: float = 10.0, width: int | None = None) -> Column:
     """K5: softmax(p / T) of the (probability) array."""
     t = float(temperature)
+    if width:
+        return softmax_of([x / F.lit(t) for x in _elements(arr, width)])
     return softmax(F.transform(arr.cast("array<double>"), lambda x: x / F.lit(t)))
 
 
@@ -49,9 +83,11 @@ def clip(x: Column, lo: float, hi: float) -> Column:
     return F.greatest(F.least(x, F.lit(hi)), F.lit(lo))
 
 
-def log_temperature_softmax(arr: Column, temperature: float = 10.0) -> Column:
+def log_temperature_softmax(arr: Column, temperature: float = 10.0, width: int | None = None) -> Column:
     """K6: softmax(log(clip(p, 1e-7, 1)) / T)."""
     t = float(temperature)
+    if width:
+        return softmax_of([F.ln(clip(x, EPSILON, 1.0)) / F.lit(t) for x in _elements(arr, width)])
     return softmax(F.transform(arr.cast("array<double>"),
                                lambda x: F.ln(clip(x, EPSILON, 1.0)) / F.lit(t)))
 
@@ -62,8 +98,15 @@ def sparse_cross_entropy(probs: Column, label: Column) -> Column:
     return -F.ln(clip(p, EPSILON, 1.0 - EPSILON))
 
 
-def kl_divergence(target: Column, pred: Column) -> Column:
+def kl_divergence(target: Column, pred: Column, width: int | None = None) -> Column:
     """K8 per row: sum t*log(t/s), both clipped to [eps, 1] as in Keras."""
+    if width:
+        total = None
+        for t, s_ in zip(_elements(target, width), _elements(pred, width)):
+            ct, cs = clip(t, EPSILON, 1.0), clip(s_, EPSILON, 1.0)
+            term = ct * F.ln(ct / cs)
+            total = term if total is None else total + term
+        return total
     terms = F.zip_with(target, pred, lambda t, s: clip(t, EPSILON, 1.0)
                        * F.ln(clip(t, EPSILON, 1.0) / clip(s, EPSILON, 1.0)))
     return array_sum(terms)

@@ -37,6 +37,7 @@ class CentroidModel:
                 term = (c(f).cast("double") - F.lit(float(m))) * (c(f).cast("double") - F.lit(float(m)))
                 d = term if d is None else d + term
             neg.append(-d)
+        # the distances are evaluated once (let-bound array), whatever k and d
         return softmax(F.array(*neg))
 
     def transform(self, df: DataFrame, prob_col: str = "probability") -> DataFrame:

@@ -50,19 +50,25 @@ def _ratio(num: Column, den: Column) -> Column:
 
 
 def per_class_scores(conf: DataFrame) -> DataFrame:
-    """(code, precision, recall, f1, support) per class present in y or pred."""
-    tp = F.sum(F.when(F.col("y") == F.col("pred"), F.col("n")).otherwise(F.lit(0)))
-    by_true = conf.groupBy(F.col("y").alias("code")).agg(tp.alias("tp"), F.sum("n").alias("support"))
-    by_pred = conf.groupBy(F.col("pred").alias("code")).agg(F.sum("n").alias("predicted"))
-    joined = by_true.join(by_pred, "code", "full_outer").select(
-        "code", F.coalesce("tp", F.lit(0)).alias("tp"), F.coalesce("support", F.lit(0)).alias("support"),
-        F.coalesce("predicted", F.lit(0)).alias("predicted"))
+    """(code, precision, recall, f1, support, tp) per class present in y or pred.
+
+    Each confusion cell adds to its true class (tp, support) and to its
+    predicted class (predicted): one aggregation over the k*k cells.
+    """
+    sent = conf.select(F.inline(F.array(
+        F.struct(F.col("y").alias("code"),
+                 F.when(F.col("y") == F.col("pred"), F.col("n")).otherwise(F.lit(0)).cast("long").alias("tp"),
+                 F.col("n").cast("long").alias("support"), F.lit(0).cast("long").alias("predicted")),
+        F.struct(F.col("pred").alias("code"), F.lit(0).cast("long").alias("tp"), F.lit(0).cast("long").alias("support"),
+                 F.col("n").cast("long").alias("predicted")))))
+    joined = sent.groupBy("code").agg(F.sum("tp").alias("tp"), F.sum("support").alias("support"),
+                                      F.sum("predicted").alias("predicted"))
     present = joined.where((F.col("support") > 0) | (F.col("predicted") > 0))
     p = _ratio(F.col("tp"), F.col("predicted"))
     r = _ratio(F.col("tp"), F.col("support"))
     f1 = _ratio(2 * F.col("tp"), F.col("support") + F.col("predicted"))
     return present.select("code", p.alias("precision"), r.alias("recall"), f1.alias("f1"),
-                          F.col("support").cast("long").alias("support"))
+                          F.col("support").cast("long").alias("support"), "tp")
 
 
 def classification_report(conf: DataFrame, class_names: list[str] | None = None) -> DataFrame:
@@ -70,12 +76,13 @@ def classification_report(conf: DataFrame, class_names: list[str] | None = None)
 
     Schema: class string, precision double, recall double, f1 double,
     support bigint.  The accuracy row repeats the accuracy in the three
-    score columns and carries the total row count as support.
+    score columns and carries the total row count as support.  The three
+    summary rows come from one aggregation over the per-class table.
     """
-    # k*k rows, read by four branches: cached once instead of recomputing
-    # the prediction table behind it for every branch.
+    # k*k rows read by two branches: cached once instead of recomputing
+    # the prediction table behind it.
     conf = conf.persist()
-    scores = per_class_scores(conf)
+    scores = per_class_scores(conf).persist()
     if class_names is not None:
         names = F.array(*[F.lit(v) for v in class_names])
         label = F.element_at(names, F.col("code") + 1)
@@ -83,18 +90,20 @@ def classification_report(conf: DataFrame, class_names: list[str] | None = None)
         label = F.col("code").cast("string")
     per_class = scores.select(label.alias("class"), "precision", "recall", "f1", "support")
     total = F.sum("support")
-    macro = scores.agg(F.lit("macro avg").alias("class"), F.avg("precision").alias("precision"),
-                       F.avg("recall").alias("recall"), F.avg("f1").alias("f1"), total.alias("support"))
-    weighted = scores.agg(
-        F.lit("weighted avg").alias("class"),
-        *[(F.sum(F.col(m) * F.col("support")) / F.nullif(total, F.lit(0))).alias(m)
-          for m in ("precision", "recall", "f1")], total.alias("support"))
-    acc_val = (F.sum(F.when(F.col("y") == F.col("pred"), F.col("n")).otherwise(0)).cast("double")
-               / F.nullif(F.sum("n"), F.lit(0)))
-    acc = conf.agg(acc_val.alias("a"), F.sum("n").alias("support")).select(
-        F.lit("accuracy").alias("class"), F.col("a").alias("precision"), F.col("a").alias("recall"),
-        F.col("a").alias("f1"), F.col("support").cast("long").alias("support"))
-    return per_class.unionByName(acc).unionByName(macro).unionByName(weighted)
+    summary = scores.agg(
+        F.avg("precision").alias("mp"), F.avg("recall").alias("mr"), F.avg("f1").alias("mf"),
+        *[(F.sum(F.col(m) * F.col("support")) / F.nullif(total, F.lit(0))).alias(f"w{m[0]}")
+          for m in ("precision", "recall", "f1")],
+        total.alias("support"),
+        (F.sum("tp").cast("double") / F.nullif(total, F.lit(0))).alias("acc"))
+    rows = summary.select(F.inline(F.array(
+        F.struct(F.lit("accuracy").alias("class"), F.col("acc").alias("precision"), F.col("acc").alias("recall"),
+                 F.col("acc").alias("f1"), F.col("support").cast("long").alias("support")),
+        F.struct(F.lit("macro avg").alias("class"), F.col("mp").alias("precision"), F.col("mr").alias("recall"),
+                 F.col("mf").alias("f1"), F.col("support").cast("long").alias("support")),
+        F.struct(F.lit("weighted avg").alias("class"), F.col("wp").alias("precision"), F.col("wr").alias("recall"),
+                 F.col("wf").alias("f1"), F.col("support").cast("long").alias("support")))))
+    return per_class.unionByName(rows)
 
 
 def accuracy(df: DataFrame, y_col: str = "y", pred_col: str = "pred") -> Column:

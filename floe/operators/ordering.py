@@ -40,7 +40,8 @@ def _as_col(x) -> Column:
 def running_totals(df: DataFrame, group_cols: list[str], order_cols: list,
                    values: dict[str, Column] | None = None,
                    index_col: str | None = None, size_col: str | None = None,
-                   num_partitions: int | None = None, cached: list | None = None) -> DataFrame:
+                   num_partitions: int | None = None, cached: list | None = None,
+                   bucket: Column | None = None) -> DataFrame:
     """Inclusive running sums of ``values`` within each group in order.
 
     ``order_cols`` must make the order unique within a group.  Adds one
@@ -49,6 +50,11 @@ def running_totals(df: DataFrame, group_cols: list[str], order_cols: list,
     column travels through two exchanges.  ``cached`` collects the
     persisted intermediate so a caller that finishes with an action can
     unpersist it.
+
+    ``bucket`` replaces the sampled range partitioning when the caller has
+    a deterministic integer expression that is non-decreasing in the order
+    within a group and spreads rows evenly (e.g. a prefix of a hash that is
+    itself the order key): no sampling job and no cache are needed then.
     """
     values = dict(values or {})
     n = _partitions(df, num_partitions)
@@ -56,12 +62,15 @@ def running_totals(df: DataFrame, group_cols: list[str], order_cols: list,
     tmp = {k: f"_floe_v_{i}" for i, k in enumerate(values)}
     base = df.select("*", *[v.alias(tmp[k]) for k, v in values.items()],
                      F.lit(1).cast("long").alias("_floe_one"))
-    range_keys = [F.col(g) for g in group_cols] + orders
-    ranged = (base.repartitionByRange(n, *range_keys)
-              .withColumn(PID, F.spark_partition_id())
-              .persist(StorageLevel.MEMORY_AND_DISK))
-    if cached is not None:
-        cached.append(ranged)
+    if bucket is not None:
+        ranged = base.withColumn(PID, bucket.cast("int"))
+    else:
+        range_keys = [F.col(g) for g in group_cols] + orders
+        ranged = (base.repartitionByRange(n, *range_keys)
+                  .withColumn(PID, F.spark_partition_id())
+                  .persist(StorageLevel.MEMORY_AND_DISK))
+        if cached is not None:
+            cached.append(ranged)
     summed = list(tmp.values()) + ["_floe_one"]
     cell = Window.partitionBy(PID, *group_cols).orderBy(*orders).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
@@ -101,11 +110,23 @@ def shuffle_key(row_key: Column, seed: int = 42, epoch: int = 0) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(str(epoch)), row_key.cast("string")))
 
 
+def hash_bucket(hex_key: Column, buckets: int) -> Column:
+    """Order-preserving bucket of an md5 hex key: its first 32 bits scaled to ``buckets``."""
+    top = F.conv(F.substring(hex_key, 1, 8), 16, 10).cast("long")
+    return F.floor(top * F.lit(int(buckets)) / F.lit(4294967296)).cast("int")
+
+
 def seeded_shuffle(df: DataFrame, row_key: str, seed: int = 42, epoch: int = 0,
-                   index_col: str = "pos") -> DataFrame:
-    """Full reproducible shuffle, as a position column (order by md5 key, then row key)."""
+                   index_col: str = "pos", num_partitions: int | None = None) -> DataFrame:
+    """Full reproducible shuffle, as a position column (order by md5 key, then row key).
+
+    The md5 key is uniform, so its prefix buckets the rows evenly without a
+    sampling pass.
+    """
+    n = _partitions(df, num_partitions)
     keyed = df.withColumn("_floe_shuffle", shuffle_key(F.col(row_key), seed, epoch))
-    return row_index(keyed, ["_floe_shuffle", row_key], index_col).drop("_floe_shuffle")
+    return running_totals(keyed, [], ["_floe_shuffle", row_key], {}, index_col=index_col,
+                          bucket=hash_bucket(F.col("_floe_shuffle"), n)).drop("_floe_shuffle")
 
 
 def assign_batches(df: DataFrame, row_key: str, batch_size: int = 256, seed: int = 42,

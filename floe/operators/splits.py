@@ -8,20 +8,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from floe.functions.text import c
-from floe.operators.ordering import key_at_or_before, running_totals, shuffle_key
+from floe.operators.ordering import hash_bucket, key_at_or_before, shuffle_key
 
 BIG = "decimal(38,0)"
 
 
-def stratified_quotas(df: DataFrame, label_col: str, test_size: float = 0.3) -> DataFrame:
-    """Per-class test quota (label, n_class, n_test_class).
+def quotas_from_counts(counts: DataFrame, label_col: str, test_size: float = 0.3) -> DataFrame:
+    """Per-class test quota from a (label, n_class) table -> (label, n_class, n_test_class).
 
     Total test rows = ceil(test_size * n).  Train rows per class follow the
     largest-remainder rule on n_train = n - n_test (ties: label order),
     computed in exact integer arithmetic; the class keeps the rest for test.
     The class table has one row per class, so its global window is small.
     """
-    counts = df.groupBy(c(label_col).alias("_floe_label")).agg(F.count(F.lit(1)).alias("n_class"))
+    counts = counts.select(c(label_col).alias("_floe_label"), "n_class")
     everything = Window.partitionBy()
     n = F.sum("n_class").over(everything)
     with_n = counts.select("*", n.alias("_floe_n"))
@@ -39,31 +39,60 @@ def stratified_quotas(df: DataFrame, label_col: str, test_size: float = 0.3) ->
                          (F.col("n_class") - train_q).cast("long").alias("n_test_class"))
 
 
+def stratified_quotas(df: DataFrame, label_col: str, test_size: float = 0.3) -> DataFrame:
+    counts = df.groupBy(c(label_col).alias(label_col)).agg(F.count(F.lit(1)).alias("n_class"))
+    return quotas_from_counts(counts, label_col, test_size)
+
+
+# Hash buckets used to locate each class boundary; the boundary bucket of a
+# class holds about n_class / SELECT_BUCKETS rows.
+SELECT_BUCKETS = 1 << 16
+
+
 def stratified_split(df: DataFrame, label_col: str, key_col: str, test_size: float = 0.3,
                      seed: int = 42, split_col: str = "split",
-                     num_partitions: int | None = None) -> DataFrame:
+                     num_partitions: int | None = None, buckets: int = SELECT_BUCKETS) -> DataFrame:
     """Exact stratified train/test split, reproducible from ``seed``.
 
-    Within each class, rows are ordered by md5(seed:0:key), key; the first
-    ``n_test_class`` rows are test.  Positions come from the two-phase
-    ``running_totals`` over a range partitioning, so a class holding a
-    large share of the rows is still spread over many tasks.
+    Within each class, rows are ordered by (md5(seed:0:key), key); the first
+    ``n_test_class`` rows are test.  Only the boundary row of each class is
+    searched for, by selection over hash buckets:
+
+    1. one aggregating pass counts rows per (class, bucket of the md5
+       prefix); class sizes and quotas come from these counts;
+    2. running counts over the buckets of a class (at most ``buckets`` rows)
+       locate the bucket holding position n_test_class - 1;
+    3. only the rows of that one bucket per class are ranked.
+
+    The boundaries (one row per class) are collected and the split is a
+    comparison of (hash, key) against them, so no row is shuffled and
+    re-using the split re-reads pruned columns.  A class holding a third
+    of the data is handled like any other: its boundary bucket is small.
+    ``num_partitions`` is accepted for API symmetry; results do not depend
+    on partitioning.
     """
-    quotas = stratified_quotas(df, label_col, test_size).select(
-        F.col(label_col).alias("_floe_lbl"), "n_test_class")
     h = shuffle_key(c(key_col), seed, 0)
-    narrow = df.select(c(label_col).alias("_floe_lbl"), h.alias("_floe_h"), c(key_col).alias("_floe_key"))
-    cached: list = []
-    pos = running_totals(narrow, ["_floe_lbl"], ["_floe_h", "_floe_key"], {}, index_col="_floe_pos",
-                         num_partitions=num_partitions, cached=cached)
-    # quotas: one row per class -> broadcast is bounded by the class count
-    last = (pos.join(F.broadcast(quotas), "_floe_lbl")
-            .where(F.col("_floe_pos") == F.col("n_test_class") - 1)
-            .select("_floe_lbl", "_floe_h", "_floe_key"))
+    narrow = df.select(c(label_col).alias("_floe_lbl"), h.alias("_floe_h"), c(key_col).alias("_floe_key"),
+                       hash_bucket(h, buckets).alias("_floe_b"))
+    bucket_counts = narrow.groupBy("_floe_lbl", "_floe_b").agg(F.count(F.lit(1)).alias("cnt")).persist()
+    class_counts = bucket_counts.groupBy("_floe_lbl").agg(F.sum("cnt").alias("n_class"))
+    quotas = quotas_from_counts(class_counts, "_floe_lbl", test_size).select("_floe_lbl", "n_test_class")
+    before = Window.partitionBy("_floe_lbl").orderBy("_floe_b").rowsBetween(Window.unboundedPreceding, -1)
+    cum = bucket_counts.withColumn("_floe_before", F.coalesce(F.sum("cnt").over(before), F.lit(0)))
+    # one row per class: bounded broadcast
+    target = (cum.join(F.broadcast(quotas), cum["_floe_lbl"].eqNullSafe(quotas["_floe_lbl"]))
+              .where((F.col("n_test_class") > 0) & (F.col("_floe_before") <= F.col("n_test_class") - 1)
+                     & (F.col("n_test_class") - 1 < F.col("_floe_before") + F.col("cnt")))
+              .select(cum["_floe_lbl"].alias("_floe_tl"), F.col("_floe_b").alias("_floe_tb"),
+                      (F.col("n_test_class") - 1 - F.col("_floe_before")).alias("_floe_r")))
+    cand = narrow.join(F.broadcast(target), narrow["_floe_lbl"].eqNullSafe(target["_floe_tl"])
+                       & (narrow["_floe_b"] == target["_floe_tb"]))
+    in_bucket = Window.partitionBy("_floe_lbl").orderBy("_floe_h", "_floe_key")
+    last = (cand.withColumn("_floe_rn", F.row_number().over(in_bucket) - 1)
+            .where(F.col("_floe_rn") == F.col("_floe_r")).select("_floe_lbl", "_floe_h", "_floe_key"))
     rows = last.limit(BOUNDS_AS_LITERALS + 1).collect()
     if len(rows) <= BOUNDS_AS_LITERALS:
-        for frame in cached:
-            frame.unpersist()
+        bucket_counts.unpersist()
         return _assign_by_literals(df, label_col, key_col, h, rows, split_col)
     # very many classes: the boundary table stays distributed (AQE sizes the join)
     b = last.select(F.col("_floe_lbl").alias("_floe_blbl"), F.col("_floe_h").alias("_floe_bh"),

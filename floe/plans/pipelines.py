@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,9 +38,16 @@ def prepare_flows(flows: DataFrame, key: str, label: str, categories=(), drop=()
     the one-file scripts do); 'train' fits them on the train part only.
     """
     labelled = flows.withColumn(label, fill_missing(c(label)))
-    # The split is a projection with per-class boundary literals: reusing it
-    # re-reads the pruned columns instead of caching the whole table.
+    # The split is a projection with per-class boundary literals.  The
+    # projected rows feed several fits (imputer, encoders, scaler, model), so
+    # they are persisted once (memory and disk; a lost block is recomputed
+    # from the same deterministic projection).
     split = stratified_split(labelled, label, key, test_size, seed)
+    cores = flows.sparkSession.sparkContext.defaultParallelism
+    if split.rdd.getNumPartitions() < cores:
+        # fewer input splits than cores (small inputs): spread before caching
+        split = split.repartition(cores)
+    split = split.persist(StorageLevel.MEMORY_AND_DISK)
     train = split.where(F.col("split") == "train").drop("split")
     test = split.where(F.col("split") == "test").drop("split")
     prep = Preprocess(key, label, drop=drop, bools=bools, categories=categories)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from floe.functions.arrays import softmax
+from floe.functions.arrays import softmax_of
 from floe.sources.tables import read_table
 
 
@@ -58,8 +58,8 @@ def proba(spark: SparkSession, sf_dir: str) -> DataFrame:
     em = read_table(spark, sf_dir, "embeddings")
     e = F.col("embedding").cast("array<double>")
     return em.select(F.col("vec_id").alias("row_id"), F.col("label").cast("int").alias("y"),
-                     softmax(F.slice(e, 1, 10)).alias("teacher"),
-                     softmax(F.slice(e, 11, 10)).alias("student"))
+                     softmax_of([F.element_at(e, i) for i in range(1, 11)]).alias("teacher"),
+                     softmax_of([F.element_at(e, i) for i in range(11, 21)]).alias("student"))
 
 
 def _cut(arr, rows: int, width: int):
@@ -114,8 +114,8 @@ def proba_big(spark: SparkSession, sf_dir: str, label_codes: DataFrame | None =
     d = F.col("l_discount") * 10.0
     t = F.col("l_tax") * 10.0
     base = li.select(lineitem_key().alias("row_id"), "l_returnflag",
-                     softmax(F.array(q, d, t)).alias("teacher"),
-                     softmax(F.array(d, t, q)).alias("student"))
+                     softmax_of([q, d, t]).alias("teacher"),
+                     softmax_of([d, t, q]).alias("student"))
     enc = LabelEncoder("l_returnflag", "y").fit(base)
     return enc.transform(base).select("row_id", "y", "teacher", "student")
 

@@ -78,8 +78,9 @@ class Preprocess:
         limited to those present in both frames (P8)."""
         frames = [train] + ([test] if test is not None else [])
         cats = common_columns(self.categories, *frames)
-        base = drop_columns(train, self.drop)
-        numeric = feature_columns(base, self.label, self.categories, [self.key])
+        base = map_bool_columns(drop_columns(train, self.drop), self.bools)
+        # a category absent from one frame is not a category; it stays a feature
+        numeric = feature_columns(base, self.label, cats, [self.key])
         if self.drop_empty:
             numeric = non_empty_columns(base, numeric)
         source = fit_frame if fit_frame is not None else train

@@ -144,7 +144,7 @@ FROM (SELECT DISTINCT event_type AS label FROM events WHERE event_type IS NOT NU
 _A4_VOCAB = {"proto": ["missing", "p0", "p1", "p2", "p3"], "flag": ["FALSE", "TRUE", "maybe"]}
 SQL["a4_one_hot"] = f"""{_NA},
 f AS (SELECT row_id, coalesce(proto, 'missing') AS proto, coalesce(flag, 'missing') AS flag FROM flows_na)
-SELECT row_id, {', '.join(f"CASE WHEN {col} = '{v}' THEN 1.0 ELSE 0.0 END AS \"{col}={v}\"" for col, vs in _A4_VOCAB.items() for v in vs)}
+SELECT row_id, {', '.join(f"CAST(CASE WHEN {col} = '{v}' THEN 1.0 ELSE 0.0 END AS DOUBLE) AS \"{col}={v}\"" for col, vs in _A4_VOCAB.items() for v in vs)}
 FROM f"""
 
 

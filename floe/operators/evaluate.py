@@ -162,14 +162,17 @@ def one_vs_rest_shared(df: DataFrame, score_col: str, y_col: str, num_classes: i
         (F.col("_floe_y") == F.col("class")).cast("int").alias("is_pos"))
 
 
-def _roc_points(ovr: DataFrame, num_partitions: int | None = None) -> DataFrame:
-    """Cumulative (tp, fp) per distinct score, scores descending, per class."""
-    per_score = ovr.groupBy("class", "score").agg(
+def _per_score(ovr: DataFrame) -> DataFrame:
+    """(class, score, pos, neg): ties grouped by a map-side combined aggregation."""
+    return ovr.groupBy("class", "score").agg(
         F.sum("is_pos").cast("long").alias("pos"),
         (F.count(F.lit(1)) - F.sum("is_pos")).cast("long").alias("neg"))
-    cum = running_totals(per_score, ["class"], [F.desc("score")], {"tp": F.col("pos"), "fp": F.col("neg")},
-                         index_col="idx", size_col="m", num_partitions=num_partitions)
-    return cum
+
+
+def _roc_points(per_score: DataFrame, num_partitions: int | None = None) -> DataFrame:
+    """Cumulative (tp, fp) per distinct score, scores descending, per class."""
+    return running_totals(per_score, ["class"], [F.desc("score")], {"tp": F.col("pos"), "fp": F.col("neg")},
+                          index_col="idx", size_col="m", num_partitions=num_partitions)
 
 
 def roc_curve(ovr: DataFrame, drop_intermediate: bool = True,
@@ -182,8 +185,10 @@ def roc_curve(ovr: DataFrame, drop_intermediate: bool = True,
     kept.  The neighbour comparison is an equi-aggregation on
     (class, idx): each point sends its counts to idx-1, idx and idx+1.
     """
-    pts = _roc_points(ovr, num_partitions)
-    totals = pts.groupBy("class").agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
+    per_score = _per_score(ovr)
+    pts = _roc_points(per_score, num_partitions)
+    # class totals from the per-score table (one row per class)
+    totals = per_score.groupBy("class").agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
     if drop_intermediate:
         sent = pts.select("class", "m", F.col("score"),
                           F.inline(F.array(*[F.struct((F.col("idx") + d).alias("at"),
@@ -215,7 +220,7 @@ def auc(ovr: DataFrame, num_partitions: int | None = None) -> DataFrame:
     Each distinct score adds neg * (tp_before + tp_after) / 2 / (P * N);
     collinear points do not change the area, so no point is dropped.
     """
-    pts = _roc_points(ovr, num_partitions)
+    pts = _roc_points(_per_score(ovr), num_partitions)
     area = pts.groupBy("class").agg(
         F.sum(F.col("neg").cast("double") * (2 * F.col("tp") - F.col("pos")).cast("double") / 2.0).alias("a"),
         F.sum("pos").alias("P"), F.sum("neg").alias("N"))

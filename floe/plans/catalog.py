@@ -600,3 +600,11 @@ def q_q7(spark, sf):
 @query("q8_batch_norm")
 def q_q8(spark, sf):
     return r6(Q.batch_norm(fx.series(spark, sf), "x", "entity", "z").select("entity", "id", "x", "z"))
+
+
+# ------------------------------------------------------------------ end to end
+@query("k4_distillation_report")
+def q_k4_report(spark, sf):
+    """Teacher forest -> soft labels (T=10) -> distilled student -> report (rows only)."""
+    out = pipelines.distillation_pipeline(spark, sf, temperature=10.0, alpha=0.5, teacher_kind="forest")
+    return r6(out["student"])

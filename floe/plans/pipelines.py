@@ -69,7 +69,8 @@ def classification_pipeline(spark: SparkSession, sf_dir: str, test_size: float =
 
 
 def distillation_pipeline(spark: SparkSession, sf_dir: str, temperature: float = 10.0,
-                          alpha: float = 0.5, teacher_kind: str = "forest") -> dict[str, DataFrame]:
+                          alpha: float = 0.5, teacher_kind: str = "forest",
+                          with_baseline: bool = False) -> dict[str, DataFrame]:
     """Teacher -> soft labels -> distilled student, with reports of both.
 
     Returns the scored test frames and reports; nothing is collected.
@@ -78,13 +79,15 @@ def distillation_pipeline(spark: SparkSession, sf_dir: str, temperature: float =
     p = prepare_flows(flows, "row_id", "l_returnflag", categories=["l_linestatus"])
     feats = p.model.feature_names
     k = len(p.model.labels.classes)
-    teacher = fit_teacher(p.train, feats, "y", kind=teacher_kind, num_classes=k)
+    teacher = fit_teacher(p.train, feats, "y", kind=teacher_kind, num_classes=k, num_trees=10, max_depth=5)
     train_t = teacher.transform(p.train, "teacher")
     soft = train_t.withColumn("soft", temperature_softmax(F.col("teacher"), temperature))
-    student = fit_distilled_student(soft, feats, "soft", "y", alpha)
-    baseline = fit_student(p.train, feats, "y")
+    student = fit_distilled_student(soft, feats, "soft", "y", alpha, max_iter=50)
+    models = [("teacher", teacher), ("student", student)]
+    if with_baseline:   # the standalone student, trained on hard labels only
+        models.append(("baseline", fit_student(p.train, feats, "y", max_iter=50)))
     out = {}
-    for name, model in (("teacher", teacher), ("student", student), ("baseline", baseline)):
+    for name, model in models:
         scored = with_prediction(model.transform(p.test, "probability"), "probability")
         out[name] = classification_report(confusion(scored, k), p.model.labels.classes)
         out[name + "_scored"] = scored

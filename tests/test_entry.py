@@ -27,7 +27,8 @@ def test_registry_consistent():
     q, sql = mod.queries(), mod.oracle_sql()
     assert set(sql) <= set(q) and len(q) >= 70
     rows_only = set(q) - set(sql)
-    assert rows_only <= {"k1_teacher_forest", "k2_student", "k3_batch_scoring", "k4_distilled_student"}
+    assert rows_only <= {"k1_teacher_forest", "k2_student", "k3_batch_scoring", "k4_distilled_student",
+                         "k4_distillation_report"}
 
 
 def test_some_queries_run_on_smallest_scale(spark):

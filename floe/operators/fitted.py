@@ -30,25 +30,20 @@ def _long_form(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.select(F.inline(pairs)).where(F.col("value").isNotNull())
 
 
-def exact_medians(df: DataFrame, cols: list[str], num_partitions: int | None = None) -> DataFrame:
-    """Exact median of every column (mean of the two middle values), distributed.
+def _medians_from_counts(counts: DataFrame, n: DataFrame, offset_col: str | None,
+                         num_partitions: int | None) -> DataFrame:
+    """Median from (feature, value, cnt) and (feature, n[, offset]) tables.
 
-    Long form -> (feature, value) counts (map-side combined) -> running
-    counts over a range partitioning (``running_totals``) -> the values at
-    the two middle positions.  No task holds a whole column, unlike the
-    built-in ``median`` whose final merge buffers every distinct value of
-    a column in one task.  Returns (feature, median); features without any
-    non-null value are absent.
+    ``offset`` is the number of values below the counted ones (0 if None).
     """
-    long = _long_form(df, cols)
-    counts = long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("cnt"))
     ranked = running_totals(counts, ["feature"], ["value"], {"cum": F.col("cnt")},
                             num_partitions=num_partitions)
-    n = counts.groupBy("feature").agg(F.sum("cnt").alias("n"))
-    lo = F.floor((F.col("n") - 1) / 2)
-    hi = F.ceil((F.col("n") - 1) / 2)
+    off = F.col(offset_col) if offset_col else F.lit(0)
+    lo = F.floor((F.col("n") - 1) / 2) - off
+    hi = F.ceil((F.col("n") - 1) / 2) - off
     first = F.col("cum") - F.col("cnt")
     covers = lambda pos: (first <= pos) & (pos <= F.col("cum") - 1)
+    # n: one row per feature -> bounded broadcast
     picked = (ranked.join(F.broadcast(n), "feature")
               .where(covers(lo) | covers(hi))
               .select("feature", F.when(covers(lo), F.col("value")).alias("v_lo"),
@@ -56,6 +51,76 @@ def exact_medians(df: DataFrame, cols: list[str], num_partitions: int | None = N
     return picked.groupBy("feature").agg(((F.max("v_lo") + F.max("v_hi")) / 2).alias("median"))
 
 
+def exact_medians_full(df: DataFrame, cols: list[str], num_partitions: int | None = None) -> DataFrame:
+    """Exact medians by ranking every distinct value (map-side combined counts)."""
+    long = _long_form(df, cols)
+    counts = long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("cnt"))
+    n = counts.groupBy("feature").agg(F.sum("cnt").alias("n"))
+    return _medians_from_counts(counts, n, None, num_partitions)
+
+
+# percentile_approx accuracy of the bracketing pass; its rank error is at most
+# n / accuracy, so quantiles 0.5 -/+ 3 / accuracy bracket the exact median.
+BRACKET_ACCURACY = 10_000
+
+
+def exact_medians(df: DataFrame, cols: list[str], num_partitions: int | None = None,
+                  accuracy: int = BRACKET_ACCURACY) -> DataFrame:
+    """Exact median of every column (mean of the two middle values), distributed.
+
+    1. one ``percentile_approx`` pass brackets each median in [lo, hi]
+       (bounded-memory sketches, no shuffle of values);
+    2. one aggregation counts the non-null values and those below lo;
+    3. only values inside [lo, hi] (about 6 / accuracy of the rows) are
+       counted per distinct value and ranked with ``running_totals``.
+
+    No task holds a whole column (the built-in ``median`` merges every
+    distinct value of a column in one task) and the full table is never
+    shuffled.  A feature whose bracket misses the middle ranks falls back to
+    ranking all of its values, so the result is always exact.  Returns
+    (feature, median); features without any non-null value are absent.
+    """
+    if not cols:
+        return df.sparkSession.createDataFrame([], "feature string, median double")
+    eps = 3.0 / accuracy
+    qs = [max(0.0, 0.5 - eps), min(1.0, 0.5 + eps)]
+    row = df.agg(*[F.percentile_approx(c(n).cast("double"), qs, accuracy).alias(f"q{i}")
+                   for i, n in enumerate(cols)]).first()
+    bounds = {n: row[f"q{i}"] for i, n in enumerate(cols) if row[f"q{i}"] is not None}
+    present = [n for n in cols if n in bounds]
+    if not present:
+        return df.sparkSession.createDataFrame([], "feature string, median double")
+    pairs = F.array(*[F.struct(F.lit(n).alias("feature"), c(n).cast("double").alias("value"),
+                               F.lit(float(bounds[n][0])).alias("lo"), F.lit(float(bounds[n][1])).alias("hi"))
+                      for n in present])
+    long = df.select(F.inline(pairs)).where(F.col("value").isNotNull() & ~F.isnan("value"))
+    stats = long.groupBy("feature").agg(F.count(F.lit(1)).alias("n"),
+                                        F.count(F.when(F.col("value") < F.col("lo"), 1)).alias("below"),
+                                        F.count(F.when((F.col("value") >= F.col("lo"))
+                                                       & (F.col("value") <= F.col("hi")), 1)).alias("inside"))
+    st = {r["feature"]: (r["n"], r["below"], r["inside"]) for r in stats.collect()}
+    good, missed = [], []
+    for n_ in present:
+        total, below, inside = st[n_]
+        lo_r, hi_r = (total - 1) // 2, total // 2
+        (good if below <= lo_r and hi_r < below + inside else missed).append(n_)
+    parts = []
+    if good:
+        cand = long.where(F.col("feature").isin(good) & (F.col("value") >= F.col("lo"))
+                          & (F.col("value") <= F.col("hi")))
+        counts = cand.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("cnt"))
+        spark = df.sparkSession
+        n_tab = spark.createDataFrame([(f, int(st[f][0]), int(st[f][1])) for f in good],
+                                      "feature string, n long, below long")
+        parts.append(_medians_from_counts(counts, n_tab, "below", num_partitions))
+    if missed:
+        parts.append(exact_medians_full(df, missed, num_partitions))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 @dataclass
 class MedianImputerModel:
     medians: dict[str, float]

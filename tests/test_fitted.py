@@ -59,3 +59,17 @@ def test_one_hot_unknown_is_zero(spark):
     assert m.output_names() == ["c=x", "c=y"]
     rows = [tuple(r) for r in m.transform(test).collect()]
     assert rows == [(0.0, 1.0), (0.0, 0.0)]
+
+
+def test_bracketed_median_equals_full_ranking(spark):
+    from floe.operators.fitted import exact_medians_full
+    df = spark.range(0, 20001).select(
+        (F.col("id") * 7919 % 1013 / 7.0).alias("a"),                      # many distinct values
+        F.when(F.col("id") % 5 == 0, None).otherwise(F.col("id") % 17).cast("double").alias("b"),  # ties, nulls
+        (F.col("id") % 2).cast("double").alias("c"))                        # two values, even count
+    for acc in (10, 10_000):
+        got = {r["feature"]: r["median"] for r in exact_medians(df, ["a", "b", "c"], accuracy=acc).collect()}
+        full = {r["feature"]: r["median"] for r in exact_medians_full(df, ["a", "b", "c"]).collect()}
+        want = df.agg(F.median("a"), F.median("b"), F.median("c")).first()
+        assert got == full
+        assert [got["a"], got["b"], got["c"]] == [want[0], want[1], want[2]]

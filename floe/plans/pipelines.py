@@ -38,16 +38,16 @@ def prepare_flows(flows: DataFrame, key: str, label: str, categories=(), drop=()
     the one-file scripts do); 'train' fits them on the train part only.
     """
     labelled = flows.withColumn(label, fill_missing(c(label)))
-    # The split is a projection with per-class boundary literals.  The
-    # projected rows feed several fits (imputer, encoders, scaler, model), so
-    # they are persisted once (memory and disk; a lost block is recomputed
-    # from the same deterministic projection).
-    split = stratified_split(labelled, label, key, test_size, seed)
+    # The projected input feeds the split search and every fit (imputer,
+    # encoders, scaler, model): it is persisted once (memory and disk; a lost
+    # block is recomputed from the same deterministic scan).  Inputs with
+    # fewer splits than cores are spread first so the passes run in parallel.
     cores = flows.sparkSession.sparkContext.defaultParallelism
-    if split.rdd.getNumPartitions() < cores:
-        # fewer input splits than cores (small inputs): spread before caching
-        split = split.repartition(cores)
-    split = split.persist(StorageLevel.MEMORY_AND_DISK)
+    if labelled.rdd.getNumPartitions() < cores:
+        labelled = labelled.repartition(cores)
+    labelled = labelled.persist(StorageLevel.MEMORY_AND_DISK)
+    # the split is a projection with per-class boundary literals over it
+    split = stratified_split(labelled, label, key, test_size, seed)
     train = split.where(F.col("split") == "train").drop("split")
     test = split.where(F.col("split") == "test").drop("split")
     prep = Preprocess(key, label, drop=drop, bools=bools, categories=categories)

@@ -57,7 +57,6 @@ def running_totals(df: DataFrame, group_cols: list[str], order_cols: list,
     itself the order key): no sampling job and no cache are needed then.
     """
     values = dict(values or {})
-    n = _partitions(df, num_partitions)
     orders = [_as_col(o) for o in order_cols]
     tmp = {k: f"_floe_v_{i}" for i, k in enumerate(values)}
     base = df.select("*", *[v.alias(tmp[k]) for k, v in values.items()],
@@ -66,7 +65,12 @@ def running_totals(df: DataFrame, group_cols: list[str], order_cols: list,
         ranged = base.withColumn(PID, bucket.cast("int"))
     else:
         range_keys = [F.col(g) for g in group_cols] + orders
-        ranged = (base.repartitionByRange(n, *range_keys)
+        # Without an explicit count, adaptive execution may coalesce adjacent
+        # ranges; the persisted relation fixes each row's partition index, so
+        # both phases still agree.
+        by_range = (base.repartitionByRange(int(num_partitions), *range_keys) if num_partitions
+                    else base.repartitionByRange(*range_keys))
+        ranged = (by_range
                   .withColumn(PID, F.spark_partition_id())
                   .persist(StorageLevel.MEMORY_AND_DISK))
         if cached is not None:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -134,7 +132,3 @@ def stratified_sample(df: DataFrame, label_col: str, key_col: str, fraction: flo
     """D3: exact stratified down-sample to ``fraction`` of the rows."""
     part = stratified_split(df, label_col, key_col, test_size=fraction, seed=seed, split_col="_floe_s")
     return part.where(F.col("_floe_s") == "test").drop("_floe_s")
-
-
-def expected_test_rows(n: int, test_size: float) -> int:
-    return int(math.ceil(test_size * n))

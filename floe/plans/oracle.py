@@ -6,7 +6,7 @@ a run have no oracle; they get a rows-only check.
 
 from __future__ import annotations
 
-from floe.plans.sqlparts import (FLOWS_NA, FLOWS_NUM, FLOWS_RAW, PROBA, PROBA_BIG, boolean, na, num,
+from floe.plans.sqlparts import (FLOWS_NA, FLOWS_NUM, FLOWS_RAW, PROBA, PROBA_BIG, boolean, num,
                                  positions_cte, r6, report_ctes, report_select, roc_ctes, split_ctes)
 
 SQL: dict[str, str] = {}

@@ -74,16 +74,18 @@ def stratified_split(df: DataFrame, label_col: str, key_col: str, test_size: flo
                        hash_bucket(h, buckets).alias("_floe_b"))
     bucket_counts = narrow.groupBy("_floe_lbl", "_floe_b").agg(F.count(F.lit(1)).alias("cnt")).persist()
     class_counts = bucket_counts.groupBy("_floe_lbl").agg(F.sum("cnt").alias("n_class"))
+    # per-class tables are broadcast only when the class count is checked small
+    few = class_counts.limit(BOUNDS_AS_LITERALS + 1).count() <= BOUNDS_AS_LITERALS
+    small = F.broadcast if few else (lambda d: d)
     quotas = quotas_from_counts(class_counts, "_floe_lbl", test_size).select("_floe_lbl", "n_test_class")
     before = Window.partitionBy("_floe_lbl").orderBy("_floe_b").rowsBetween(Window.unboundedPreceding, -1)
     cum = bucket_counts.withColumn("_floe_before", F.coalesce(F.sum("cnt").over(before), F.lit(0)))
-    # one row per class: bounded broadcast
-    target = (cum.join(F.broadcast(quotas), cum["_floe_lbl"].eqNullSafe(quotas["_floe_lbl"]))
+    target = (cum.join(small(quotas), cum["_floe_lbl"].eqNullSafe(quotas["_floe_lbl"]))
               .where((F.col("n_test_class") > 0) & (F.col("_floe_before") <= F.col("n_test_class") - 1)
                      & (F.col("n_test_class") - 1 < F.col("_floe_before") + F.col("cnt")))
               .select(cum["_floe_lbl"].alias("_floe_tl"), F.col("_floe_b").alias("_floe_tb"),
                       (F.col("n_test_class") - 1 - F.col("_floe_before")).alias("_floe_r")))
-    cand = narrow.join(F.broadcast(target), narrow["_floe_lbl"].eqNullSafe(target["_floe_tl"])
+    cand = narrow.join(small(target), narrow["_floe_lbl"].eqNullSafe(target["_floe_tl"])
                        & (narrow["_floe_b"] == target["_floe_tb"]))
     in_bucket = Window.partitionBy("_floe_lbl").orderBy("_floe_h", "_floe_key")
     last = (cand.withColumn("_floe_rn", F.row_number().over(in_bucket) - 1)

@@ -608,3 +608,27 @@ def q_k4_report(spark, sf):
     """Teacher forest -> soft labels (T=10) -> distilled student -> report (rows only)."""
     out = pipelines.distillation_pipeline(spark, sf, temperature=10.0, alpha=0.5, teacher_kind="forest")
     return r6(out["student"])
+
+
+@query("pair_flow_report")
+def q_pair_flow(spark, sf):
+    """Pre-split pair flow: train/test CSV files, everything fitted on train.
+
+    Staged from the flow table by the exact stratified split; then S1-S3
+    reads, P4 bool text, P8 common categories, P9 all-empty columns dropped,
+    median / one-hot / label / scaler fitted on train and applied to test,
+    centroid teacher, report on test.
+    """
+    from floe.plans.preprocess import Preprocess
+    raw = fx.flows_raw(spark, sf).withColumn("label", fill_missing(na_to_null(F.col("label"))))
+    parts = stratified_split(raw, "label", "row_id", 0.3, 42)
+    base = scratch_path(spark, "flows-pair-flow")
+    S.write_csv(parts.where("split = 'train'").drop("split"), base + "/train")
+    S.write_csv(parts.where("split = 'test'").drop("split"), base + "/test")
+    train, test = S.read_pair(spark, base + "/train", base + "/test")
+    prep = Preprocess("row_id", "label", bools=["flag"], categories=["proto"], drop_empty=True).fit(train, test=test)
+    tr, te = prep.transform(train), prep.transform(test)
+    model = K.CentroidClassifier(prep.feature_names).fit(tr)
+    scored = E.with_prediction(model.transform(te, "probability"), "probability")
+    classes = prep.labels.classes
+    return r6(E.classification_report(E.confusion(scored, len(classes)), classes))

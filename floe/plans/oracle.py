@@ -19,6 +19,21 @@ def _finite(x: str) -> str:
 
 
 # ---------------------------------------------------------------- flagship
+# From lf(row_id, split, lbl, feature, v) and codes(lbl, code): scale on train,
+# class centroids on train, softmax of negative squared distance, argmax.
+_CENTROID_TAIL = """st AS (SELECT feature, avg(v) AS mu,
+              CASE WHEN stddev_pop(v) = 0 OR stddev_pop(v) IS NULL THEN 1.0 ELSE stddev_pop(v) END AS sd
+       FROM lf WHERE split = 'train' GROUP BY feature),
+z AS (SELECT lf.row_id, lf.split, codes.code AS y, lf.feature, (lf.v - st.mu) / st.sd AS v
+      FROM lf JOIN st USING (feature) JOIN codes USING (lbl)),
+cent AS (SELECT y AS k, feature, avg(v) AS mu FROM z WHERE split = 'train' GROUP BY y, feature),
+dist AS (SELECT z.row_id, z.y, cent.k, -sum((z.v - cent.mu) * (z.v - cent.mu)) AS nd
+         FROM z JOIN cent USING (feature) WHERE z.split = 'test' GROUP BY z.row_id, z.y, cent.k),
+d2 AS (SELECT *, exp(nd - max(nd) OVER (PARTITION BY row_id)) AS e FROM dist),
+prob AS (SELECT *, e / sum(e) OVER (PARTITION BY row_id) AS p FROM d2),
+pred AS (SELECT row_id, y, k AS pred, p FROM (
+           SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY p DESC, k) AS r FROM prob) WHERE r = 1)"""
+
 _LONG_FEATURES = "\n  UNION ALL ".join(
     f"SELECT row_id, split, lbl, '{n}' AS feature, coalesce({n}, (SELECT m_{n} FROM med)) AS v FROM cl"
     for n in NUM)
@@ -36,18 +51,7 @@ vocab AS (SELECT DISTINCT ls FROM cl),
 lf AS ({_LONG_FEATURES}
   UNION ALL SELECT row_id, split, lbl, 'l_linestatus=' || vocab.ls,
                    CASE WHEN cl.ls = vocab.ls THEN 1.0 ELSE 0.0 END FROM cl, vocab),
-st AS (SELECT feature, avg(v) AS mu,
-              CASE WHEN stddev_pop(v) = 0 OR stddev_pop(v) IS NULL THEN 1.0 ELSE stddev_pop(v) END AS sd
-       FROM lf WHERE split = 'train' GROUP BY feature),
-z AS (SELECT lf.row_id, lf.split, codes.code AS y, lf.feature, (lf.v - st.mu) / st.sd AS v
-      FROM lf JOIN st USING (feature) JOIN codes USING (lbl)),
-cent AS (SELECT y AS k, feature, avg(v) AS mu FROM z WHERE split = 'train' GROUP BY y, feature),
-dist AS (SELECT z.row_id, z.y, cent.k, -sum((z.v - cent.mu) * (z.v - cent.mu)) AS nd
-         FROM z JOIN cent USING (feature) WHERE z.split = 'test' GROUP BY z.row_id, z.y, cent.k),
-d2 AS (SELECT *, exp(nd - max(nd) OVER (PARTITION BY row_id)) AS e FROM dist),
-prob AS (SELECT *, e / sum(e) OVER (PARTITION BY row_id) AS p FROM d2),
-pred AS (SELECT row_id, y, k AS pred, p FROM (
-           SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY p DESC, k) AS r FROM prob) WHERE r = 1)"""
+{_CENTROID_TAIL}"""
 
 SQL["flagship_classification_report"] = f"""WITH {PREPARED},
 {report_ctes('pred', 'names')}
@@ -357,3 +361,22 @@ SELECT entity, pos, id, {r6('x')} AS x, {r6('x + (h - mu) / sqrt(va + 1e-3)')} A
 SQL["q8_batch_norm"] = f"""SELECT user_id AS entity, event_id AS id, {r6('value')} AS x,
   {r6('(value - avg(value) OVER (PARTITION BY user_id)) / sqrt(var_pop(value) OVER (PARTITION BY user_id) + 1e-3)')} AS z
 FROM events"""
+
+# ---------------------------------------------------------------- pre-split pair flow
+SQL["pair_flow_report"] = f"""WITH {FLOWS_RAW}, {FLOWS_NA},
+lab AS (SELECT *, coalesce(label, 'missing') AS lbl FROM flows_na),
+{split_ctes('sp', 'lab')},
+t AS (SELECT l.row_id, s.split, l.lbl, {num('l.value')} AS value, CAST({boolean('l.flag')} AS DOUBLE) AS flag,
+             coalesce(l.proto, 'missing') AS proto FROM lab l JOIN sp_split s USING (row_id)),
+med AS (SELECT median(value) AS mv, median(flag) AS mf FROM t WHERE split = 'train'),
+codes AS (SELECT lbl, CAST(row_number() OVER (ORDER BY lbl) - 1 AS INTEGER) AS code
+          FROM (SELECT DISTINCT lbl FROM t WHERE split = 'train')),
+names AS (SELECT code, lbl AS label FROM codes),
+vocab AS (SELECT DISTINCT proto AS v FROM t WHERE split = 'train'),
+lf AS (SELECT row_id, split, lbl, 'value' AS feature, coalesce(value, (SELECT mv FROM med)) AS v FROM t
+  UNION ALL SELECT row_id, split, lbl, 'flag', coalesce(flag, (SELECT mf FROM med)) FROM t
+  UNION ALL SELECT row_id, split, lbl, 'proto=' || vocab.v, CASE WHEN t.proto = vocab.v THEN 1.0 ELSE 0.0 END
+            FROM t, vocab),
+{_CENTROID_TAIL},
+{report_ctes('pred', 'names')}
+{report_select()}"""

@@ -219,9 +219,10 @@ class LabelEncoder:
     def fit(self, df: DataFrame) -> LabelEncoderModel:
         distinct = df.select(c(self.input_col).cast("string").alias("label")).where(
             F.col("label").isNotNull()).distinct()
-        n = distinct.count()
-        if n <= LITERAL_VOCAB_LIMIT:
-            classes = sorted(r["label"] for r in distinct.collect())
+        # one bounded collect decides between literals and a distributed mapping
+        head = distinct.limit(LITERAL_VOCAB_LIMIT + 1).collect()
+        if len(head) <= LITERAL_VOCAB_LIMIT:
+            classes = sorted(r["label"] for r in head)
             spark = df.sparkSession
             mapping = spark.createDataFrame([(v, i) for i, v in enumerate(classes)], "label string, code int")
             return LabelEncoderModel(self.input_col, self.output_col, mapping, classes, self.on_unseen)
@@ -270,13 +271,14 @@ class OneHotEncoder:
             return OneHotModel({})
         long = df.select(F.inline(F.array(*[F.struct(F.lit(n).alias("col"), c(n).cast("string").alias("v"))
                                            for n in self.cols]))).where(F.col("v").isNotNull()).distinct()
-        sizes = {r["col"]: r["n"] for r in long.groupBy("col").count().withColumnRenamed("count", "n").collect()}
-        too_big = {k: v for k, v in sizes.items() if v > self.max_categories}
-        if too_big:
-            raise ValueError(f"one-hot vocabulary larger than {self.max_categories}: {too_big}")
+        bound = self.max_categories * len(self.cols)
+        head = long.limit(bound + 1).collect()      # bounded: at most max_categories per column
         vocab = {n: [] for n in self.cols}
-        for r in long.collect():
+        for r in head:
             vocab[r["col"]].append(r["v"])
+        too_big = {k: len(v) for k, v in vocab.items() if len(v) > self.max_categories}
+        if too_big or len(head) > bound:
+            raise ValueError(f"one-hot vocabulary larger than {self.max_categories} per column: {too_big}")
         return OneHotModel({k: sorted(v) for k, v in vocab.items()})
 
 

@@ -26,6 +26,11 @@ from pyspark.sql import functions as F
 
 PID = "_floe_pid"
 
+# Stand-in values for NULL group keys (paired with an is-null flag).
+_DEFAULTS = {"string": "", "bigint": 0, "int": 0, "smallint": 0, "tinyint": 0, "double": 0.0,
+             "float": 0.0, "boolean": False, "date": "1970-01-01", "timestamp": "1970-01-01 00:00:00",
+             "timestamp_ntz": "1970-01-01 00:00:00"}
+
 
 def _partitions(df: DataFrame, num_partitions: int | None) -> int:
     if num_partitions:
@@ -59,8 +64,22 @@ def running_totals(df: DataFrame, group_cols: list[str], order_cols: list,
     values = dict(values or {})
     orders = [_as_col(o) for o in order_cols]
     tmp = {k: f"_floe_v_{i}" for i, k in enumerate(values)}
-    base = df.select("*", *[v.alias(tmp[k]) for k, v in values.items()],
+    # Group keys as (is-null flag, value-or-default) pairs: never NULL, so the
+    # equi-join with the offsets keeps NULL groups without a null-safe join
+    # (which would re-shuffle the large side).
+    types = dict(df.dtypes)
+    keys, key_cols = [], []
+    for i, g in enumerate(group_cols):
+        default = _DEFAULTS.get(types[g])
+        if default is None:
+            keys.append(g)
+            continue
+        keys += [f"_floe_gn{i}", f"_floe_gv{i}"]
+        key_cols += [F.col(g).isNull().alias(f"_floe_gn{i}"),
+                     F.coalesce(F.col(g), F.lit(default).cast(types[g])).alias(f"_floe_gv{i}")]
+    base = df.select("*", *key_cols, *[v.alias(tmp[k]) for k, v in values.items()],
                      F.lit(1).cast("long").alias("_floe_one"))
+    group_cols = keys
     if bucket is not None:
         ranged = base.withColumn(PID, bucket.cast("int"))
     else:

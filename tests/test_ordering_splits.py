@@ -73,3 +73,10 @@ def test_shuffle_and_batches(spark):
     assert sorted(p1.values()) == list(range(1000)) and p1 != p2
     b = assign_batches(df, "k", 256).groupBy("batch_id").count().orderBy("batch_id").collect()
     assert [r["count"] for r in b] == [256, 256, 256, 232]
+
+
+def test_running_totals_keep_null_groups(spark):
+    df = spark.createDataFrame([(1, None, 5), (2, None, 7), (3, "a", 1), (4, "a", 2)], "id long, g string, v long")
+    got = {r["id"]: (r["cum"], r["n"]) for r in running_totals(
+        df, ["g"], ["id"], {"cum": F.col("v")}, size_col="n", num_partitions=3).collect()}
+    assert got == {1: (5, 2), 2: (12, 2), 3: (1, 2), 4: (3, 2)}

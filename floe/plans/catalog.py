@@ -632,3 +632,9 @@ def q_pair_flow(spark, sf):
     scored = E.with_prediction(model.transform(te, "probability"), "probability")
     classes = prep.labels.classes
     return r6(E.classification_report(E.confusion(scored, len(classes)), classes))
+
+
+@query("e2_confusion_wide")
+def q_e2_wide(spark, sf):
+    """E2 wide form: one row per true class, one column per predicted class."""
+    return E.confusion_wide(E.confusion(_pb_pred(spark, sf), 3), 3)

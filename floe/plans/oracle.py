@@ -380,3 +380,10 @@ lf AS (SELECT row_id, split, lbl, 'value' AS feature, coalesce(value, (SELECT mv
 {_CENTROID_TAIL},
 {report_ctes('pred', 'names')}
 {report_select()}"""
+
+SQL["e2_confusion_wide"] = f"""WITH {PROBA_BIG},
+g AS (SELECT CAST(a.i AS INTEGER) AS y, CAST(b.i AS INTEGER) AS pred FROM range(3) a(i), range(3) b(i)),
+cc AS (SELECT y, pred, count(*) AS n FROM pb_pred GROUP BY y, pred),
+full_grid AS (SELECT g.y, g.pred, coalesce(cc.n, 0) AS n FROM g LEFT JOIN cc USING (y, pred))
+SELECT y, {', '.join(f'CAST(sum(CASE WHEN pred = {k} THEN n END) AS BIGINT) AS "{k}"' for k in range(3))}
+FROM full_grid GROUP BY y"""

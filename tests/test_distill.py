@@ -64,3 +64,12 @@ def test_centroid_and_mllib_learners(spark):
     student = K.fit_distilled_student(soft, feats, "soft", "y", 0.5, max_iter=30)
     acc_s = evaluate(student.transform(df, "p"), "p").first()["accuracy"]
     assert acc_s > 0.9
+
+
+def test_mlp_teacher_backend(spark):
+    df = _separable(spark, 300)
+    t = K.fit_teacher(df, ["f1", "f2"], "y", kind="mlp", hidden=(8,), num_classes=3)
+    scored = t.transform(df, "p")
+    sums = scored.select(F.aggregate("p", F.lit(0.0), lambda a, x: a + x).alias("s")).collect()
+    assert all(abs(r["s"] - 1) < 1e-9 for r in sums)
+    assert evaluate(scored, "p").first()["accuracy"] > 0.8

@@ -92,3 +92,48 @@ def distillation_pipeline(spark: SparkSession, sf_dir: str, temperature: float =
         out[name] = classification_report(confusion(scored, k), p.model.labels.classes)
         out[name + "_scored"] = scored
     return out
+
+
+ROW_KEY = "_floe_row"
+
+
+def _with_row_key(df: DataFrame) -> DataFrame:
+    """Explicit row key = position in the scan (partition, offset), fixed by persisting."""
+    return df.withColumn(ROW_KEY, F.monotonically_increasing_id()).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def one_file_flow(spark: SparkSession, path: str, preset_name: str, test_size: float = 0.3, seed: int = 42,
+                  split_joined_names: bool = False) -> tuple[PreprocessModel, DataFrame]:
+    """The one-file flow on a raw all-text CSV: returns (model, report).
+
+    Preset columns are dropped, text booleans mapped, categories one-hot
+    encoded; imputer, encoders fitted on all rows, scaler on train; centroid
+    teacher; classification report on the test part.
+    """
+    from floe.plans.presets import preset
+    from floe.sources.csv import read_text_csv
+    spec = preset(preset_name, split_joined_names)
+    raw = _with_row_key(read_text_csv(spark, path))
+    p = prepare_flows(raw, ROW_KEY, spec["label"], categories=spec["categories"], drop=spec["drop"],
+                      bools=spec["bools"], test_size=test_size, seed=seed)
+    teacher = CentroidClassifier(p.model.feature_names, "y").fit(p.train)
+    scored = with_prediction(teacher.transform(p.test, "probability"), "probability")
+    classes = p.model.labels.classes
+    return p.model, classification_report(confusion(scored, len(classes)), classes)
+
+
+def pair_flow(spark: SparkSession, train_path: str, test_path: str, preset_name: str,
+              split_joined_names: bool = False) -> tuple[PreprocessModel, DataFrame]:
+    """The pre-split pair flow: everything fitted on the train file, applied to the test file."""
+    from floe.plans.presets import preset
+    from floe.sources.csv import read_pair
+    spec = preset(preset_name, split_joined_names)
+    train, test = read_pair(spark, train_path, test_path)
+    train, test = _with_row_key(train), _with_row_key(test)
+    model = Preprocess(ROW_KEY, spec["label"], drop=spec["drop"], bools=spec["bools"],
+                       categories=spec["categories"], drop_empty=True).fit(train, test=test)
+    tr, te = model.transform(train), model.transform(test)
+    teacher = CentroidClassifier(model.feature_names, "y").fit(tr)
+    scored = with_prediction(teacher.transform(te, "probability"), "probability")
+    classes = model.labels.classes
+    return model, classification_report(confusion(scored, len(classes)), classes)

@@ -14,7 +14,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from floe.functions.arrays import temperature_softmax
+from floe.functions.arrays import blend, kl_divergence, sparse_cross_entropy, temperature_softmax
 from floe.functions.text import c, fill_missing
 from floe.operators.distill import CentroidClassifier, fit_distilled_student, fit_student, fit_teacher
 from floe.operators.evaluate import classification_report, confusion, with_prediction
@@ -74,7 +74,7 @@ def classification_pipeline(spark: SparkSession, sf_dir: str, test_size: float =
 
 def distillation_pipeline(spark: SparkSession, sf_dir: str, temperature: float = 10.0,
                           alpha: float = 0.5, teacher_kind: str = "forest",
-                          with_baseline: bool = False) -> dict[str, DataFrame]:
+                          with_baseline: bool = False, t2_scale: bool = True) -> dict[str, DataFrame]:
     """Teacher -> soft labels -> distilled student, with reports of both.
 
     Returns the scored test frames and reports; nothing is collected.
@@ -95,6 +95,16 @@ def distillation_pipeline(spark: SparkSession, sf_dir: str, temperature: float =
         scored = with_prediction(model.transform(p.test, "probability"), "probability")
         out[name] = classification_report(confusion(scored, k), p.model.labels.classes)
         out[name + "_scored"] = scored
+    # K7-K10 on the test rows: hard loss of the student, KL between the
+    # softened teacher and student outputs (x T^2 when t2_scale), the blend
+    both = teacher.transform(student.transform(p.test, "s_prob"), "t_prob")
+    per_row = both.select(
+        sparse_cross_entropy(F.col("s_prob"), F.col("y")).alias("hard"),
+        kl_divergence(temperature_softmax(F.col("t_prob"), temperature),
+                      temperature_softmax(F.col("s_prob"), temperature)).alias("soft"))
+    scale = temperature * temperature if t2_scale else 1.0
+    losses = per_row.agg(F.avg("hard").alias("hard"), (F.avg("soft") * scale).alias("soft"))
+    out["losses"] = losses.select("hard", "soft", blend(F.col("hard"), F.col("soft"), alpha).alias("total"))
     return out
 
 

@@ -73,3 +73,13 @@ def test_mlp_teacher_backend(spark):
     sums = scored.select(F.aggregate("p", F.lit(0.0), lambda a, x: a + x).alias("s")).collect()
     assert all(abs(r["s"] - 1) < 1e-9 for r in sums)
     assert evaluate(scored, "p").first()["accuracy"] > 0.8
+
+
+def test_distillation_pipeline_outputs(spark):
+    from floe.plans.pipelines import distillation_pipeline
+    out = distillation_pipeline(spark, "/root/testdata/sf0.001")
+    rep = {r["class"]: r for r in out["student"].collect()}
+    assert {"accuracy", "macro avg", "weighted avg"} <= set(rep)
+    loss = out["losses"].first()
+    assert loss["hard"] > 0 and loss["soft"] >= 0
+    assert abs(loss["total"] - (0.5 * loss["hard"] + 0.5 * loss["soft"])) < 1e-9

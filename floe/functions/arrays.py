@@ -180,14 +180,22 @@ def prune_step(step: Column, begin: int = 0, end: int = 1000, frequency: int = 1
     return ((step >= begin) & (step <= end) & (((step - begin) % frequency) == 0))
 
 
-def magnitude_prune(w: Column, sparsity: float = 0.5) -> Column:
+def magnitude_prune(w: Column, sparsity: float = 0.5, ties: str = "keep") -> Column:
     """Zero the smallest-magnitude share of a weight array.
 
-    Keeps k = round(n * (1 - sparsity)) weights by magnitude: every weight
-    whose |w| reaches the k-th largest magnitude survives (ties are kept).
+    Keeps k = round(n * (1 - sparsity)) weights by magnitude (round half to
+    even).  ``ties='keep'`` (the pruning library's rule): every weight whose
+    |w| reaches the k-th largest magnitude survives, so ties at the
+    threshold may keep more than k.  ``ties='position'``: exactly k survive,
+    ties broken by the earlier position.
     """
-    mags = F.sort_array(F.transform(w, lambda x: F.abs(x)), asc=False)
     k = F.bround(F.size(w) * F.lit(1.0 - float(sparsity)), 0).cast("int")
+    if ties == "position":
+        ranked = F.array_sort(F.transform(w, lambda x, i: F.struct((-F.abs(x)).alias("m"), i.alias("i"))))
+        kept = F.transform(F.slice(ranked, 1, F.greatest(k, F.lit(0))), lambda r: r["i"])
+        return let(kept, lambda keep: F.transform(
+            w, lambda x, i: F.when(F.array_contains(keep, i), x).otherwise(F.lit(0.0))))
+    mags = F.sort_array(F.transform(w, lambda x: F.abs(x)), asc=False)
     threshold = F.when(k > 0, F.element_at(mags, F.greatest(k, F.lit(1)))).cast("double")
 
     def keep(thr):

@@ -53,3 +53,11 @@ def test_prune_schedule_and_magnitude(spark):
     w = spark.createDataFrame([([0.1, -0.5, 0.3, 0.2, -0.3, 0.05],)], "w array<double>")
     pr = w.select(A.magnitude_prune(F.col("w"), 0.5)).first()[0]
     assert pr == [0.0, -0.5, 0.3, 0.0, -0.3, 0.0]   # keeps the 3 largest magnitudes (ties kept)
+
+
+def test_magnitude_prune_position_ties(spark):
+    w = spark.createDataFrame([([0.3, -0.3, 0.3, 0.1],)], "w array<double>")
+    keep = w.select(A.magnitude_prune(F.col("w"), 0.5)).first()[0]
+    pos = w.select(A.magnitude_prune(F.col("w"), 0.5, ties="position")).first()[0]
+    assert keep == [0.3, -0.3, 0.3, 0.0]          # threshold rule keeps all ties
+    assert pos == [0.3, -0.3, 0.0, 0.0]           # exactly k = 2, earlier positions first

@@ -106,8 +106,8 @@ def classification_report(conf: DataFrame, class_names: list[str] | None = None)
     return per_class.unionByName(rows)
 
 
-def accuracy(df: DataFrame, y_col: str = "y", pred_col: str = "pred") -> Column:
-    """E4 as an aggregate expression."""
+def accuracy(y_col: str = "y", pred_col: str = "pred") -> Column:
+    """E4 as an aggregate expression: avg(y == pred)."""
     return F.avg((c(y_col) == c(pred_col)).cast("double"))
 
 

@@ -511,7 +511,7 @@ def q_e3(spark, sf):
 
 @query("e4_accuracy")
 def q_e4(spark, sf):
-    return r6(_pb_pred(spark, sf).agg(E.accuracy(None, "y", "pred").alias("accuracy")))
+    return r6(_pb_pred(spark, sf).agg(E.accuracy("y", "pred").alias("accuracy")))
 
 
 @query("e5_average_rows")

@@ -44,3 +44,11 @@ def test_report_four_decimal_variant(spark):
     rep = format_report(classification_report(confusion(df, 2), ["a", "b"]), percent=False, digits=4)
     got = {r["class"]: r["precision"] for r in rep.collect()}
     assert got["a"] == "1.0000" and got["b"] == "0.5000" and got["accuracy"] == "0.6667"
+
+
+def test_transform_unlabelled_frame(spark):
+    raw = normalize_na(fx.flows_raw(spark, SF))
+    prep = Preprocess("row_id", "label", bools=["flag"], categories=["proto"], drop_empty=True).fit(raw)
+    out = prep.transform(raw.drop("label"))
+    assert out.count() == raw.count() and out.where(F.col("y").isNotNull()).count() == 0
+    assert out.columns[2:] == prep.feature_names

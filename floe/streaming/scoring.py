@@ -36,3 +36,19 @@ def running_confusion(scored: DataFrame) -> DataFrame:
     """E2 over a stream: counts per (y, pred); state is bounded by classes squared."""
     from pyspark.sql import functions as F
     return scored.groupBy("y", "pred").agg(F.count(F.lit(1)).alias("n"))
+
+
+def start_scored_sink(scored: DataFrame, path: str, checkpoint: str | None = None,
+                      available_now: bool = False):
+    """Append scored rows as parquet (file sink: exactly-once with its checkpoint).
+
+    The checkpoint defaults to a fresh folder below the session's shared
+    ``spark.checkpoint.dir``.
+    """
+    from floe.session import scratch_path
+    spark = scored.sparkSession
+    writer = (scored.writeStream.format("parquet").outputMode("append")
+              .option("checkpointLocation", checkpoint or scratch_path(spark, "stream-ckpt")))
+    if available_now:
+        writer = writer.trigger(availableNow=True)
+    return writer.start(path)

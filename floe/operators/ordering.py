@@ -46,7 +46,7 @@ def running_totals(df: DataFrame, group_cols: list[str], order_cols: list,
                    values: dict[str, Column] | None = None,
                    index_col: str | None = None, size_col: str | None = None,
                    num_partitions: int | None = None, cached: list | None = None,
-                   bucket: Column | None = None) -> DataFrame:
+                   bucket: Column | None = None, persist: bool = True) -> DataFrame:
     """Inclusive running sums of ``values`` within each group in order.
 
     ``order_cols`` must make the order unique within a group.  Adds one
@@ -60,6 +60,12 @@ def running_totals(df: DataFrame, group_cols: list[str], order_cols: list,
     a deterministic integer expression that is non-decreasing in the order
     within a group and spreads rows evenly (e.g. a prefix of a hash that is
     itself the order key): no sampling job and no cache are needed then.
+
+    ``persist=False`` skips the cache for deterministic inputs (a table scan
+    plus projections): both phases then read one reused range exchange, and
+    even a re-planned exchange samples the same bounds from the same scan.
+    Keep the default for inputs that come out of a shuffle, whose row order,
+    and hence sampled bounds, may differ between executions.
     """
     values = dict(values or {})
     orders = [_as_col(o) for o in order_cols]
@@ -89,11 +95,11 @@ def running_totals(df: DataFrame, group_cols: list[str], order_cols: list,
         # both phases still agree.
         by_range = (base.repartitionByRange(int(num_partitions), *range_keys) if num_partitions
                     else base.repartitionByRange(*range_keys))
-        ranged = (by_range
-                  .withColumn(PID, F.spark_partition_id())
-                  .persist(StorageLevel.MEMORY_AND_DISK))
-        if cached is not None:
-            cached.append(ranged)
+        ranged = by_range.withColumn(PID, F.spark_partition_id())
+        if persist:
+            ranged = ranged.persist(StorageLevel.MEMORY_AND_DISK)
+            if cached is not None:
+                cached.append(ranged)
     summed = list(tmp.values()) + ["_floe_one"]
     cell = Window.partitionBy(PID, *group_cols).orderBy(*orders).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
@@ -122,10 +128,12 @@ def running_totals(df: DataFrame, group_cols: list[str], order_cols: list,
 
 def row_index(df: DataFrame, order_cols: list, index_col: str = "idx",
               group_cols: list[str] | None = None, size_col: str | None = None,
-              num_partitions: int | None = None, cached: list | None = None) -> DataFrame:
+              num_partitions: int | None = None, cached: list | None = None,
+              persist: bool = True) -> DataFrame:
     """0-based positional index in ``order_cols`` order (per group)."""
     return running_totals(df, list(group_cols or []), order_cols, {}, index_col=index_col,
-                          size_col=size_col, num_partitions=num_partitions, cached=cached)
+                          size_col=size_col, num_partitions=num_partitions, cached=cached,
+                          persist=persist)
 
 
 def shuffle_key(row_key: Column, seed: int = 42, epoch: int = 0) -> Column:

@@ -80,3 +80,12 @@ def test_running_totals_keep_null_groups(spark):
     got = {r["id"]: (r["cum"], r["n"]) for r in running_totals(
         df, ["g"], ["id"], {"cum": F.col("v")}, size_col="n", num_partitions=3).collect()}
     assert got == {1: (5, 2), 2: (12, 2), 3: (1, 2), 4: (3, 2)}
+
+
+def test_running_totals_without_persist_on_a_scan(spark):
+    from floe.sources import fixtures as fx
+    ser = fx.series(spark, "/root/testdata/sf0.001")
+    a = {r["id"]: r["pos"] for r in running_totals(ser, ["entity"], ["ts", "id"], {}, index_col="pos").collect()}
+    b = {r["id"]: r["pos"] for r in running_totals(ser, ["entity"], ["ts", "id"], {}, index_col="pos",
+                                                   persist=False).collect()}
+    assert a == b and len(a) == ser.count()

@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from floe.functions.arrays import blend, kl_divergence, sparse_cross_entropy, temperature_softmax
 from floe.functions.text import c, fill_missing
 from floe.operators.distill import CentroidClassifier, fit_distilled_student, fit_student, fit_teacher
-from floe.operators.evaluate import classification_report, confusion, with_prediction
+from floe.operators.evaluate import classification_report, confusion, evaluate, with_prediction
+from floe.operators.ordering import tail_split
 from floe.operators.splits import stratified_split
 from floe.plans.preprocess import Preprocess, PreprocessModel
 from floe.sources import fixtures as fx
@@ -74,7 +75,8 @@ def classification_pipeline(spark: SparkSession, sf_dir: str, test_size: float =
 
 def distillation_pipeline(spark: SparkSession, sf_dir: str, temperature: float = 10.0,
                           alpha: float = 0.5, teacher_kind: str = "forest",
-                          with_baseline: bool = False, t2_scale: bool = True) -> dict[str, DataFrame]:
+                          with_baseline: bool = False, t2_scale: bool = True,
+                          validation_fraction: float = 0.1) -> dict[str, DataFrame]:
     """Teacher -> soft labels -> distilled student, with reports of both.
 
     Returns the scored test frames and reports; nothing is collected.
@@ -83,7 +85,12 @@ def distillation_pipeline(spark: SparkSession, sf_dir: str, temperature: float =
     p = prepare_flows(flows, "row_id", "l_returnflag", categories=["l_linestatus"])
     feats = p.model.feature_names
     k = len(p.model.labels.classes)
-    teacher = fit_teacher(p.train, feats, "y", kind=teacher_kind, num_classes=k, num_trees=10, max_depth=5)
+    # the teacher is fitted with a tail validation slice (last 10 % of the
+    # train rows in key order, D2) kept apart for its validation metrics
+    parts = tail_split(p.train, ["row_id"], validation_fraction)
+    fit_part = parts.where(F.col("split") == "train").drop("split")
+    val_part = parts.where(F.col("split") == "validation").drop("split")
+    teacher = fit_teacher(fit_part, feats, "y", kind=teacher_kind, num_classes=k, num_trees=10, max_depth=5)
     train_t = teacher.transform(p.train, "teacher")
     soft = train_t.withColumn("soft", temperature_softmax(F.col("teacher"), temperature))
     student = fit_distilled_student(soft, feats, "soft", "y", alpha, max_iter=50)
@@ -105,6 +112,10 @@ def distillation_pipeline(spark: SparkSession, sf_dir: str, temperature: float =
     scale = temperature * temperature if t2_scale else 1.0
     losses = per_row.agg(F.avg("hard").alias("hard"), (F.avg("soft") * scale).alias("soft"))
     out["losses"] = losses.select("hard", "soft", blend(F.col("hard"), F.col("soft"), alpha).alias("total"))
+    # K15 on the validation slice for both models
+    out["validation"] = (evaluate(teacher.transform(val_part, "p"), "p").withColumn("model", F.lit("teacher"))
+                         .unionByName(evaluate(student.transform(val_part, "p"), "p")
+                                      .withColumn("model", F.lit("student"))))
     return out
 
 

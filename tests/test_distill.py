@@ -83,3 +83,5 @@ def test_distillation_pipeline_outputs(spark):
     loss = out["losses"].first()
     assert loss["hard"] > 0 and loss["soft"] >= 0
     assert abs(loss["total"] - (0.5 * loss["hard"] + 0.5 * loss["soft"])) < 1e-9
+    val = {r["model"]: r for r in out["validation"].collect()}
+    assert set(val) == {"teacher", "student"} and all(0 <= r["accuracy"] <= 1 for r in val.values())

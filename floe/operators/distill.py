@@ -153,6 +153,13 @@ def early_stopping(history: DataFrame, run_col: str = "run", epoch_col: str = "e
     last improvement up to the stop.  The rule is sequential, so each run's
     epochs are folded in order; a run's group holds one row per epoch.
     """
+    # the monitored metric is explicit and must exist (a misspelt name would
+    # otherwise never trigger a stop)
+    for name in (run_col, epoch_col, metric_col):
+        if name not in history.columns:
+            raise ValueError(f"early_stopping: no column {name!r}; history has {history.columns}")
+    if mode not in ("min", "max"):
+        raise ValueError("mode must be 'min' or 'max'")
     sign = 1.0 if mode == "min" else -1.0
     hist = history.groupBy(c(run_col).alias("run")).agg(
         F.array_sort(F.collect_list(F.struct(c(epoch_col).cast("int").alias("e"),

@@ -85,3 +85,11 @@ def test_distillation_pipeline_outputs(spark):
     assert abs(loss["total"] - (0.5 * loss["hard"] + 0.5 * loss["soft"])) < 1e-9
     val = {r["model"]: r for r in out["validation"].collect()}
     assert set(val) == {"teacher", "student"} and all(0 <= r["accuracy"] <= 1 for r in val.values())
+
+
+def test_early_stopping_validates_metric(spark):
+    import pytest
+    df = spark.createDataFrame([(1, 1, 0.5)], "run long, epoch int, val_loss double")
+    with pytest.raises(ValueError):
+        K.early_stopping(df, metric_col="val_student_loss")
+    assert K.early_stopping(df, metric_col="val_loss").first()["best_epoch"] == 1

@@ -26,6 +26,18 @@ def let(value: Column, body) -> Column:
     return F.aggregate(F.array(F.lit(0)), value, lambda acc, _x: acc, body)
 
 
+def explode_positions(df, keep: list, arr: Column, pos: str, value: str):
+    """Rows (keep..., pos, value) for every element, like ``posexplode``.
+
+    ``posexplode`` makes Catalyst infer a ``size(arr) > 0`` filter that
+    evaluates a computed array a second time (even inside the scan's data
+    filters); the outer form plus a filter on its output yields the same rows
+    with one evaluation.
+    """
+    return (df.select(*keep, F.posexplode_outer(arr).alias(pos, value))
+            .where(F.col(pos).isNotNull()))
+
+
 def array_sum(arr: Column) -> Column:
     return F.aggregate(arr, F.lit(0.0).cast("double"), lambda acc, x: acc + x)
 

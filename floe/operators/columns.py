@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from floe.functions.arrays import explode_positions
 from floe.functions.text import bool_text, c, fill_missing, to_numeric
 
 
@@ -84,7 +85,7 @@ def as_sequence(df: DataFrame, col: str = "features", out: str = "sequence") ->
 
 def sequence_long(df: DataFrame, key: str, col: str = "features") -> DataFrame:
     """P11 long form: (key, pos, x)."""
-    return df.select(c(key), F.posexplode(c(col)).alias("pos", "x"))
+    return explode_positions(df, [c(key)], c(col), "pos", "x")
 
 
 def narrow_float(df: DataFrame, cols: list[str]) -> DataFrame:

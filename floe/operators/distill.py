@@ -17,7 +17,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from floe.functions.arrays import softmax
+from floe.functions.arrays import explode_positions, softmax
 from floe.functions.text import c
 
 
@@ -120,8 +120,8 @@ def distillation_targets(df: DataFrame, soft_col: str, label_col: str = "y", alp
                          features: list[str] | None = None) -> DataFrame:
     """K4 input: one row per (row, class) with weight alpha*[k=y] + (1-alpha)*soft_k."""
     keep = [c(f) for f in (features or [])]
-    exploded = df.select(*keep, c(label_col).alias("_floe_true"),
-                         F.posexplode(c(soft_col)).alias("_floe_k", "_floe_soft"))
+    exploded = explode_positions(df, [*keep, c(label_col).alias("_floe_true")], c(soft_col),
+                                 "_floe_k", "_floe_soft")
     w = (F.lit(float(alpha)) * (F.col("_floe_k") == F.col("_floe_true")).cast("double")
          + F.lit(1.0 - float(alpha)) * F.col("_floe_soft"))
     return exploded.select(*keep, F.col("_floe_k").cast("int").alias("target"), w.alias("weight")).where(

@@ -14,7 +14,7 @@ import time
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from floe.functions.arrays import argmax, sparse_cross_entropy
+from floe.functions.arrays import argmax, explode_positions, sparse_cross_entropy
 from floe.functions.text import c
 from floe.operators.ordering import running_totals
 
@@ -147,8 +147,8 @@ def format_report(report: DataFrame, percent: bool = True, digits: int = 2) -> D
 
 def one_vs_rest(df: DataFrame, prob_col: str, y_col: str = "y", key_col: str = "row_id") -> DataFrame:
     """(row key, class, score, is_pos) - one row per (row, class)."""
-    return df.select(c(key_col), c(y_col).alias("_floe_y"), F.posexplode(c(prob_col)).alias("class", "score")
-                     ).select(c(key_col), F.col("class").cast("int").alias("class"),
+    return explode_positions(df, [c(key_col), c(y_col).alias("_floe_y")], c(prob_col), "class", "score"
+                             ).select(c(key_col), F.col("class").cast("int").alias("class"),
                               F.col("score").cast("double").alias("score"),
                               (F.col("_floe_y") == F.col("class")).cast("int").alias("is_pos"))
 

@@ -105,7 +105,7 @@ def q_s4(spark, sf):
     y = pb.select("row_id", "y")
     soft = pb.select("row_id", A.temperature_softmax(F.col("student"), 10.0).alias("soft"))
     t = J.training_tuples(x, y, soft)
-    return r6(t.select("row_id", "y", F.posexplode("soft").alias("class", "soft"))
+    return r6(A.explode_positions(t, ["row_id", "y"], F.col("soft"), "class", "soft")
               .select("row_id", "y", F.col("class").cast("int").alias("class"), "soft"))
 
 
@@ -191,7 +191,7 @@ def q_p11(spark, sf):
     fn = fx.flows_num(spark, sf)
     arr = P.assemble_array(fn, fx.NUM_FEATURES, [], "features", ["row_id"])
     seq = P.as_sequence(arr, "features", "seq")
-    return r6(seq.select("row_id", F.posexplode("seq").alias("pos", "step"))
+    return r6(A.explode_positions(seq, ["row_id"], F.col("seq"), "pos", "step")
               .select("row_id", F.col("pos").cast("int").alias("pos"), F.size("step").alias("channels"),
                       F.col("step")[0].alias("x")))
 
@@ -200,7 +200,7 @@ def q_p11(spark, sf):
 def q_p12(spark, sf):
     pb = fx.proba_big(spark, sf)
     n = P.narrow_float(pb, ["teacher"])
-    return r6(n.select("row_id", F.posexplode("teacher").alias("class", "p"))
+    return r6(A.explode_positions(n, ["row_id"], F.col("teacher"), "class", "p")
               .select("row_id", F.col("class").cast("int").alias("class"), F.col("p").cast("double").alias("p")))
 
 
@@ -360,7 +360,7 @@ def q_k3(spark, sf):
     p = _split_frames(spark, sf)
     t = K.fit_teacher(p.train, p.model.feature_names, "y", kind="forest", num_trees=10, max_depth=5)
     scored = t.transform(p.test, "probability")
-    return r6(scored.select("row_id", F.posexplode("probability").alias("class", "p")))
+    return r6(A.explode_positions(scored, ["row_id"], F.col("probability"), "class", "p"))
 
 
 @query("k4_distilled_student")
@@ -376,7 +376,7 @@ def q_k4(spark, sf):
 
 def _pb_long(spark, sf, col, fn):
     pb = fx.proba_big(spark, sf).withColumn("v", fn(F.col(col)))
-    return r6(pb.select("row_id", F.posexplode("v").alias("class", "v"))
+    return r6(A.explode_positions(pb, ["row_id"], F.col("v"), "class", "v")
               .select("row_id", F.col("class").cast("int").alias("class"), F.col("v").alias("soft")))
 
 
@@ -431,7 +431,7 @@ def _attention(spark, sf):
 @query("k11_attention_map")
 def q_k11(spark, sf):
     at = _attention(spark, sf)
-    return r6(at.select("row_id", F.posexplode("att_t").alias("pos", "att"))
+    return r6(A.explode_positions(at, ["row_id"], F.col("att_t"), "pos", "att")
               .select("row_id", F.col("pos").cast("int").alias("pos"), "att"))
 
 
@@ -445,7 +445,7 @@ def q_k12(spark, sf):
 @query("k13_resample")
 def q_k13(spark, sf):
     at = _attention(spark, sf)
-    return r6(at.select("row_id", F.posexplode(A.resample_linear(F.col("att_s"), 16)).alias("pos", "v"))
+    return r6(A.explode_positions(at, ["row_id"], A.resample_linear(F.col("att_s"), 16), "pos", "v")
               .select("row_id", F.col("pos").cast("int").alias("pos"), "v"))
 
 

@@ -5,8 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from floe.llm import decontaminate, dedup, mixing, quality, shard, toxicity
-from floe.llm.common import table
+from floe.llm import bitplanes, chat, decontaminate, dedup, katz, mixing, mtree, quality, shard, toxicity
+from floe.llm.common import remainder, table
+
+
+#: The tokenizer's file; tokenizers come with the installation, not with this repository.
+TOKENIZER = "word_bpe_49k.json"
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(TOKENIZER)
+
+
+def op1_preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = chat.format_preferences(chat.neighbour_pairs(table(spark, sf_dir, "conversations")))
+    return made.select("pair_id", "n_prefix", "prompt", "chosen", "rejected",
+                       *[F.array_join(c, ",").alias(c) for c in ("chosen_spans", "rejected_spans")])
+
+
+def op2_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score_documents(table(spark, sf_dir, "documents"), remainder(F.col("doc_id"), 10) == 0, order=2)
+
+
+def op3_mtree_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256.0)
 
 
 def op4_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,6 +67,11 @@ def op9_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def op10_bitplane_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bitplanes.read_documents(bitplanes.write_files(table(spark, sf_dir, "documents"), tokenizer_path()))
+
+
 QUERIES = {f.__name__: f for f in (
-    op4_minimax_shards, op5_prefix_filter_decontamination, op6_factorisation_machine_quality,
-    op7_soft_membership_mixing, op8_superminhash_dedup, op9_subword_toxicity)}
+    op1_preference_formatting, op2_katz_backoff, op3_mtree_top5, op4_minimax_shards, op5_prefix_filter_decontamination, op6_factorisation_machine_quality,
+    op7_soft_membership_mixing, op8_superminhash_dedup, op9_subword_toxicity,
+    op10_bitplane_tokens)}

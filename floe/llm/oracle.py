@@ -26,4 +26,51 @@ select d.doc_id, cast(len(d.w) as bigint) n_words, cast(coalesce(n_hit, 0) as bi
 from doc d left join covered using (doc_id) left join named using (doc_id)
 """
 
-SQL = {"op5_prefix_filter_decontamination": OP5}
+OP1 = """
+with t as (select distinct conv_id, turn, role, text from conversations where conv_id is not null),
+last as (select conv_id, turn, role, text from t
+         qualify row_number() over (partition by conv_id order by turn desc, role desc, text desc) = 1),
+side as (
+  select conv_id, 'chosen' side, turn, role, text from t
+  union all select t.conv_id, 'rejected', t.turn, t.role, t.text from t join last l using (conv_id)
+            where not (t.turn = l.turn and t.role is not distinct from l.role and t.text is not distinct from l.text)
+  union all select a.conv_id, 'rejected', a.turn, b.role, b.text from last a join last b on b.conv_id = xor(a.conv_id, 1)),
+placed as (
+  select *, row_number() over (partition by conv_id, side order by turn, role, text) i,
+         '<|' || coalesce(role, 'unknown') || '|>' || chr(10) || coalesce(text, '') || '<|end|>' || chr(10) s from side),
+differ as (
+  select coalesce(a.conv_id, b.conv_id) conv_id, min(coalesce(a.i, b.i)) i
+  from (from placed where side = 'chosen') a full join (from placed where side = 'rejected') b
+    on a.conv_id = b.conv_id and a.i = b.i
+  where a.i is null or b.i is null or a.role is distinct from b.role or a.text is distinct from b.text group by 1),
+cut as (
+  select p.*, coalesce(d.i, 1000000000) d,
+         sum(length(s)) over (partition by p.conv_id, side, p.i >= coalesce(d.i, 1000000000) order by p.i) stop
+  from placed p left join differ d using (conv_id))
+select conv_id pair_id,
+  cast(count(*) filter (side = 'chosen' and i < d) as integer) n_prefix,
+  coalesce(string_agg(s, '' order by i) filter (side = 'chosen' and i < d), '') prompt,
+  coalesce(string_agg(s, '' order by i) filter (side = 'chosen' and i >= d), '') chosen,
+  coalesce(string_agg(s, '' order by i) filter (side = 'rejected' and i >= d), '') rejected,
+  coalesce(string_agg((stop - length(s) + 4 + length(role) + 1) || '-' || stop, ',' order by i)
+           filter (side = 'chosen' and i >= d and role = 'assistant'), '') chosen_spans,
+  coalesce(string_agg((stop - length(s) + 4 + length(role) + 1) || '-' || stop, ',' order by i)
+           filter (side = 'rejected' and i >= d and role = 'assistant'), '') rejected_spans
+from cut group by 1
+"""
+
+OP3 = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) e
+  from embeddings where vec_id is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (
+  select q.vec_id query_id, c.vec_id, cast(list_sum(list_transform(range(1, len(q.e) + 1),
+         lambda i: q.e[i] * c.e[i])) as bigint) score
+  from v q join v c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id and len(q.e) = len(c.e))
+select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) "rank",
+       vec_id, score
+from s qualify "rank" <= 5
+"""
+
+SQL = {"op1_preference_formatting": OP1, "op3_mtree_top5": OP3, "op5_prefix_filter_decontamination": OP5}

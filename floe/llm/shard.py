@@ -6,9 +6,10 @@ group, needs at most ``shards`` shards.  Running totals over the ordered rows ar
 written once, as a table sorted by their total.  A greedy step from position s
 under capacity C ends at the largest group end <= s + C, so checking a capacity
 needs ``shards`` look-ups in that table.  The search interval (at most one
-largest group wide) is cut into ``PROBES`` + 1 parts at once: each step of all
-probes is one aggregate over the few files whose statistics overlap the probed
-range, and only numbers reach the driver.  Finally every row gets its shard by
+largest group wide) is cut into ``PROBES`` + 1 parts at once, and all probes
+advance together.  The driver knows the table by at most ``BLOCKS`` blocks of its
+range; blocks in which a probe ends are cut finer by one aggregate over the files
+whose statistics overlap them.  Finally every row gets its shard by
 comparing its running total with the cuts, without a join.
 
 Defined results: a null text is an empty one (size 1, crc32 0); repeated rows
@@ -18,13 +19,55 @@ shards leave shards empty; without documents the result is empty.
 
 from __future__ import annotations
 
+import bisect
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from floe.llm.common import staged
 from floe.operators.ordering import running_totals
 
-PROBES = 31
+PROBES = 15
+BLOCKS = 4_096
+FINER = 64
+
+
+class Ends:
+    """Group ends, known to the driver as blocks (first end, last end, groups) that are cut finer on demand.
+
+    One aggregate makes at most ``BLOCKS`` blocks; each finer cut of a block
+    makes at most ``FINER``, and only blocks that a probe ends in are cut.
+    """
+
+    def __init__(self, ends: DataFrame, total: int):
+        self.ends = ends
+        self.blocks = self._cut([(0, total)], BLOCKS)
+
+    def _cut(self, ranges: list[tuple[int, int]], parts: int) -> list[tuple[int, int, int]]:
+        """Blocks of the ends in the ranges (low, high], each range cut into ``parts``."""
+        at, inside, part = F.col("finish"), F.lit(False), F.lit(None).cast("long")
+        for i, (low, high) in enumerate(ranges):
+            here = (at > low) & (at <= high)
+            number = F.floor((at - low - 1).cast("double") * parts / (high - low)).cast("long")
+            inside, part = inside | here, F.when(here, i * parts + number).otherwise(part)
+        rows = self.ends.filter(inside).groupBy(part.alias("b")).agg(
+            F.min("finish").alias("f"), F.max("finish").alias("l"), F.count(F.lit(1)).alias("n")).collect()
+        return sorted((r["f"], r["l"], r["n"]) for r in rows)
+
+    def last_up_to(self, aims: list[int]) -> list[int]:
+        """For each aim the largest end <= aim (0 if there is none)."""
+        while True:
+            firsts, out, open_ = [x[0] for x in self.blocks], [], set()
+            for aim in aims:
+                i = bisect.bisect_right(firsts, aim) - 1
+                first, last, n = self.blocks[i] if i >= 0 else (0, 0, 1)
+                if aim < last and n > 2:
+                    open_.add(self.blocks[i])
+                out.append(last if aim >= last else first)
+            if not open_:
+                return out
+            finer = self._cut([(first - 1, last) for first, last, _ in sorted(open_)], FINER)
+            self.blocks = sorted([x for x in self.blocks if x not in open_] + finer)
 
 
 def smallest_capacity(ends: DataFrame, shards: int) -> tuple[int, list[int]]:
@@ -32,38 +75,26 @@ def smallest_capacity(ends: DataFrame, shards: int) -> tuple[int, list[int]]:
     largest, total = ends.agg(F.max("weight"), F.max("finish")).first()
     if total is None:
         return 0, []
-    lo = max(largest, -(-total // shards))
-    hi = -(-total // shards) + largest          # greedy always fits here
-    cuts = _fill(ends, [hi], shards, total, largest)[0]
+    known = Ends(ends, total)
+    lo, hi = max(largest, -(-total // shards)), -(-total // shards) + largest     # greedy always fits in hi
     while lo < hi:
-        probes = sorted({lo + (hi - lo) * i // (PROBES + 1) for i in range(1, PROBES + 1)} | {lo})
-        probes = [c for c in probes if c < hi]
-        for c, filled in zip(probes, _fill(ends, probes, shards, total, largest)):
-            if filled:
-                hi, cuts = c, filled
-                break
-            lo = c + 1
-    return hi, cuts
+        probes = sorted({lo + (hi - lo) * i // (PROBES + 1) for i in range(PROBES + 1)})
+        fits = [c for c, cuts in zip(probes, _fill(known, probes, shards, total)) if cuts]
+        if fits:
+            hi = fits[0]
+        below = [c for c in probes if c < hi]
+        lo = below[-1] + 1 if below else hi
+    return hi, _fill(known, [hi], shards, total)[0]
 
 
-def _fill(ends: DataFrame, capacities: list[int], shards: int, total: int, largest: int) -> list[list[int] | None]:
+def _fill(known: Ends, capacities: list[int], shards: int, total: int) -> list[list[int] | None]:
     """The cuts of greedy filling under each capacity; None where ``shards`` don't suffice."""
-    cuts: list[list[int]] = [[] for _ in capacities]
+    cuts: list[list[int]] = [[0] for _ in capacities]
     for _ in range(shards):
-        aims = [(i, (c[-1] if c else 0) + capacities[i]) for i, c in enumerate(cuts)
-                if (c[-1] if c else 0) < total]
-        far = [(i, t) for i, t in aims if t < total]
-        for i, t in aims:
-            if t >= total:
-                cuts[i].append(total)
-        if not far:
-            break
-        lowest, highest = min(t for _, t in far) - largest, max(t for _, t in far)
-        found = ends.filter((F.col("finish") > lowest) & (F.col("finish") <= highest)).agg(
-            *[F.max(F.when(F.col("finish") <= t, F.col("finish"))) for _, t in far]).first()
-        for (i, _), cut in zip(far, found):
+        moving = [i for i, c in enumerate(cuts) if c[-1] < total]
+        for i, cut in zip(moving, known.last_up_to([cuts[i][-1] + capacities[i] for i in moving])):
             cuts[i].append(cut)
-    return [c if c and c[-1] == total else None for c in cuts]
+    return [c[1:] if c[-1] == total else None for c in cuts]
 
 
 def shard_documents(docs: DataFrame, shards: int = 16) -> DataFrame:

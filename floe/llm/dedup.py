@@ -11,12 +11,12 @@
    independent hashes.
 3. ``rows`` slots make a band.  Classes that share a band value meet.  A pair at
    the threshold is missed by all bands with probability (1 - t^rows)^bands:
-   1.3e-7 for 0.8 with 5 rows and 40 bands.
+   3e-6 for 0.8 and 7e-9 for 0.85 with 5 rows and 32 bands.
 4. Within a bucket no list of all pairs is made: the bucket's smallest class is
    the pivot that all others are compared with, on their whole shingle sets.
    Buckets whose members are then in one component are done.  From the others
    the pivots are retired (they have met everyone) and more pivots are drawn,
-   eight times as many each round, until no bucket holds two components.  So no
+   sixteen times as many each round, until no bucket holds two components.  So no
    link between components is lost and hot buckets end after their first round.
 5. Components by union-find in tasks and star contraction across them.
 
@@ -127,18 +127,22 @@ def _signatures(shingle: int, rows: int, bands: int):
             keys = dict(zip(some, band_keys([sets[i] for i in some], rows, bands)))
             yield pd.DataFrame({
                 "doc_id": part["doc_id"], "n": [len(s) for s in sets],
-                "digest": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
-                           for s in sets],
+                "digest": [set_digest(s) for s in sets],
                 "bands": [keys.get(i) for i in range(len(sets))]})
     return run
 
 
-def _sets(shingle: int):
+def set_digest(items: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(items.tobytes(), digest_size=16).digest() if len(items) else None
+
+
+def _sets(shingle: int, digests: bool = False):
     def run(batches):
         cache: dict = {}
         for part in batches:
             sets = [shingle_set(t, shingle, cache) for t in part["text"]]
-            yield pd.DataFrame({"id": part["id"], "items": [s.tobytes() for s in sets]})
+            out = pd.DataFrame({"id": part["doc_id"] if digests else part["id"], "items": [s.tobytes() for s in sets]})
+            yield out.assign(digest=[set_digest(s) for s in sets]) if digests else out
     return run
 
 
@@ -155,7 +159,7 @@ def _verify(percent: int):
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, rows: int = 5,
-                    bands: int = 40) -> DataFrame:
+                    bands: int = 32) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs``."""
     kind = dict(docs.dtypes)["doc_id"]
     signed = staged(docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(
@@ -166,91 +170,81 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, rows:
         F.min(F.struct("node", "n", "bands")).alias("c")).select(
             "digest", F.col("c.node").alias("id"), F.col("c.n").alias("n"), F.col("c.bands").alias("bands")),
         "classes")
-    # links inside a class, where a doc_id repeats or the class has many ids
-    links = [full.select("digest", "node").distinct().join(classes.select("digest", "id"), "digest")
-             .select(F.col("node").alias("u"), F.col("id").alias("v"))]
-    found = _class_links(docs, classes, shingle, percent, own)
-    linked = staged(links[0].union(found).filter("u <> v"), "links")
-    roots = components(linked)
-    out = signed.withColumn("node", F.when(F.col("digest").isNotNull(), own).otherwise(F.col("doc_id")))
-    out = out.select("doc_id", "n", "digest", "node").join(
-        roots.select(F.col("node").alias("_n"), "root"),
-        (F.col("node") == F.col("_n")) & F.col("digest").isNotNull(), "left")
-    comp = F.coalesce("root", "node")
-    comp = F.when(comp < NO_ID, comp)
-    kept = F.when(F.col("doc_id").isNotNull(), F.col("doc_id") == comp)
-    # rows without doc_id: of a component without ids the node that names it stays
-    kept = F.coalesce(kept, F.coalesce("root", "node") == F.col("node"), F.lit(True))
+    rows, ids, nameless = signed.agg(F.count("doc_id"), F.countDistinct("doc_id"),
+                                     F.count(F.when(F.col("doc_id").isNull() & F.col("digest").isNotNull(), 1))).first()
+    links = docs.sparkSession.createDataFrame([], "u long, v long")
+    if rows > ids:
+        # rows that share a doc_id are one document, so they tie their classes together
+        links = staged(full.select("digest", "node").distinct().join(classes.select("digest", "id"), "digest")
+                       .select(F.col("node").alias("u"), F.col("id").alias("v")).filter("u <> v"), "links")
+    roots = _class_roots(docs, classes, links, shingle, percent, own, nameless > 0, rows > ids)
+    out = signed.select("doc_id", "n", "digest").join(classes.select("digest", "id"), "digest", "left").join(
+        roots, F.col("id") == F.col("node"), "left")
+    out = out.withColumn("comp", F.coalesce("root", "id", "doc_id")).withColumn(
+        "_own", F.when(F.col("digest").isNotNull(), own))
+    # rows without doc_id: of a component without ids the one that names it stays
+    kept = F.when(F.col("doc_id").isNotNull(), F.col("doc_id") == F.col("comp")).otherwise(
+        F.coalesce(F.col("_own") == F.col("comp"), F.lit(True)))
     return out.select(F.col("doc_id").cast(kind), F.col("n").alias("n_shingles"),
-                      comp.cast(kind).alias("component_id"), kept.alias("kept"))
+                      F.when(F.col("comp") < NO_ID, F.col("comp")).cast(kind).alias("component_id"), kept.alias("kept"))
 
 
-def _class_links(docs: DataFrame, classes: DataFrame, shingle: int, percent: int, own) -> DataFrame:
-    spark = docs.sparkSession
+def _whole_sets(docs: DataFrame, chosen: DataFrame, few: bool, shingle: int, own, nameless: bool,
+                repeated: bool) -> DataFrame:
+    """(id, items) of the classes in ``chosen``, from the text of one of their documents."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    ids = chosen.select("_id")
+    named = texts.join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("_id"))
+    if not (nameless or repeated):
+        return named.select(F.col("_id").alias("id"), "text").mapInPandas(_sets(shingle), "id long, items binary")
+    # ids don't name texts here: find a class by its digest
+    wanted = named.select("doc_id", "text").union(texts.filter("doc_id is null")) if nameless else named.select(
+        "doc_id", "text")
+    found = wanted.mapInPandas(_sets(shingle, True), "id long, items binary, digest binary").select(
+        F.col("id").alias("doc_id"), "digest", "items").select(own.alias("id"), "digest", "items")
+    return found.join(chosen.select(F.col("_id"), F.col("_digest")), (F.col("id") == F.col("_id")) & (
+        F.col("digest") == F.col("_digest"))).groupBy("id").agg(F.min("items").alias("items"))
+
+
+def _class_roots(docs: DataFrame, classes: DataFrame, links: DataFrame, shingle: int, percent: int, own,
+                 nameless: bool, repeated: bool) -> DataFrame:
     exploded = classes.select(F.col("id"), F.col("n"), F.posexplode("bands").alias("band", "value"))
     shared = exploded.groupBy("band", "value").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
-    members = staged(exploded.join(shared.drop("members"), ["band", "value"])
-                     .select(F.xxhash64("band", "value").alias("bucket"), "id", "n"), "members")
-    ids = members.select("id").distinct()
-    reps = classes.join(ids, "id", "left_semi").select("digest", "id")
-    few = reps.count() <= BROADCAST_IDS
-    # texts of the classes that met another one; a class is read from its representative
-    chosen = staged(reps.select(F.col("id").alias("_id")), "chosen")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    with_id = texts.filter("doc_id is not null").join(
-        F.broadcast(chosen) if few else chosen, F.col("doc_id") == F.col("_id")).select(
-            F.col("_id").alias("id"), "text")
-    sets = with_id.mapInPandas(_sets(shingle), "id long, items binary")
-    nameless = texts.filter("doc_id is null and text is not null")
-    if not nameless.isEmpty():
-        def node_of(batches):
-            cache: dict = {}
-            for part in batches:
-                yield pd.DataFrame({"items": [shingle_set(t, shingle, cache).tobytes() for t in part["text"]]})
-
-        def digest(batches):
-            for part in batches:
-                yield pd.DataFrame({"digest": [hashlib.blake2b(x, digest_size=16).digest() for x in part["items"]],
-                                    "items": part["items"]})
-        loose = (nameless.select("text").mapInPandas(node_of, "items binary")
-                 .mapInPandas(digest, "digest binary, items binary")
-                 .select(F.lit(None).cast("long").alias("doc_id"), "digest", "items")
-                 .select(own.alias("id"), "items"))
-        sets = sets.union(loose.join(chosen, F.col("id") == F.col("_id"), "left_semi"))
-    sets = staged(sets.groupBy("id").agg(F.min("items").alias("items")) if _repeats(texts) else sets, "sets")
-    links = spark.createDataFrame([], "u long, v long")
-    comp = spark.createDataFrame([], "node long, root long")
-    rest, pivots_a_bucket = members, 1
+    rest = staged(exploded.join(shared.drop("members"), ["band", "value"])
+                  .select(F.xxhash64("band", "value").alias("bucket"), "id", "n"), "members")
+    met = rest.select("id").distinct()
+    chosen = staged(classes.join(met, "id", "left_semi").select(
+        F.col("id").alias("_id"), F.col("digest").alias("_digest")), "chosen")
+    few = chosen.count() <= BROADCAST_IDS
+    sets = staged(_whole_sets(docs, chosen, few, shingle, own, nameless, repeated), "sets")
+    comp = components(links)
+    pivots_a_bucket = 1
     while True:
         rest = rest.select("bucket", "id", "n").join(comp, F.col("id") == F.col("node"), "left").select(
             "bucket", "id", "n", F.coalesce("root", "id").alias("comp"))
+        rest = staged(rest, "labelled")
         open_ = rest.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter(
             "lo <> hi").select("bucket")
         rest = staged(rest.join(open_, "bucket"), "open")
         if rest.isEmpty():
-            return links
+            return comp
         part = F.pmod(F.xxhash64("id", "bucket"), F.lit(pivots_a_bucket))
         pivots = staged(rest.groupBy("bucket", part.alias("part")).agg(
             F.min(F.struct("id", "n", "comp")).alias("p")).select(
                 "bucket", F.col("p.id").alias("pid"), F.col("p.n").alias("pn"), F.col("p.comp").alias("pcomp")),
             "pivots")
         sizes = (100 * F.least("n", "pn") >= percent * F.greatest("n", "pn"))
-        pairs = rest.join(pivots, "bucket").filter(
-            (F.col("comp") != F.col("pcomp")) & sizes).select(
-                F.greatest("id", "pid").alias("u"), F.least("id", "pid").alias("v")).distinct()
-        pairs = staged(pairs, "pairs")
+        pairs = staged(rest.join(pivots, "bucket").filter((F.col("comp") != F.col("pcomp")) & sizes).select(
+            F.greatest("id", "pid").alias("u"), F.least("id", "pid").alias("v")).distinct(), "pairs")
         left = pairs.join(sets.select(F.col("id").alias("_a"), F.col("items").alias("x")), F.col("u") == F.col("_a"))
         both = left.join(sets.select(F.col("id").alias("_b"), F.col("items").alias("y")), F.col("v") == F.col("_b"))
         good = both.select("u", "v", "x", "y").mapInPandas(_verify(percent), "u long, v long")
-        links = staged(links.union(good), "links")
+        # what is known of the components so far, and the new links
+        links = staged(comp.filter("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v"))
+                       .union(good), "links")
         rest = rest.join(pivots.select("bucket", F.col("pid").alias("id")), ["bucket", "id"], "left_anti")
         comp = components(links)
-        pivots_a_bucket *= 8
-
-
-def _repeats(texts: DataFrame) -> bool:
-    ids = texts.filter("doc_id is not null").groupBy("doc_id").count()
-    return (not ids.filter("count > 1").isEmpty()) or not texts.filter("doc_id is null").isEmpty()
+        pivots_a_bucket *= 16
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:

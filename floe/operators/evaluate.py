@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from floe.functions.arrays import argmax, explode_positions, sparse_cross_entropy
 from floe.functions.text import c
+from floe.operators.joins import zip_by_key
 from floe.operators.ordering import running_totals
 
 
@@ -24,25 +25,40 @@ def with_prediction(df: DataFrame, prob_col: str, pred_col: str = "pred") -> Dat
     return df.withColumn(pred_col, argmax(c(prob_col)))
 
 
-def _class_grid(spark, num_classes: int) -> DataFrame:
-    """All (y, pred) pairs for k classes, built by exploding a sequence (k*k rows)."""
-    return (spark.range(num_classes).select(F.col("id").cast("int").alias("y"))
-            .select("y", F.explode(F.sequence(F.lit(0), F.lit(num_classes - 1))).alias("pred")))
+def _class_code(x: Column, name: str, num_classes: int | None) -> Column:
+    """A class code; NULL, negative or (when the count is given) too large codes fail the query."""
+    ok = x.isNotNull() & (x >= 0)
+    if num_classes is not None:
+        ok = ok & (x < num_classes)
+    return F.when(ok, x).otherwise(F.raise_error(F.concat(
+        F.lit(f"{name} is no class code: "), F.coalesce(x.cast("string"), F.lit("NULL"))))).alias(name)
 
 
-def confusion(df: DataFrame, num_classes: int, y_col: str = "y", pred_col: str = "pred") -> DataFrame:
-    """(y, pred, n) for every class pair, zero cells kept."""
+def confusion(df: DataFrame, num_classes: int | None = None, y_col: str = "y", pred_col: str = "pred") -> DataFrame:
+    """(y, pred, n) for every class pair, zero cells kept.
+
+    Without ``num_classes`` the classes are those seen in either column.  No
+    row is left out: a NULL code, or one outside 0..num_classes-1, raises.
+    """
     counts = df.groupBy(c(y_col).cast("int").alias("y"), c(pred_col).cast("int").alias("pred")).agg(
-        F.count(F.lit(1)).alias("n"))
-    grid = _class_grid(df.sparkSession, num_classes)
-    # grid and counts have at most k*k rows each
-    return (grid.join(F.broadcast(counts), ["y", "pred"], "left")
+        F.count(F.lit(1)).alias("n")).select(
+        _class_code(F.col("y"), "y", num_classes), _class_code(F.col("pred"), "pred", num_classes), "n")
+    if num_classes is None:
+        # one row holding the class codes: as many as the report has rows
+        seen = counts.select(F.explode(F.array("y", "pred")).alias("code")).agg(
+            F.sort_array(F.collect_set("code")).alias("codes"))
+    else:
+        seen = df.sparkSession.range(1).select(F.sequence(F.lit(0), F.lit(num_classes - 1)).alias("codes"))
+    grid = seen.select(F.explode("codes").alias("y"), "codes").select("y", F.explode("codes").alias("pred"))
+    return (grid.join(counts, ["y", "pred"], "full_outer")
             .select("y", "pred", F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("n")))
 
 
-def confusion_wide(conf: DataFrame, num_classes: int) -> DataFrame:
-    """E2 wide form: one row per true class, one column per predicted class."""
-    return conf.groupBy("y").pivot("pred", list(range(num_classes))).agg(F.sum("n")).orderBy("y")
+def confusion_wide(conf: DataFrame, num_classes: int | None = None) -> DataFrame:
+    """E2 wide form: one row per true class, one column per predicted class (all seen ones by default)."""
+    pivoted = conf.groupBy("y")
+    pivoted = pivoted.pivot("pred") if num_classes is None else pivoted.pivot("pred", list(range(num_classes)))
+    return pivoted.agg(F.sum("n")).orderBy("y")
 
 
 def _ratio(num: Column, den: Column) -> Column:
@@ -117,6 +133,14 @@ def evaluate(df: DataFrame, prob_col: str, y_col: str = "y") -> DataFrame:
                   F.avg((argmax(c(prob_col)) == c(y_col)).cast("double")).alias("accuracy"))
 
 
+def compare_tables(before: DataFrame, after: DataFrame, prob_col: str = "probability", y_col: str = "y",
+                   key_col: str = "row_id") -> DataFrame:
+    """E10 on two prediction tables of the same rows, matched by their unique key."""
+    left = before.select(c(key_col), c(y_col).alias("_floe_y"), c(prob_col).alias("_floe_before"))
+    right = after.select(c(key_col), c(prob_col).alias("_floe_after"))
+    return compare_models(zip_by_key(left, right, key_col), "_floe_before", "_floe_after", "_floe_y")
+
+
 def compare_models(df: DataFrame, before_col: str, after_col: str, y_col: str = "y") -> DataFrame:
     """Loss and accuracy of two models scored on the same rows."""
     b_loss = F.avg(sparse_cross_entropy(c(before_col), c(y_col)))
@@ -130,7 +154,7 @@ def compare_models(df: DataFrame, before_col: str, after_col: str, y_col: str =
 
 
 def format_report(report: DataFrame, percent: bool = True, digits: int = 2) -> DataFrame:
-    """Scores as fixed-decimal text (x100 when ``percent``), support as int.
+    """Scores as fixed-decimal text (x100 when ``percent``), support as bigint.
 
     Rounding goes through a decimal, so a value is rounded half-up at its
     shortest decimal text, never at a binary artefact.
@@ -142,7 +166,7 @@ def format_report(report: DataFrame, percent: bool = True, digits: int = 2) -> D
         return F.round(d, digits).cast(f"decimal({digits + 4},{digits})").cast("string").alias(col)
 
     return report.select("class", fmt("precision"), fmt("recall"), fmt("f1"),
-                         F.col("support").cast("int").alias("support"))
+                         F.col("support").cast("long").alias("support"))
 
 
 def one_vs_rest(df: DataFrame, prob_col: str, y_col: str = "y", key_col: str = "row_id") -> DataFrame:
@@ -225,7 +249,7 @@ def auc(ovr: DataFrame, num_partitions: int | None = None) -> DataFrame:
         F.sum(F.col("neg").cast("double") * (2 * F.col("tp") - F.col("pos")).cast("double") / 2.0).alias("a"),
         F.sum("pos").alias("P"), F.sum("neg").alias("N"))
     return area.select(F.col("class").cast("int").alias("class"),
-                       F.try_divide(F.col("a"), (F.col("P") * F.col("N")).cast("double")).alias("auc"))
+                       F.try_divide(F.col("a"), F.col("P").cast("double") * F.col("N").cast("double")).alias("auc"))
 
 
 def inference_throughput(scored: DataFrame) -> DataFrame:

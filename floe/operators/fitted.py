@@ -82,6 +82,8 @@ def exact_medians(df: DataFrame, cols: list[str], num_partitions: int | None = N
     """
     if not cols:
         return df.sparkSession.createDataFrame([], "feature string, median double")
+    # NaN is missing, on every path below
+    df = df.select(*[F.when(~F.isnan(c(n).cast("double")), c(n).cast("double")).alias(n) for n in cols])
     eps = 3.0 / accuracy
     qs = [max(0.0, 0.5 - eps), min(1.0, 0.5 + eps)]
     row = df.agg(*[F.percentile_approx(c(n).cast("double"), qs, accuracy).alias(f"q{i}")
@@ -168,16 +170,17 @@ class MedianImputer:
 # ---------------------------------------------------------- A2/A3 labels
 class LabelEncoderModel:
     def __init__(self, input_col: str, output_col: str, mapping: DataFrame,
-                 classes: list[str] | None, on_unseen: str):
+                 classes: list[str], on_unseen: str, literal: bool = True):
         self.input_col = input_col
         self.output_col = output_col
         self.mapping = mapping          # (label string, code int)
-        self.classes = classes          # sorted labels when small enough
+        self.classes = classes          # sorted labels: as many as a report has rows
+        self.literal = literal          # inlined in expressions, or joined
         self.on_unseen = on_unseen
 
     @property
     def num_classes(self) -> int:
-        return len(self.classes) if self.classes is not None else self.mapping.count()
+        return len(self.classes)
 
     def _guard(self, code: Column, label: Column) -> Column:
         if self.on_unseen == "error":
@@ -192,7 +195,7 @@ class LabelEncoderModel:
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Label -> code; unseen labels raise (or stay NULL with on_unseen='keep')."""
-        if self.classes is not None:
+        if self.literal:
             return df.withColumn(self.output_col, self.encode(c(self.input_col)))
         m = self.mapping.withColumnRenamed("label", "_floe_label").withColumnRenamed("code", "_floe_code")
         joined = df.join(m, c(self.input_col).cast("string") == F.col("_floe_label"), "left")
@@ -201,7 +204,7 @@ class LabelEncoderModel:
 
     def decode(self, df: DataFrame, code_col: str, output_col: str) -> DataFrame:
         """Code -> label text."""
-        if self.classes is not None:
+        if self.literal:
             names = F.array(*[F.lit(v) for v in self.classes])
             return df.withColumn(output_col, F.element_at(names, c(code_col) + 1))
         m = self.mapping.select(F.col("code").alias("_floe_code"), F.col("label").alias(output_col))
@@ -219,15 +222,12 @@ class LabelEncoder:
     def fit(self, df: DataFrame) -> LabelEncoderModel:
         distinct = df.select(c(self.input_col).cast("string").alias("label")).where(
             F.col("label").isNotNull()).distinct()
-        # one bounded collect decides between literals and a distributed mapping
-        head = distinct.limit(LITERAL_VOCAB_LIMIT + 1).collect()
-        if len(head) <= LITERAL_VOCAB_LIMIT:
-            classes = sorted(r["label"] for r in head)
-            spark = df.sparkSession
-            mapping = spark.createDataFrame([(v, i) for i, v in enumerate(classes)], "label string, code int")
-            return LabelEncoderModel(self.input_col, self.output_col, mapping, classes, self.on_unseen)
-        mapping = row_index(distinct, ["label"], "code").select("label", F.col("code").cast("int"))
-        return LabelEncoderModel(self.input_col, self.output_col, mapping, None, self.on_unseen)
+        # The classes are what a report lists, so the driver holds them at any size;
+        # a large vocabulary is only applied differently, by a join instead of literals.
+        classes = sorted(r["label"] for r in distinct.collect())
+        mapping = df.sparkSession.createDataFrame([(v, i) for i, v in enumerate(classes)], "label string, code int")
+        return LabelEncoderModel(self.input_col, self.output_col, mapping, classes, self.on_unseen,
+                                 len(classes) <= LITERAL_VOCAB_LIMIT)
 
 
 def label_codes(df: DataFrame, label_col: str) -> DataFrame:

@@ -26,7 +26,9 @@ def quotas_from_counts(counts: DataFrame, label_col: str, test_size: float = 0.3
     n_test = F.ceil(F.col("_floe_n") * F.lit(float(test_size))).cast("long")
     n_train = (F.col("_floe_n") - n_test).cast(BIG)
     prod = F.col("n_class").cast(BIG) * n_train
-    staged = with_n.select("*", (prod / F.col("_floe_n").cast(BIG)).cast("long").alias("_floe_floor"),
+    staged = with_n.select("*", # the division leaves no remainder, so its rounding can't reach the integer part
+                           ((prod - F.pmod(prod, F.col("_floe_n").cast(BIG))) / F.col("_floe_n").cast(BIG)
+                            ).cast("long").alias("_floe_floor"),
                            F.pmod(prod, F.col("_floe_n").cast(BIG)).alias("_floe_rem"),
                            (F.col("_floe_n") - n_test).alias("_floe_train_total"))
     need = F.col("_floe_train_total") - F.sum("_floe_floor").over(everything)

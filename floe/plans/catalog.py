@@ -112,7 +112,7 @@ def q_s4(spark, sf):
 @query("s5_report_sink")
 def q_s5(spark, sf):
     pb = E.with_prediction(fx.proba_big(spark, sf), "teacher")
-    rep = E.classification_report(E.confusion(pb, 3), _classes(spark, sf))
+    rep = E.classification_report(E.confusion(pb), _classes(spark, sf))
     path = S.write_report(rep, scratch_path(spark, "report"))
     return r6(spark.read.parquet(path))
 
@@ -303,7 +303,7 @@ def q_d1(spark, sf):
 
 @query("d2_tail_validation")
 def q_d2(spark, sf):
-    return D.tail_split(fx.flows_num(spark, sf), ["row_id"], 0.1).select("row_id", "split")
+    return D.tail_split(fx.lineitem_order(spark, sf), fx.LINEITEM_ORDER, 0.1).select("row_id", "split")
 
 
 @query("d3_stratified_sample")
@@ -324,7 +324,7 @@ def q_d5(spark, sf):
 
 @query("d6_row_index")
 def q_d6(spark, sf):
-    return D.row_index(fx.flows_num(spark, sf).select("row_id"), ["row_id"], "idx")
+    return D.row_index(fx.lineitem_order(spark, sf), fx.LINEITEM_ORDER, "idx").select("row_id", "idx")
 
 
 # ------------------------------------------------------------------ K
@@ -358,9 +358,19 @@ def q_k2(spark, sf):
 @query("k3_batch_scoring")
 def q_k3(spark, sf):
     p = _split_frames(spark, sf)
-    t = K.fit_teacher(p.train, p.model.feature_names, "y", kind="forest", num_trees=10, max_depth=5)
-    scored = t.transform(p.test, "probability")
-    return r6(A.explode_positions(scored, ["row_id"], F.col("probability"), "class", "p"))
+    model = K.CentroidClassifier(p.model.feature_names).fit(p.train)
+    scored = model.transform(p.test, "probability")
+    return r6(A.explode_positions(scored, ["row_id"], F.col("probability"), "class", "p").select(
+        "row_id", F.col("class").cast("int").alias("class"), "p"))
+
+
+@query("k4_distillation_targets")
+def q_k4_targets(spark, sf):
+    """Blended targets (row, class, weight) from the centroid teacher at temperature 10."""
+    p = _split_frames(spark, sf)
+    model = K.CentroidClassifier(p.model.feature_names).fit(p.train)
+    soft = model.transform(p.train, "teacher").withColumn("soft", A.temperature_softmax(F.col("teacher"), 10.0))
+    return r6(K.distillation_targets(soft, "soft", "y", 0.5, ["row_id"]))
 
 
 @query("k4_distilled_student")
@@ -500,12 +510,12 @@ def q_e1(spark, sf):
 
 @query("e2_confusion")
 def q_e2(spark, sf):
-    return E.confusion(_pb_pred(spark, sf), 3)
+    return E.confusion(_pb_pred(spark, sf))
 
 
 @query("e3_per_class_report")
 def q_e3(spark, sf):
-    rep = E.classification_report(E.confusion(_pb_pred(spark, sf), 3), _classes(spark, sf))
+    rep = E.classification_report(E.confusion(_pb_pred(spark, sf)), _classes(spark, sf))
     return r6(rep.where(~F.col("class").isin("accuracy", "macro avg", "weighted avg")))
 
 
@@ -516,16 +526,38 @@ def q_e4(spark, sf):
 
 @query("e5_average_rows")
 def q_e5(spark, sf):
-    rep = E.classification_report(E.confusion(_pb_pred(spark, sf), 3), _classes(spark, sf))
+    rep = E.classification_report(E.confusion(_pb_pred(spark, sf)), _classes(spark, sf))
     return r6(rep.where(F.col("class").isin("macro avg", "weighted avg")))
 
 
 @query("e6_formatted_report")
 def q_e6(spark, sf):
-    rep = E.classification_report(E.confusion(_pb_pred(spark, sf), 3), _classes(spark, sf))
+    rep = E.classification_report(E.confusion(_pb_pred(spark, sf)), _classes(spark, sf))
     return E.format_report(rep)
 
 
+@query("e6_report_four_decimals")
+def q_e6_four(spark, sf):
+    rep = E.classification_report(E.confusion(_pb_pred(spark, sf)), _classes(spark, sf))
+    return E.format_report(rep, percent=False, digits=4)
+
+
+def _class_ovr(spark, sf):
+    """One-vs-rest rows of the probability matrix; scores rounded so that ties are the same everywhere."""
+    ovr = E.one_vs_rest(fx.proba_big(spark, sf), "teacher")
+    return r6(ovr.select("class", "score", "is_pos"))
+
+
+@query("e8_roc_curve_per_class")
+def q_e8_class(spark, sf):
+    return r6(E.roc_curve(_class_ovr(spark, sf)))
+
+
+@query("e9_auc_per_class")
+def q_e9_class(spark, sf):
+    return r6(E.auc(_class_ovr(spark, sf)))
+
+
 @query("e7_one_vs_rest")
 def q_e7(spark, sf):
     return r6(E.one_vs_rest(fx.proba_big(spark, sf), "teacher"))
@@ -549,13 +581,16 @@ def q_e9(spark, sf):
 
 @query("e10_compare_models")
 def q_e10(spark, sf):
-    return r6(E.compare_models(fx.proba_big(spark, sf), "student", "teacher"))
+    pb = fx.proba_big(spark, sf)
+    before = pb.select("row_id", "y", F.col("student").alias("probability"))
+    return r6(E.compare_tables(before, pb.select("row_id", "y", F.col("teacher").alias("probability"))))
 
 
 @query("e11_inference_throughput")
 def q_e11(spark, sf):
     pb = fx.proba_big(spark, sf)
-    return E.inference_throughput(E.with_prediction(pb, "teacher")).select("rows")
+    timed = E.inference_throughput(E.with_prediction(pb, "teacher"))
+    return timed.select("rows", (F.col("seconds") > 0).alias("timed"), (F.col("ms_per_row") > 0).alias("per_row"))
 
 
 # ------------------------------------------------------------------ Q
@@ -637,4 +672,4 @@ def q_pair_flow(spark, sf):
 @query("e2_confusion_wide")
 def q_e2_wide(spark, sf):
     """E2 wide form: one row per true class, one column per predicted class."""
-    return E.confusion_wide(E.confusion(_pb_pred(spark, sf), 3), 3)
+    return E.confusion_wide(E.confusion(_pb_pred(spark, sf)))

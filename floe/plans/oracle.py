@@ -6,7 +6,7 @@ a run have no oracle; they get a rows-only check.
 
 from __future__ import annotations
 
-from floe.plans.sqlparts import (FLOWS_NA, FLOWS_NUM, FLOWS_RAW, PROBA, PROBA_BIG, boolean, num,
+from floe.plans.sqlparts import (LINEITEM_KEY, FLOWS_NA, FLOWS_NUM, FLOWS_RAW, PROBA, PROBA_BIG, boolean, num,
                                  positions_cte, r6, report_ctes, report_select, roc_ctes, split_ctes)
 
 SQL: dict[str, str] = {}
@@ -57,6 +57,17 @@ SQL["flagship_classification_report"] = f"""WITH {PREPARED},
 {report_ctes('pred', 'names')}
 {report_select()}"""
 
+SQL["k3_batch_scoring"] = f"""WITH {PREPARED}
+SELECT row_id, CAST(k AS INTEGER) AS class, {r6('p')} AS p FROM prob"""
+# soft targets of the train rows: the centroid softmax once more at temperature 10, blended with the true class
+SQL["k4_distillation_targets"] = f"""WITH {PREPARED},
+td AS (SELECT z.row_id, z.y, cent.k, -sum((z.v - cent.mu) * (z.v - cent.mu)) AS nd
+       FROM z JOIN cent USING (feature) WHERE z.split = 'train' GROUP BY z.row_id, z.y, cent.k),
+te AS (SELECT *, exp(nd - max(nd) OVER (PARTITION BY row_id)) AS e FROM td),
+tp AS (SELECT *, e / sum(e) OVER (PARTITION BY row_id) AS p FROM te),
+ts AS (SELECT *, exp(p / 10.0 - max(p / 10.0) OVER (PARTITION BY row_id)) AS s FROM tp)
+SELECT row_id, CAST(k AS INTEGER) AS target,
+       {r6("0.5 * CASE WHEN k = y THEN 1.0 ELSE 0.0 END + 0.5 * s / sum(s) OVER (PARTITION BY row_id)")} AS weight FROM ts"""
 SQL["k1_teacher_centroid"] = f"""WITH {PREPARED}
 SELECT row_id, y, CAST(pred AS INTEGER) AS pred, {r6('p')} AS p_pred FROM pred"""
 
@@ -169,8 +180,11 @@ SQL["d1_stratified_split"] = f"""WITH {FLOWS_NUM},
 src AS (SELECT row_id, l_returnflag AS lbl FROM flows_num),
 {split_ctes('d', 'src')}
 SELECT row_id, split FROM d_split"""
-SQL["d2_tail_validation"] = f"""WITH {FLOWS_NUM},
-ix AS (SELECT row_id, row_number() OVER (ORDER BY row_id) - 1 AS i, count(*) OVER () AS n FROM flows_num)
+_LI_ORDER = f"""WITH li AS (SELECT {LINEITEM_KEY} AS row_id, row_number() OVER (
+  ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(round(l_extendedprice * 100) AS BIGINT)) - 1 AS i,
+  count(*) OVER () AS n FROM lineitem)"""
+SQL["d2_tail_validation"] = f"""{_LI_ORDER},
+ix AS (SELECT row_id, i, n FROM li)
 SELECT row_id, CASE WHEN i < floor(n * (1.0 - 0.1)) THEN 'train' ELSE 'validation' END AS split FROM ix"""
 SQL["d3_stratified_sample"] = f"""WITH {FLOWS_NUM},
 src AS (SELECT row_id, l_returnflag AS lbl FROM flows_num),
@@ -181,7 +195,7 @@ SELECT row_id, row_number() OVER (ORDER BY md5('42:1:' || row_id), row_id) - 1 A
 SQL["d5_batches"] = f"""WITH {FLOWS_NUM}
 SELECT row_id, CAST(floor((row_number() OVER (ORDER BY md5('42:0:' || row_id), row_id) - 1) / 256) AS BIGINT) AS batch_id
 FROM flows_num"""
-SQL["d6_row_index"] = f"""WITH {FLOWS_NUM} SELECT row_id, row_number() OVER (ORDER BY row_id) - 1 AS idx FROM flows_num"""
+SQL["d6_row_index"] = f"""{_LI_ORDER} SELECT row_id, i AS idx FROM li"""
 
 # ---------------------------------------------------------------- K
 _SOFT = "exp({x} / 10.0 - max({x} / 10.0) OVER (PARTITION BY row_id))"
@@ -293,7 +307,16 @@ def _fmt(x: str) -> str:
 
 SQL["e6_formatted_report"] = f"""{_PB_REPORT}
 SELECT class, {_fmt('precision')} AS precision, {_fmt('recall')} AS recall, {_fmt('f1')} AS f1,
-       CAST(support AS INTEGER) AS support FROM report"""
+       CAST(support AS BIGINT) AS support FROM report"""
+
+
+def _fmt4(x: str) -> str:
+    return f"CAST(CAST(round(CAST({x} AS DECIMAL(24,10)), 4) AS DECIMAL(8,4)) AS VARCHAR)"
+
+
+SQL["e6_report_four_decimals"] = f"""{_PB_REPORT}
+SELECT class, {_fmt4('precision')} AS precision, {_fmt4('recall')} AS recall, {_fmt4('f1')} AS f1,
+       CAST(support AS BIGINT) AS support FROM report"""
 SQL["e7_one_vs_rest"] = f"""WITH {PROBA_BIG}
 SELECT row_id, CAST(class AS INTEGER) AS class, {r6('t')} AS score, CAST(y = class AS INTEGER) AS is_pos FROM pb_long"""
 _OVR = f"""WITH sc AS (SELECT l_returnflag AS lbl, round(l_extendedprice, 0) AS score FROM lineitem),
@@ -301,7 +324,7 @@ codes AS (SELECT lbl, CAST(row_number() OVER (ORDER BY lbl) - 1 AS INTEGER) AS c
 ovr AS (SELECT k.code AS class, sc.score, CAST(c2.code = k.code AS INTEGER) AS is_pos
         FROM sc JOIN codes c2 USING (lbl), codes k),
 {roc_ctes('ovr')}"""
-SQL["e8_roc_curve"] = f"""{_OVR},
+_ROC = f""",
 nb AS (SELECT *, lag(tp) OVER w AS tp_prev, lag(fp) OVER w AS fp_prev, lead(tp) OVER w AS tp_next,
               lead(fp) OVER w AS fp_next FROM cum WINDOW w AS (PARTITION BY class ORDER BY score DESC)),
 kept AS (SELECT class, score, tp, fp FROM nb
@@ -310,10 +333,15 @@ kept AS (SELECT class, score, tp, fp FROM nb
 SELECT CAST(class AS INTEGER) AS class, {r6('score')} AS threshold,
        {r6('CAST(fp AS DOUBLE) / CAST(N AS DOUBLE)')} AS fpr, {r6('CAST(tp AS DOUBLE) / CAST(P AS DOUBLE)')} AS tpr
 FROM kept JOIN tot USING (class)"""
-SQL["e9_auc"] = f"""{_OVR}
+_AUC = f"""
 SELECT CAST(class AS INTEGER) AS class,
        {r6('sum(CAST(neg AS DOUBLE) * CAST(2 * tp - pos AS DOUBLE) / 2.0) / CAST(sum(pos) * sum(neg) AS DOUBLE)')} AS auc
 FROM cum GROUP BY class"""
+_OVR_CLASS = f"""WITH {PROBA_BIG},
+ovr AS (SELECT class, {r6('t')} AS score, CAST(y = class AS INTEGER) AS is_pos FROM pb_long),
+{roc_ctes('ovr')}"""
+SQL["e8_roc_curve"], SQL["e9_auc"] = _OVR + _ROC, _OVR + _AUC
+SQL["e8_roc_curve_per_class"], SQL["e9_auc_per_class"] = _OVR_CLASS + _ROC, _OVR_CLASS + _AUC
 SQL["e10_compare_models"] = f"""WITH {PROBA_BIG},
 m AS (SELECT
   avg(-ln(greatest(least(CASE y WHEN 0 THEN s0 WHEN 1 THEN s1 ELSE s2 END, 1 - 1e-7), 1e-7))) AS loss_before,
@@ -324,7 +352,7 @@ m AS (SELECT
 SELECT {r6('loss_before')} AS loss_before, {r6('acc_before')} AS acc_before, {r6('loss_after')} AS loss_after,
        {r6('acc_after')} AS acc_after, {r6('loss_after - loss_before')} AS loss_delta,
        {r6('acc_after - acc_before')} AS acc_delta FROM m"""
-SQL["e11_inference_throughput"] = "SELECT CAST(count(*) AS BIGINT) AS rows FROM lineitem"
+SQL["e11_inference_throughput"] = "SELECT CAST(count(*) AS BIGINT) AS rows, true AS timed, true AS per_row FROM lineitem"
 
 # ---------------------------------------------------------------- Q
 _SER = f"WITH {positions_cte('ser')}"

@@ -18,7 +18,7 @@ from floe.functions.arrays import blend, kl_divergence, sparse_cross_entropy, te
 from floe.functions.text import c, fill_missing
 from floe.operators.distill import CentroidClassifier, fit_distilled_student, fit_student, fit_teacher
 from floe.operators.evaluate import classification_report, confusion, evaluate, with_prediction
-from floe.operators.ordering import tail_split
+from floe.operators.ordering import row_index, tail_split
 from floe.operators.splits import stratified_split
 from floe.plans.preprocess import Preprocess, PreprocessModel
 from floe.sources import fixtures as fx
@@ -123,8 +123,18 @@ ROW_KEY = "_floe_row"
 
 
 def _with_row_key(df: DataFrame) -> DataFrame:
-    """Explicit row key = position in the scan (partition, offset), fixed by persisting."""
-    return df.withColumn(ROW_KEY, F.monotonically_increasing_id()).persist(StorageLevel.MEMORY_AND_DISK)
+    """Row key = hash of all columns and an occurrence number among identical rows.
+
+    It depends on the rows only, not on how the files were cut into scan
+    partitions: identical rows are interchangeable, so it doesn't matter which
+    of them gets which number.  Numbering is two-phase, a hot row is spread.
+    """
+    marked = [F.coalesce(F.concat(F.lit("+"), c(n)), F.lit("-")) for n in df.columns]
+    hashed = df.withColumn("_floe_rowhash", F.md5(F.to_json(F.array(*marked)))).withColumn(
+        "_floe_at", F.monotonically_increasing_id())
+    numbered = row_index(hashed, ["_floe_at"], "_floe_nth", group_cols=["_floe_rowhash"])
+    return numbered.withColumn(ROW_KEY, F.concat_ws("-", "_floe_rowhash", "_floe_nth")).drop(
+        "_floe_rowhash", "_floe_at", "_floe_nth")
 
 
 def one_file_flow(spark: SparkSession, path: str, preset_name: str, test_size: float = 0.3, seed: int = 42,

@@ -36,13 +36,15 @@ def shared_dir(spark: SparkSession) -> str:
     """The cluster-wide folder named by ``spark.checkpoint.dir``.
 
     On a cluster the setting names shared storage and is used as is.  Only
-    when it is unset (local tests) a private folder is created and
-    registered, so ``DataFrame.checkpoint()`` works everywhere.
+    when it is unset and the master is local (tests) a private folder is created and
+    registered; elsewhere that is an error, so ``DataFrame.checkpoint()`` works everywhere.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
         current = spark.sparkContext.getCheckpointDir()
     if not current:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         current = tempfile.mkdtemp(prefix="floe-ckpt-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(current)

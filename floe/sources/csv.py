@@ -11,9 +11,13 @@ from pyspark.sql.types import StringType, StructField, StructType
 from floe.functions.text import NA_TOKENS, c, na_to_null
 
 
+# Quotes inside a quoted field are doubled, as in RFC 4180.
+CSV_TEXT = {"header": "true", "quote": '"', "escape": '"'}
+
+
 def header_columns(spark: SparkSession, path: str) -> list[str]:
     """Column names from the header line (one small read of the first line)."""
-    first = spark.read.option("header", "true").option("inferSchema", "false").csv(path)
+    first = spark.read.options(**CSV_TEXT).option("inferSchema", "false").csv(path)
     return first.columns
 
 
@@ -26,7 +30,8 @@ def read_text_csv(spark: SparkSession, path: str, columns: list[str] | None = No
     """
     names = columns or header_columns(spark, path)
     schema = StructType([StructField(n, StringType(), True) for n in names])
-    raw = (spark.read.option("header", "true").option("mode", "PERMISSIVE")
+    # enforceSchema=false: a file whose header differs in names or order is refused
+    raw = (spark.read.options(**CSV_TEXT).option("mode", "PERMISSIVE").option("enforceSchema", "false")
            .option("multiLine", "false").schema(schema).csv(path))
     return normalize_na(raw, na_tokens)
 
@@ -66,7 +71,7 @@ def align_columns(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def write_csv(df: DataFrame, path: str) -> str:
     """Write a table as header CSV (used to stage all-text inputs)."""
-    df.write.mode("overwrite").option("header", "true").csv(path)
+    df.write.mode("overwrite").options(**CSV_TEXT).csv(path)
     return path
 
 

@@ -44,6 +44,17 @@ def lineitem_key():
                        F.round(F.col("l_extendedprice") * 100).cast("bigint").cast("string"))
 
 
+# The natural order of lineitem rows: numeric columns, unique together.
+LINEITEM_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "price_cents"]
+
+
+def lineitem_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Row key and order columns of ``lineitem``."""
+    li = read_table(spark, sf_dir, "lineitem")
+    cents = F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("price_cents")
+    return li.select(lineitem_key().alias("row_id"), *LINEITEM_ORDER[:-1], cents)
+
+
 NUM_FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 

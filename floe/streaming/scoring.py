@@ -13,14 +13,14 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from floe.operators.evaluate import with_prediction
 from floe.plans.preprocess import PreprocessModel
-from floe.sources.csv import normalize_na
+from floe.sources.csv import CSV_TEXT, normalize_na
 
 
 def read_flow_stream(spark: SparkSession, path: str, columns: list[str],
                      max_files_per_trigger: int | None = None) -> DataFrame:
     """S1/S2 on a directory that receives CSV files: all-text schema, tokens -> NULL."""
     schema = StructType([StructField(n, StringType(), True) for n in columns])
-    reader = spark.readStream.option("header", "true").schema(schema)
+    reader = spark.readStream.options(**CSV_TEXT).schema(schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     return normalize_na(reader.csv(path))

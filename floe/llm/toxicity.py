@@ -31,7 +31,7 @@ from floe.llm.common import labelled_sample, remainder, worker_cache
 BUCKETS = 1 << 18
 DIM = 12
 WINDOW = 4
-MAX_TRAIN_ROWS = 6_000
+MAX_TRAIN_ROWS = 5_000
 CACHE_WORDS = 1_000_000
 NGRAMS = (3, 4, 5)
 MIN_DOCS = 5
@@ -42,7 +42,7 @@ def subwords(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(bucket ids, index of the word each belongs to), for all n-grams and whole words."""
     lengths = np.array([len(w) + 2 for w in words], np.int64)
     flat = np.frombuffer(b"".join(b"<" + w + b">" for w in words), np.uint8).astype(np.uint64)
-    of = np.repeat(np.arange(len(words)), lengths)
+    of = np.repeat(np.arange(len(words), dtype=np.int32), lengths)
     prime = np.uint64(1099511628211)
     ids, owners = [], []
     rolling = np.full(len(flat), 14695981039346656037, np.uint64)
@@ -55,11 +55,11 @@ def subwords(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
             inside = of[:m] == of[n - 1:]
             mixed = rolling[inside]
             mixed ^= mixed >> np.uint64(29)
-            ids.append((mixed % np.uint64(BUCKETS)).astype(np.int64))
+            ids.append((mixed % np.uint64(BUCKETS)).astype(np.int32))
             owners.append(of[:m][inside])
-    whole = np.array([hash_bytes(w) for w in words], np.int64)
+    whole = np.array([hash_bytes(w) for w in words], np.int32)
     ids.append(whole)
-    owners.append(np.arange(len(words)))
+    owners.append(np.arange(len(words), dtype=np.int32))
     return np.concatenate(ids), np.concatenate(owners)
 
 
@@ -107,7 +107,7 @@ class SubwordModel:
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
-def fit_subwords(rows: list[tuple], steps: int = 30, rate: float = 0.1, seed: int = 11) -> SubwordModel:
+def fit_subwords(rows: list[tuple], steps: int = 40, rate: float = 0.1, seed: int = 11) -> SubwordModel:
     """Adam on the logistic loss over all rows (label, text) at once.
 
     A bucket takes part if its words occur in ``MIN_DOCS`` documents or more;
@@ -116,25 +116,33 @@ def fit_subwords(rows: list[tuple], steps: int = 30, rate: float = 0.1, seed: in
     """
     if not rows:
         return SubwordModel(np.zeros(BUCKETS), 0.0, True)
-    rng = np.random.default_rng(seed)
+    rng, rows = np.random.default_rng(seed), list(rows)
     y = np.array([r[0] for r in rows], float)
     vocab: dict[bytes, int] = {}
     docs = []
-    for _, text in rows:
-        words = (text or "").encode("utf-8", "replace").lower().split()
+    while rows:                    # texts are let go as they are read, for the driver's memory
+        words = (rows.pop(0)[1] or "").encode("utf-8", "replace").lower().split()
         docs.append(np.fromiter((vocab.setdefault(w, len(vocab)) for w in words), np.int32, len(words)))
     share = np.clip(y.mean(), 0.01, 0.99)
     prior = float(np.log(share / (1 - share)))
     if not vocab:
         return SubwordModel(np.zeros(BUCKETS), prior)
     names = list(vocab)
-    sub_ids, sub_of = subwords(names)
-    per_word = np.bincount(sub_of, minlength=len(names))
+    # bucket ids word after word, made in slices of the vocabulary
+    found, per_word = [], []
+    for at in range(0, len(names), 50_000):
+        part = names[at:at + 50_000]
+        ids, of = subwords(part)
+        found.append(ids[np.argsort(of, kind="stable")])
+        per_word.append(np.bincount(of, minlength=len(part)))
+    sub_ids, per_word = np.concatenate(found).astype(np.int64), np.concatenate(per_word)
+    first_sub = np.concatenate([[0], np.cumsum(per_word)[:-1]])
+    del found
     counts = []
     for label in (0, 1):
         seen = [np.unique(d) for d, t in zip(docs, y) if t == label] or [np.zeros(0, np.int32)]
         df = np.bincount(np.concatenate(seen), minlength=len(names))
-        counts.append(np.bincount(sub_ids, df[sub_of], BUCKETS))
+        counts.append(np.bincount(sub_ids, np.repeat(df, per_word), BUCKETS))
     active = counts[0] + counts[1] >= MIN_DOCS
     odds = np.log((counts[1] + 1) / (y.sum() + 2)) - np.log((counts[0] + 1) / (len(y) - y.sum() + 2))
     odds -= np.median(odds[active]) if active.any() else 0.0
@@ -158,7 +166,7 @@ def fit_subwords(rows: list[tuple], steps: int = 30, rate: float = 0.1, seed: in
 
     for t in range(1, steps + 1):
         by_bucket = table @ out
-        word = np.bincount(sub_of, by_bucket[sub_ids], len(per_word)) / per_word
+        word = np.add.reduceat(by_bucket[sub_ids], first_sub) / per_word
         total = np.concatenate([[0.0], np.cumsum(word[flat])])
         logits = (total[e] - total[s]) / width
         best = np.maximum.reduceat(logits, first)
@@ -168,7 +176,7 @@ def fit_subwords(rows: list[tuple], steps: int = 30, rate: float = 0.1, seed: in
         err *= np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
         edge = np.bincount(s[at], err / width[at], len(flat) + 1) - np.bincount(e[at], err / width[at], len(flat) + 1)
         grad_word = np.bincount(flat, np.cumsum(edge)[:len(flat)], len(per_word)) / per_word
-        by_slot = np.bincount(sub_ids, grad_word[sub_of], BUCKETS) * active
+        by_slot = np.bincount(sub_ids, np.repeat(grad_word, per_word), BUCKETS) * active
         d_out = by_slot @ table
         table = step(table, by_slot[:, None] * out, moments[0], t)
         out = step(out, d_out, moments[1], t)

@@ -151,5 +151,4 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataF
     bad = staged(contamination(docs, benchmark, **options).filter("n_hit > 0").select(
         F.col("doc_id").alias("_d"), F.col("h").alias("_h")), "contaminated")
     bad = F.broadcast(bad) if bad.count() <= BROADCAST_ROWS else bad
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_d"))
-                     & (F.xxhash64("text") == F.col("_h")), "left_anti")
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_d"]) & (F.xxhash64(docs["text"]) == bad["_h"]), "left_anti")

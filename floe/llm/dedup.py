@@ -252,7 +252,8 @@ def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     found = near_duplicates(docs.select("doc_id", "text"), **options)
     kept = staged(found.filter("kept").select(F.col("doc_id").alias("_kept")), "kept")
     ids = kept.filter("_kept is not null")
-    out = docs.join(ids.distinct(), F.col("doc_id") == F.col("_kept"), "left_semi")
+    own = ids.distinct()
+    out = docs.join(own, docs["doc_id"] == own["_kept"], "left_semi")
     if ids.count() != ids.distinct().count():
         out = out.dropDuplicates(["doc_id"])
     nameless = docs.filter("doc_id is null")

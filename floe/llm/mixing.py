@@ -24,6 +24,7 @@ refused; without documents the result is empty.  Repeated rows get equal rates.
 
 from __future__ import annotations
 
+import uuid
 import zlib
 
 import numpy as np
@@ -201,6 +202,7 @@ def mix_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     rates = document_rates(docs, labels, **options)
     many = staged(rates.select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"), copies_of(
         F.col("rate"), F.lit("mix"), F.col("doc_id"), F.col("h")).alias("_n")).distinct(), "copies")
-    joined = docs.join(many, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_h")))
-    return joined.withColumn("_n", F.explode(F.array_repeat(F.lit(1), F.col("_n")))).select(
-        *[docs[c] for c in docs.columns])
+    joined = docs.join(many, docs["doc_id"].eqNullSafe(many["_d"]) & (F.xxhash64(docs["text"]) == many["_h"]))
+    number = f"copy_{uuid.uuid4().hex}"
+    return joined.select(*[docs[c] for c in docs.columns],
+                         F.explode(F.array_repeat(F.lit(1), many["_n"])).alias(number)).drop(number)

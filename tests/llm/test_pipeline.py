@@ -23,9 +23,9 @@ def test_stages_keep_columns_and_clean_documents(spark):
 
 
 def test_stages_take_odd_and_empty_tables(spark):
-    kind = "doc_id long, text string, lang string, source string, n_chars long, root long, pid string, _n int"
+    kind = "doc_id long, text string, lang string, source string, n_chars long, root long, pid string, _n int, _d long, _h long, _kept long"
     rows = [(1, None), (2, ""), (None, "x y"), (3, "a b c d e f g"), (3, "a b c d e f g"), (4, "word " * 20_000)]
-    odd = spark.createDataFrame([(d, t, None, None, None, 1, "p", 2) for d, t in rows], kind)
+    odd = spark.createDataFrame([(d, t, None, None, None, 1, "p", 2, 3, 4, 5) for d, t in rows], kind)
     for docs in (odd, odd.limit(0)):
         for name, stage in corpus_pipeline.STAGES:
             after = stage(spark, docs, SF)

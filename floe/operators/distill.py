@@ -17,7 +17,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from floe.functions.arrays import explode_positions, softmax
+from floe.functions.arrays import (blend, explode_positions, kl_divergence, log_temperature_softmax, mean_squared_error,
+                                   resample_linear, softmax, sparse_cross_entropy, temperature_softmax)
 from floe.functions.text import c
 
 
@@ -116,6 +117,29 @@ def fit_student(df: DataFrame, features: list[str], label_col: str = "y", max_it
     return MLModel(est.fit(data), list(features))
 
 
+def distillation_losses(df: DataFrame, teacher_col: str, student_col: str, label_col: str = "y",
+                        temperature: float = 10.0, alpha: float = 0.5, t2_scale: bool = False,
+                        mode: str = "prob", att_cols: tuple[str, str] | None = None,
+                        att_length: int = 16, beta: float = 0.1) -> DataFrame:
+    """One row (hard, soft[, att], total) over a table of both models' probabilities.
+
+    ``mode`` says what is softened: the probabilities (``prob``, K5) or their
+    clipped logarithms (``logprob``, K6).  ``t2_scale`` multiplies the soft
+    term by temperature squared (K9).  ``att_cols`` names the teacher's and
+    the student's attention maps; the student's is resampled to ``att_length``.
+    """
+    soften = {"prob": temperature_softmax, "logprob": log_temperature_softmax}[mode]
+    terms = {"hard": sparse_cross_entropy(c(student_col), c(label_col)),
+             "soft": kl_divergence(soften(c(teacher_col), temperature), soften(c(student_col), temperature))}
+    if att_cols:
+        terms["att"] = mean_squared_error(c(att_cols[0]), resample_linear(c(att_cols[1]), att_length))
+    means = df.select(*[v.alias(k) for k, v in terms.items()]).agg(*[F.avg(k).alias(k) for k in terms])
+    if t2_scale:
+        means = means.withColumn("soft", F.col("soft") * float(temperature) ** 2)
+    att = F.col("att") if att_cols else None
+    return means.withColumn("total", blend(F.col("hard"), F.col("soft"), alpha, att, beta))
+
+
 def distillation_targets(df: DataFrame, soft_col: str, label_col: str = "y", alpha: float = 0.5,
                          features: list[str] | None = None) -> DataFrame:
     """K4 input: one row per (row, class) with weight alpha*[k=y] + (1-alpha)*soft_k."""

@@ -400,35 +400,29 @@ def q_k6(spark, sf):
     return _pb_long(spark, sf, "teacher", lambda x: A.log_temperature_softmax(x, 10.0))
 
 
-def _losses(spark, sf):
-    pb = fx.proba_big(spark, sf)
-    return pb.select(A.sparse_cross_entropy(F.col("student"), F.col("y")).alias("hard"),
-                     A.kl_divergence(A.temperature_softmax(F.col("teacher"), 10.0),
-                                     A.temperature_softmax(F.col("student"), 10.0)).alias("soft"))
+def _losses(spark, sf, **options):
+    return K.distillation_losses(fx.proba_big(spark, sf), "teacher", "student", **options)
 
 
 @query("k7_hard_loss")
 def q_k7(spark, sf):
-    return r6(_losses(spark, sf).agg(F.avg("hard").alias("hard")))
+    return r6(_losses(spark, sf).select("hard"))
 
 
 @query("k8_soft_loss")
 def q_k8(spark, sf):
-    return r6(_losses(spark, sf).agg(F.avg("soft").alias("soft")))
+    return r6(_losses(spark, sf).select("soft"))
 
 
 @query("k9_t2_soft_loss")
 def q_k9(spark, sf):
-    return r6(_losses(spark, sf).agg((F.avg("soft") * 100.0).alias("soft_t2")))
+    return r6(_losses(spark, sf, t2_scale=True).select(F.col("soft").alias("soft_t2")))
 
 
 @query("k10_blended_loss")
 def q_k10(spark, sf):
-    l = _losses(spark, sf).agg(F.avg("hard").alias("hard"), F.avg("soft").alias("soft"))
-    a = l.select(F.lit("alpha0.5_t2").alias("variant"), "hard", (F.col("soft") * 100.0).alias("soft"),
-                 A.blend(F.col("hard"), F.col("soft") * 100.0, 0.5).alias("total"))
-    b = l.select(F.lit("alpha0.1").alias("variant"), "hard", "soft",
-                 A.blend(F.col("hard"), F.col("soft"), 0.1).alias("total"))
+    a = _losses(spark, sf, alpha=0.5, t2_scale=True).select(F.lit("alpha0.5_t2").alias("variant"), "*")
+    b = _losses(spark, sf, alpha=0.1).select(F.lit("alpha0.1").alias("variant"), "*")
     return r6(a.unionByName(b))
 
 
@@ -464,13 +458,7 @@ def q_k14(spark, sf):
     pr = fx.proba(spark, sf)
     at = _attention(spark, sf)
     both = J.zip_by_key(pr, at, "row_id")
-    per = both.select(
-        A.sparse_cross_entropy(F.col("student"), F.col("y")).alias("hard"),
-        A.kl_divergence(A.log_temperature_softmax(F.col("teacher"), 10.0),
-                        A.log_temperature_softmax(F.col("student"), 10.0)).alias("soft"),
-        A.mean_squared_error(F.col("att_t"), A.resample_linear(F.col("att_s"), 16)).alias("att"))
-    agg = per.agg(F.avg("hard").alias("hard"), F.avg("soft").alias("soft"), F.avg("att").alias("att"))
-    return r6(agg.select("*", A.blend(F.col("hard"), F.col("soft"), 0.5, F.col("att"), 0.1).alias("total")))
+    return r6(K.distillation_losses(both, "teacher", "student", mode="logprob", att_cols=("att_t", "att_s")))
 
 
 @query("k15_evaluate")

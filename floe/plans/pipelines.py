@@ -14,9 +14,10 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from floe.functions.arrays import blend, kl_divergence, sparse_cross_entropy, temperature_softmax
+from floe.functions.arrays import temperature_softmax
 from floe.functions.text import c, fill_missing
-from floe.operators.distill import CentroidClassifier, fit_distilled_student, fit_student, fit_teacher
+from floe.operators.distill import (CentroidClassifier, distillation_losses, fit_distilled_student, fit_student,
+                                    fit_teacher)
 from floe.operators.evaluate import classification_report, confusion, evaluate, with_prediction
 from floe.operators.ordering import row_index, tail_split
 from floe.operators.splits import stratified_split
@@ -105,13 +106,7 @@ def distillation_pipeline(spark: SparkSession, sf_dir: str, temperature: float =
     # K7-K10 on the test rows: hard loss of the student, KL between the
     # softened teacher and student outputs (x T^2 when t2_scale), the blend
     both = teacher.transform(student.transform(p.test, "s_prob"), "t_prob")
-    per_row = both.select(
-        sparse_cross_entropy(F.col("s_prob"), F.col("y")).alias("hard"),
-        kl_divergence(temperature_softmax(F.col("t_prob"), temperature),
-                      temperature_softmax(F.col("s_prob"), temperature)).alias("soft"))
-    scale = temperature * temperature if t2_scale else 1.0
-    losses = per_row.agg(F.avg("hard").alias("hard"), (F.avg("soft") * scale).alias("soft"))
-    out["losses"] = losses.select("hard", "soft", blend(F.col("hard"), F.col("soft"), alpha).alias("total"))
+    out["losses"] = distillation_losses(both, "t_prob", "s_prob", "y", temperature, alpha, t2_scale)
     # K15 on the validation slice for both models
     out["validation"] = (evaluate(teacher.transform(val_part, "p"), "p").withColumn("model", F.lit("teacher"))
                          .unionByName(evaluate(student.transform(val_part, "p"), "p")

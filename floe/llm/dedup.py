@@ -12,8 +12,9 @@
 3. ``rows`` slots make a band.  Classes that share a band value meet.  A pair at
    the threshold is missed by all bands with probability (1 - t^rows)^bands:
    3e-6 for 0.8 and 7e-9 for 0.85 with 5 rows and 32 bands.
-4. Within a bucket no list of all pairs is made: the bucket's smallest class is
-   the pivot that all others are compared with, on their whole shingle sets.
+4. Within a bucket no list of all pairs is made: one class is the pivot that all
+   others are compared with, on their whole shingle sets.  It is the one with most
+   company over all its buckets: of many edited copies the one they were made from.
    Buckets whose members are then in one component are done.  From the others
    the pivots are retired (they have met everyone) and more pivots are drawn,
    sixteen times as many each round, until no bucket holds two components.  So no
@@ -210,9 +211,10 @@ def _class_roots(docs: DataFrame, classes: DataFrame, links: DataFrame, shingle:
                  nameless: bool, repeated: bool) -> DataFrame:
     exploded = classes.select(F.col("id"), F.col("n"), F.posexplode("bands").alias("band", "value"))
     shared = exploded.groupBy("band", "value").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
-    rest = staged(exploded.join(shared.drop("members"), ["band", "value"])
-                  .select(F.xxhash64("band", "value").alias("bucket"), "id", "n"), "members")
-    met = rest.select("id").distinct()
+    rest = staged(exploded.join(shared, ["band", "value"])
+                  .select(F.xxhash64("band", "value").alias("bucket"), "id", "n", "members"), "members")
+    met = rest.groupBy("id").agg(F.sum("members").alias("weight"))
+    rest = staged(rest.drop("members").join(met, "id"), "weighed")
     chosen = staged(classes.join(met, "id", "left_semi").select(
         F.col("id").alias("_id"), F.col("digest").alias("_digest")), "chosen")
     few = chosen.count() <= BROADCAST_IDS
@@ -220,8 +222,8 @@ def _class_roots(docs: DataFrame, classes: DataFrame, links: DataFrame, shingle:
     comp = components(links)
     pivots_a_bucket = 1
     while True:
-        rest = rest.select("bucket", "id", "n").join(comp, F.col("id") == F.col("node"), "left").select(
-            "bucket", "id", "n", F.coalesce("root", "id").alias("comp"))
+        rest = rest.select("bucket", "id", "n", "weight").join(comp, F.col("id") == F.col("node"), "left").select(
+            "bucket", "id", "n", "weight", F.coalesce("root", "id").alias("comp"))
         rest = staged(rest, "labelled")
         open_ = rest.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter(
             "lo <> hi").select("bucket")
@@ -230,8 +232,8 @@ def _class_roots(docs: DataFrame, classes: DataFrame, links: DataFrame, shingle:
             return comp
         part = F.pmod(F.xxhash64("id", "bucket"), F.lit(pivots_a_bucket))
         pivots = staged(rest.groupBy("bucket", part.alias("part")).agg(
-            F.min(F.struct("id", "n", "comp")).alias("p")).select(
-                "bucket", F.col("p.id").alias("pid"), F.col("p.n").alias("pn"), F.col("p.comp").alias("pcomp")),
+            F.max(F.struct("weight", (-F.col("id")).alias("minus"), "n", "comp")).alias("p")).select(
+                "bucket", (-F.col("p.minus")).alias("pid"), F.col("p.n").alias("pn"), F.col("p.comp").alias("pcomp")),
             "pivots")
         sizes = (100 * F.least("n", "pn") >= percent * F.greatest("n", "pn"))
         pairs = staged(rest.join(pivots, "bucket").filter((F.col("comp") != F.col("pcomp")) & sizes).select(

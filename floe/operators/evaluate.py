@@ -95,10 +95,8 @@ def classification_report(conf: DataFrame, class_names: list[str] | None = None)
     score columns and carries the total row count as support.  The three
     summary rows come from one aggregation over the per-class table.
     """
-    # k*k rows read by two branches: cached once instead of recomputing
-    # the prediction table behind it.
-    conf = conf.persist()
-    scores = per_class_scores(conf).persist()
+    # read by two branches of one plan, which share the exchange of the counts
+    scores = per_class_scores(conf)
     if class_names is not None:
         names = F.array(*[F.lit(v) for v in class_names])
         label = F.element_at(names, F.col("code") + 1)

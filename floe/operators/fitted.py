@@ -31,13 +31,13 @@ def _long_form(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def _medians_from_counts(counts: DataFrame, n: DataFrame, offset_col: str | None,
-                         num_partitions: int | None) -> DataFrame:
+                         num_partitions: int | None, cached: list | None = None) -> DataFrame:
     """Median from (feature, value, cnt) and (feature, n[, offset]) tables.
 
     ``offset`` is the number of values below the counted ones (0 if None).
     """
     ranked = running_totals(counts, ["feature"], ["value"], {"cum": F.col("cnt")},
-                            num_partitions=num_partitions)
+                            num_partitions=num_partitions, cached=cached)
     off = F.col(offset_col) if offset_col else F.lit(0)
     lo = F.floor((F.col("n") - 1) / 2) - off
     hi = F.ceil((F.col("n") - 1) / 2) - off
@@ -51,12 +51,13 @@ def _medians_from_counts(counts: DataFrame, n: DataFrame, offset_col: str | None
     return picked.groupBy("feature").agg(((F.max("v_lo") + F.max("v_hi")) / 2).alias("median"))
 
 
-def exact_medians_full(df: DataFrame, cols: list[str], num_partitions: int | None = None) -> DataFrame:
+def exact_medians_full(df: DataFrame, cols: list[str], num_partitions: int | None = None,
+                       cached: list | None = None) -> DataFrame:
     """Exact medians by ranking every distinct value (map-side combined counts)."""
     long = _long_form(df, cols)
     counts = long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("cnt"))
     n = counts.groupBy("feature").agg(F.sum("cnt").alias("n"))
-    return _medians_from_counts(counts, n, None, num_partitions)
+    return _medians_from_counts(counts, n, None, num_partitions, cached)
 
 
 # percentile_approx accuracy of the bracketing pass; its rank error is at most
@@ -65,7 +66,7 @@ BRACKET_ACCURACY = 10_000
 
 
 def exact_medians(df: DataFrame, cols: list[str], num_partitions: int | None = None,
-                  accuracy: int = BRACKET_ACCURACY) -> DataFrame:
+                  accuracy: int = BRACKET_ACCURACY, cached: list | None = None) -> DataFrame:
     """Exact median of every column (mean of the two middle values), distributed.
 
     1. one ``percentile_approx`` pass brackets each median in [lo, hi]
@@ -114,9 +115,9 @@ def exact_medians(df: DataFrame, cols: list[str], num_partitions: int | None = N
         spark = df.sparkSession
         n_tab = spark.createDataFrame([(f, int(st[f][0]), int(st[f][1])) for f in good],
                                       "feature string, n long, below long")
-        parts.append(_medians_from_counts(counts, n_tab, "below", num_partitions))
+        parts.append(_medians_from_counts(counts, n_tab, "below", num_partitions, cached))
     if missed:
-        parts.append(exact_medians_full(df, missed, num_partitions))
+        parts.append(exact_medians_full(df, missed, num_partitions, cached))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -161,7 +162,10 @@ class MedianImputer:
                            for i, n in enumerate(self.cols)]).first()
             got = {n: row[f"m{i}"] for i, n in enumerate(self.cols)}
         else:
-            got = {r["feature"]: r["median"] for r in exact_medians(df, self.cols).collect()}
+            cached: list = []
+            got = {r["feature"]: r["median"] for r in exact_medians(df, self.cols, cached=cached).collect()}
+            for frame in cached:
+                frame.unpersist()
         medians = {n: float(got[n]) for n in self.cols if got.get(n) is not None}
         dropped = [n for n in self.cols if n not in medians]
         return MedianImputerModel(medians, dropped)

@@ -34,23 +34,17 @@ class Prepared:
 
 def prepare_flows(flows: DataFrame, key: str, label: str, categories=(), drop=(), bools=(),
                   test_size: float = 0.3, seed: int = 42, fit_on: str = "all",
-                  persist_input: bool = True) -> Prepared:
+                  persist_input: bool = False) -> Prepared:
     """One-file flow: split on the label, fit preprocessing, transform both parts.
 
     ``fit_on='all'`` fits imputer, one-hot and label encoder on every row (as
     the one-file scripts do); 'train' fits them on the train part only.
-    ``persist_input=False`` re-reads the (column-pruned) source for every
-    fitting pass instead of caching it.
+    Every fitting pass reads the (column-pruned) source; ``persist_input``
+    caches it (memory and disk) for inputs that fit, and the caller
+    unpersists it with ``spark.catalog.clearCache()``.
     """
     labelled = flows.withColumn(label, fill_missing(c(label)))
-    # The projected input feeds the split search and every fit (imputer,
-    # encoders, scaler, model): it is persisted once (memory and disk; a lost
-    # block is recomputed from the same deterministic scan).  Inputs with
-    # fewer splits than cores are spread first so the passes run in parallel.
     if persist_input:
-        cores = flows.sparkSession.sparkContext.defaultParallelism
-        if labelled.rdd.getNumPartitions() < cores:
-            labelled = labelled.repartition(cores)
         labelled = labelled.persist(StorageLevel.MEMORY_AND_DISK)
     # the split is a projection with per-class boundary literals over it
     split = stratified_split(labelled, label, key, test_size, seed)

@@ -24,6 +24,8 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from floe.functions.text import c as quoted
+
 PID = "_floe_pid"
 
 # Stand-in values for NULL group keys (paired with an is-null flag).
@@ -116,7 +118,7 @@ def running_totals(df: DataFrame, group_cols: list[str], order_cols: list,
     # (PID, groups) by its window, so only the small offsets table moves.
     # Without the hint, runtime planning may broadcast the large side.
     joined = local.hint("merge").join(offsets, on=[PID, *group_cols], how="inner")
-    out = [F.col(c) for c in df.columns]
+    out = [quoted(name) for name in df.columns]
     for k, s in tmp.items():
         out.append((F.col(f"{s}_loc") + F.col(f"{s}_off")).alias(k))
     if index_col:

@@ -42,7 +42,10 @@ from floe.llm.common import staged, worker_cache
 MAGIC = b"FBP1"
 BLOCK = 1 << 16
 FILE_IDS = 1 << 20
-CACHE_CHUNKS = 800_000
+CACHE_CHUNKS = 1_300_000
+TOGETHER = 2_000
+AT_ONCE = 256
+MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 HEAD = "<4sIIQQ"
 
 
@@ -117,31 +120,45 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.pieces = worker_cache(f"pieces {path}")
 
-    def _ask(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes()
-                for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, pieces: list[bytes]) -> None:
-        """Fill the table; a last comma or stop after a letter is a piece of its own."""
-        stem = {p: p[:-1] for p in pieces if len(p) > 1 and p[-1:] in b".,;:!?" and 97 <= p[-2] <= 122}
-        known = self.pieces
-        fresh = list(dict.fromkeys(x for p in pieces for x in ((stem[p], p[-1:]) if p in stem else (p,))
-                                   if x not in known))
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _ask(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each piece; many go through the library as one text and are told apart by their offsets."""
+        out: list[bytes] = []
+        for at in range(0, len(pieces), TOGETHER):
+            part = pieces[at:at + TOGETHER]
+            e = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            starts = np.cumsum([0] + [len(p) + 1 for p in part])
+            raw = np.array(e.ids, "<u4").tobytes()
+            begin = np.fromiter((o[0] for o in e.offsets), np.int64, len(e.ids))
+            ends = np.searchsorted(begin, starts[1:]) * 4
+            out += [raw[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist())]
+        return out
+
+    def _learn(self, pieces: set[bytes]) -> None:
+        """Fill the table; punctuation after a last letter is a piece of its own."""
+        known, stem = self.pieces, {}
+        for p in pieces:
+            s = p.rstrip(MARKS)
+            if 0 < len(s) < len(p) and (97 <= s[-1] <= 122 or s.decode()[-1].isalpha()):
+                stem[p] = s
+        fresh = list({x for p in pieces for x in ((stem[p], p[len(stem[p]):]) if p in stem else (p,))}.difference(known))
         known.update(zip(fresh, self._ask([x.decode() for x in fresh])))
-        known.update((p, known[s] + known[p[-1:]]) for p, s in stem.items())
-
-    def ids(self, text: str | None) -> bytes:
-        raw = (text or "").encode("utf-8", "replace")
-        if b"<|" in raw:
-            return self._ask([text])[0]
-        pieces = raw.lower().split()
-        try:
-            return b"".join(map(self.pieces.__getitem__, pieces))
-        except KeyError:
-            if len(self.pieces) > CACHE_CHUNKS:
+        known.update((p, known[s] + known[p[len(s):]]) for p, s in stem.items())
+
+    def ids(self, texts: list[str | None]) -> Iterator[bytes]:
+        for at in range(0, len(texts), AT_ONCE):
+            raw = [(t or "").encode("utf-8", "replace") for t in texts[at:at + AT_ONCE]]
+            split = [None if b"<|" in r else r.lower().split() for r in raw]
+            fresh = set().union(*filter(None, split)).difference(self.pieces)
+            if len(self.pieces) + 2 * len(fresh) > CACHE_CHUNKS:
                 self.pieces.clear()
-            self._learn([p for p in set(pieces) if p not in self.pieces])
-            return b"".join(map(self.pieces.__getitem__, pieces))
+                fresh = set().union(*filter(None, split))
+            if fresh:
+                self._learn(fresh)
+            for r, pieces in zip(raw, split):
+                yield self._whole(r.decode()) if pieces is None else b"".join(map(self.pieces.__getitem__, pieces))
 
 
 def write_files(docs: DataFrame, path: str, end_id: int = 2, planes: int = 4) -> DataFrame:
@@ -162,9 +179,10 @@ def write_files(docs: DataFrame, path: str, end_id: int = 2, planes: int = 4) ->
                                  "file": [encode_file(lengths, ids, planes)]})
 
         for batch in batches:
-            for name, text in zip(batch["doc_id"].astype(object).where(batch["doc_id"].notna(), None), batch["text"]):
+            known = batch["doc_id"].astype(object).where(batch["doc_id"].notna(), None)
+            for name, ids in zip(known, encoder.ids(batch["text"].tolist())):
                 names.append(name)
-                parts.append(encoder.ids(text) + end)
+                parts.append(ids + end)
                 held += len(parts[-1]) // 4
                 if held >= FILE_IDS:
                     yield file()

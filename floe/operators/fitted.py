@@ -286,6 +286,39 @@ class OneHotEncoder:
         return OneHotModel({k: sorted(v) for k, v in vocab.items()})
 
 
+@dataclass
+class SparseOneHotModel:
+    """A4 for vocabularies of any size: the mapping (col, v, index) stays a table."""
+    cols: list[str]
+    mapping: DataFrame
+
+    def transform(self, df: DataFrame, key_col: str) -> DataFrame:
+        """(key, indices): the sorted positions of the ones of every row; unseen and NULL values have none.
+
+        The values travel as (key, column, value) rows; the mapping is joined
+        without a hint, so adaptive execution broadcasts a small one and splits
+        the rows of a frequent category otherwise.
+        """
+        values = F.array(*[F.struct(F.lit(n).alias("col"), c(n).cast("string").alias("v")) for n in self.cols])
+        long = df.select(c(key_col).alias("_floe_key"), F.inline_outer(values))
+        found = long.join(self.mapping, ["col", "v"], "left")
+        return found.groupBy("_floe_key").agg(F.sort_array(F.collect_list("index")).alias("indices")).select(
+            F.col("_floe_key").alias(key_col), "indices")
+
+
+class SparseOneHotEncoder:
+    """A4 without a limit: indices follow the order (column, category)."""
+
+    def __init__(self, cols: list[str]):
+        self.cols = list(cols)
+
+    def fit(self, df: DataFrame) -> SparseOneHotModel:
+        long = df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("at"), F.lit(n).alias("col"),
+                                                     c(n).cast("string").alias("v"))
+                                           for i, n in enumerate(self.cols)]))).where(F.col("v").isNotNull()).distinct()
+        return SparseOneHotModel(self.cols, row_index(long, ["at", "v"], "index").select("col", "v", "index"))
+
+
 # ---------------------------------------------------------------- A5 scaler
 @dataclass
 class StandardScalerModel:

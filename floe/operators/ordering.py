@@ -175,22 +175,30 @@ def tail_split(df: DataFrame, order_cols: list[str], fraction: float = 0.1,
     """The last ``fraction`` of rows in order form the validation slice.
 
     As with a Keras ``validation_split``: the first floor(n * (1 - fraction))
-    rows train, the rest validate.  Only the boundary row is located (a
-    ranking of the narrow order columns); the split itself is then a
+    rows train, the rest validate.  Only the boundary row is located: the
+    narrow order columns are dealt into ranges, the ranges are counted, and
+    only the range that holds the boundary is ranked.  The split itself is a
     comparison against that one key, with no shuffle of the rows.
     """
-    n = df.count()
-    cut = int(math.floor(n * (1.0 - float(fraction))))
-    if cut >= n:
+    ranged = df.select(*order_cols).repartitionByRange(*order_cols).withColumn(
+        PID, F.spark_partition_id()).persist(StorageLevel.MEMORY_AND_DISK)
+    counts = sorted(tuple(r) for r in ranged.groupBy(PID).count().collect())   # one row a range
+    cut = int(math.floor(sum(n for _, n in counts) * (1.0 - float(fraction))))
+    before = 0
+    for part, rows in counts:
+        if cut < before + rows:
+            break
+        before += rows
+    else:
+        ranged.unpersist()
         return df.withColumn(split_col, F.lit("train"))
     if cut <= 0:
+        ranged.unpersist()
         return df.withColumn(split_col, F.lit("validation"))
-    cached: list = []
-    narrow = df.select(*order_cols)
-    idx = row_index(narrow, order_cols, "_floe_idx", cached=cached)
-    first_val = idx.where(F.col("_floe_idx") == cut).select(*order_cols).first()
-    for frame in cached:
-        frame.unpersist()
+    place = F.row_number().over(Window.partitionBy(PID).orderBy(*order_cols))
+    first_val = ranged.where(F.col(PID) == part).withColumn("_floe_idx", place).where(
+        F.col("_floe_idx") == cut - before + 1).select(*order_cols).first()
+    ranged.unpersist()
     is_val = key_at_or_after([F.col(o) for o in order_cols], [first_val[o] for o in order_cols])
     return df.withColumn(split_col, F.when(is_val, F.lit("validation")).otherwise(F.lit("train")))
 

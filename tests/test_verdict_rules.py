@@ -85,3 +85,16 @@ def test_two_prediction_tables_are_matched_by_key(spark):
     after = spark.createDataFrame([(2, 1, [0.2, 0.8]), (1, 0, [0.8, 0.2])], "row_id long, y int, probability array<double>")
     got = E.compare_tables(before, after).first()
     assert (got.acc_before, got.acc_after) == (0.5, 1.0)
+
+
+def test_sparse_one_hot_holds_the_ones_of_the_dense_form(spark):
+    df = spark.createDataFrame([(1, "b", "x"), (2, "a", None), (3, None, "y"), (4, "b", "y"), (5, None, None)],
+                               "row_id long, p string, q string")
+    dense = FT.OneHotEncoder(["p", "q"]).fit(df)
+    names = dense.output_names()
+    want = {r.row_id: [i for i, n in enumerate(names) if r[n] == 1.0] for r in dense.transform(df).collect()}
+    sparse = FT.SparseOneHotEncoder(["p", "q"]).fit(df)
+    assert {r.row_id: r["indices"] for r in sparse.transform(df, "row_id").collect()} == want
+    wide = spark.range(20_000).select("id", F.concat(F.lit("c"), F.col("id").cast("string")).alias("p"))
+    got = FT.SparseOneHotEncoder(["p"]).fit(wide).transform(wide, "id").select(F.explode("indices").alias("i"))
+    assert got.distinct().count() == 20_000

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from floe.llm import bitplanes, chat, decontaminate, dedup, katz, mixing, mtree, quality, shard, toxicity
+from floe.llm import (bitplanes, chat, decontaminate, dedup, katz, mixing, mtree, quality, shard,
+                      toxicity)
 from floe.llm.common import remainder, table
 
 
@@ -72,6 +73,7 @@ def op10_bitplane_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_preference_formatting, op2_katz_backoff, op3_mtree_top5, op4_minimax_shards, op5_prefix_filter_decontamination, op6_factorisation_machine_quality,
+    op1_preference_formatting, op2_katz_backoff, op3_mtree_top5, op4_minimax_shards,
+    op5_prefix_filter_decontamination, op6_factorisation_machine_quality,
     op7_soft_membership_mixing, op8_superminhash_dedup, op9_subword_toxicity,
     op10_bitplane_tokens)}

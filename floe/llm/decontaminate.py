@@ -27,8 +27,6 @@ are left out.  Empty documents give no rows, an empty benchmark no hits.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window

@@ -175,10 +175,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, rows:
                                      F.count(F.when(F.col("doc_id").isNull() & F.col("digest").isNotNull(), 1))).first()
     links = docs.sparkSession.createDataFrame([], "u long, v long")
     if rows > ids:
-        # rows that share a doc_id are one document, so they tie their classes together
+        # rows that share a doc_id are one document, so they tie their classes together;
+        # the classes themselves go by their digests
+        classes = classes.withColumn("id", F.lit(NO_ID) + F.pmod(F.xxhash64("digest"), F.lit(NO_ID - 1)))
         links = staged(full.select("digest", "node").distinct().join(classes.select("digest", "id"), "digest")
                        .select(F.col("node").alias("u"), F.col("id").alias("v")).filter("u <> v"), "links")
-    roots = _class_roots(docs, classes, links, shingle, percent, own, nameless > 0, rows > ids)
+    roots = _class_roots(docs, classes, links, shingle, percent, nameless > 0, rows > ids)
     out = signed.select("doc_id", "n", "digest").join(classes.select("digest", "id"), "digest", "left").join(
         roots, F.col("id") == F.col("node"), "left")
     out = out.withColumn("comp", F.coalesce("root", "id", "doc_id")).withColumn(
@@ -190,7 +192,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, rows:
                       F.when(F.col("comp") < NO_ID, F.col("comp")).cast(kind).alias("component_id"), kept.alias("kept"))
 
 
-def _whole_sets(docs: DataFrame, chosen: DataFrame, few: bool, shingle: int, own, nameless: bool,
+def _whole_sets(docs: DataFrame, chosen: DataFrame, few: bool, shingle: int, nameless: bool,
                 repeated: bool) -> DataFrame:
     """(id, items) of the classes in ``chosen``, from the text of one of their documents."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -199,15 +201,13 @@ def _whole_sets(docs: DataFrame, chosen: DataFrame, few: bool, shingle: int, own
     if not (nameless or repeated):
         return named.select(F.col("_id").alias("id"), "text").mapInPandas(_sets(shingle), "id long, items binary")
     # ids don't name texts here: find a class by its digest
-    wanted = named.select("doc_id", "text").union(texts.filter("doc_id is null")) if nameless else named.select(
-        "doc_id", "text")
-    found = wanted.mapInPandas(_sets(shingle, True), "id long, items binary, digest binary").select(
-        F.col("id").alias("doc_id"), "digest", "items").select(own.alias("id"), "digest", "items")
-    return found.join(chosen.select(F.col("_id"), F.col("_digest")), (F.col("id") == F.col("_id")) & (
-        F.col("digest") == F.col("_digest"))).groupBy("id").agg(F.min("items").alias("items"))
+    wanted = texts if repeated else named.select("doc_id", "text").union(texts.filter("doc_id is null"))
+    found = wanted.mapInPandas(_sets(shingle, True), "id long, items binary, digest binary")
+    return found.join(chosen, F.col("digest") == F.col("_digest")).groupBy(F.col("_id").alias("id")).agg(
+        F.min("items").alias("items"))
 
 
-def _class_roots(docs: DataFrame, classes: DataFrame, links: DataFrame, shingle: int, percent: int, own,
+def _class_roots(docs: DataFrame, classes: DataFrame, links: DataFrame, shingle: int, percent: int,
                  nameless: bool, repeated: bool) -> DataFrame:
     exploded = classes.select(F.col("id"), F.col("n"), F.posexplode("bands").alias("band", "value"))
     shared = exploded.groupBy("band", "value").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
@@ -218,7 +218,7 @@ def _class_roots(docs: DataFrame, classes: DataFrame, links: DataFrame, shingle:
     chosen = staged(classes.join(met, "id", "left_semi").select(
         F.col("id").alias("_id"), F.col("digest").alias("_digest")), "chosen")
     few = chosen.count() <= BROADCAST_IDS
-    sets = staged(_whole_sets(docs, chosen, few, shingle, own, nameless, repeated), "sets")
+    sets = staged(_whole_sets(docs, chosen, few, shingle, nameless, repeated), "sets")
     comp = components(links)
     pivots_a_bucket = 1
     while True:
@@ -250,7 +250,10 @@ def _class_roots(docs: DataFrame, classes: DataFrame, links: DataFrame, shingle:
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """One document of each group stays; of rows that repeat a doc_id, one.  Columns as in ``docs``."""
+    """One document of each group stays; of rows that repeat a doc_id, one.  Columns as in ``docs``.
+
+    Rows without doc_id can't be told apart by it: of those only equal texts are dropped.
+    """
     found = near_duplicates(docs.select("doc_id", "text"), **options)
     kept = staged(found.filter("kept").select(F.col("doc_id").alias("_kept")), "kept")
     ids = kept.filter("_kept is not null")

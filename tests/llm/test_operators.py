@@ -8,7 +8,6 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -401,6 +400,14 @@ def test_near_duplicates_equal_brute_force(spark, corpus):
         assert all(r.kept == (d == r.component_id) for d, r in got.items())
 
 
+def test_rows_that_share_an_id_tie_their_texts_together(spark):
+    one, two = "a b c d e f g h i j k l m n o p q r s t", "u v w x y z aa bb cc dd ee ff gg hh ii jj kk ll mm"
+    df = spark.createDataFrame([(1, one), (1, two), (2, two + " nn"), (3, one + " u"), (4, "else"), (None, two)],
+                               "doc_id long, text string")
+    got = sorted(((r.doc_id or 0, r.component_id) for r in dedup.near_duplicates(df, shingle=2).collect()))
+    assert got == [(0, 1), (1, 1), (1, 1), (2, 1), (3, 1), (4, 4)]
+
+
 def test_minhash_estimates_and_order():
     rng = np.random.default_rng(2)
     base = np.unique(rng.integers(0, 2 ** 63, 400).astype(np.uint64))

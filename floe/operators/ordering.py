@@ -64,8 +64,8 @@ def running_totals(df: DataFrame, group_cols: list[str], order_cols: list,
     itself the order key): no sampling job and no cache are needed then.
 
     ``persist=False`` skips the cache for deterministic inputs (a table scan
-    plus projections): both phases then read one reused range exchange, and
-    even a re-planned exchange samples the same bounds from the same scan.
+    plus projections): both phases then deal the rows into the same explicit
+    number of ranges, whose bounds are sampled alike from the same scan.
     Keep the default for inputs that come out of a shuffle, whose row order,
     and hence sampled bounds, may differ between executions.
     """
@@ -95,7 +95,10 @@ def running_totals(df: DataFrame, group_cols: list[str], order_cols: list,
         # Without an explicit count, adaptive execution may coalesce adjacent
         # ranges; the persisted relation fixes each row's partition index, so
         # both phases still agree.
-        by_range = (base.repartitionByRange(int(num_partitions), *range_keys) if num_partitions
+        # Without the cache the two phases read exchanges of different widths, which adaptive
+        # execution would coalesce differently: there the count is always explicit.
+        count = num_partitions if persist else _partitions(df, num_partitions)
+        by_range = (base.repartitionByRange(int(count), *range_keys) if count
                     else base.repartitionByRange(*range_keys))
         ranged = by_range.withColumn(PID, F.spark_partition_id())
         if persist:

@@ -89,3 +89,25 @@ def test_running_totals_without_persist_on_a_scan(spark):
     b = {r["id"]: r["pos"] for r in running_totals(ser, ["entity"], ["ts", "id"], {}, index_col="pos",
                                                    persist=False).collect()}
     assert a == b and len(a) == ser.count()
+
+
+def test_running_totals_keep_all_rows_when_ranges_are_coalesced(spark):
+    """The two phases read exchanges of different widths, which adaptive execution sizes differently."""
+    from pyspark.sql import functions as F
+
+    from floe.operators.ordering import running_totals
+    names = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k",
+             "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        df = spark.range(60_000).select("id", F.md5(F.col("id").cast("string")).alias("wide"), F.lit(2).alias("v"))
+        for persist in (True, False):
+            got = running_totals(df, [], ["wide", "id"], {"total": F.col("v")}, index_col="at", persist=persist)
+            row = got.agg(F.count("*"), F.countDistinct("at"), F.max("total")).first()
+            assert tuple(row) == (60_000, 60_000, 120_000)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+        spark.catalog.clearCache()

@@ -106,10 +106,12 @@ def shard_documents(docs: DataFrame, shards: int = 16) -> DataFrame:
     lead = rows.groupBy("same").agg(F.min("doc_id").alias("first_id"))
     grouped = rows.join(lead.withColumnRenamed("same", "_same"), F.col("same") == F.col("_same")).drop("_same")
     grouped = staged(grouped, "grouped")
-    # (first id, text) names a group; rows of a group that still tie are alike
-    ordered = staged(running_totals(
-        grouped, [], ["first_id", "same", "doc_id"], {"finish": F.col("size")},
-        index_col="place", persist=False), "ordered")
+    # (first id, text) names a group; rows of a group that still tie are alike.  The number of a
+    # row's range is written down, so both phases of the running totals see the same one.
+    order = ["first_id", "same", "doc_id"]
+    ranged = staged(grouped.repartitionByRange(*order).withColumn("range", F.spark_partition_id()), "ranged")
+    ordered = staged(running_totals(ranged, [], order, {"finish": F.col("size")}, index_col="place",
+                                    bucket=F.col("range")), "ordered")
     ends = staged(ordered.groupBy("first_id", "same").agg(
         F.max("finish").alias("finish"), F.sum("size").alias("weight")).select("finish", "weight")
         .repartitionByRange("finish").sortWithinPartitions("finish"), "ends")

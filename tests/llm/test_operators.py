@@ -476,3 +476,19 @@ def test_files_hold_the_tokenizers_ids(spark, corpus, monkeypatch):
     odd = bitplanes.read_documents(bitplanes.write_files(odd_rows(spark), path)).collect()
     assert len(odd) == 11 and sum(r.n_tokens for r in odd) == max(r.start + r.n_tokens for r in odd)
     assert bitplanes.read_documents(bitplanes.write_files(odd_rows(spark).limit(0), path)).count() == 0
+
+
+def test_shards_keep_all_rows_over_many_ranges(spark):
+    names = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k"}
+    before = {k: spark.conf.get(k) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        df = spark.range(30_000).select(F.col("id").alias("doc_id"), F.md5((F.col("id") % 20_000).cast("string")).alias("text"))
+        got = shard.shard_documents(df, 16).groupBy("shard").agg(
+            F.count("*").alias("n"), F.max("slot").alias("last"), F.countDistinct("slot").alias("slots")).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sum(r.n for r in got) == 30_000 and len(got) == 16
+    assert all(r.slots == r.n == r["last"] + 1 for r in got)

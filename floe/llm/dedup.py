@@ -12,13 +12,13 @@
 3. ``rows`` slots make a band.  Classes that share a band value meet.  A pair at
    the threshold is missed by all bands with probability (1 - t^rows)^bands:
    3e-6 for 0.8 and 7e-9 for 0.85 with 5 rows and 32 bands.
-4. Within a bucket no list of all pairs is made: one class is the pivot that all
-   others are compared with, on their whole shingle sets.  It is the one with most
-   company over all its buckets: of many edited copies the one they were made from.
-   Buckets whose members are then in one component are done.  From the others
-   the pivots are retired (they have met everyone) and more pivots are drawn,
-   sixteen times as many each round, until no bucket holds two components.  So no
-   link between components is lost and hot buckets end after their first round.
+4. Candidates are confirmed on their whole shingle sets, in two rounds, and no list
+   of all pairs of a large bucket is made.  First all members of a bucket meet its
+   pivot: the one with most company over all its buckets, of many edited copies the
+   one they were made from.  Buckets whose members are then in one component are
+   done.  In the others, members of different components meet: pair by pair in
+   buckets of at most ``SMALL_BUCKET``, block against block in larger ones.  So no
+   link between components is lost.
 5. Components by union-find in tasks and star contraction across them.
 
 Defined results: a text that is null, empty or blank has an empty set and is
@@ -37,10 +37,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from floe.llm.common import staged
-from floe.llm.components import components
+from floe.llm.components import components, roots_of
 
 BATCH_ELEMENTS = 1 << 17
 BROADCAST_IDS = 2_000_000      # at most 16 MB of ids
+SMALL_BUCKET, BLOCK, COLUMNS = 32, 256, 4_096
 NO_ID = 1 << 62                # nodes of rows without doc_id start here
 
 
@@ -220,33 +221,83 @@ def _class_roots(docs: DataFrame, classes: DataFrame, links: DataFrame, shingle:
     few = chosen.count() <= BROADCAST_IDS
     sets = staged(_whole_sets(docs, chosen, few, shingle, nameless, repeated), "sets")
     comp = components(links)
-    pivots_a_bucket = 1
-    while True:
-        rest = rest.select("bucket", "id", "n", "weight").join(comp, F.col("id") == F.col("node"), "left").select(
-            "bucket", "id", "n", "weight", F.coalesce("root", "id").alias("comp"))
-        rest = staged(rest, "labelled")
-        open_ = rest.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter(
-            "lo <> hi").select("bucket")
-        rest = staged(rest.join(open_, "bucket"), "open")
-        if rest.isEmpty():
-            return comp
-        part = F.pmod(F.xxhash64("id", "bucket"), F.lit(pivots_a_bucket))
-        pivots = staged(rest.groupBy("bucket", part.alias("part")).agg(
-            F.max(F.struct("weight", (-F.col("id")).alias("minus"), "n", "comp")).alias("p")).select(
-                "bucket", (-F.col("p.minus")).alias("pid"), F.col("p.n").alias("pn"), F.col("p.comp").alias("pcomp")),
-            "pivots")
-        sizes = (100 * F.least("n", "pn") >= percent * F.greatest("n", "pn"))
-        pairs = staged(rest.join(pivots, "bucket").filter((F.col("comp") != F.col("pcomp")) & sizes).select(
-            F.greatest("id", "pid").alias("u"), F.least("id", "pid").alias("v")).distinct(), "pairs")
-        left = pairs.join(sets.select(F.col("id").alias("_a"), F.col("items").alias("x")), F.col("u") == F.col("_a"))
-        both = left.join(sets.select(F.col("id").alias("_b"), F.col("items").alias("y")), F.col("v") == F.col("_b"))
-        good = both.select("u", "v", "x", "y").mapInPandas(_verify(percent), "u long, v long")
-        # what is known of the components so far, and the new links
-        links = staged(comp.filter("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v"))
-                       .union(good), "links")
-        rest = rest.join(pivots.select("bucket", F.col("pid").alias("id")), ["bucket", "id"], "left_anti")
-        comp = components(links)
-        pivots_a_bucket *= 16
+    # first round: everyone against the pivot of each bucket
+    pivots = rest.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.max(
+        F.struct("weight", (-F.col("id")).alias("minus"), "n")).alias("p")).select(
+            "bucket", "size", (-F.col("p.minus")).alias("pid"), F.col("p.n").alias("pn"))
+    rest = staged(rest.select("bucket", "id", "n").join(staged(pivots, "pivots"), "bucket"), "starred")
+    close = 100 * F.least("n", "pn") >= percent * F.greatest("n", "pn")
+    pairs = rest.filter(close & (F.col("id") != F.col("pid"))).select(
+        F.greatest("id", "pid").alias("u"), F.least("id", "pid").alias("v"))
+    links = staged(links.union(_confirmed(pairs, sets, percent)), "links")
+    comp = components(links)
+    # second round: what is still apart within a bucket
+    open_ = staged(rest.join(comp, F.col("id") == F.col("node"), "left").select(
+        "bucket", "size", "pid", "id", "n", F.coalesce("root", "id").alias("comp")), "labelled")
+    apart = open_.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter(
+        "lo <> hi").select("bucket")
+    open_ = staged(open_.join(apart, "bucket"), "open")
+    small, large = open_.filter(F.col("size") <= SMALL_BUCKET), open_.filter(F.col("size") > SMALL_BUCKET)
+    other = small.select("bucket", F.col("id").alias("v"), F.col("n").alias("pn"), F.col("comp").alias("vcomp"))
+    pairs = small.join(other, "bucket").filter(
+        (F.col("id") > F.col("v")) & (F.col("comp") != F.col("vcomp")) & close).select(
+            F.col("id").alias("u"), "v")
+    found = _confirmed(pairs, sets, percent).union(_block_links(large, sets, percent))
+    known = comp.filter("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v"))
+    return components(staged(known.union(found), "links"))
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) whose whole sets are similar enough."""
+    pairs = staged(pairs.distinct(), "pairs")
+    left = pairs.join(sets.select(F.col("id").alias("_a"), F.col("items").alias("x")), F.col("u") == F.col("_a"))
+    both = left.join(sets.select(F.col("id").alias("_b"), F.col("items").alias("y")), F.col("v") == F.col("_b"))
+    return both.select("u", "v", "x", "y").mapInPandas(_verify(percent), "u long, v long")
+
+
+def _block_links(large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between components inside large buckets, block against block.
+
+    Buckets of one pivot hold mostly the same classes, so they are one group.
+    Its classes are dealt into blocks; each pair of blocks is one bounded group.
+    """
+    group = large.select("pid", "id", "comp").distinct()
+    many = group.groupBy("pid").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    dealt = group.join(staged(many, "groups"), "pid").withColumn(
+        "block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    sent = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "pid", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "comp")
+    full = sent.join(sets.withColumnRenamed("id", "_s"), F.col("id") == F.col("_s")).drop("_s")
+    return full.groupBy("pid", "i", "j").applyInPandas(_similar_in_block(percent), "u long, v long")
+
+
+def _similar_in_block(percent: int):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        sets = [np.frombuffer(x, np.uint64) for x in rows["items"]]
+        sizes = np.array([len(x) for x in sets])
+        of = np.repeat(np.arange(len(sets)), sizes)
+        _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        shared = count > 1
+        place = np.cumsum(shared) - 1
+        keep = shared[column]
+        of, column = of[keep], place[column[keep]]
+        order = np.argsort(column, kind="stable")
+        of, column = of[order], column[order]
+        both = np.zeros((len(sets), len(sets)), np.float32)
+        for low in range(0, int(shared.sum()), COLUMNS):
+            a, b = np.searchsorted(column, [low, low + COLUMNS])
+            part = np.zeros((len(sets), COLUMNS), np.float32)
+            part[of[a:b], column[a:b] - low] = 1
+            both += part @ part.T
+        comp, ids = rows["comp"].to_numpy(), rows["id"].to_numpy()
+        together = both.astype(np.int64)
+        good = 100 * together >= percent * (sizes[:, None] + sizes[None, :] - together)
+        u, v = np.nonzero(np.triu(good & (comp[:, None] != comp[None, :]), 1))
+        if not len(u):
+            return pd.DataFrame({"u": [], "v": []}, dtype="int64")
+        nodes, root = roots_of(ids[u], ids[v])
+        return pd.DataFrame({"u": nodes, "v": root})[nodes != root]
+    return run
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:

@@ -390,7 +390,10 @@ def near_copies(rng, docs):
     return docs | made
 
 
-def test_near_duplicates_equal_brute_force(spark, corpus):
+@pytest.mark.parametrize("small", [32, 1])
+def test_near_duplicates_equal_brute_force(spark, corpus, monkeypatch, small):
+    monkeypatch.setattr(dedup, "SMALL_BUCKET", small)
+    monkeypatch.setattr(dedup, "BLOCK", 3)
     docs = near_copies(random.Random(3), texts(corpus)) | {5000: "a b", 5001: "A  b", 5002: "", 5003: None, 5004: "z"}
     df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(5)
     for size in (2, 5):

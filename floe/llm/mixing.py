@@ -85,22 +85,26 @@ def fit_domains(rows: list[tuple[str, str | None]], epochs: int = 5, rate: float
     return names, w.astype(np.float32), b
 
 
+def _classified(texts, model, cache: dict) -> tuple[list[int], list[np.ndarray]]:
+    """Tokens and posterior of each text."""
+    (_, w, b), tokens, post = model, [], []
+    for text in texts:
+        seq = _buckets(text, cache)
+        z = b + (w[seq].mean(0) if len(seq) else 0)
+        p = np.exp(z - z.max())
+        tokens.append(len(seq))
+        post.append(p / p.sum())
+    return tokens, post
+
+
 def posteriors(docs: DataFrame, model, extra: list[str]) -> DataFrame:
     """Columns ``extra``, tokens, p (array of doubles) for every row of ``docs``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        (_, w, b), cache = shared.value, worker_cache("mixing")
         for part in batches:
-            tokens, post = [], []
-            for text in part["text"]:
-                seq = _buckets(text, cache)
-                z = b + (w[seq].mean(0) if len(seq) else 0)
-                p = np.exp(z - z.max())
-                tokens.append(len(seq))
-                post.append(p / p.sum())
             out = part[extra].copy()
-            out["tokens"], out["p"] = tokens, post
+            out["tokens"], out["p"] = _classified(part["text"], shared.value, worker_cache("mixing"))
             yield out
 
     kinds = dict(docs.dtypes)
@@ -156,13 +160,13 @@ def fit_rates(rows: DataFrame, targets: np.ndarray | None) -> tuple[dict, np.nda
     return state, targets
 
 
-def document_rates(docs: DataFrame, labels: DataFrame, domain: str = "lang",
-                   weights: dict[str, float] | None = None, total: float | None = None,
-                   max_rows: int = MAX_TRAIN_ROWS) -> DataFrame:
-    """(doc_id, h, tokens, domain, p, rate) for every row; h is a hash of the text.
+def fit_mixture(docs: DataFrame, labels: DataFrame, domain: str = "lang",
+                weights: dict[str, float] | None = None, total: float | None = None,
+                max_rows: int = MAX_TRAIN_ROWS) -> tuple[tuple, dict, DataFrame]:
+    """(classifier, what ``replay`` needs, posteriors of every row with doc_id and h).
 
     ``weights`` by domain with ``total`` expected tokens (default: as many as now)
-    replace the tempered natural shares.
+    replace the tempered natural shares; h is a hash of the text.
     """
     marks = labels.select("doc_id").withColumn("_known", F.lit(1))
     rows = labelled_sample(docs, marks, "_known", 1, -1, max_rows, [domain, "text"])
@@ -177,7 +181,13 @@ def document_rates(docs: DataFrame, labels: DataFrame, domain: str = "lang",
         wanted = np.array([weights.get(n, 0.0) for n in names])
         now = total if total is not None else float(table.agg(F.sum("tokens")).first()[0] or 0)
         targets = wanted / wanted.sum() * now
-    state, _ = fit_rates(table, targets)
+    return model, fit_rates(table, targets)[0], table
+
+
+def document_rates(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """(doc_id, h, tokens, domain, p, rate) for every row; ``options`` as in ``fit_mixture``."""
+    model, state, table = fit_mixture(docs, labels, **options)
+    names = model[0]
 
     def rate(batches):
         for part in batches:
@@ -198,11 +208,25 @@ def copies_of(rate: Column, *key: Column) -> Column:
 
 
 def mix_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """``docs`` with every row repeated by its rate; the columns of ``docs``."""
-    rates = document_rates(docs, labels, **options)
-    many = staged(rates.select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"), copies_of(
-        F.col("rate"), F.lit("mix"), F.col("doc_id"), F.col("h")).alias("_n")).distinct(), "copies")
-    joined = docs.join(many, docs["doc_id"].eqNullSafe(many["_d"]) & (F.xxhash64(docs["text"]) == many["_h"]))
-    number = f"copy_{uuid.uuid4().hex}"
-    return joined.select(*[docs[c] for c in docs.columns],
-                         F.explode(F.array_repeat(F.lit(1), many["_n"])).alias(number)).drop(number)
+    """``docs`` with every row repeated by its rate; the columns of ``docs``.
+
+    The rate of a row follows from its own text and the fitted numbers, so it is
+    worked out where the row is: the documents are read once more, not shuffled.
+    """
+    model, state, _ = fit_mixture(docs, labels, **options)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def rate(text: pd.Series) -> pd.Series:
+        if not len(text):
+            return pd.Series([], dtype=float)
+        tokens, post = _classified(text, shared.value, worker_cache("mixing"))
+        return pd.Series(replay(np.array(tokens, float), np.stack(post), state["scale"], state["step"],
+                                state["history"]))
+
+    # marked as not deterministic, so that the optimiser doesn't repeat it in a filter of its own
+    copies = copies_of(rate.asNondeterministic()(docs["text"]), F.lit("mix"), docs["doc_id"],
+                       F.xxhash64(docs["text"]))
+    number, each = f"copies_{uuid.uuid4().hex}", f"copy_{uuid.uuid4().hex}"
+    counted = docs.select(*[docs[c] for c in docs.columns], copies.alias(number))
+    return counted.withColumn(each, F.explode(F.array_repeat(F.lit(1), F.col(number)))).drop(number, each)

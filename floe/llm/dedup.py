@@ -212,6 +212,8 @@ def _class_roots(docs: DataFrame, classes: DataFrame, links: DataFrame, shingle:
                  nameless: bool, repeated: bool) -> DataFrame:
     exploded = classes.select(F.col("id"), F.col("n"), F.posexplode("bands").alias("band", "value"))
     shared = exploded.groupBy("band", "value").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
+    # what a hot bucket is joined with is written first: adaptive execution then can split its rows
+    shared = staged(shared, "shared")
     rest = staged(exploded.join(shared, ["band", "value"])
                   .select(F.xxhash64("band", "value").alias("bucket"), "id", "n", "members"), "members")
     met = rest.groupBy("id").agg(F.sum("members").alias("weight"))
@@ -236,7 +238,7 @@ def _class_roots(docs: DataFrame, classes: DataFrame, links: DataFrame, shingle:
         "bucket", "size", "pid", "id", "n", F.coalesce("root", "id").alias("comp")), "labelled")
     apart = open_.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter(
         "lo <> hi").select("bucket")
-    open_ = staged(open_.join(apart, "bucket"), "open")
+    open_ = staged(open_.join(staged(apart, "apart"), "bucket"), "open")
     small, large = open_.filter(F.col("size") <= SMALL_BUCKET), open_.filter(F.col("size") > SMALL_BUCKET)
     other = small.select("bucket", F.col("id").alias("v"), F.col("n").alias("pn"), F.col("comp").alias("vcomp"))
     pairs = small.join(other, "bucket").filter(

@@ -103,7 +103,8 @@ def shard_documents(docs: DataFrame, shards: int = 16) -> DataFrame:
     rows = staged(docs.select(
         "doc_id", (F.octet_length(text).cast("long") + 1).alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"), F.unhex(F.sha2(text, 256)).alias("same")), "sized")
-    lead = rows.groupBy("same").agg(F.min("doc_id").alias("first_id"))
+    # written first: between two plain exchanges adaptive execution can split a hot group's rows
+    lead = staged(rows.groupBy("same").agg(F.min("doc_id").alias("first_id")), "lead")
     grouped = rows.join(lead.withColumnRenamed("same", "_same"), F.col("same") == F.col("_same")).drop("_same")
     grouped = staged(grouped, "grouped")
     # (first id, text) names a group; rows of a group that still tie are alike.  The number of a

@@ -148,8 +148,9 @@ def fit_subwords(rows: list[tuple], steps: int = 40, rate: float = 0.1, seed: in
     odds -= np.median(odds[active]) if active.any() else 0.0
     odds *= (counts[0] + counts[1]) / (counts[0] + counts[1] + SHRINK)
     del vocab, names
-    out = rng.normal(0, 0.5, DIM)
+    out = rng.normal(0, 0.5, DIM).astype(np.float32)
     table = (2 * odds[:, None] * out / (out @ out) + rng.normal(0, 0.01, (BUCKETS, DIM))) * active[:, None]
+    table = table.astype(np.float32)
     flat = np.concatenate(docs)
     spans = [windows(len(d)) for d in docs]
     base = np.concatenate([[0], np.cumsum([len(d) for d in docs])[:-1]])
@@ -165,7 +166,7 @@ def fit_subwords(rows: list[tuple], steps: int = 40, rate: float = 0.1, seed: in
         return x - rate * (m[0] / (1 - 0.9 ** t)) / (np.sqrt(m[1] / (1 - 0.99 ** t)) + 1e-8)
 
     for t in range(1, steps + 1):
-        by_bucket = table @ out
+        by_bucket = (table @ out).astype(np.float64)
         word = np.add.reduceat(by_bucket[sub_ids], first_sub) / per_word
         total = np.concatenate([[0.0], np.cumsum(word[flat])])
         logits = (total[e] - total[s]) / width
@@ -177,11 +178,12 @@ def fit_subwords(rows: list[tuple], steps: int = 40, rate: float = 0.1, seed: in
         edge = np.bincount(s[at], err / width[at], len(flat) + 1) - np.bincount(e[at], err / width[at], len(flat) + 1)
         grad_word = np.bincount(flat, np.cumsum(edge)[:len(flat)], len(per_word)) / per_word
         by_slot = np.bincount(sub_ids, np.repeat(grad_word, per_word), BUCKETS) * active
+        by_slot = by_slot.astype(np.float32)
         d_out = by_slot @ table
         table = step(table, by_slot[:, None] * out, moments[0], t)
         out = step(out, d_out, moments[1], t)
         bias = float(step(np.array([bias]), np.array([err.sum()]), moments[2], t)[0])
-    return SubwordModel(table @ out, bias)
+    return SubwordModel((table @ out).astype(np.float64), bias)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0,

@@ -3,21 +3,25 @@
 1. A softmax classifier on hashed words is fitted in numpy on a bounded sample of
    labelled documents (rows of the labels table that have a domain).
 2. One pass gives every document its tokens t_d and posterior p_dk.
-3. Nonnegative rates r_d are fitted by projected gradient on
+3. Nonnegative rates r_d minimise
 
-       1/2 sum_k ((sum_d r_d t_d p_dk - T_k) / T_k)^2 ,   r_d >= 0, from r = 1,
+       1/2 sum_k ((sum_d r_d t_d p_dk - T_k) / T_k)^2 ,   r_d >= 0, nearest to r = 1,
 
-   where T_k is the wanted number of expected tokens of domain k.  A gradient
-   step for a document needs only its own row and the K residuals.  Rates are not
-   stored between steps: a task replays the residuals so far (at most ``STEPS`` x K
-   numbers) on its rows and adds up its share of the K totals, so a lost executor
-   costs one recomputation and no state.
+   where T_k is the wanted number of expected tokens of domain k.  The nearest
+   point has r_d = max(1 - t_d sum_k p_dk lambda_k / T_k, 0): one projected gradient
+   step along K numbers, which are found by Newton's method on the dual problem.
+   Its curvature is the K x K Gram matrix of the rows above 0, so long documents
+   don't slow it down.  A step is one pass in which every task adds up its rows'
+   share of the totals and of the matrix; no rate is stored, and a lost executor
+   costs one recomputation.  It ends when every domain is within ``TOLERANCE`` of
+   its target, or when a dual bound proves that no rates come closer.
 
 Without given targets the weights are the domains' natural shares to the power
 ``TEMPERATURE``, at the smallest total that shrinks no domain.
 
 Defined results: a null or empty text has no tokens, the posterior of the bias and
-rate 1; a null domain is no label; without labelled documents all belong to one
+rate 1; targets that no rates reach give the nearest rates, a warning and the
+residual (``fit_rates``); a null domain is no label; without labelled documents all belong to one
 domain and all rates are 1; a target domain that the sample doesn't know is
 refused; without documents the result is empty.  Repeated rows get equal rates.
 """
@@ -25,7 +29,9 @@ refused; without documents the result is empty.  Repeated rows get equal rates.
 from __future__ import annotations
 
 import uuid
+import warnings
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -37,8 +43,9 @@ from floe.llm.common import labelled_sample, staged, worker_cache
 BUCKETS = 1 << 15
 MAX_TRAIN_ROWS = 4_000
 TEMPERATURE = 0.7
-STEPS = 60
 TOLERANCE = 1e-3
+TRIALS = 0.25 ** np.arange(8)   # lengths of a Newton step that one pass tries
+MAX_PASSES = 1_000              # raises, never returns, beyond
 
 
 def _buckets(text: str | None, cache: dict) -> np.ndarray:
@@ -113,51 +120,109 @@ def posteriors(docs: DataFrame, model, extra: list[str]) -> DataFrame:
 
 
 def replay(t: np.ndarray, p: np.ndarray, scale: np.ndarray, step: float, history: list[np.ndarray]) -> np.ndarray:
-    """Rates after the steps whose residuals are in ``history``; t are tokens over ``unit``."""
+    """Rates after the projected steps along ``history``, from 1; ``fit_rates`` finds the one that is enough."""
     r = np.ones(len(t))
     for residual in history:
         np.maximum(r - step * t * (p @ (residual * scale)), 0, out=r)
     return r
 
 
+def shares(t: np.ndarray, p: np.ndarray, scale: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What rows add up to at each of ``points``, and the smallest p . (scale * point) of a row with tokens.
+
+    A line is half the sum of squared rates, the K scaled totals, the K x K Gram matrix of the rows above 0.
+    """
+    a, lines, low = t[:, None] * p * scale, [], []
+    for point in points:
+        r = replay(t, p, scale, 1.0, [point])
+        above = a[r > 0]
+        lines.append(np.concatenate([[r @ r / 2], r @ a, (above.T @ above).ravel()]))
+        low.append((p[t > 0] @ (scale * point)).min(initial=np.inf))
+    return np.array(lines), np.array(low)
+
+
+def solve(pass_over: Callable, wanted: np.ndarray, scale: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(point, residual of each domain over its target); ``pass_over(points)`` sums ``shares`` over all rows.
+
+    Minimises 1/2 sum r_d^2 + wanted . point + eps/2 |point|^2 for a falling eps: its minimum has the
+    residual eps * point, and belongs to the least squares plus eps/2 |r - 1|^2.
+    """
+    k, point, passes = len(wanted), np.zeros(len(wanted)), 1
+    lines, low = pass_over(point[None])
+    line, low = lines[0], low[0]
+    diagonal = line[1 + k:].reshape(k, k).diagonal()
+    if not diagonal.any():
+        return point, line[1:1 + k] - wanted
+    eps, first = 1e-4 * diagonal[diagonal > 0].min(), 1.0
+
+    def height(x, at):
+        return at[0] + wanted @ x + eps / 2 * (x @ x)
+
+    while True:
+        residual = line[1:1 + k] - wanted
+        if np.abs(residual).max() <= TOLERANCE:
+            return point, residual
+        # y is a point of the dual of the least squares (y . a_d >= 0 for every row), so it bounds them from below
+        y = eps * point + max(0.0, -eps * low) / scale
+        bound = -(y @ y) / 2 - y @ wanted
+        if np.linalg.norm(residual) - np.sqrt(max(2 * bound, 0.0)) <= TOLERANCE:
+            return point, residual
+        slope = eps * point - residual
+        matrix = line[1 + k:].reshape(k, k) + eps * np.eye(k)
+        if np.abs(slope).max() <= TOLERANCE / 100 or first < 1e-12:
+            eps, first = eps / 100, 1.0
+            continue
+        if passes >= MAX_PASSES:
+            raise RuntimeError(f"rates not found in {passes} passes; residuals {residual.tolist()}")
+        unit = 1 / np.sqrt(matrix.diagonal())
+        move = -unit * np.linalg.lstsq(matrix * unit[:, None] * unit, unit * slope, rcond=None)[0]
+        points = point + first * TRIALS[:, None] * move
+        lines, lows = pass_over(points)
+        passes += 1
+        heights = [height(x, at) for x, at in zip(points, lines)]
+        best = int(np.argmin(heights))
+        if heights[best] < height(point, line):
+            point, line, low, first = points[best], lines[best], lows[best], 1.0
+        else:
+            first *= TRIALS[-1] / 4
+
+
 def fit_rates(rows: DataFrame, targets: np.ndarray | None) -> tuple[dict, np.ndarray]:
-    """What ``replay`` needs, and the targets; ``rows`` has (tokens, p) and is read once a step."""
+    """What ``replay`` needs, and the targets; ``rows`` has (tokens, p) and is read once a step.
+
+    The state also holds the expected tokens that are ``reached`` and the ``residual`` of each
+    domain over its target (over all tokens where the target is 0).
+    """
     k = len(targets) if targets is not None else rows.select(F.max(F.size("p"))).first()[0] or 1
-    at = [F.col("p")[i] for i in range(k)]
-    sums = [F.sum(F.col("tokens") * a) for a in at]
-    square = F.col("tokens").cast("double") * F.col("tokens")
-    gram = [F.sum(square * at[i] * at[j]) for i in range(k) for j in range(i, k)]
-    got = [float(v or 0) for v in rows.agg(*sums, *gram).first()]
-    now = np.array(got[:k])
+    sums = [F.sum(F.col("tokens") * F.col("p")[i]) for i in range(k)]
+    now = np.array([float(v or 0) for v in rows.agg(*sums).first()])
     if targets is None:
         weight = np.where(now > 0, now, 0) ** TEMPERATURE
         weight = weight / weight.sum() if weight.sum() else np.full(k, 1 / k)
         targets = weight * max((n / w for n, w in zip(now, weight) if w > 0), default=0.0)
     scale = 1 / np.maximum(targets, 1e-9)
     scale = np.where(targets > 0, scale, 1 / max(now.sum(), 1.0))
-    matrix = np.zeros((k, k))
-    matrix[np.triu_indices(k)] = got[k:]
-    matrix = (matrix + np.triu(matrix, 1).T) * scale[:, None] * scale[None, :]
-    top = float(np.linalg.eigvalsh(matrix)[-1])
-    state = {"scale": scale, "step": 1 / top if top > 0 else 0.0, "history": []}
-
-    def totals(batches):
-        for part in batches:
-            t, p = part["tokens"].to_numpy(float), np.stack(part["p"].to_numpy()) if len(part) else np.zeros((0, k))
-            r = replay(t, p, state["scale"], state["step"], state["history"])
-            yield pd.DataFrame({"k": np.arange(k), "v": (r * t) @ p})
-
-    reached = now
-    for _ in range(STEPS):
-        residual = (reached - targets) * scale
-        if not state["step"] or np.abs(residual).max() <= TOLERANCE:
-            break
-        state["history"].append(residual)
-        got = dict(rows.select("tokens", "p").mapInPandas(totals, "k int, v double").groupBy("k").agg(
-            F.sum("v")).collect())
-        reached = np.array([got.get(i, 0.0) for i in range(k)])
-    state["reached"] = reached
-    return state, targets
+    width = 1 + k + k * k
+
+    def pass_over(points):
+        def part_of(batches):
+            for part in batches:
+                t, p = part["tokens"].to_numpy(float), np.stack(part["p"].to_numpy()) if len(part) else np.zeros((0, k))
+                lines, low = shares(t, p, scale, points)
+                yield pd.DataFrame({"i": np.arange(len(points)), "v": list(lines), "low": low})
+
+        got = rows.select("tokens", "p").mapInPandas(part_of, "i int, v array<double>, low double").groupBy("i").agg(
+            *[F.sum(F.col("v")[j]) for j in range(width)], F.min("low")).collect()
+        lines, low = np.zeros((len(points), width)), np.full(len(points), np.inf)
+        for i, *line, least in got:
+            lines[i], low[i] = line, least
+        return lines, low
+
+    point, residual = solve(pass_over, targets * scale, scale)
+    if np.abs(residual).max() > TOLERANCE:
+        warnings.warn(f"no rates reach the targets; nearest residuals by domain: {residual.round(4).tolist()}")
+    return {"scale": scale, "step": 1.0, "history": [point] if point.any() else [], "residual": residual,
+            "reached": targets + residual / scale}, targets
 
 
 def fit_mixture(docs: DataFrame, labels: DataFrame, domain: str = "lang",

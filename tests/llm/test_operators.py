@@ -365,6 +365,40 @@ def test_rates_equal_a_plain_solver():
     assert np.abs((t * r) @ p / targets - 1).max() < 1e-2
 
 
+def test_rates_reach_the_targets_beside_very_long_texts(spark, corpus):
+    rng = np.random.default_rng(7)
+    for heavy in range(4):
+        kind = rng.choice(4, 2_000, p=[0.6, 0.2, 0.15, 0.05])
+        t = np.append(rng.integers(1, 400, 2_000), [1_000_000] * 3)
+        p = 0.97 * np.eye(4)[np.append(kind, [heavy] * 3)] + 0.03 * rng.dirichlet([1] * 4, 2_003)
+        rows = spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(t, p)], "tokens long, p array<double>")
+        state, targets = mixing.fit_rates(rows, None)
+        r = mixing.replay(t.astype(float), p, state["scale"], state["step"], state["history"])
+        assert (r >= 0).all() and np.abs((t * r) @ p / targets - 1).max() <= 1.001 * mixing.TOLERANCE
+        assert state["reached"] == pytest.approx((t * r) @ p)
+    long = spark.createDataFrame([(900 + i, "palabra muy larga y " * 250_000, "es") for i in range(3)],
+                                 "doc_id long, text string, lang string")
+    docs = corpus.select("doc_id", "text", "lang").unionByName(long)
+    got = mixing.document_rates(docs, corpus.select("doc_id")).toPandas()
+    p, t = np.stack(got.p), got.tokens.to_numpy()
+    now = t @ p
+    weight = now ** mixing.TEMPERATURE / (now ** mixing.TEMPERATURE).sum()
+    assert t.max() == 1_000_000
+    assert (got.rate.to_numpy() * t) @ p == pytest.approx(weight * (now / weight).max(), rel=2e-3)
+
+
+def test_targets_out_of_reach_are_told(spark):
+    rng = np.random.default_rng(8)
+    t = rng.integers(1, 400, 300)
+    rows = spark.createDataFrame([(int(a), [0.6, 0.4]) for a in t], "tokens long, p array<double>")
+    targets = np.array([0.1, 0.9]) * t.sum()
+    with pytest.warns(UserWarning, match="no rates reach"):
+        state, _ = mixing.fit_rates(rows, targets)
+    grid = np.linspace(0, 3, 30_001)[:, None] * t.sum() * np.array([0.6, 0.4]) / targets - 1
+    best = grid[(grid ** 2).sum(1).argmin()]
+    assert np.linalg.norm(state["residual"]) == pytest.approx(np.linalg.norm(best), abs=2 * mixing.TOLERANCE)
+
+
 def test_mixing_odd_rows(spark, corpus):
     odd = odd_rows(spark)
     known = corpus.select("doc_id")

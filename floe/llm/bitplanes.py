@@ -109,6 +109,9 @@ class Encoder:
     it lower-cases, so the ids of a text are those of its white-space separated
     pieces in order, and a worker asks the library once for each piece it meets.
     Texts that may hold a special token's string are encoded in one go.
+
+    The library composes before it lower-cases: W and a ring stay two characters, w and a
+    ring become one.  So texts with combining marks of U+0300 to U+037F keep their case here.
     """
 
     def __init__(self, path: str):
@@ -119,6 +122,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.pieces = worker_cache(f"pieces {path}")
+        self.letters = worker_cache(f"letters {path}")
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -136,12 +140,19 @@ class Encoder:
             out += [raw[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist())]
         return out
 
+    def _apart(self, last: str) -> bool:
+        """Whether the library itself parts punctuation from the letter ``last``; some become letter and mark."""
+        if last not in self.letters:
+            parts = self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(last + "."))
+            self.letters[last] = last.isalpha() and parts[-1][0] == "."
+        return self.letters[last]
+
     def _learn(self, pieces: set[bytes]) -> None:
         """Fill the table; punctuation after a last letter is a piece of its own."""
         known, stem = self.pieces, {}
         for p in pieces:
             s = p.rstrip(MARKS)
-            if 0 < len(s) < len(p) and (97 <= s[-1] <= 122 or s.decode()[-1].isalpha()):
+            if 0 < len(s) < len(p) and (97 <= s[-1] <= 122 or self._apart(s.decode()[-1])):
                 stem[p] = s
         fresh = list({x for p in pieces for x in ((stem[p], p[len(stem[p]):]) if p in stem else (p,))}.difference(known))
         known.update(zip(fresh, self._ask([x.decode() for x in fresh])))
@@ -150,7 +161,7 @@ class Encoder:
     def ids(self, texts: list[str | None]) -> Iterator[bytes]:
         for at in range(0, len(texts), AT_ONCE):
             raw = [(t or "").encode("utf-8", "replace") for t in texts[at:at + AT_ONCE]]
-            split = [None if b"<|" in r else r.lower().split() for r in raw]
+            split = [None if b"<|" in r else (r if b"\xcc" in r or b"\xcd" in r else r.lower()).split() for r in raw]
             fresh = set().union(*filter(None, split)).difference(self.pieces)
             if len(self.pieces) + 2 * len(fresh) > CACHE_CHUNKS:
                 self.pieces.clear()

@@ -515,6 +515,20 @@ def test_files_hold_the_tokenizers_ids(spark, corpus, monkeypatch):
     assert bitplanes.read_documents(bitplanes.write_files(odd_rows(spark).limit(0), path)).count() == 0
 
 
+def test_ids_of_every_letter_before_punctuation():
+    from tokenizers import Tokenizer
+
+    path = catalog.tokenizer_path()
+    tok, encoder = Tokenizer.from_file(path), bitplanes.Encoder(path)
+    encoder.pieces = {}
+    letters = [chr(c) for c in range(0x110000) if chr(c).isalpha()]
+    cases = [f"a{c}." for c in letters] + [f"{c}!?\"" for c in letters]
+    cases += ["GAZETESİ.", "gazetesi̇.", "W̊ H̱.", "T̈́! J̌, Y̊", "ẘ ẖ.", "\u0958)", "\ufb2a...", "\u1100\u1161."]
+    got = [np.frombuffer(x, "<u4").tolist() for x in encoder.ids(cases)]
+    want = [e.ids for e in tok.encode_batch(cases, add_special_tokens=False)]
+    assert [c for c, a, b in zip(cases, got, want) if a != b] == []
+
+
 def test_shards_keep_all_rows_over_many_ranges(spark):
     names = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k"}
     before = {k: spark.conf.get(k) for k in names}

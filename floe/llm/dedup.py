@@ -30,6 +30,7 @@ of such rows only has a null component_id.  Without documents: no rows.
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -303,18 +304,26 @@ def _similar_in_block(percent: int):
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """One document of each group stays; of rows that repeat a doc_id, one.  Columns as in ``docs``.
+    """One row of each group of near copies stays, the one of the smallest doc_id.  Columns as in ``docs``.
 
-    Rows without doc_id can't be told apart by it: of those only equal texts are dropped.
+    Where doc_id is repeated or null, rows are told apart by it and a hash of their text:
+    different texts of one doc_id go by their own groups, rows without doc_id stay only
+    where no row with one does, and texts without words are dropped only as repeats.
     """
-    found = near_duplicates(docs.select("doc_id", "text"), **options)
-    kept = staged(found.filter("kept").select(F.col("doc_id").alias("_kept")), "kept")
-    ids = kept.filter("_kept is not null")
-    own = ids.distinct()
-    out = docs.join(own, docs["doc_id"] == own["_kept"], "left_semi")
-    if ids.count() != ids.distinct().count():
-        out = out.dropDuplicates(["doc_id"])
-    nameless = docs.filter("doc_id is null")
-    if not nameless.isEmpty():
-        out = out.union(nameless.dropDuplicates(["text"]))
-    return out
+    rows, ids = docs.agg(F.count(F.lit(1)), F.countDistinct("doc_id")).first()
+    if rows == ids:
+        found = near_duplicates(docs.select("doc_id", "text"), **options)
+        own = staged(found.filter("kept").select(F.col("doc_id").alias("_kept")), "kept")
+        return docs.join(own, docs["doc_id"] == own["_kept"], "left_semi")
+    name = f"h_{uuid.uuid4().hex}"
+    keyed = docs.withColumn(name, F.pmod(F.xxhash64(docs["text"]), F.lit(NO_ID)))
+    texts = staged(keyed.select(F.col(name).alias("doc_id"), "text").dropDuplicates(["doc_id"]), "texts")
+    found = staged(near_duplicates(texts, **options).select(
+        F.col("doc_id").alias("_text"), "n_shingles", "component_id"), "text_groups")
+    met = keyed.select("doc_id", F.col(name).alias("h")).join(found, F.col("h") == F.col("_text"))
+    first = met.filter("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct(
+        F.col("doc_id").isNull().alias("unnamed"), "doc_id", "h")).alias("m")).select("m.doc_id", "m.h")
+    kept = staged(first.union(met.filter("n_shingles = 0").select("doc_id", "h").distinct()).select(
+        F.col("doc_id").alias("_kept"), F.col("h").alias("_h")), "kept")
+    out = keyed.join(kept, keyed["doc_id"].eqNullSafe(kept["_kept"]) & (keyed[name] == kept["_h"]), "left_semi")
+    return out.dropDuplicates(["doc_id", name]).drop(name)

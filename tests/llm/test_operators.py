@@ -445,6 +445,20 @@ def test_rows_that_share_an_id_tie_their_texts_together(spark):
     assert got == [(0, 1), (1, 1), (1, 1), (2, 1), (3, 1), (4, 4)]
 
 
+def test_dropping_copies_goes_by_texts_where_ids_repeat(spark):
+    one, two = "a b c d e f g h i j k l m n o p q r s t", "u v w x y z aa bb cc dd ee ff gg hh ii jj kk ll mm"
+    three, four = "p1 p2 p3 p4 p5 p6 p7 p8 p9 p10 p11 p12 p13 p14 p15 p16 p17 p18 p19 p20", "q1 q2 q3 q4 q5 q6 q7"
+    rows = [(1, one), (1, two), (1, one), (2, two + " nn"), (3, one + " u"), (4, "else"), (None, two), (None, three),
+            (None, three + " p21"), (None, four), (5, four), (6, None), (None, None), (None, None), (7, " ")]
+    df = spark.createDataFrame([(d, t, 1, 2, 3) for d, t in rows], "doc_id long, text string, h long, _h long, _kept long")
+    got = dedup.drop_near_duplicates(df, shingle=2)
+    assert got.columns == df.columns
+    got = Counter((r.doc_id, r.text) for r in got.collect())
+    lone = [k for k in got if k[0] is None and k[1]]
+    assert len(lone) == 1 and lone[0][1].startswith(three)
+    assert got - Counter(lone) == Counter([(1, one), (1, two), (4, "else"), (5, four), (6, None), (None, None), (7, " ")])
+
+
 def test_minhash_estimates_and_order():
     rng = np.random.default_rng(2)
     base = np.unique(rng.integers(0, 2 ** 63, 400).astype(np.uint64))

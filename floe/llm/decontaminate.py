@@ -22,7 +22,8 @@ are joined by a shuffle and the candidates are verified by a second join.
 Defined results: a null, empty or wordless text or item has no words, hits
 nothing and is never contaminated; rows alike in doc_id and text are one document
 with one row; items that repeat an item_id count once; items with a null item_id
-are left out.  Empty documents give no rows, an empty benchmark no hits.
+are left out of ``contamination`` as in its query's SQL (``nameless`` takes them), but
+``drop_contaminated`` drops their passages too.  Empty documents give no rows, an empty benchmark no hits.
 """
 
 from __future__ import annotations
@@ -45,16 +46,18 @@ def _key(words: str, at: Column, size: int) -> Column:
     return F.xxhash64(F.lit(size), *[F.get(F.col(words), at + i) for i in range(size)])
 
 
-def benchmark_windows(benchmark: DataFrame, window: int, min_words: int) -> tuple[DataFrame, DataFrame]:
-    """(windows: pid, pw, len), (owners: pid, item_id)."""
-    items = benchmark.filter("item_id is not null").select(
+def benchmark_windows(benchmark: DataFrame, window: int, min_words: int,
+                      nameless: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(windows: pid, pw, len), (owners: pid, item_id); with ``nameless`` also windows of items without item_id."""
+    items = (benchmark if nameless else benchmark.filter("item_id is not null")).select(
         F.col("item_id").cast("string").alias("item_id"), words_of(F.col("text")).alias("w"))
     size = F.least(F.size("w"), F.lit(window))
     cut = items.filter(F.size("w") >= max(min_words, 1)).select(
         "item_id", "w", size.alias("len"), F.explode(F.sequence(F.lit(1), F.size("w") - size + 1)).alias("at"))
     rows = staged(cut.select("item_id", "len", F.slice("w", F.col("at"), F.col("len")).alias("pw")).withColumn(
         "pid", F.sha2(F.concat_ws(" ", "pw"), 256)).distinct(), "windows")
-    return rows.select("pid", "pw", "len").distinct(), rows.select("pid", "item_id").distinct()
+    return rows.select("pid", "pw", "len").distinct(), rows.select("pid", "item_id").filter(
+        "item_id is not null").distinct()
 
 
 def _placed(windows: DataFrame, shingle: int) -> DataFrame:
@@ -125,9 +128,9 @@ def occurrences(docs: DataFrame, windows: DataFrame, shingle: int, threshold: fl
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 5,
-                  threshold: float = 1.0, min_words: int = 1) -> DataFrame:
+                  threshold: float = 1.0, min_words: int = 1, nameless: bool = False) -> DataFrame:
     """(doc_id, h, n_words, n_hit, items: sorted item_ids as text) for every document."""
-    windows, owners = benchmark_windows(benchmark, window, min_words)
+    windows, owners = benchmark_windows(benchmark, window, min_words, nameless)
     met = occurrences(docs.select("doc_id", "text"), windows, shingle, threshold)
     base = met.groupBy("doc_id", "h").agg(F.max("n_words").cast("long").alias("n_words"))
     hits = met.filter("pid is not null")
@@ -146,7 +149,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shing
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark window, with their columns."""
-    bad = staged(contamination(docs, benchmark, **options).filter("n_hit > 0").select(
+    bad = staged(contamination(docs, benchmark, **{"nameless": True, **options}).filter("n_hit > 0").select(
         F.col("doc_id").alias("_d"), F.col("h").alias("_h")), "contaminated")
     bad = F.broadcast(bad) if bad.count() <= BROADCAST_ROWS else bad
     return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_d"]) & (F.xxhash64(docs["text"]) == bad["_h"]), "left_anti")

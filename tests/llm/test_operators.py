@@ -280,6 +280,16 @@ def test_contamination_odd_rows(spark):
     assert kept.columns == df.columns and kept.count() == 9
 
 
+def test_items_without_an_id_are_dropped_from_documents(spark):
+    item = "one two three four five six seven eight nine ten eleven"
+    df = spark.createDataFrame([(1, "x " + item), (2, "something else altogether")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, item), (3, "q1 q2 q3 q4 q5 q6")], "item_id long, text string")
+    assert [r.doc_id for r in decontaminate.drop_contaminated(df, items, min_words=5).collect()] == [2]
+    got = {r.doc_id: (r.n_hit, r["items"]) for r in decontaminate.contamination(df, items, nameless=True).collect()}
+    assert got == {1: (11, []), 2: (0, [])}
+    assert {r.n_hit for r in decontaminate.contamination(df, items).collect()} == {0}      # as the query's SQL
+
+
 # -- op6, op9 ------------------------------------------------------------------------
 
 def junk(i):

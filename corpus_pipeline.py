@@ -14,7 +14,7 @@ from floe.llm import decontaminate, dedup, mixing, quality, shard
 from floe.llm.common import staged, table
 
 KEEP_SCORE = 0.5
-#: Items of fewer words than a shingle mark no document in the pipeline: such words occur in clean text.
+#: Items of fewer words than a shingle occur in clean text: they mark only documents that are mostly such an item.
 MIN_ITEM_WORDS = 5
 
 

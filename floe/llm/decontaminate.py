@@ -147,9 +147,27 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shing
                       F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark window, with their columns."""
-    bad = staged(contamination(docs, benchmark, **{"nameless": True, **options}).filter("n_hit > 0").select(
-        F.col("doc_id").alias("_d"), F.col("h").alias("_h")), "contaminated")
+def mostly_short_items(docs: DataFrame, benchmark: DataFrame, min_words: int, shingle: int = 5) -> DataFrame:
+    """(doc_id, h) of documents of which more than half of the words are one item of fewer than ``min_words`` words."""
+    short = benchmark.filter(F.size(words_of(F.col("text"))).between(1, min_words - 1))
+    windows, _ = benchmark_windows(short, max(min_words - 1, 1), 1, nameless=True)
+    met = occurrences(docs.select("doc_id", "text"), windows, shingle, 1.0).filter("pid is not null")
+    places = met.select("doc_id", "h", "n_words", "pid", F.explode(
+        F.sequence(F.col("start"), F.col("start") + F.col("len") - 1)).alias("p")).distinct()
+    return places.groupBy("doc_id", "h", "pid").agg(F.count(F.lit(1)).alias("n"), F.max("n_words").alias("n_words")).filter(
+        "2 * n > n_words").select("doc_id", "h").distinct()
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, min_words: int = 1, **options) -> DataFrame:
+    """The rows of ``docs`` that hold no benchmark window, with their columns.
+
+    Items of fewer than ``min_words`` words occur in clean text, so they mark only documents
+    that consist mostly of one of them.
+    """
+    found = contamination(docs, benchmark, min_words=min_words, **{"nameless": True, **options}).filter(
+        "n_hit > 0").select("doc_id", "h")
+    if not benchmark.filter(F.size(words_of(F.col("text"))).between(1, min_words - 1)).isEmpty():
+        found = found.union(mostly_short_items(docs, benchmark, min_words, options.get("shingle", 5))).distinct()
+    bad = staged(found.select(F.col("doc_id").alias("_d"), F.col("h").alias("_h")), "contaminated")
     bad = F.broadcast(bad) if bad.count() <= BROADCAST_ROWS else bad
     return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_d"]) & (F.xxhash64(docs["text"]) == bad["_h"]), "left_anti")

@@ -290,6 +290,15 @@ def test_items_without_an_id_are_dropped_from_documents(spark):
     assert {r.n_hit for r in decontaminate.contamination(df, items).collect()} == {0}      # as the query's SQL
 
 
+def test_documents_that_are_mostly_a_short_item_are_dropped(spark):
+    df = spark.createDataFrame([(1, "Capital of Peru?"), (2, "the capital of peru is a town of some size"), (3, None),
+                                (4, "capital of peru, capital of peru: Lima"), (5, "capital of peru lima lies there"),
+                                (None, "CAPITAL OF PERU")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "capital of Peru"), (None, "lima"), (2, "!"), (3, None)], "item_id long, text string")
+    kept = decontaminate.drop_contaminated(df, items, min_words=5)
+    assert sorted(r.doc_id for r in kept.collect()) == [2, 3, 5] and kept.columns == df.columns
+
+
 # -- op6, op9 ------------------------------------------------------------------------
 
 def junk(i):

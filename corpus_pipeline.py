@@ -13,14 +13,16 @@ from pyspark.sql import DataFrame, SparkSession
 from floe.llm import decontaminate, dedup, mixing, quality, shard
 from floe.llm.common import staged, table
 
-KEEP_SCORE = 0.5
+#: Threshold and metadata as in op6.
+KEEP_SCORE = 0.7
+METADATA = ("n_chars",)
 #: Items of fewer words than a shingle occur in clean text: they mark only documents that are mostly such an item.
 MIN_ITEM_WORDS = 5
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject."""
-    return quality.keep_good(docs, table(spark, sf_dir, "labels"), KEEP_SCORE)
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"), KEEP_SCORE, METADATA)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import pytest
 
 import corpus_pipeline
+from floe.llm import catalog, quality
 from floe.llm.common import table
 
 SF = "/root/testdata/sf0.001"
@@ -22,6 +23,22 @@ def test_stages_keep_columns_and_clean_documents(spark):
     assert out.count() == sizes[4] and {r.shard for r in out.collect()} <= set(range(16))
 
 
+def test_quality_stage_keeps_what_the_query_predicts_good(spark, monkeypatch):
+    docs = table(spark, SF, "documents")
+    good = catalog.op6_factorisation_machine_quality(spark, SF).filter("predicted = 1").select("doc_id")
+    want = sorted(r.doc_id for r in good.collect())
+    given = {}
+    keep = quality.keep_good
+
+    def seen(docs, labels, least, metadata=(), **options):
+        given.update(least=least, metadata=metadata)
+        return keep(docs, labels, least, metadata, **options)
+
+    monkeypatch.setattr(quality, "keep_good", seen)
+    assert sorted(r.doc_id for r in corpus_pipeline.keep_quality(spark, docs, SF).collect()) == want
+    assert given == {"least": 0.7, "metadata": ("n_chars",)}
+
+
 def test_stages_take_odd_and_empty_tables(spark):
     kind = "doc_id long, text string, lang string, source string, n_chars long, root long, pid string, _n int, _d long, _h long, _kept long"
     rows = [(1, None), (2, ""), (None, "x y"), (3, "a b c d e f g"), (3, "a b c d e f g"), (4, "word " * 20_000)]

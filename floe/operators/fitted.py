@@ -174,17 +174,24 @@ class MedianImputer:
 # ---------------------------------------------------------- A2/A3 labels
 class LabelEncoderModel:
     def __init__(self, input_col: str, output_col: str, mapping: DataFrame,
-                 classes: list[str], on_unseen: str, literal: bool = True):
+                 classes: list[str] | None, on_unseen: str, literal: bool = True):
         self.input_col = input_col
         self.output_col = output_col
         self.mapping = mapping          # (label string, code int)
-        self.classes = classes          # sorted labels: as many as a report has rows
+        self._classes = classes         # sorted labels; None: collected from the mapping when asked for
         self.literal = literal          # inlined in expressions, or joined
         self.on_unseen = on_unseen
 
+    @property
+    def classes(self) -> list[str]:
+        """Sorted labels, as many as a report has rows."""
+        if self._classes is None:
+            self._classes = [r["label"] for r in self.mapping.orderBy("code").collect()]
+        return self._classes
+
     @property
     def num_classes(self) -> int:
-        return len(self.classes)
+        return self.mapping.count() if self._classes is None else len(self._classes)
 
     def _guard(self, code: Column, label: Column) -> Column:
         if self.on_unseen == "error":
@@ -226,12 +233,13 @@ class LabelEncoder:
     def fit(self, df: DataFrame) -> LabelEncoderModel:
         distinct = df.select(c(self.input_col).cast("string").alias("label")).where(
             F.col("label").isNotNull()).distinct()
-        # The classes are what a report lists, so the driver holds them at any size;
-        # a large vocabulary is only applied differently, by a join instead of literals.
-        classes = sorted(r["label"] for r in distinct.collect())
+        classes = sorted(r["label"] for r in distinct.limit(LITERAL_VOCAB_LIMIT + 1).collect())
+        if len(classes) > LITERAL_VOCAB_LIMIT:
+            # a large vocabulary stays a table; only a report collects its names
+            return LabelEncoderModel(self.input_col, self.output_col, label_codes(df, self.input_col), None,
+                                     self.on_unseen, False)
         mapping = df.sparkSession.createDataFrame([(v, i) for i, v in enumerate(classes)], "label string, code int")
-        return LabelEncoderModel(self.input_col, self.output_col, mapping, classes, self.on_unseen,
-                                 len(classes) <= LITERAL_VOCAB_LIMIT)
+        return LabelEncoderModel(self.input_col, self.output_col, mapping, classes, self.on_unseen)
 
 
 def label_codes(df: DataFrame, label_col: str) -> DataFrame:

@@ -80,6 +80,14 @@ def test_large_vocabularies_give_the_same_codes(spark, monkeypatch):
     assert sorted(map(tuple, small.transform(df).collect())) == sorted(map(tuple, large.transform(df).collect()))
 
 
+def test_large_vocabularies_stay_a_table(spark, monkeypatch):
+    monkeypatch.setattr(FT, "LITERAL_VOCAB_LIMIT", 5)
+    df = spark.range(40).select(F.concat(F.lit("c"), F.col("id").cast("string")).alias("l"))
+    model = FT.LabelEncoder("l").fit(df)
+    assert model._classes is None and model.num_classes == 40 and model.transform(df).count() == 40
+    assert model._classes is None and model.classes == sorted(r.l for r in df.collect())
+
+
 def test_two_prediction_tables_are_matched_by_key(spark):
     before = spark.createDataFrame([(1, 0, [0.9, 0.1]), (2, 1, [0.6, 0.4])], "row_id long, y int, probability array<double>")
     after = spark.createDataFrame([(2, 1, [0.2, 0.8]), (1, 0, [0.8, 0.2])], "row_id long, y int, probability array<double>")

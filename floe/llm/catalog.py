@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from floe.llm import (bitplanes, chat, decontaminate, dedup, katz, mixing, mtree, quality, shard,
-                      toxicity)
+from floe.llm import (bitplanes, chat, decontaminate, dedup, itq, katz, mixing, mtree, quality, shard,
+                      toxicity, trie, variants)
 from floe.llm.common import remainder, table
 
 
@@ -72,8 +72,22 @@ def op10_bitplane_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitplanes.read_documents(bitplanes.write_files(table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
+def op11_prefix_trie_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = trie.ordered_turns(table(spark, sf_dir, "conversations"))
+    return trie.prefix_trie(*trie.borrow_openings(turns, group=100, most=6))
+
+
+def op12_permuterm_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = variants.count_words(table(spark, sf_dir, "documents"), slip=199)
+    return variants.spelling_variants(words.filter((F.char_length("word") >= 6) & (F.col("n") >= 5)), ratio=5)
+
+
+def op13_itq_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return itq.near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_preference_formatting, op2_katz_backoff, op3_mtree_top5, op4_minimax_shards,
     op5_prefix_filter_decontamination, op6_factorisation_machine_quality,
     op7_soft_membership_mixing, op8_superminhash_dedup, op9_subword_toxicity,
-    op10_bitplane_tokens)}
+    op10_bitplane_tokens, op11_prefix_trie_collapse, op12_permuterm_variants, op13_itq_near_vectors)}

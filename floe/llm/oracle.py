@@ -73,4 +73,98 @@ select query_id, cast(row_number() over (partition by query_id order by score de
 from s qualify "rank" <= 5
 """
 
-SQL = {"op1_preference_formatting": OP1, "op3_mtree_top5": OP3, "op5_prefix_filter_decontamination": OP5}
+# The table of CRC-32 by its rule (polynomial 0xEDB88320, lowest bit first).
+CRC_TABLE = """crc_table as (
+  select list(c order by i) t
+  from (select i, list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]),
+                              lambda c, z: xor(c >> 1, (c & 1) * 3988292384)) c from range(256) r(i)))"""
+
+
+def crc32(text: str) -> str:
+    """CRC-32 of a text of code points below 256, given ``t`` of crc_table."""
+    octets = (f"flatten(list_transform(string_split({text}, ''), lambda x: case when unicode(x) < 128"
+              " then [unicode(x)::bigint] else [(192 + unicode(x) // 64)::bigint, (128 + unicode(x) % 64)::bigint] end))")
+    return (f"xor(list_reduce(list_prepend(4294967295::bigint, {octets}),"
+            " lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)")
+
+
+OP11 = f"""
+with {CRC_TABLE},
+placed as (
+  select conv_id, coalesce(role, '') "role", coalesce(text, '') "text",
+         row_number() over (partition by conv_id order by turn nulls first,
+           md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) i
+  from conversations where conv_id is not null),
+plan as (
+  select conv_id, n, h, least(h, coalesce(base_n, 0)) m, base
+  from (select conv_id, n, {crc32("conv_id::varchar")} % 6 h, conv_id - conv_id % 100 base
+        from (select conv_id, count(*) n from placed group by 1), crc_table)
+  left join (select conv_id base, count(*) base_n from placed group by 1) using (base)),
+built as (
+  select p.conv_id, i - h + m d, "role", "text" from placed p join plan using (conv_id) where i > h
+  union all select plan.conv_id, i, "role", "text" from plan join placed b on b.conv_id = base and i <= m),
+path as (
+  select conv_id, d, length("text") chars, md5(string_agg(length("role") || ':' || "role" || length("text") || ':' || "text", ''
+         order by d) over w) k from built window w as (partition by conv_id order by d)
+  union all select conv_id, 0, 0, '' from plan),
+above as (select a.conv_id, a.d, a.k, coalesce(b.k, '') parent from path a left join path b on a.conv_id = b.conv_id and b.d = a.d - 1),
+last as (select conv_id, k from path qualify d = max(d) over (partition by conv_id)),
+ends as (select k, string_agg(conv_id::varchar, ',' order by conv_id) l from last group by 1),
+node as (select k, d depth, min(conv_id) conv_id, count(*) n_convs, min(chars) chars from path group by 1, 2),
+kid as (select parent k, count(distinct k) n_children from above where d > 0 group by 1),
+own as (select node.*, min(parent) parent, coalesce(min(n_children), 0) n_children
+        from node join above using (k) left join kid using (k) group by all),
+below as (select distinct a.k top, b.k from path a join path b on a.conv_id = b.conv_id and b.d >= a.d),
+subtree as (select top k, count(*) filter (n_children = 0) n_leaves, sum((n_convs - 1) * chars) saved
+            from below join own using (k) group by 1)
+select o.conv_id, cast(o.depth as bigint) depth, case when o.depth > 0 then p.conv_id end parent_conv_id, o.n_convs,
+       o.n_children, n_leaves, cast(saved as bigint) saved_tokens, sha256(coalesce(l, '')) ends_sha256
+from own o join own p on p.k = o.parent join subtree on subtree.k = o.k left join ends on ends.k = o.k
+"""
+
+OP12 = f"""
+with recursive {CRC_TABLE},
+run as (
+  select doc_id, w, count(*) k
+  from (select doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[a-z\\x{{C0}}-\\x{{FF}}]+')) w from documents) group by 1, 2),
+hashed as (select w, k, {crc32("coalesce(doc_id::varchar, '') || ':' || w")} h from run, crc_table),
+word as (
+  select case when h % 199 = 0 then substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) else w end word,
+         cast(sum(k) as bigint) n
+  from hashed group by 1 having sum(k) >= 5 and length(word) >= 6),
+cut as (select word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) rest
+        from (select word, n, unnest(range(1, length(word) + 1)) i from word)),
+pair as (
+  select a.word, b.word other, b.n from cut a join cut b using (i, rest) where a.word <> b.word
+  union select a.word, b.word, b.n from cut a join word b on a.rest = b.word
+  union select b.word, a.word, a.n from cut a join word b on a.rest = b.word),
+best as (select word, count(*) over (partition by word) n_near, other, n other_n from pair
+         qualify row_number() over (partition by word order by n desc, other) = 1),
+formed as (
+  select word, n, coalesce(n_near, 0) n_near, case when other_n >= 5 * n then other end form,
+         case when other_n >= 5 * n then other_n end form_n from word left join best using (word)),
+chain as (
+  select word, word root, 0 steps from formed
+  union all select c.word, f.form, steps + 1 from chain c join formed f on f.word = c.root where f.form is not null)
+select word, form, root, n, n_near, form_n
+from formed join (select word, arg_max(root, steps) root from chain group by 1) using (word)
+"""
+
+OP13 = """
+with recursive v as (
+  select vec_id, cast(embedding as double[]) e, coalesce(len(embedding) > 0 and len(list_filter(
+         embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0,
+         false) ok
+  from embeddings),
+link as (select a.vec_id, b.vec_id other from v a join v b on a.ok and b.ok and a.vec_id <> b.vec_id
+         and len(a.e) = len(b.e) and list_cosine_similarity(a.e, b.e) >= 0.95),
+reach as (
+  select vec_id, vec_id root from v
+  union select reach.vec_id, other from reach join link on link.vec_id = reach.root)
+select vec_id, (select count(*) from link where link.vec_id = v.vec_id) n_links, component_id, vec_id = component_id kept
+from v join (select vec_id, min(root) component_id from reach group by 1) using (vec_id)
+"""
+
+SQL = {"op1_preference_formatting": OP1, "op3_mtree_top5": OP3, "op5_prefix_filter_decontamination": OP5,
+       "op11_prefix_trie_collapse": OP11, "op12_permuterm_variants": OP12, "op13_itq_near_vectors": OP13}

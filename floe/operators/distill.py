@@ -1,9 +1,9 @@
 """Teacher / student models and distillation.
 
-The reference trains neural networks on one machine; here the learners
-are MLlib estimators (distributed ``treeAggregate`` training) plus a
-closed-form centroid classifier whose scores are plain SQL, so a whole
-pipeline can be checked against an SQL oracle.
+The reference trains neural networks on one machine; here the teachers are MLlib
+estimators (distributed ``treeAggregate`` training) or a closed-form centroid
+classifier, and the students are convex models fitted by aggregations, so that a
+whole pipeline can be checked against an SQL oracle.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from floe.functions.arrays import (blend, explode_positions, kl_divergence, log_temperature_softmax, mean_squared_error,
                                    resample_linear, softmax, sparse_cross_entropy, temperature_softmax)
 from floe.functions.text import c
+from floe.operators.softmax import SoftmaxModel, SoftmaxRegression
 
 
 # ------------------------------------------------------------ K1 centroid
@@ -102,9 +103,19 @@ def fit_teacher(df: DataFrame, features: list[str], label_col: str = "y", kind:
     return MLModel(est.fit(data), list(features))
 
 
-def fit_student(df: DataFrame, features: list[str], label_col: str = "y", max_iter: int = 100,
-                weight_col: str | None = None) -> MLModel:
-    """K2: the smaller model, multinomial logistic regression."""
+def fit_student(df: DataFrame, features: list[str], label_col: str = "y", max_iter: int = 30,
+                kind: str = "softmax", weight_col: str | None = None, validation: DataFrame | None = None):
+    """K2: the smaller model, multinomial logistic regression on the hard labels.
+
+    kind 'softmax' fits by Newton steps over one aggregation each (``operators.softmax``),
+    'mllib' by MLlib, which also takes a ``weight_col``.
+    """
+    if kind == "softmax":
+        if weight_col:
+            raise ValueError("row weights need kind='mllib'")
+        return SoftmaxRegression(list(features), label_col, max_steps=max_iter).fit(df, validation=validation)
+    if kind != "mllib":
+        raise ValueError(f"unknown student kind {kind!r}")
     cols = [*[c(f) for f in features], c(label_col).cast("double").alias("_floe_y")]
     if weight_col:
         cols.append(c(weight_col).cast("double").alias("_floe_w"))
@@ -153,16 +164,16 @@ def distillation_targets(df: DataFrame, soft_col: str, label_col: str = "y", alp
 
 
 def fit_distilled_student(df: DataFrame, features: list[str], soft_col: str, label_col: str = "y",
-                          alpha: float = 0.5, max_iter: int = 100) -> MLModel:
-    """K4: student trained on the blend of hard labels and teacher soft labels.
+                          alpha: float = 0.5, max_iter: int = 30, temperature: float = 10.0, t2_scale: bool = True,
+                          validation: DataFrame | None = None) -> SoftmaxModel:
+    """K4: student trained on alpha * hard loss + (1 - alpha) * [T^2] KL of the softened outputs.
 
-    Weighted multinomial logistic regression on the exploded targets
-    minimises sum_k w_k * (-log s_k), i.e. cross-entropy against the blended
-    target at student temperature 1 (the reference also softens the
-    student output; its loss values are computed exactly by K7-K10).
+    ``soft_col`` holds the teacher's labels at ``temperature``; the student's scores are
+    softened alike, as in the loss of K7-K10 with mode ``logprob``.  With ``validation`` the
+    fit stops early on its hard loss and keeps the best step.
     """
-    targets = distillation_targets(df, soft_col, label_col, alpha, features)
-    return fit_student(targets, features, "target", max_iter=max_iter, weight_col="weight")
+    est = SoftmaxRegression(list(features), label_col, soft_col, alpha, temperature, t2_scale, max_steps=max_iter)
+    return est.fit(df, validation=validation)
 
 
 # ------------------------------------------------------------ K16 early stop

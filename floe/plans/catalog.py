@@ -23,6 +23,7 @@ from floe.operators import fitted as FT
 from floe.operators import joins as J
 from floe.operators import ordering as D
 from floe.operators import series as Q
+from floe.operators.softmax import predictions
 from floe.operators.splits import stratified_sample, stratified_split
 from floe.plans import pipelines
 from floe.sources import csv as S
@@ -328,9 +329,9 @@ def q_d6(spark, sf):
 
 
 # ------------------------------------------------------------------ K
-def _split_frames(spark, sf):
-    p = pipelines.prepare_flows(fx.flows_num(spark, sf), "row_id", "l_returnflag", categories=["l_linestatus"])
-    return p
+def _split_frames(spark, sf, **options):
+    return pipelines.prepare_flows(fx.flows_num(spark, sf), "row_id", "l_returnflag", categories=["l_linestatus"],
+                                   **options)
 
 
 @query("k1_teacher_centroid")
@@ -343,16 +344,20 @@ def q_k1(spark, sf):
 
 @query("k1_teacher_forest")
 def q_k1f(spark, sf):
-    p = _split_frames(spark, sf)
+    p = _split_frames(spark, sf, written=True)
     t = K.fit_teacher(p.train, p.model.feature_names, "y", kind="forest", num_trees=10, max_depth=5)
     return E.with_prediction(t.transform(p.test, "probability"), "probability").select("row_id", "y", "pred")
 
 
+def r4(df: DataFrame) -> DataFrame:
+    """Probabilities of an iterative fit: four decimals."""
+    return df.withColumn("p_pred", F.round(F.col("p_pred").cast("decimal(38,10)"), 4).cast("double"))
+
+
 @query("k2_student")
 def q_k2(spark, sf):
-    p = _split_frames(spark, sf)
-    s = K.fit_student(p.train, p.model.feature_names, "y", max_iter=50)
-    return E.with_prediction(s.transform(p.test, "probability"), "probability").select("row_id", "y", "pred")
+    p = _split_frames(spark, sf, written=True)
+    return r4(predictions(K.fit_student(p.train, p.model.feature_names, "y"), p.test))
 
 
 @query("k3_batch_scoring")
@@ -375,13 +380,17 @@ def q_k4_targets(spark, sf):
 
 @query("k4_distilled_student")
 def q_k4(spark, sf):
-    p = _split_frames(spark, sf)
-    feats = p.model.feature_names
-    t = K.fit_teacher(p.train, feats, "y", kind="forest", num_trees=10, max_depth=5)
-    k = len(p.model.labels.classes)
-    soft = t.transform(p.train, "teacher").withColumn("soft", A.temperature_softmax(F.col("teacher"), 10.0))
-    s = K.fit_distilled_student(soft, feats, "soft", "y", 0.5, max_iter=50)
-    return E.with_prediction(s.transform(p.test, "probability"), "probability").select("row_id", "y", "pred")
+    """Student of the centroid teacher on the blended loss with both sides softened (alpha 0.5, T 10, T^2)."""
+    p, _, student = pipelines.distilled_student(fx.flows_num(spark, sf), "row_id", "l_returnflag", ["l_linestatus"])
+    return r4(predictions(student, p.test))
+
+
+@query("k4_distilled_student_forest")
+def q_k4_forest(spark, sf):
+    """The same student, distilled from the MLlib forest."""
+    p, _, student = pipelines.distilled_student(fx.flows_num(spark, sf), "row_id", "l_returnflag", ["l_linestatus"],
+                                                teacher_kind="forest")
+    return r4(predictions(student, p.test))
 
 
 def _pb_long(spark, sf, col, fn):

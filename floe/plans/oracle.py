@@ -71,6 +71,73 @@ SELECT row_id, CAST(k AS INTEGER) AS target,
 SQL["k1_teacher_centroid"] = f"""WITH {PREPARED}
 SELECT row_id, y, CAST(pred AS INTEGER) AS pred, {r6('p')} AS p_pred FROM pred"""
 
+# Newton steps of the multinomial logistic student from 0, over rows tr(x, y, q): x holds the
+# features and a 1, q the soft labels.  A step sums gradient and Hessian and solves the system
+# by elimination (a recursive walk over the pivots).
+STEPS = 7
+
+
+def _softmax_list(scores: str) -> str:
+    e = f"list_transform({scores}, lambda v: exp(v - list_max({scores})))"
+    return f"list_transform({e}, lambda v: v / list_sum({e}))"
+
+
+def _newton_ctes(alpha: float, temperature: float = 10.0) -> str:
+    t, soft = temperature, 1 - alpha
+    ctes = ["""dims AS (SELECT CAST(max(y) + 1 AS BIGINT) AS k, CAST(max(len(x)) AS BIGINT) AS d FROM tr),
+w0 AS (SELECT list_transform(range(k), lambda a: list_transform(range(d), lambda i: CAST(0.0 AS DOUBLE))) AS w FROM dims)"""]
+    for n in range(STEPS):
+        ctes.append(f"""z{n} AS MATERIALIZED (SELECT x, y, q, list_transform(w, lambda r: list_dot_product(r, x)) AS z FROM tr, w{n}),
+p{n} AS MATERIALIZED (SELECT x, y, q, {_softmax_list('z')} AS p,
+       {_softmax_list(f'list_transform(z, lambda v: v / {t})')} AS s FROM z{n}),
+u{n} AS MATERIALIZED (SELECT x,
+       list_transform(p, lambda v, a: {alpha} * (v - CASE WHEN y = a - 1 THEN 1.0 ELSE 0.0 END) + {soft * t} * (s[a] - q[a])) AS r,
+       flatten(list_transform(p, lambda v, a: list_transform(p, lambda o, b:
+         {alpha} * v * (CASE WHEN a = b THEN 1.0 ELSE 0.0 END - o)
+         + {soft} * s[a] * (CASE WHEN a = b THEN 1.0 ELSE 0.0 END - s[b])))) AS h FROM p{n}),
+g{n} AS MATERIALIZED (SELECT list(v ORDER BY pos) AS g FROM (
+       SELECT pos, sum(v) / (SELECT count(*) FROM tr) AS v FROM (
+         SELECT unnest(f) AS v, generate_subscripts(f, 1) AS pos
+         FROM (SELECT flatten(list_transform(r, lambda a: list_transform(x, lambda i: a * i))) AS f FROM u{n})) GROUP BY pos)),
+h{n} AS MATERIALIZED (SELECT pos, sum(v) / (SELECT count(*) FROM tr) AS v FROM (
+       SELECT unnest(f) AS v, generate_subscripts(f, 1) - 1 AS pos
+       FROM (SELECT flatten(list_transform(h, lambda c: flatten(list_transform(x, lambda i: list_transform(x, lambda j: c * i * j))))) AS f
+             FROM u{n})) GROUP BY pos),
+cell{n} AS (SELECT (pos // (k * d * d)) * d + pos // d % d AS i, pos // (d * d) % k * d + pos % d AS j, v FROM h{n}, dims),
+row{n} AS (SELECT i, list(v + CASE WHEN i = j THEN 1e-6 ELSE 0.0 END ORDER BY j) AS l FROM cell{n} GROUP BY i),
+flat{n} AS (SELECT flatten(w) AS f FROM w{n}),
+e{n}(p, m) AS (
+  SELECT CAST(1 AS BIGINT), list(list_append(l, g[i + 1] + 1e-6 * f[i + 1]) ORDER BY i) FROM row{n}, g{n}, flat{n}
+  UNION ALL
+  SELECT p + 1, list_transform(m, lambda r, i: CASE WHEN i = p THEN list_transform(r, lambda v: v / r[p])
+    ELSE list_transform(r, lambda v, j: v - r[p] / m[p][p] * m[p][j]) END)
+  FROM e{n} WHERE p <= len(m)),
+w{n + 1} AS MATERIALIZED (SELECT list_transform(range(k), lambda a: list_transform(range(d), lambda i:
+       w[a + 1][i + 1] - m[a * d + i + 1][len(m) + 1])) AS w
+       FROM w{n}, dims, (SELECT m FROM e{n} WHERE p = len(m) + 1))""")
+    return ",\n".join(ctes)
+
+
+def _student_sql(alpha: float, soft_ctes: str, soft: str) -> str:
+    return f"""WITH RECURSIVE {PREPARED},
+wide AS (SELECT row_id, split, y, list_append(list(v ORDER BY feature), 1.0) AS x FROM z GROUP BY row_id, split, y),
+{soft_ctes}tr AS MATERIALIZED (SELECT x, y, {soft} AS q FROM wide {"JOIN tq USING (row_id) " if soft_ctes else ""}WHERE split = 'train'),
+{_newton_ctes(alpha)},
+st_p AS (SELECT row_id, y, {_softmax_list('z')} AS p
+         FROM (SELECT row_id, y, list_transform(w, lambda r: list_dot_product(r, x)) AS z FROM wide, w{STEPS} WHERE split = 'test'))
+SELECT row_id, y, CAST(list_position(p, list_max(p)) - 1 AS INTEGER) AS pred,
+       CAST(round(CAST(list_max(p) AS DECIMAL(38,10)), 4) AS DOUBLE) AS p_pred FROM st_p"""
+
+
+SQL["k2_student"] = _student_sql(1.0, "", "[0.0, 0.0, 0.0]")
+SQL["k4_distilled_student"] = _student_sql(0.5, """td AS (SELECT z.row_id, cent.k, -sum((z.v - cent.mu) * (z.v - cent.mu)) AS nd
+       FROM z JOIN cent USING (feature) WHERE z.split = 'train' GROUP BY z.row_id, cent.k),
+te AS (SELECT *, exp(nd - max(nd) OVER (PARTITION BY row_id)) AS e FROM td),
+tp AS (SELECT *, e / sum(e) OVER (PARTITION BY row_id) AS p FROM te),
+ts AS (SELECT *, exp(p / 10.0 - max(p / 10.0) OVER (PARTITION BY row_id)) AS s FROM tp),
+tq AS (SELECT row_id, list(s / t ORDER BY k) AS q FROM (SELECT *, sum(s) OVER (PARTITION BY row_id) AS t FROM ts) GROUP BY row_id),
+""", "q")
+
 # ---------------------------------------------------------------- S
 SQL["s1_csv_scan"] = f"WITH {FLOWS_RAW}, {FLOWS_NA} SELECT row_id, value, flag, proto, empty, label FROM flows_na"
 SQL["s2_na_tokens"] = SQL["s1_csv_scan"]

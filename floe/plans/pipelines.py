@@ -22,9 +22,13 @@ from floe.operators.evaluate import classification_report, confusion, evaluate,
 from floe.operators.ordering import row_index, tail_split
 from floe.operators.splits import stratified_split
 from floe.plans.preprocess import Preprocess, PreprocessModel
+from floe.session import scratch_path
 from floe.sources import fixtures as fx
 
 
+PART = "_floe_part"
+
+
 @dataclass
 class Prepared:
     model: PreprocessModel
@@ -34,14 +38,16 @@ class Prepared:
 
 def prepare_flows(flows: DataFrame, key: str, label: str, categories=(), drop=(), bools=(),
                   test_size: float = 0.3, seed: int = 42, fit_on: str = "all",
-                  persist_input: bool = False) -> Prepared:
+                  persist_input: bool = False, written: bool = False) -> Prepared:
     """One-file flow: split on the label, fit preprocessing, transform both parts.
 
     ``fit_on='all'`` fits imputer, one-hot and label encoder on every row (as
     the one-file scripts do); 'train' fits them on the train part only.
     Every fitting pass reads the (column-pruned) source; ``persist_input``
     caches it (memory and disk) for inputs that fit, and the caller
-    unpersists it with ``spark.catalog.clearCache()``.
+    unpersists it with ``spark.catalog.clearCache()``.  ``written`` stores the
+    fitted features once, narrow, in the shared folder for learners that read
+    them many times; they come back from there.
     """
     labelled = flows.withColumn(label, fill_missing(c(label)))
     if persist_input:
@@ -52,6 +58,12 @@ def prepare_flows(flows: DataFrame, key: str, label: str, categories=(), drop=()
     test = split.where(F.col("split") == "test").drop("split")
     prep = Preprocess(key, label, drop=drop, bools=bools, categories=categories)
     model = prep.fit(train, fit_frame=labelled if fit_on == "all" else None)
+    if written:
+        whole = model.transform(split, keep=("split",)).withColumnRenamed("split", PART)
+        path = scratch_path(flows.sparkSession, "features")
+        whole.write.partitionBy(PART).parquet(path)
+        rows = flows.sparkSession.read.schema(whole.schema).parquet(path)
+        return Prepared(model, *[rows.where(F.col(PART) == part).drop(PART) for part in ("train", "test")])
     return Prepared(model, model.transform(train), model.transform(test))
 
 
@@ -68,6 +80,24 @@ def classification_pipeline(spark: SparkSession, sf_dir: str, test_size: float =
     return classification_report(conf, classes)
 
 
+def _written_soft_labels(scored: DataFrame, features: list[str], temperature: float) -> DataFrame:
+    """(features, y, soft) with the teacher's labels computed once (Z8) and written to the shared folder."""
+    soft = scored.select(*[c(f) for f in features], "y", temperature_softmax(F.col("teacher"), temperature).alias("soft"))
+    path = scratch_path(scored.sparkSession, "soft")
+    soft.write.parquet(path)
+    return scored.sparkSession.read.schema(soft.schema).parquet(path)
+
+
+def distilled_student(flows: DataFrame, key: str, label: str, categories=(), teacher_kind: str = "centroid",
+                      temperature: float = 10.0, alpha: float = 0.5, t2_scale: bool = True):
+    """K4: (prepared flows, teacher, student distilled from it)."""
+    p = prepare_flows(flows, key, label, categories=categories, written=True)
+    teacher = fit_teacher(p.train, p.model.feature_names, "y", kind=teacher_kind, num_trees=10, max_depth=5)
+    soft = _written_soft_labels(teacher.transform(p.train, "teacher"), p.model.feature_names, temperature)
+    return p, teacher, fit_distilled_student(soft, p.model.feature_names, "soft", "y", alpha,
+                                             temperature=temperature, t2_scale=t2_scale)
+
+
 def distillation_pipeline(spark: SparkSession, sf_dir: str, temperature: float = 10.0,
                           alpha: float = 0.5, teacher_kind: str = "forest",
                           with_baseline: bool = False, t2_scale: bool = True,
@@ -77,7 +107,7 @@ def distillation_pipeline(spark: SparkSession, sf_dir: str, temperature: float =
     Returns the scored test frames and reports; nothing is collected.
     """
     flows = fx.flows_num(spark, sf_dir)
-    p = prepare_flows(flows, "row_id", "l_returnflag", categories=["l_linestatus"])
+    p = prepare_flows(flows, "row_id", "l_returnflag", categories=["l_linestatus"], written=True)
     feats = p.model.feature_names
     k = len(p.model.labels.classes)
     # the teacher is fitted with a tail validation slice (last 10 % of the
@@ -87,11 +117,11 @@ def distillation_pipeline(spark: SparkSession, sf_dir: str, temperature: float =
     val_part = parts.where(F.col("split") == "validation").drop("split")
     teacher = fit_teacher(fit_part, feats, "y", kind=teacher_kind, num_classes=k, num_trees=10, max_depth=5)
     train_t = teacher.transform(p.train, "teacher")
-    soft = train_t.withColumn("soft", temperature_softmax(F.col("teacher"), temperature))
-    student = fit_distilled_student(soft, feats, "soft", "y", alpha, max_iter=50)
+    soft = _written_soft_labels(train_t, feats, temperature)
+    student = fit_distilled_student(soft, feats, "soft", "y", alpha, temperature=temperature, t2_scale=t2_scale)
     models = [("teacher", teacher), ("student", student)]
     if with_baseline:   # the standalone student, trained on hard labels only
-        models.append(("baseline", fit_student(p.train, feats, "y", max_iter=50)))
+        models.append(("baseline", fit_student(p.train, feats, "y")))
     out = {}
     for name, model in models:
         scored = with_prediction(model.transform(p.test, "probability"), "probability")

@@ -50,8 +50,8 @@ class PreprocessModel:
         nums = [n for n in self.numeric if n not in self.imputer.dropped]
         return nums + self.onehot.output_names()
 
-    def transform(self, df: DataFrame, scale: bool = True) -> DataFrame:
-        """Features (and label code ``y``) with fitted values inlined.
+    def transform(self, df: DataFrame, scale: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
+        """Features (and label code ``y``) with fitted values inlined; ``keep`` names columns to pass through.
 
         Frames without the label column (unlabelled flows to score) get a
         NULL ``y``.
@@ -64,11 +64,11 @@ class PreprocessModel:
         cleaned = clean(df, self.drop, self.bools, self.categories, self.label, self.numeric)
         if not labelled:   # clean() filled the NULL label; undo for unlabelled frames
             cleaned = cleaned.withColumn(self.label, F.lit(None).cast("string"))
-        imputed = self.imputer.transform(cleaned.select(c(self.key), c(self.label), *[c(n) for n in self.numeric],
-                                                        *[c(n) for n in self.categories]))
+        imputed = self.imputer.transform(cleaned.select(c(self.key), c(self.label), *[c(n) for n in keep],
+                                                        *[c(n) for n in [*self.numeric, *self.categories]]))
         coded = (self.labels.transform(imputed) if labelled
                  else imputed.withColumn(self.labels.output_col, F.lit(None).cast("int")))
-        wide = coded.select(c(self.key), F.col(self.labels.output_col).alias("y"),
+        wide = coded.select(c(self.key), F.col(self.labels.output_col).alias("y"), *[c(n) for n in keep],
                             *[c(n) for n in self.numeric if n not in self.imputer.dropped],
                             *self.onehot.columns())
         if scale and self.scaler is not None:

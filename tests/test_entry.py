@@ -28,7 +28,7 @@ def test_registry_consistent():
     assert set(sql) <= set(q) and len(q) >= 70
     # of the library's own queries; the optional training-data queries are held to brute force in tests/llm
     rows_only = {name for name in mod.QUERIES if name not in sql}
-    assert rows_only == {"k1_teacher_forest", "k2_student", "k4_distilled_student", "k4_distillation_report"}
+    assert rows_only == {"k1_teacher_forest", "k4_distilled_student_forest", "k4_distillation_report"}
 
 
 def test_some_queries_run_on_smallest_scale(spark):

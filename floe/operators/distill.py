@@ -14,12 +14,13 @@ from pyspark.ml.classification import (LogisticRegression, MultilayerPerceptronC
                                        RandomForestClassifier)
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from floe.functions.arrays import (blend, explode_positions, kl_divergence, log_temperature_softmax, mean_squared_error,
                                    resample_linear, softmax, sparse_cross_entropy, temperature_softmax)
 from floe.functions.text import c
+from floe.operators.cells import CELL, HOT, find_cells
 from floe.operators.softmax import SoftmaxModel, SoftmaxRegression
 
 
@@ -179,14 +180,19 @@ def fit_distilled_student(df: DataFrame, features: list[str], soft_col: str, lab
 # ------------------------------------------------------------ K16 early stop
 def early_stopping(history: DataFrame, run_col: str = "run", epoch_col: str = "epoch",
                    metric_col: str = "metric", patience: int = 5, min_delta: float = 1e-4,
-                   mode: str = "min") -> DataFrame:
+                   mode: str = "min", num_partitions: int | None = None) -> DataFrame:
     """Best and stop epoch of every run in a (run, epoch, metric) table.
 
     An epoch improves when its metric beats the best so far by more than
     ``min_delta``; the run stops at the epoch where ``patience`` epochs in
     a row did not improve (else at its last epoch); the best epoch is the
-    last improvement up to the stop.  The rule is sequential, so each run's
-    epochs are folded in order; a run's group holds one row per epoch.
+    last improvement up to the stop.  A null metric is no improvement.
+
+    The rule is sequential, but before the stop its state is only how many epochs
+    ago the best one was, fewer than ``patience``.  So a long run is cut into cells
+    (``operators.cells``), each cell is folded from every state it may be entered
+    in, and a walk over the cells picks the folds that follow each other.  No list
+    is longer than a cell.
     """
     # the monitored metric is explicit and must exist (a misspelt name would
     # otherwise never trigger a stop)
@@ -196,27 +202,40 @@ def early_stopping(history: DataFrame, run_col: str = "run", epoch_col: str = "e
     if mode not in ("min", "max"):
         raise ValueError("mode must be 'min' or 'max'")
     sign = 1.0 if mode == "min" else -1.0
-    hist = history.groupBy(c(run_col).alias("run")).agg(
-        F.array_sort(F.collect_list(F.struct(c(epoch_col).cast("int").alias("e"),
-                                             (F.lit(sign) * c(metric_col).cast("double")).alias("v"))))
-        .alias("h"))
-    init = F.struct(F.lit(None).cast("double").alias("best"), F.lit(None).cast("int").alias("best_e"),
-                    F.lit(0).alias("wait"), F.lit(None).cast("int").alias("stop"),
-                    F.lit(None).cast("int").alias("last"))
+    hist = history.select(c(run_col).alias("run"), c(epoch_col).cast("int").alias("e"),
+                          (F.lit(sign) * c(metric_col).cast("double")).alias("v"))
+    found = find_cells(hist, ["run"], ["e", "v"], num_partitions)
+    lists = found.assign(hist).groupBy("run", CELL, HOT).agg(
+        F.array_sort(F.collect_list(F.struct("e", "v"))).alias("h"))
+
+    def state(best, best_e, wait, stop, last):
+        return F.struct(best.cast("double").alias("best"), best_e.cast("int").alias("best_e"), wait.cast("int").alias("wait"),
+                        stop.cast("int").alias("stop"), last.cast("int").alias("last"))
 
     def step(acc, x):
-        done = acc["stop"].isNotNull()
-        better = acc["best"].isNull() | ((x["v"] + F.lit(min_delta)) < acc["best"])
+        better = F.coalesce(acc["best"].isNull() | ((x["v"] + F.lit(min_delta)) < acc["best"]), F.lit(False))
         wait = F.when(better, F.lit(0)).otherwise(acc["wait"] + 1)
-        stop_now = (~better) & (wait >= patience)
-        return F.when(done, acc).otherwise(F.struct(
-            F.when(better, x["v"]).otherwise(acc["best"]).alias("best"),
-            F.when(better, x["e"]).otherwise(acc["best_e"]).alias("best_e"),
-            wait.alias("wait"),
-            F.when(stop_now, x["e"]).alias("stop"),
-            x["e"].alias("last")))
-
-    folded = hist.select("run", F.aggregate("h", init, step).alias("s"))
+        moved = state(F.when(better, x["v"]).otherwise(acc["best"]), F.when(better, x["e"]).otherwise(acc["best_e"]),
+                      wait, F.when(~better & (wait >= patience), x["e"]), x["e"])
+        return F.when(acc["stop"].isNotNull(), acc).otherwise(moved)
+
+    none = F.lit(None)
+    fresh = state(none, none, F.lit(0), none, none)
+    folded = lists.where(~F.col(HOT)).select("run", F.aggregate("h", fresh, step).alias("s"))
+    if found.cuts is not None:
+        # one row a cell of the hot runs; the last epochs before a cell tell the states it may be entered in
+        hot = lists.where(HOT)
+        earlier = Window.partitionBy("run").orderBy(CELL).rowsBetween(-patience, -1)
+        tails = hot.select("run", CELL, F.slice("h", -F.least(F.size("h"), F.lit(patience)), patience).alias("t"))
+        tails = tails.select("run", CELL, F.reverse(F.flatten(F.collect_list("t").over(earlier))).alias("t"))
+        entries = F.when(F.size("t") == 0, F.array(fresh)).otherwise(F.transform(
+            F.slice("t", 1, patience), lambda x, i: state(x["v"], x["e"], i, none, x["e"])))
+        walks = hot.join(tails, ["run", CELL]).select("run", CELL, F.aggregate(
+            "h", entries, lambda acc, x: F.transform(acc, lambda s: step(s, x))).alias("exits"))
+        path = walks.groupBy("run").agg(F.array_sort(F.collect_list(F.struct(F.col(CELL).alias("at"), "exits"))).alias("p"))
+        walk = F.aggregate("p", fresh, lambda acc, cell: F.when(acc["stop"].isNotNull(), acc).otherwise(
+            F.element_at(cell["exits"], acc["wait"] + 1)))
+        folded = folded.union(path.select("run", walk.alias("s")))
     return folded.select(F.col("run").cast("long").alias("run"), F.col("s.best_e").alias("best_epoch"),
                          (F.lit(sign) * F.col("s.best")).alias("best_metric"),
                          F.coalesce(F.col("s.stop"), F.col("s.last")).alias("stop_epoch"))

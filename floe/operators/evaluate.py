@@ -3,8 +3,8 @@
 All reports are aggregations over a prediction table
 ``(y int, pred int, ...)`` or over a one-vs-rest score table; results have
 fixed schemas (FIXTURES.md section 4).  ROC points are computed from
-per-(class, score) counts with the two-phase ``running_totals``, so no
-single task holds a whole class.
+per-(class, score) counts with running totals in cells, so no single task
+holds a whole class.
 """
 
 from __future__ import annotations
@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from floe.functions.arrays import argmax, explode_positions, sparse_cross_entropy
 from floe.functions.text import c
 from floe.operators.joins import zip_by_key
-from floe.operators.ordering import running_totals
+from floe.operators.cells import cell_totals
+from floe.session import stored
 
 
 def with_prediction(df: DataFrame, prob_col: str, pred_col: str = "pred") -> DataFrame:
@@ -191,10 +192,13 @@ def _per_score(ovr: DataFrame) -> DataFrame:
         (F.count(F.lit(1)) - F.sum("is_pos")).cast("long").alias("neg"))
 
 
-def _roc_points(per_score: DataFrame, num_partitions: int | None = None) -> DataFrame:
-    """Cumulative (tp, fp) per distinct score, scores descending, per class."""
-    return running_totals(per_score, ["class"], [F.desc("score")], {"tp": F.col("pos"), "fp": F.col("neg")},
-                          index_col="idx", size_col="m", num_partitions=num_partitions)
+#: Scores descending as ascending keys: NaN is the largest, null comes last.
+DOWN = ["_floe_null", "_floe_number", "_floe_down"]
+
+
+def _down() -> list[Column]:
+    score = F.col("score")
+    return [x.alias(n) for x, n in zip((score.isNull(), ~F.isnan(score), -score), DOWN)]
 
 
 def roc_curve(ovr: DataFrame, drop_intermediate: bool = True,
@@ -204,36 +208,31 @@ def roc_curve(ovr: DataFrame, drop_intermediate: bool = True,
     One point per distinct score (ties grouped) plus the origin (NULL
     threshold).  With ``drop_intermediate``, points whose neighbours make
     them collinear in integer (fp, tp) space are dropped, first and last
-    kept.  The neighbour comparison is an equi-aggregation on
-    (class, idx): each point sends its counts to idx-1, idx and idx+1.
+    kept.  A point lies one step of its own counts after the one before it, so
+    it is collinear where the next score's counts equal its own.
     """
-    per_score = _per_score(ovr)
-    pts = _roc_points(per_score, num_partitions)
-    # class totals from the per-score table (one row per class)
-    totals = per_score.groupBy("class").agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
+    # written once: the passes of the cells read the distinct scores, not the rows
+    counts = stored(_per_score(ovr).select("class", "score", "pos", "neg", *_down()), "scores")
+    nexts = {"pos_next": F.col("pos"), "neg_next": F.col("neg")} if drop_intermediate else {}
+    pts = cell_totals(counts, ["class"], DOWN, {"tp": F.col("pos"), "fp": F.col("neg")}, index_col="idx",
+                      cells=num_partitions, nexts=nexts)
+    # one row per class
+    totals = counts.groupBy("class").agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
+    kept = pts
     if drop_intermediate:
-        sent = pts.select("class", "m", F.col("score"),
-                          F.inline(F.array(*[F.struct((F.col("idx") + d).alias("at"),
-                                                      F.lit(d).alias("rel"), F.col("tp").alias("tp"),
-                                                      F.col("fp").alias("fp")) for d in (-1, 0, 1)])))
-        nb = sent.groupBy("class", "at").agg(
-            F.max("m").alias("m"),
-            F.max(F.when(F.col("rel") == 0, F.col("score"))).alias("score"),
-            *[F.max(F.when(F.col("rel") == d, F.col(v))).alias(f"{v}{n}")
-              for d, n in ((1, "_prev"), (0, ""), (-1, "_next")) for v in ("tp", "fp")])
-        nb = nb.where(F.col("tp").isNotNull())
-        second = ((F.col("fp_next") - 2 * F.col("fp") + F.col("fp_prev") != 0)
-                  | (F.col("tp_next") - 2 * F.col("tp") + F.col("tp_prev") != 0))
-        keep = (F.col("at") == 0) | (F.col("at") == F.col("m") - 1) | second
-        kept = nb.where(keep).select("class", "score", "tp", "fp")
-    else:
-        kept = pts.select("class", "score", "tp", "fp")
+        kept = pts.where((F.col("idx") == 0) | F.col("pos_next").isNull() | (F.col("pos_next") != F.col("pos"))
+                         | (F.col("neg_next") != F.col("neg")))
+    kept = kept.select("class", "score", "tp", "fp")
     origin = totals.select("class", F.lit(None).cast("double").alias("score"),
                            F.lit(0).cast("long").alias("tp"), F.lit(0).cast("long").alias("fp"))
     allp = kept.unionByName(origin).join(F.broadcast(totals), "class")
-    return allp.select(F.col("class").cast("int").alias("class"), F.col("score").alias("threshold"),
-                       F.try_divide(F.col("fp").cast("double"), F.col("N").cast("double")).alias("fpr"),
-                       F.try_divide(F.col("tp").cast("double"), F.col("P").cast("double")).alias("tpr"))
+    return _rates(allp)
+
+
+def _rates(points: DataFrame) -> DataFrame:
+    return points.select(F.col("class").cast("int").alias("class"), F.col("score").alias("threshold"),
+                         F.try_divide(F.col("fp").cast("double"), F.col("N").cast("double")).alias("fpr"),
+                         F.try_divide(F.col("tp").cast("double"), F.col("P").cast("double")).alias("tpr"))
 
 
 def auc(ovr: DataFrame, num_partitions: int | None = None) -> DataFrame:
@@ -242,7 +241,8 @@ def auc(ovr: DataFrame, num_partitions: int | None = None) -> DataFrame:
     Each distinct score adds neg * (tp_before + tp_after) / 2 / (P * N);
     collinear points do not change the area, so no point is dropped.
     """
-    pts = _roc_points(_per_score(ovr), num_partitions)
+    counts = stored(_per_score(ovr).select("class", "pos", "neg", *_down()), "scores")
+    pts = cell_totals(counts, ["class"], DOWN, {"tp": F.col("pos")}, cells=num_partitions)
     area = pts.groupBy("class").agg(
         F.sum(F.col("neg").cast("double") * (2 * F.col("tp") - F.col("pos")).cast("double") / 2.0).alias("a"),
         F.sum("pos").alias("P"), F.sum("neg").alias("N"))
@@ -250,6 +250,69 @@ def auc(ovr: DataFrame, num_partitions: int | None = None) -> DataFrame:
                        F.try_divide(F.col("a"), F.col("P").cast("double") * F.col("N").cast("double")).alias("auc"))
 
 
+# -- one score that ranks the rows for every class: no row is sent once a class -------------
+
+def _class_counts(df: DataFrame, score_col: str, y_col: str, num_classes: int) -> DataFrame:
+    """(order keys, score, all, n0..): rows of each class at each distinct score.
+
+    Aggregated by (score, class) first, so at most one row of each pair leaves a task.
+    """
+    code = _class_code(c(y_col).cast("int"), "_floe_y", num_classes)
+    pairs = df.select(c(score_col).cast("double").alias("score"), code).groupBy("score", "_floe_y").agg(
+        F.count(F.lit(1)).alias("n"))
+    one = [F.sum(F.when(F.col("_floe_y") == k, F.col("n")).otherwise(F.lit(0))).alias(f"n{k}") for k in range(num_classes)]
+    counts = pairs.groupBy("score").agg(F.sum("n").alias("all"), *one)
+    return stored(counts.select(*_down(), "score", "all", *[f"n{k}" for k in range(num_classes)]),
+                  "scores")
+
+
+def roc_curve_shared(df: DataFrame, score_col: str, y_col: str, num_classes: int, drop_intermediate: bool = True,
+                     num_partitions: int | None = None) -> DataFrame:
+    """E8 where one score ranks the rows for every class, as ``roc_curve(one_vs_rest_shared(...))``.
+
+    Running counts of every class over the distinct scores; negatives are the rest of all rows.
+    Only kept points become rows of a class.
+    """
+    counts = _class_counts(df, score_col, y_col, num_classes)
+    names = [f"n{k}" for k in range(num_classes)]
+    nexts = {"all_next": F.col("all"), **{f"{n}_next": F.col(n) for n in names}} if drop_intermediate else {}
+    pts = cell_totals(counts, [], DOWN, {"upto": F.col("all"), **{f"{n}_upto": F.col(n) for n in names}},
+                      index_col="idx", cells=num_partitions, nexts=nexts)
+
+    def point(k: int) -> Column:
+        n, tp = F.col(f"n{k}"), F.col(f"n{k}_upto")
+        keep = F.lit(True)
+        if drop_intermediate:
+            ahead = F.col(f"n{k}_next")
+            keep = (F.col("idx") == 0) | ahead.isNull() | (ahead != n) | (F.col("all_next") - ahead != F.col("all") - n)
+        return F.when(keep, F.struct(F.lit(k).alias("class"), F.col("score").alias("score"), tp.alias("tp"),
+                                     (F.col("upto") - tp).alias("fp")))
+
+    kept = pts.select(F.inline(F.array_compact(F.array(*[point(k) for k in range(num_classes)]))))
+    sums = counts.agg(F.sum("all").alias("all"), *[F.sum(n).alias(n) for n in names])       # one row
+    totals = sums.select(F.inline(F.array(*[F.struct(F.lit(k).alias("class"), F.col(f"n{k}").alias("P"),
+                                                     (F.col("all") - F.col(f"n{k}")).alias("N"))
+                                            for k in range(num_classes)]))).where(F.col("P") + F.col("N") > 0)
+    origin = totals.select("class", F.lit(None).cast("double").alias("score"),
+                           F.lit(0).cast("long").alias("tp"), F.lit(0).cast("long").alias("fp"))
+    return _rates(kept.unionByName(origin).join(F.broadcast(totals), "class"))
+
+
+def auc_shared(df: DataFrame, score_col: str, y_col: str, num_classes: int,
+               num_partitions: int | None = None) -> DataFrame:
+    """E9 where one score ranks the rows for every class, as ``auc(one_vs_rest_shared(...))``."""
+    counts = _class_counts(df, score_col, y_col, num_classes)
+    names = [f"n{k}" for k in range(num_classes)]
+    pts = cell_totals(counts, [], DOWN, {f"{n}_upto": F.col(n) for n in names}, cells=num_partitions)
+    sums = [F.sum((F.col("all") - F.col(n)).cast("double") * (2 * F.col(f"{n}_upto") - F.col(n)).cast("double") / 2.0)
+            .alias(f"a{k}") for k, n in enumerate(names)]
+    whole = pts.agg(F.sum("all").alias("all"), *sums, *[F.sum(n).alias(n) for n in names])
+    rows = whole.select("all", F.inline(F.array(*[
+        F.struct(F.lit(k).alias("class"), F.col(f"a{k}").alias("a"), F.col(n).alias("P")) for k, n in enumerate(names)])))
+    rest = (F.col("all") - F.col("P")).cast("double")
+    return rows.where(F.col("all") > 0).select("class", F.try_divide(F.col("a"), F.col("P").cast("double") * rest).alias("auc"))
+
+
 def inference_throughput(scored: DataFrame) -> DataFrame:
     """Rows, seconds and ms per row of one full scoring pass.
 

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from floe.functions.text import c
+from floe.operators.cells import cell_totals
 from floe.operators.ordering import running_totals, row_index
 
 # A vocabulary is kept as literals up to this many entries; above it the
@@ -400,8 +401,7 @@ def epoch_mean(df: DataFrame, group_cols: list[str], value_col: str, out: str =
 def running_mean(df: DataFrame, group_cols: list[str], order_cols: list, value_col: str,
                  out: str = "running_mean") -> DataFrame:
     """Running mean of a metric in step order (Mean metric after each update)."""
-    r = running_totals(df, group_cols, order_cols, {"_floe_s": c(value_col).cast("double")},
-                       index_col="_floe_i")
+    r = cell_totals(df, group_cols, order_cols, {"_floe_s": c(value_col).cast("double")}, index_col="_floe_i")
     return r.withColumn(out, F.col("_floe_s") / (F.col("_floe_i") + 1)).drop("_floe_s", "_floe_i")
 
 

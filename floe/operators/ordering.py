@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from floe.functions.text import c as quoted
+from floe.operators.cells import cell_totals
 
 PID = "_floe_pid"
 
@@ -63,12 +64,11 @@ def running_totals(df: DataFrame, group_cols: list[str], order_cols: list,
     within a group and spreads rows evenly (e.g. a prefix of a hash that is
     itself the order key): no sampling job and no cache are needed then.
 
-    ``persist=False`` skips the cache for deterministic inputs (a table scan
-    plus projections): both phases then deal the rows into the same explicit
-    number of ranges, whose bounds are sampled alike from the same scan.
-    Keep the default for inputs that come out of a shuffle, whose row order,
-    and hence sampled bounds, may differ between executions.
+    ``persist=False`` keeps no cache: the groups are cut into cells at explicit
+    bounds (``operators.cells``), which needs the order columns by name.
     """
+    if bucket is None and not persist:
+        return cell_totals(df, group_cols, order_cols, values, index_col, size_col, num_partitions)
     values = dict(values or {})
     orders = [_as_col(o) for o in order_cols]
     tmp = {k: f"_floe_v_{i}" for i, k in enumerate(values)}
@@ -95,16 +95,11 @@ def running_totals(df: DataFrame, group_cols: list[str], order_cols: list,
         # Without an explicit count, adaptive execution may coalesce adjacent
         # ranges; the persisted relation fixes each row's partition index, so
         # both phases still agree.
-        # Without the cache the two phases read exchanges of different widths, which adaptive
-        # execution would coalesce differently: there the count is always explicit.
-        count = num_partitions if persist else _partitions(df, num_partitions)
-        by_range = (base.repartitionByRange(int(count), *range_keys) if count
+        by_range = (base.repartitionByRange(int(num_partitions), *range_keys) if num_partitions
                     else base.repartitionByRange(*range_keys))
-        ranged = by_range.withColumn(PID, F.spark_partition_id())
-        if persist:
-            ranged = ranged.persist(StorageLevel.MEMORY_AND_DISK)
-            if cached is not None:
-                cached.append(ranged)
+        ranged = by_range.withColumn(PID, F.spark_partition_id()).persist(StorageLevel.MEMORY_AND_DISK)
+        if cached is not None:
+            cached.append(ranged)
     summed = list(tmp.values()) + ["_floe_one"]
     cell = Window.partitionBy(PID, *group_cols).orderBy(*orders).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
@@ -133,12 +128,10 @@ def running_totals(df: DataFrame, group_cols: list[str], order_cols: list,
 
 def row_index(df: DataFrame, order_cols: list, index_col: str = "idx",
               group_cols: list[str] | None = None, size_col: str | None = None,
-              num_partitions: int | None = None, cached: list | None = None,
-              persist: bool = True) -> DataFrame:
-    """0-based positional index in ``order_cols`` order (per group)."""
-    return running_totals(df, list(group_cols or []), order_cols, {}, index_col=index_col,
-                          size_col=size_col, num_partitions=num_partitions, cached=cached,
-                          persist=persist)
+              num_partitions: int | None = None) -> DataFrame:
+    """0-based positional index in the order of the columns ``order_cols`` (per group), in cells."""
+    return cell_totals(df, list(group_cols or []), list(order_cols), {}, index_col=index_col, size_col=size_col,
+                       cells=num_partitions)
 
 
 def shuffle_key(row_key: Column, seed: int = 42, epoch: int = 0) -> Column:

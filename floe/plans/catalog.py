@@ -560,20 +560,22 @@ def q_e7(spark, sf):
     return r6(E.one_vs_rest(fx.proba_big(spark, sf), "teacher"))
 
 
-def _score_ovr(spark, sf):
+def _coded_scores(spark, sf):
     sc = fx.scores(spark, sf)
     enc = FT.LabelEncoder("y", "code").fit(sc)
-    return E.one_vs_rest_shared(enc.transform(sc), "score", "code", len(enc.classes))
+    return enc.transform(sc), len(enc.classes)
 
 
 @query("e8_roc_curve")
 def q_e8(spark, sf):
-    return r6(E.roc_curve(_score_ovr(spark, sf)))
+    rows, classes = _coded_scores(spark, sf)
+    return r6(E.roc_curve_shared(rows, "score", "code", classes))
 
 
 @query("e9_auc")
 def q_e9(spark, sf):
-    return r6(E.auc(_score_ovr(spark, sf)))
+    rows, classes = _coded_scores(spark, sf)
+    return r6(E.auc_shared(rows, "score", "code", classes))
 
 
 @query("e10_compare_models")

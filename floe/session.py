@@ -6,7 +6,8 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings that make the default plans skew- and size-aware at runtime.
 DEFAULT_CONF = {
@@ -52,9 +53,53 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh, unique path below the shared folder."""
+    """A fresh, unique path below the shared folder, released with the ``Scope`` around the call, if any."""
     base = shared_dir(spark).rstrip("/")
-    return f"{base}/floe-{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{base}/floe-{name}-{uuid.uuid4().hex[:12]}"
+    if _SCOPES:
+        _SCOPES[-1].paths.append(path)
+    return path
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` below the shared folder and read it back: computed once, and lineage ends here."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_SCOPES: list[Scope] = []
+
+
+class Scope:
+    """Owner of what the library keeps: written intermediates and persisted frames.
+
+    ``with Scope(spark) as kept: ...`` removes the folders written inside and unpersists the
+    frames given to ``keep`` at its end; results that read them must be consumed before.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths, self.frames = spark, [], []
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """Persist ``df`` (memory and disk) until the scope ends."""
+        self.frames.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+        return self.frames[-1]
+
+    def release(self) -> None:
+        while self.frames:
+            self.frames.pop().unpersist()
+        while self.paths:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop())
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def __enter__(self) -> Scope:
+        _SCOPES.append(self)
+        return self
+
+    def __exit__(self, *exc) -> None:
+        _SCOPES.remove(self)
+        self.release()
 
 
 def table_path(sf_dir: str, name: str) -> str:

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from floe.functions.text import c
@@ -61,67 +61,94 @@ def exact_medians_full(df: DataFrame, cols: list[str], num_partitions: int | Non
     return _medians_from_counts(counts, n, None, num_partitions, cached)
 
 
-# percentile_approx accuracy of the bracketing pass; its rank error is at most
-# n / accuracy, so quantiles 0.5 -/+ 3 / accuracy bracket the exact median.
-BRACKET_ACCURACY = 10_000
+# Bins of a feature's values that one selection pass counts.
+MEDIAN_BINS = 4_096
+
+
+def _binary_scale(x: Column) -> Column:
+    """Order-preserving: sign times (log2 |x| + 1080), 0 at 0; covers every finite double in about +-2,104."""
+    return F.when(x == 0, F.lit(0.0)).otherwise(F.signum(x) * (F.log2(F.abs(x)) + F.lit(1080.0)))
 
 
 def exact_medians(df: DataFrame, cols: list[str], num_partitions: int | None = None,
-                  accuracy: int = BRACKET_ACCURACY, cached: list | None = None) -> DataFrame:
-    """Exact median of every column (mean of the two middle values), distributed.
-
-    1. one ``percentile_approx`` pass brackets each median in [lo, hi]
-       (bounded-memory sketches, no shuffle of values);
-    2. one aggregation counts the non-null values and those below lo;
-    3. only values inside [lo, hi] (about 6 / accuracy of the rows) are
-       counted per distinct value and ranked with ``running_totals``.
-
-    No task holds a whole column (the built-in ``median`` merges every
-    distinct value of a column in one task) and the full table is never
-    shuffled.  A feature whose bracket misses the middle ranks falls back to
-    ranking all of its values, so the result is always exact.  Returns
-    (feature, median); features without any non-null value are absent.
+                  accuracy: int = MEDIAN_BINS, cached: list | None = None) -> DataFrame:
+    """Exact median of every column (mean of the two middle values), by radix selection.
+
+    Each pass cuts the range that holds the middle ranks of a feature into ``accuracy``
+    bins and counts them, with the smallest and largest value of each; the bin of the
+    middle ranks is the next range.  The first pass bins by sign and binary logarithm, so
+    it takes any spread of magnitudes; the later ones bin evenly, each fixing twelve more
+    bits, so some six passes are enough and columns of few distinct values end in one.
+    Both middle ranks are known once they part into two bins or a bin holds one value.
+
+    Tasks combine their counts and send at most ``accuracy`` rows a feature; the rows of
+    different features meet in different tasks.  NaN is missing.  Returns (feature,
+    median); features without any value are absent.  ``num_partitions`` and ``cached`` are
+    not needed any more.
     """
+    spark, schema = df.sparkSession, "feature string, median double"
     if not cols:
-        return df.sparkSession.createDataFrame([], "feature string, median double")
-    # NaN is missing, on every path below
-    df = df.select(*[F.when(~F.isnan(c(n).cast("double")), c(n).cast("double")).alias(n) for n in cols])
-    eps = 3.0 / accuracy
-    qs = [max(0.0, 0.5 - eps), min(1.0, 0.5 + eps)]
-    row = df.agg(*[F.percentile_approx(c(n).cast("double"), qs, accuracy).alias(f"q{i}")
-                   for i, n in enumerate(cols)]).first()
-    bounds = {n: row[f"q{i}"] for i, n in enumerate(cols) if row[f"q{i}"] is not None}
-    present = [n for n in cols if n in bounds]
-    if not present:
-        return df.sparkSession.createDataFrame([], "feature string, median double")
-    pairs = F.array(*[F.struct(F.lit(n).alias("feature"), c(n).cast("double").alias("value"),
-                               F.lit(float(bounds[n][0])).alias("lo"), F.lit(float(bounds[n][1])).alias("hi"))
-                      for n in present])
-    long = df.select(F.inline(pairs)).where(F.col("value").isNotNull() & ~F.isnan("value"))
-    stats = long.groupBy("feature").agg(F.count(F.lit(1)).alias("n"),
-                                        F.count(F.when(F.col("value") < F.col("lo"), 1)).alias("below"),
-                                        F.count(F.when((F.col("value") >= F.col("lo"))
-                                                       & (F.col("value") <= F.col("hi")), 1)).alias("inside"))
-    st = {r["feature"]: (r["n"], r["below"], r["inside"]) for r in stats.collect()}
-    good, missed = [], []
-    for n_ in present:
-        total, below, inside = st[n_]
-        lo_r, hi_r = (total - 1) // 2, total // 2
-        (good if below <= lo_r and hi_r < below + inside else missed).append(n_)
-    parts = []
-    if good:
-        cand = long.where(F.col("feature").isin(good) & (F.col("value") >= F.col("lo"))
-                          & (F.col("value") <= F.col("hi")))
-        counts = cand.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("cnt"))
-        spark = df.sparkSession
-        n_tab = spark.createDataFrame([(f, int(st[f][0]), int(st[f][1])) for f in good],
-                                      "feature string, n long, below long")
-        parts.append(_medians_from_counts(counts, n_tab, "below", num_partitions, cached))
-    if missed:
-        parts.append(exact_medians_full(df, missed, num_partitions, cached))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+        return spark.createDataFrame([], schema)
+    inf = float("inf")
+    values = {n: F.when(~F.isnan(c(n).cast("double")), c(n).cast("double")) for n in cols}
+    finite = {n: F.when(F.abs(v) < inf, v) for n, v in values.items()}
+    row = df.agg(*[x for n in cols for x in (
+        F.count(values[n]), F.count(F.when(values[n] == -inf, 1)), F.min(finite[n]), F.max(finite[n]))]).first()
+    middle: dict[str, tuple[float, float]] = {}
+    ranges: dict[str, tuple[float, float, int, int]] = {}     # low, high, ranks of the middle values above low
+    for i, n in enumerate(cols):
+        total, lowest, low, high = row[4 * i:4 * i + 4]
+        if not total:
+            continue
+        at = [(total - 1) // 2 - lowest, total // 2 - lowest]
+        if low is not None and at[0] >= 0:
+            ranges[n] = (low, high, *at)
+        else:
+            middle[n] = (-inf if at[0] < 0 else inf, -inf if at[1] < 0 else low if low is not None else inf)
+    first = True
+    while ranges:
+        picked = _middle_bins(df, finite, ranges, accuracy, first)
+        todo = {}
+        for n, (low, high, lo, hi) in ranges.items():
+            found = picked.get(n, [])
+            own = [next(((b, e, lo - w, hi - w) for w, k, b, e in found if w <= r < w + k), None) for r in (lo, hi)]
+            if own[0] is None or own[1] is None or own[0][:2] != own[1][:2]:
+                # apart: the last value of one bin and the first of the next, or an infinity after the last
+                middle[n] = (inf if own[0] is None else own[0][1], inf if own[1] is None else own[1][0])
+            elif own[0][0] == own[0][1]:
+                middle[n] = own[0][:2]
+            else:
+                todo[n] = own[0]
+        ranges, first = todo, False
+    return spark.createDataFrame([(n, (a + b) / 2 if a != b else a) for n, (a, b) in middle.items()], schema)
+
+
+def _middle_bins(df: DataFrame, finite: dict[str, Column], ranges: dict[str, tuple[float, float, int, int]],
+                 bins: int, logarithmic: bool) -> dict[str, list[tuple[int, int, float, float]]]:
+    """Per feature the bins (values below, count, smallest, largest) that hold its middle ranks."""
+    names = list(ranges)
+    pairs = F.array(*[F.struct(
+        F.lit(i).alias("feature"), F.when(finite[n].between(*ranges[n][:2]), finite[n]).alias("value"),
+        F.lit(float(ranges[n][0])).alias("low"), F.lit(float(ranges[n][1])).alias("high")) for i, n in enumerate(names)])
+    long = df.select(F.inline(pairs)).where(F.col("value").isNotNull())
+    value, low, high = F.col("value"), F.col("low"), F.col("high")
+    if logarithmic:
+        value, low, high = map(_binary_scale, (value, low, high))
+    # halved, so that no difference overflows
+    share = F.coalesce(F.try_divide(value / 2 - low / 2, high / 2 - low / 2), F.lit(0.0))
+    at = F.least(F.greatest(F.floor(share * bins), F.lit(0)), F.lit(bins - 1)).cast("int")
+    counts = long.groupBy("feature", at.alias("bin")).agg(
+        F.count(F.lit(1)).alias("k"), F.min("value").alias("least"), F.max("value").alias("most"))
+    before = Window.partitionBy("feature").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = counts.withColumn("below", F.sum("k").over(before) - F.col("k"))
+    # as many rows as features
+    wanted = df.sparkSession.createDataFrame([(i, int(ranges[n][2]), int(ranges[n][3])) for i, n in enumerate(names)],
+                                             "feature int, lo long, hi long")
+    rows = ranked.join(F.broadcast(wanted), "feature").where(
+        (F.col("below") <= F.col("hi")) & (F.col("lo") < F.col("below") + F.col("k"))).collect()
+    out: dict[str, list] = {}
+    for r in rows:
+        out.setdefault(names[r.feature], []).append((r.below, r.k, r.least, r.most))
     return out
 
 
@@ -163,10 +190,7 @@ class MedianImputer:
                            for i, n in enumerate(self.cols)]).first()
             got = {n: row[f"m{i}"] for i, n in enumerate(self.cols)}
         else:
-            cached: list = []
-            got = {r["feature"]: r["median"] for r in exact_medians(df, self.cols, cached=cached).collect()}
-            for frame in cached:
-                frame.unpersist()
+            got = {r["feature"]: r["median"] for r in exact_medians(df, self.cols).collect()}
         medians = {n: float(got[n]) for n in self.cols if got.get(n) is not None}
         dropped = [n for n in self.cols if n not in medians]
         return MedianImputerModel(medians, dropped)
@@ -351,7 +375,7 @@ class StandardScalerModel:
 
 
 class StandardScaler:
-    """A5: population standard deviation; a zero deviation scales by 1."""
+    """A5: population standard deviation; a zero deviation scales by 1.  NaN is missing in the fit."""
 
     def __init__(self, cols: list[str]):
         self.cols = list(cols)
@@ -361,7 +385,7 @@ class StandardScaler:
             return StandardScalerModel({}, {})
         aggs = []
         for i, n in enumerate(self.cols):
-            x = c(n).cast("double")
+            x = F.when(~F.isnan(c(n).cast("double")), c(n).cast("double"))
             aggs += [F.avg(x).alias(f"m{i}"), F.stddev_pop(x).alias(f"s{i}")]
         row = df.agg(*aggs).first()
         mean = {n: float(row[f"m{i}"] or 0.0) for i, n in enumerate(self.cols)}
@@ -373,8 +397,8 @@ class StandardScaler:
 
 
 def scaler_stats(df: DataFrame, cols: list[str]) -> DataFrame:
-    """A5 statistics as a table (feature, mean, scale), one distributed agg."""
-    long = _long_form(df, cols)
+    """A5 statistics as a table (feature, mean, scale), one distributed agg.  NaN is missing."""
+    long = _long_form(df, cols).where(~F.isnan("value"))
     sd = F.stddev_pop("value")
     return long.groupBy("feature").agg(
         F.avg("value").alias("mean"),

@@ -21,19 +21,45 @@ def header_columns(spark: SparkSession, path: str) -> list[str]:
     return first.columns
 
 
+CORRUPT = "_floe_corrupt"
+
+
+def _scan(spark: SparkSession, path: str, columns: list[str] | None, multi_line: bool) -> DataFrame:
+    """All-text rows and, in CORRUPT, the record of those with too many or too few fields."""
+    names = columns or header_columns(spark, path)
+    schema = StructType([StructField(n, StringType(), True) for n in [*names, CORRUPT]])
+    # columnPruning=false: a row's fields are counted whichever columns are asked for;
+    # enforceSchema=false: a file whose header differs in names or order is refused
+    return (spark.read.options(**CSV_TEXT).option("mode", "PERMISSIVE").option("enforceSchema", "false")
+            .option("columnNameOfCorruptRecord", CORRUPT).option("columnPruning", "false")
+            .option("multiLine", str(multi_line).lower()).schema(schema).csv(path))
+
+
 def read_text_csv(spark: SparkSession, path: str, columns: list[str] | None = None,
-                  na_tokens=None) -> DataFrame:
+                  na_tokens=None, multi_line: bool = False) -> DataFrame:
     """S1 + S2: header CSV with every column as text; missing tokens -> NULL.
 
     No schema inference (a full extra pass at scale); the schema is the
-    header with every column typed ``string``.
+    header with every column typed ``string``.  A row with more or fewer fields
+    than the header fails the query with its text; ``read_csv_with_rejects`` sets
+    such rows apart.  ``multi_line`` allows line breaks inside quoted fields, at the
+    price that a file is read by one task.
     """
-    names = columns or header_columns(spark, path)
-    schema = StructType([StructField(n, StringType(), True) for n in names])
-    # enforceSchema=false: a file whose header differs in names or order is refused
-    raw = (spark.read.options(**CSV_TEXT).option("mode", "PERMISSIVE").option("enforceSchema", "false")
-           .option("multiLine", "false").schema(schema).csv(path))
-    return normalize_na(raw, na_tokens)
+    raw = _scan(spark, path, columns, multi_line)
+    whole = F.when(F.col(CORRUPT).isNull(), F.lit(True)).otherwise(
+        F.raise_error(F.concat(F.lit("malformed CSV row: "), F.col(CORRUPT))).cast("boolean"))
+    return normalize_na(raw.where(whole).drop(CORRUPT), na_tokens)
+
+
+def read_csv_with_rejects(spark: SparkSession, path: str, columns: list[str] | None = None, na_tokens=None,
+                          multi_line: bool = False) -> tuple[DataFrame, DataFrame]:
+    """S1 with a rejects table: (rows as ``read_text_csv`` gives them, (record,) of each refused row)."""
+    raw = _scan(spark, path, columns, multi_line)
+    rows = normalize_na(raw.where(F.col(CORRUPT).isNull()).drop(CORRUPT), na_tokens)
+    # always true, and names a column: Spark refuses queries on the record alone
+    first = c(raw.columns[0])
+    refused = raw.where(F.col(CORRUPT).isNotNull() & (first.isNull() | (F.length(first) >= 0)))
+    return rows, refused.select(F.col(CORRUPT).alias("record"))
 
 
 def normalize_na(df: DataFrame, na_tokens=None) -> DataFrame:

@@ -106,3 +106,69 @@ def test_sparse_one_hot_holds_the_ones_of_the_dense_form(spark):
     wide = spark.range(20_000).select("id", F.concat(F.lit("c"), F.col("id").cast("string")).alias("p"))
     got = FT.SparseOneHotEncoder(["p"]).fit(wide).transform(wide, "id").select(F.explode("indices").alias("i"))
     assert got.distinct().count() == 20_000
+
+
+def test_medians_of_hard_columns(spark):
+    import itertools
+    import math
+    import random
+    rnd = random.Random(1)
+    inf, nan = float("inf"), float("nan")
+    columns = {
+        "wide": [rnd.choice([1, -1]) * 2.0 ** rnd.uniform(-1070, 1020) for _ in range(301)],
+        "huge": [1.7e308, -1.7e308, 1.6e308, -1.6e308, 5.0], "tiny": [5e-324, 1e-323, 0.0, -0.0, 5e-324],
+        "close": [1.0 + k * 2.0 ** -52 for k in range(40)], "even": [3.0, 1.0, 2.0, 4.0], "same": [7.0] * 9,
+        "low": [-inf, -inf, 1.0], "split": [-inf, 2.0], "high": [1.0, inf], "ends": [-inf, inf, inf], "odd": [inf, 1.0, -inf],
+        "some": [nan, 3.0, None, 1.0], "none": [None, nan], "zero": [0.0, 0.0, -1e-300, 1e300]}
+    rows = list(itertools.zip_longest(*columns.values()))
+    df = spark.createDataFrame(rows, ", ".join(f"{n} double" for n in columns)).repartition(4)
+    want = {}
+    for n, values in columns.items():
+        known = sorted(v for v in values if v is not None and v == v)
+        if known:
+            a, b = known[(len(known) - 1) // 2], known[len(known) // 2]
+            want[n] = a if a == b else (a + b) / 2
+    for bins in (4_096, 3):
+        got = {r.feature: r["median"] for r in FT.exact_medians(df, list(columns), accuracy=bins).collect()}
+        assert set(got) == set(want)
+        assert all(got[n] == want[n] or (math.isnan(got[n]) and math.isnan(want[n])) for n in want), (bins, got, want)
+
+
+def test_nan_is_missing_in_the_scaler(spark):
+    df = spark.createDataFrame([(1.0,), (float("nan"),), (3.0,)], "a double")
+    model = FT.StandardScaler(["a"]).fit(df)
+    assert (model.mean, model.scale) == ({"a": 2.0}, {"a": 1.0})
+    assert [tuple(r) for r in FT.scaler_stats(df, ["a"]).collect()] == [("a", 2.0, 1.0)]
+
+
+def test_malformed_csv_rows_are_refused_or_set_apart(spark, tmp_path):
+    from floe.sources.csv import read_csv_with_rejects
+    path = tmp_path / "m.csv"
+    path.write_text("a,b c,d\n1,2,3\n4,5\n6,7,8,9\n?,,x\n")
+    with pytest.raises(Exception, match="malformed CSV row"):
+        read_text_csv(spark, str(path)).collect()
+    with pytest.raises(Exception, match="malformed CSV row"):
+        read_text_csv(spark, str(path)).select("a").collect()
+    rows, rejects = read_csv_with_rejects(spark, str(path))
+    assert sorted(map(tuple, rows.collect()), key=str) == [("1", "2", "3"), (None, None, "x")]
+    assert sorted(r.record for r in rejects.collect()) == ["4,5", "6,7,8,9"] and rejects.count() == 2
+    assert [r.a for r in rows.select("a").where("a is not null").collect()] == ["1"]
+
+
+def test_line_breaks_inside_quotes(spark, tmp_path):
+    path = tmp_path / "q.csv"
+    path.write_text('a,b\n1,"two\nlines"\n3,"say ""x"", y"\n')
+    got = sorted(map(tuple, read_text_csv(spark, str(path), multi_line=True).collect()))
+    assert got == [("1", "two\nlines"), ("3", 'say "x", y')]
+    with pytest.raises(Exception, match="malformed CSV row"):
+        read_text_csv(spark, str(path)).collect()
+
+
+def test_entry_survives_a_missing_optional_package():
+    import os
+    import subprocess
+    import sys
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = ("import sys; sys.modules['zstandard'] = None; sys.path.insert(0, %r); import __spark_entry__ as e; "
+            "assert not e.WITH_LLM and len(e.queries()) > 70 and 'pipeline' not in e.queries() and e.oracle_sql()" % root)
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=120)

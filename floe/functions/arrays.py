@@ -26,6 +26,15 @@ def let(value: Column, body) -> Column:
     return F.aggregate(F.array(F.lit(0)), value, lambda acc, _x: acc, body)
 
 
+def matrix_literal(rows: list[list[float]]) -> Column:
+    """The numbers of ``rows`` one after another, as an array<double> that the optimiser folds into one literal.
+
+    An array of single literals would be a plan node for each number.
+    """
+    return F.split(F.lit(",".join(repr(float(x)).replace("inf", "Infinity").replace("nan", "NaN")
+                                  for row in rows for x in row)), ",").cast("array<double>")
+
+
 def explode_positions(df, keep: list, arr: Column, pos: str, value: str):
     """Rows (keep..., pos, value) for every element, like ``posexplode``.
 

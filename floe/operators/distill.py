@@ -17,11 +17,13 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from floe.functions.arrays import (blend, explode_positions, kl_divergence, log_temperature_softmax, mean_squared_error,
-                                   resample_linear, softmax, sparse_cross_entropy, temperature_softmax)
+from floe.functions.arrays import (blend, explode_positions, kl_divergence, let, log_temperature_softmax,
+                                   matrix_literal, mean_squared_error, resample_linear, softmax, sparse_cross_entropy,
+                                   temperature_softmax)
 from floe.functions.text import c
 from floe.operators.cells import CELL, HOT, find_cells
 from floe.operators.softmax import SoftmaxModel, SoftmaxRegression
+from floe.session import stored
 
 
 # ------------------------------------------------------------ K1 centroid
@@ -31,17 +33,24 @@ class CentroidModel:
     features: list[str]
     centroids: dict[int, list[float]]
 
+    def scores(self):
+        """Negative squared distances by class, an array column."""
+        k, d = len(self.centroids), len(self.features)
+        means = matrix_literal([self.centroids[i] for i in sorted(self.centroids)])
+        x = F.array(*[c(f).cast("double") for f in self.features]) if d else F.array().cast("array<double>")
+
+        def negative_distances(v):
+            def of_class(i):
+                def add(acc, j):
+                    gap = F.element_at(v, j) - F.element_at(means, i * d + j)
+                    return acc + gap * gap
+                return -F.aggregate(F.sequence(F.lit(1), F.lit(d)), F.lit(0.0), add) if d else F.lit(0.0)
+            return F.transform(F.sequence(F.lit(0), F.lit(k - 1)), of_class)
+        # the features are gathered once a row and the plan has one literal, whatever k and d
+        return let(x, negative_distances)
+
     def probability(self):
-        neg = []
-        for k in sorted(self.centroids):
-            mu = self.centroids[k]
-            d = None
-            for f, m in zip(self.features, mu):
-                term = (c(f).cast("double") - F.lit(float(m))) * (c(f).cast("double") - F.lit(float(m)))
-                d = term if d is None else d + term
-            neg.append(-d)
-        # the distances are evaluated once (let-bound array), whatever k and d
-        return softmax(F.array(*neg))
+        return softmax(self.scores())
 
     def transform(self, df: DataFrame, prob_col: str = "probability") -> DataFrame:
         return df.withColumn(prob_col, self.probability())
@@ -64,6 +73,66 @@ class CentroidClassifier:
         return CentroidModel(self.features, cents)
 
 
+@dataclass
+class SparseCentroidModel:
+    """Centroids over numeric columns and standardised one-hot categories that are never made columns.
+
+    A category's one-hot feature is 0 in nearly every row.  Its squared distance to class k
+    is (n_kf / n_k)^2 / s_f^2 there, summed over all categories in ``base``; where it is 1
+    the difference (1 - 2 n_kf / n_k) / s_f^2 is added, from ``deltas`` (col, value, delta by class).
+    """
+    numeric: CentroidModel
+    categories: list[str]
+    base: list[float]
+    deltas: DataFrame
+
+    def transform(self, df: DataFrame, prob_col: str = "probability") -> DataFrame:
+        """One join a category column; adaptive execution broadcasts a small table or splits a hot category."""
+        out, parts = df, []
+        for i, name in enumerate(self.categories):
+            own = self.deltas.where(F.col("col") == i).select(F.col("value").alias(f"_floe_c{i}"), F.col("delta").alias(f"_floe_d{i}"))
+            out = out.join(own, c(name).cast("string") == F.col(f"_floe_c{i}"), "left")
+            parts.append(F.col(f"_floe_d{i}"))
+        scores = F.zip_with(self.numeric.scores(), matrix_literal([self.base]), lambda z, b: z - b)
+        for part in parts:      # an unseen category has no one-hot feature
+            scores = F.when(part.isNull(), scores).otherwise(F.zip_with(scores, part, lambda z, d: z - d))
+        return out.select(*[c(n) for n in df.columns if n != prob_col], softmax(scores).alias(prob_col))
+
+
+class SparseCentroidClassifier:
+    """K1 'centroid' backend over any number of categories (A4 and A5 from counts).
+
+    The fit counts rows by (column, category, class); mean and deviation of a one-hot feature
+    and its class means follow from the counts.  Same model as ``CentroidClassifier`` on the
+    scaled dense one-hot columns.
+    """
+
+    def __init__(self, features: list[str], categories: list[str], label_col: str = "y"):
+        self.features, self.categories, self.label_col = list(features), list(categories), label_col
+
+    def fit(self, df: DataFrame) -> SparseCentroidModel:
+        numeric = CentroidClassifier(self.features, self.label_col).fit(df)
+        k = len(numeric.centroids)
+        y = c(self.label_col).cast("int").alias("k")
+        sizes = {r["k"]: r["count"] for r in df.select(y).groupBy("k").count().collect()}      # one row a class
+        total = sum(sizes.values())
+        values = F.array(*[F.struct(F.lit(i).alias("col"), c(n).cast("string").alias("value"))
+                           for i, n in enumerate(self.categories)])
+        counts = df.select(y, F.inline(values)).where(F.col("value").isNotNull()).groupBy("col", "value", "k").agg(
+            F.count(F.lit(1)).alias("n"))
+        # at most one entry a class
+        by_class = counts.groupBy("col", "value").agg(F.map_from_entries(F.collect_list(F.struct("k", "n"))).alias("m"),
+                                                      F.sum("n").alias("n"))
+        p = F.col("n") / F.lit(float(total))
+        variance = F.when(p < 1, p * (1 - p)).otherwise(F.lit(1.0))
+        rates = [F.coalesce(F.try_element_at("m", F.lit(i)), F.lit(0))
+                 / F.lit(float(max(sizes.get(i, 0), 1))) for i in range(k)]
+        table = stored(by_class.select("col", "value", F.array(*[(1 - 2 * r) / variance for r in rates]).alias("delta"),
+                                       F.array(*[r * r / variance for r in rates]).alias("zero")), "categories")
+        row = table.agg(*[F.sum(F.get("zero", i)) for i in range(k)]).first()
+        return SparseCentroidModel(numeric, self.categories, [float(v or 0.0) for v in row], table.drop("zero"))
+
+
 # ------------------------------------------------------------ MLlib learners
 def assemble(df: DataFrame, features: list[str], out: str = "features") -> DataFrame:
     return VectorAssembler(inputCols=features, outputCol=out, handleInvalid="keep").transform(df)

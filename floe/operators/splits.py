@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from floe.functions.text import c
+from floe.operators.cells import cell_totals
 from floe.operators.ordering import hash_bucket, key_at_or_before, shuffle_key
 
 BIG = "decimal(38,0)"
@@ -47,6 +48,8 @@ def stratified_quotas(df: DataFrame, label_col: str, test_size: float = 0.3) ->
 # Hash buckets used to locate each class boundary; the boundary bucket of a
 # class holds about n_class / SELECT_BUCKETS rows.
 SELECT_BUCKETS = 1 << 16
+# Rows of a boundary bucket that one task ranks.
+BUCKET_ROWS = 100_000
 
 
 def stratified_split(df: DataFrame, label_col: str, key_col: str, test_size: float = 0.3,
@@ -62,7 +65,8 @@ def stratified_split(df: DataFrame, label_col: str, key_col: str, test_size: flo
        prefix); class sizes and quotas come from these counts;
     2. running counts over the buckets of a class (at most ``buckets`` rows)
        locate the bucket holding position n_test_class - 1;
-    3. only the rows of that one bucket per class are ranked.
+    3. only the rows of that one bucket per class are ranked, in cells where a bucket
+       holds more than ``BUCKET_ROWS``, so no task grows with the class.
 
     The boundaries (one row per class) are collected and the split is a
     comparison of (hash, key) against them, so no row is shuffled and
@@ -85,13 +89,17 @@ def stratified_split(df: DataFrame, label_col: str, key_col: str, test_size: flo
     target = (cum.join(small(quotas), cum["_floe_lbl"].eqNullSafe(quotas["_floe_lbl"]))
               .where((F.col("n_test_class") > 0) & (F.col("_floe_before") <= F.col("n_test_class") - 1)
                      & (F.col("n_test_class") - 1 < F.col("_floe_before") + F.col("cnt")))
-              .select(cum["_floe_lbl"].alias("_floe_tl"), F.col("_floe_b").alias("_floe_tb"),
+              .select(cum["_floe_lbl"].alias("_floe_tl"), F.col("_floe_b").alias("_floe_tb"), "cnt",
                       (F.col("n_test_class") - 1 - F.col("_floe_before")).alias("_floe_r")))
     cand = narrow.join(small(target), narrow["_floe_lbl"].eqNullSafe(target["_floe_tl"])
                        & (narrow["_floe_b"] == target["_floe_tb"]))
-    in_bucket = Window.partitionBy("_floe_lbl").orderBy("_floe_h", "_floe_key")
-    last = (cand.withColumn("_floe_rn", F.row_number().over(in_bucket) - 1)
-            .where(F.col("_floe_rn") == F.col("_floe_r")).select("_floe_lbl", "_floe_h", "_floe_key"))
+    if (target.agg(F.max("cnt")).first()[0] or 0) > BUCKET_ROWS:
+        # a boundary bucket that has grown with its class is itself cut into cells
+        ranked = cell_totals(cand, ["_floe_lbl"], ["_floe_h", "_floe_key"], index_col="_floe_rn")
+    else:
+        in_bucket = Window.partitionBy("_floe_lbl").orderBy("_floe_h", "_floe_key")
+        ranked = cand.withColumn("_floe_rn", F.row_number().over(in_bucket) - 1)
+    last = (ranked.where(F.col("_floe_rn") == F.col("_floe_r")).select("_floe_lbl", "_floe_h", "_floe_key"))
     rows = last.limit(BOUNDS_AS_LITERALS + 1).collect()
     if len(rows) <= BOUNDS_AS_LITERALS:
         bucket_counts.unpersist()

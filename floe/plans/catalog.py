@@ -271,6 +271,12 @@ def q_a4(spark, sf):
     return r6(oh.transform(df).select("row_id", *[c(n) for n in oh.output_names()]))
 
 
+@query("a4_sparse_flow_report")
+def q_a4_sparse(spark, sf):
+    """One-hot categories of any number, from counts: report of the centroid teacher with the part as a category."""
+    return r6(pipelines.sparse_flow_report(spark, sf))
+
+
 @query("a5_scaler_stats")
 def q_a5(spark, sf):
     return r6(FT.scaler_stats(fx.flows_num(spark, sf), fx.NUM_FEATURES))

@@ -57,6 +57,27 @@ SQL["flagship_classification_report"] = f"""WITH {PREPARED},
 {report_ctes('pred', 'names')}
 {report_select()}"""
 
+# the same with the part as a second category: dense one-hot features would be one for each part
+_PART = "split_part(row_id, '-', 3)"
+SQL["a4_sparse_flow_report"] = f"""WITH {PREPARED},
+one AS (SELECT cl.row_id, cl.split, codes.code AS y, {_PART} AS part FROM cl JOIN codes USING (lbl)),
+tot AS (SELECT count(*) AS n FROM one WHERE split = 'train'),
+per AS (SELECT y, count(*) AS n_k FROM one WHERE split = 'train' GROUP BY y),
+hit AS (SELECT part, y, count(*) AS n FROM one WHERE split = 'train' GROUP BY part, y),
+grid AS (SELECT a.part, per.y, coalesce(h.n, 0) / n_k AS r,
+                sum(coalesce(h.n, 0)) OVER (PARTITION BY a.part) / tot.n AS p
+         FROM (SELECT DISTINCT part FROM hit) a CROSS JOIN per CROSS JOIN tot
+         LEFT JOIN hit h ON h.part = a.part AND h.y = per.y),
+gap AS (SELECT part, y, (1 - 2 * r) / v AS delta, r * r / v AS zero
+        FROM (SELECT *, CASE WHEN p < 1 THEN p * (1 - p) ELSE 1.0 END AS v FROM grid)),
+zero AS (SELECT y, sum(zero) AS z FROM gap GROUP BY y),
+summed AS (SELECT dist.row_id, dist.y, dist.k, dist.nd - zero.z - coalesce(gap.delta, 0) AS nd
+         FROM dist JOIN one USING (row_id) JOIN zero ON zero.y = dist.k LEFT JOIN gap ON gap.part = one.part AND gap.y = dist.k),
+best AS (SELECT row_id, y, k AS pred FROM summed
+         QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY nd DESC, k) = 1),
+{report_ctes('best', 'names')}
+{report_select()}"""
+
 SQL["k3_batch_scoring"] = f"""WITH {PREPARED}
 SELECT row_id, CAST(k AS INTEGER) AS class, {r6('p')} AS p FROM prob"""
 # soft targets of the train rows: the centroid softmax once more at temperature 10, blended with the true class

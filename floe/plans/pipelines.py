@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from floe.functions.arrays import temperature_softmax
 from floe.functions.text import c, fill_missing
-from floe.operators.distill import (CentroidClassifier, distillation_losses, fit_distilled_student, fit_student,
+from floe.operators.distill import (CentroidClassifier, SparseCentroidClassifier, distillation_losses, fit_distilled_student, fit_student,
                                     fit_teacher)
 from floe.operators.evaluate import classification_report, confusion, evaluate, with_prediction
 from floe.operators.ordering import row_index, tail_split
@@ -38,7 +38,7 @@ class Prepared:
 
 def prepare_flows(flows: DataFrame, key: str, label: str, categories=(), drop=(), bools=(),
                   test_size: float = 0.3, seed: int = 42, fit_on: str = "all",
-                  persist_input: bool = False, written: bool = False) -> Prepared:
+                  persist_input: bool = False, written: bool = False, sparse: bool = False) -> Prepared:
     """One-file flow: split on the label, fit preprocessing, transform both parts.
 
     ``fit_on='all'`` fits imputer, one-hot and label encoder on every row (as
@@ -56,7 +56,7 @@ def prepare_flows(flows: DataFrame, key: str, label: str, categories=(), drop=()
     split = stratified_split(labelled, label, key, test_size, seed)
     train = split.where(F.col("split") == "train").drop("split")
     test = split.where(F.col("split") == "test").drop("split")
-    prep = Preprocess(key, label, drop=drop, bools=bools, categories=categories)
+    prep = Preprocess(key, label, drop=drop, bools=bools, categories=categories, sparse=sparse)
     model = prep.fit(train, fit_frame=labelled if fit_on == "all" else None)
     if written:
         whole = model.transform(split, keep=("split",)).withColumnRenamed("split", PART)
@@ -98,6 +98,22 @@ def distilled_student(flows: DataFrame, key: str, label: str, categories=(), tea
                                              temperature=temperature, t2_scale=t2_scale)
 
 
+def _centroid_report(p: Prepared) -> DataFrame:
+    """Report of the centroid teacher on the test part, with dense or sparse categories."""
+    names = p.model.feature_names
+    teacher = (SparseCentroidClassifier(names, p.model.categories) if p.model.sparse else CentroidClassifier(names)).fit(p.train)
+    scored = with_prediction(teacher.transform(p.test, "probability"), "probability")
+    classes = p.model.labels.classes
+    return classification_report(confusion(scored, len(classes)), classes)
+
+
+def sparse_flow_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship with a second category of many values (the part of a ``lineitem`` row), kept sparse."""
+    flows = fx.flows_num(spark, sf_dir).withColumn("part", F.get(F.split("row_id", "-"), 2))
+    return _centroid_report(prepare_flows(flows, "row_id", "l_returnflag", categories=["l_linestatus", "part"],
+                                          written=True, sparse=True))
+
+
 def distillation_pipeline(spark: SparkSession, sf_dir: str, temperature: float = 10.0,
                           alpha: float = 0.5, teacher_kind: str = "forest",
                           with_baseline: bool = False, t2_scale: bool = True,
@@ -157,23 +173,21 @@ def _with_row_key(df: DataFrame) -> DataFrame:
 
 
 def one_file_flow(spark: SparkSession, path: str, preset_name: str, test_size: float = 0.3, seed: int = 42,
-                  split_joined_names: bool = False) -> tuple[PreprocessModel, DataFrame]:
+                  split_joined_names: bool = False, sparse: bool = False) -> tuple[PreprocessModel, DataFrame]:
     """The one-file flow on a raw all-text CSV: returns (model, report).
 
     Preset columns are dropped, text booleans mapped, categories one-hot
     encoded; imputer, encoders fitted on all rows, scaler on train; centroid
-    teacher; classification report on the test part.
+    teacher; classification report on the test part.  ``sparse`` takes categories of any
+    number of values.
     """
     from floe.plans.presets import preset
     from floe.sources.csv import read_text_csv
     spec = preset(preset_name, split_joined_names)
     raw = _with_row_key(read_text_csv(spark, path))
     p = prepare_flows(raw, ROW_KEY, spec["label"], categories=spec["categories"], drop=spec["drop"],
-                      bools=spec["bools"], test_size=test_size, seed=seed)
-    teacher = CentroidClassifier(p.model.feature_names, "y").fit(p.train)
-    scored = with_prediction(teacher.transform(p.test, "probability"), "probability")
-    classes = p.model.labels.classes
-    return p.model, classification_report(confusion(scored, len(classes)), classes)
+                      bools=spec["bools"], test_size=test_size, seed=seed, sparse=sparse, written=sparse)
+    return p.model, _centroid_report(p)
 
 
 def pair_flow(spark: SparkSession, train_path: str, test_path: str, preset_name: str,

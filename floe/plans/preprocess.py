@@ -44,6 +44,7 @@ class PreprocessModel:
     onehot: OneHotModel
     labels: LabelEncoderModel
     scaler: StandardScalerModel | None
+    sparse: bool = False        # categories stay text columns beside the features
 
     @property
     def feature_names(self) -> list[str]:
@@ -70,7 +71,7 @@ class PreprocessModel:
                  else imputed.withColumn(self.labels.output_col, F.lit(None).cast("int")))
         wide = coded.select(c(self.key), F.col(self.labels.output_col).alias("y"), *[c(n) for n in keep],
                             *[c(n) for n in self.numeric if n not in self.imputer.dropped],
-                            *self.onehot.columns())
+                            *self.onehot.columns(), *[c(n) for n in (self.categories if self.sparse else [])])
         if scale and self.scaler is not None:
             wide = self.scaler.transform(wide)
         return wide
@@ -78,11 +79,12 @@ class PreprocessModel:
 
 class Preprocess:
     def __init__(self, key: str, label: str, drop=(), bools=(), categories=(),
-                 drop_empty: bool = False, impute: str = "exact"):
+                 drop_empty: bool = False, impute: str = "exact", sparse: bool = False):
         self.key, self.label = key, label
         self.drop, self.bools, self.categories = list(drop), list(bools), list(categories)
         self.drop_empty = drop_empty
         self.impute = impute
+        self.sparse = sparse
 
     def fit(self, train: DataFrame, fit_frame: DataFrame | None = None,
             test: DataFrame | None = None) -> PreprocessModel:
@@ -99,10 +101,10 @@ class Preprocess:
         source = fit_frame if fit_frame is not None else train
         cleaned = clean(source, self.drop, self.bools, cats, self.label, numeric)
         imputer = MedianImputer(numeric, self.impute).fit(cleaned)
-        onehot = OneHotEncoder(cats).fit(cleaned)
+        onehot = OneHotEncoder([] if self.sparse else cats).fit(cleaned)
         labels = LabelEncoder(self.label, "_floe_y").fit(cleaned)
         model = PreprocessModel(self.key, self.label, self.drop, self.bools, cats, numeric, imputer, onehot,
-                                labels, None)
+                                labels, None, self.sparse)
         unscaled = model.transform(train, scale=False)
         model.scaler = StandardScaler(model.feature_names).fit(unscaled)
         return model

@@ -45,3 +45,23 @@ def test_one_file_and_pair_flows(spark):
     assert "empty_col" not in model2.numeric                                       # P9
     rows2 = {r["class"]: r for r in rep2.collect()}
     assert rows2["accuracy"]["support"] == 200
+
+
+def test_sparse_categories_give_the_dense_report(spark):
+    d = tempfile.mkdtemp(prefix="floe-xcsv-")
+    rows = _x_like_rows(500, 7)
+    _write(spark, rows, d + "/all")
+    dense, sparse = (sorted(map(str, one_file_flow(spark, d + "/all", "x_full", sparse=s)[1].collect())) for s in (False, True))
+    assert dense == sparse
+
+
+def test_one_file_flow_with_fifty_thousand_categories(spark):
+    d = tempfile.mkdtemp(prefix="floe-xcsv-")
+    rows = spark.range(60_000).selectExpr(
+        "cast(id as string) Timestamp", "concat('s', id % 50000) Service", "concat('c', id % 2) Conn_state", "'tcp' Protocol",
+        "concat('k', id % 2) class2", "cast(id % 97 as string) Duration")
+    rows.write.option("header", "true").csv(d + "/all")
+    model, report = one_file_flow(spark, d + "/all", "x_full", sparse=True)
+    got = {r["class"]: r for r in report.collect()}
+    assert got["accuracy"]["support"] == 18_000 and got["accuracy"]["precision"] == 1.0     # Conn_state tells the class
+    assert model.categories == ["Protocol", "Service", "Conn_state"] and model.numeric == ["Duration"]

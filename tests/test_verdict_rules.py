@@ -172,3 +172,41 @@ def test_entry_survives_a_missing_optional_package():
     code = ("import sys; sys.modules['zstandard'] = None; sys.path.insert(0, %r); import __spark_entry__ as e; "
             "assert not e.WITH_LLM and len(e.queries()) > 70 and 'pipeline' not in e.queries() and e.oracle_sql()" % root)
     subprocess.run([sys.executable, "-c", code], check=True, timeout=120)
+
+
+def test_centroids_of_many_classes_plan_quickly(spark):
+    import time
+
+    import numpy as np
+
+    from floe.operators.distill import CentroidModel
+    rng = np.random.default_rng(0)
+    names = [f"f{i}" for i in range(100)]
+    centroids = {k: [float(x) for x in rng.normal(size=100)] for k in range(1_000)}
+    rows = [tuple(float(x) for x in rng.normal(size=100)) for _ in range(3)]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} double" for n in names))
+    start = time.perf_counter()
+    scored = CentroidModel(names, centroids).transform(df, "p")
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert time.perf_counter() - start < 5 and "split(" not in plan          # one folded literal
+    mu = np.array([centroids[k] for k in range(1_000)])
+    for r, x in zip(scored.collect(), rows):
+        z = -((np.array(x) - mu) ** 2).sum(1)
+        want = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert np.abs(np.array(r.p) - want).max() < 1e-9
+
+
+def test_missing_class_never_wins_and_one_feature_works(spark):
+    from floe.operators.distill import CentroidClassifier
+    df = spark.createDataFrame([(0, 1.0), (2, 5.0), (2, 7.0)], "y int, f1 double")
+    got = CentroidClassifier(["f1"]).fit(df).transform(df, "p").collect()
+    assert [r.p[1] for r in got] == [0.0] * 3 and [int(r.p[2] > 0.5) for r in got] == [0, 1, 1]
+
+
+def test_large_boundary_buckets_are_ranked_in_cells(spark, monkeypatch):
+    from floe.operators import splits
+    df = spark.range(5_000).select("id", F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("l"))
+    want = {r.id: r.split for r in splits.stratified_split(df, "l", "id").collect()}
+    monkeypatch.setattr(splits, "BUCKET_ROWS", 10)
+    got = {r.id: r.split for r in splits.stratified_split(df, "l", "id", buckets=2).collect()}
+    assert got == want

@@ -28,24 +28,27 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from floe.llm.common import staged, worker_cache
+from floe.llm.common import released, staged, worker_table
 
 MAGIC = b"FBP1"
 BLOCK = 1 << 16
 FILE_IDS = 1 << 20
-CACHE_CHUNKS = 1_300_000
+PORTION = 8 << 20          # bytes of text that are encoded together
+CACHE_PIECES = 500_000
 TOGETHER = 2_000
-AT_ONCE = 256
 MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+PARTED = r"([a-z])([!-/:-@\[-`{-~]+)([ \t-\r]|\z)"
 HEAD = "<4sIIQQ"
 
 
@@ -107,9 +110,13 @@ class Encoder:
 
     The vocabulary's splitting rule never joins characters across white space and
     it lower-cases, so the ids of a text are those of its white-space separated
-    pieces in order, and a worker asks the library once for each piece it meets.
+    pieces in order.  Arrow cuts a batch into pieces and finds its distinct ones, a worker
+    asks the library once for each piece it meets, and numpy puts the ids together.
     Texts that may hold a special token's string are encoded in one go.
 
+    Known pieces are kept in two tables of at most ``CACHE_PIECES``: when the younger is
+    full it becomes the older one, from which pieces still in use come back.
+
     The library composes before it lower-cases: W and a ring stay two characters, w and a
     ring become one.  So texts with combining marks of U+0300 to U+037F keep their case here.
     """
@@ -121,8 +128,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.pieces = worker_cache(f"pieces {path}")
-        self.letters = worker_cache(f"letters {path}")
+        self.kept = worker_table(f"pieces {path}")
+        self.pieces = self.kept.setdefault("young", {})
+        self.letters: dict[str, bool] = {}
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -158,50 +166,119 @@ class Encoder:
         known.update(zip(fresh, self._ask([x.decode() for x in fresh])))
         known.update((p, known[s] + known[p[len(s):]]) for p, s in stem.items())
 
+    def _known(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of distinct pieces."""
+        old = self.kept.get("old", {})
+        fresh = set()
+        for p in pieces:
+            if p not in self.pieces:
+                if p in old:
+                    self.pieces[p] = old[p]
+                else:
+                    fresh.add(p)
+        if fresh:
+            self._learn(fresh)
+        known = [self.pieces[p] for p in pieces]
+        if len(self.pieces) > CACHE_PIECES:
+            self.kept["old"], self.pieces = self.pieces, {}
+            self.kept["young"] = self.pieces
+        return known
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in order, number of ids of each)."""
+        # copied, so that its offsets start at 0: kernels misread a slice of another width
+        texts = pa.concat_arrays([pa.array([], pa.string()), pc.fill_null(texts.cast(pa.string()), "")])
+        whole = pc.match_substring(texts, "<|")
+        lowered = pc.if_else(self._marked(texts), texts, pc.ascii_lower(texts))
+        # punctuation after a last ASCII letter is a piece of its own, as in _learn
+        parted = pc.replace_substring_regex(pc.if_else(whole, "", lowered), PARTED, "\\1 \\2\\3")
+        lists = pc.ascii_split_whitespace(parted)
+        found = lists.flatten().dictionary_encode()
+        known = self._known(found.dictionary.cast(pa.large_binary()).to_pylist())
+        flat = np.frombuffer(b"".join(known), "<u4")
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        at = found.indices.to_numpy()
+        n = sizes[at]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        place = np.repeat((np.cumsum(sizes) - sizes)[at] - ends[:-1], n) + np.arange(ends[-1])
+        ids = flat[place]
+        offsets = lists.offsets.to_numpy()
+        bounds = ends[offsets - offsets[0]]
+        for i in np.flatnonzero(whole.to_numpy(zero_copy_only=False))[::-1]:
+            own = np.frombuffer(self._whole(texts[int(i)].as_py()), "<u4")
+            ids = np.insert(ids, bounds[i], own)
+            bounds[i + 1:] += len(own)
+        return ids, np.diff(bounds)
+
+    @staticmethod
+    def _marked(texts: pa.Array) -> pa.Array:
+        """Whether a text holds a byte 0xCC or 0xCD, which begin U+0300 to U+037F."""
+        marked = np.zeros(len(texts), bool)
+        offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset:texts.offset + len(texts) + 1]
+        held = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0]:offsets[-1]]
+        at = np.flatnonzero((held == 0xCC) | (held == 0xCD)) + offsets[0]
+        marked[np.searchsorted(offsets, at, side="right") - 1] = True
+        return pa.array(marked)
+
     def ids(self, texts: list[str | None]) -> Iterator[bytes]:
-        for at in range(0, len(texts), AT_ONCE):
-            raw = [(t or "").encode("utf-8", "replace") for t in texts[at:at + AT_ONCE]]
-            split = [None if b"<|" in r else (r if b"\xcc" in r or b"\xcd" in r else r.lower()).split() for r in raw]
-            fresh = set().union(*filter(None, split)).difference(self.pieces)
-            if len(self.pieces) + 2 * len(fresh) > CACHE_CHUNKS:
-                self.pieces.clear()
-                fresh = set().union(*filter(None, split))
-            if fresh:
-                self._learn(fresh)
-            for r, pieces in zip(raw, split):
-                yield self._whole(r.decode()) if pieces is None else b"".join(map(self.pieces.__getitem__, pieces))
+        """Ids of each text, little-endian unsigned 32-bit."""
+        made, n = self.encode(pa.array(texts, pa.string()))
+        ends = np.cumsum(n)
+        for a, b in zip((ends - n).tolist(), ends.tolist()):
+            yield made[a:b].tobytes()
+
+
+def _portions(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, text) of about ``PORTION`` bytes at a time."""
+    for batch in released(batches):
+        sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
+        upto = np.cumsum(sizes) // PORTION
+        cuts = [0, *(np.flatnonzero(np.diff(upto)) + 1).tolist(), len(sizes)]
+        for a, b in zip(cuts, cuts[1:]):
+            if b > a:
+                yield batch.slice(a, b - a)
 
 
 def write_files(docs: DataFrame, path: str, end_id: int = 2, planes: int = 4) -> DataFrame:
     """Rows (part, number, doc_ids, n_ids, file), one a file, read back from the shared folder."""
-    kind = dict(docs.dtypes)["doc_id"]
+    kind = docs.select("doc_id").schema[0].dataType.simpleString()
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("_tie"))
     ordered = rows.repartitionByRange("doc_id", "_tie").sortWithinPartitions("doc_id", "_tie")
-    end = np.array([end_id], "<u4").tobytes()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, number = Encoder(path), TaskContext.get().partitionId(), 0
-        names, parts, held = [], [], 0
-
-        def file() -> pd.DataFrame:
-            lengths = np.array([len(p) // 4 for p in parts], np.uint32)
-            ids = np.frombuffer(b"".join(parts), "<u4")
-            return pd.DataFrame({"part": [part], "number": [number], "doc_ids": [names], "n_ids": [len(ids)],
-                                 "file": [encode_file(lengths, ids, planes)]})
-
-        for batch in batches:
-            known = batch["doc_id"].astype(object).where(batch["doc_id"].notna(), None)
-            for name, ids in zip(known, encoder.ids(batch["text"].tolist())):
-                names.append(name)
-                parts.append(ids + end)
-                held += len(parts[-1]) // 4
+        names, parts, lengths, held = [], [], [], 0
+
+        def file() -> pa.RecordBatch:
+            ids = np.concatenate(parts)
+            own = pa.concat_arrays(names)
+            return pa.RecordBatch.from_arrays([
+                pa.array([part], pa.int32()), pa.array([number], pa.int32()),
+                pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own), pa.array([len(ids)], pa.int64()),
+                pa.array([encode_file(np.concatenate(lengths).astype(np.uint32), ids, planes)], pa.binary())],
+                names=["part", "number", "doc_ids", "n_ids", "file"])
+
+        for batch in _portions(batches):
+            ids, n = encoder.encode(batch.column("text"))
+            ids, n = np.insert(ids, np.cumsum(n), end_id).astype("<u4"), n + 1
+            ends = np.cumsum(n)
+            at = 0
+            while at < len(n):
+                # whole documents, up to the one that fills the file
+                begin = ends[at] - n[at]
+                stop = min(int(np.searchsorted(ends, begin + FILE_IDS - held)) + 1, len(n))
+                names.append(batch.column("doc_id").slice(at, stop - at))
+                parts.append(ids[begin:ends[stop - 1]])
+                lengths.append(n[at:stop])
+                held += len(parts[-1])
+                at = stop
                 if held >= FILE_IDS:
                     yield file()
-                    number, names, parts, held = number + 1, [], [], 0
+                    number, names, parts, lengths, held = number + 1, [], [], [], 0
         if parts:
             yield file()
 
-    return staged(ordered.select("doc_id", "text").mapInPandas(
+    return staged(ordered.select("doc_id", "text").mapInArrow(
         run, f"part int, number int, doc_ids array<{kind}>, n_ids long, file binary"), "bitplanes")
 
 
@@ -218,7 +295,7 @@ def read_documents(files: DataFrame) -> DataFrame:
         F.col("part").alias("_p"), F.col("number").alias("_n"), (F.col("_part_start") + F.col("_in")).alias("_start"))
 
     def run(batches):
-        for batch in batches:
+        for batch in released(batches):
             for part, number, names, data in zip(batch["part"], batch["number"], batch["doc_ids"], batch["file"]):
                 lengths, ids = decode_file(data)
                 ends = np.cumsum(lengths, dtype=np.int64)

@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import sys
+import time
 import types
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from floe.session import scratch_path
+from floe.session import Scope, scratch_path
 
+TABLE_BYTES = 40 << 20     # of words a Python worker keeps
+ENTRY_BYTES = 120          # of a table's entry beside its word
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -24,6 +33,45 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of frames that nothing refers to any more.
+
+    It does so when the driver collects garbage, which a driver with little to do does rarely.
+    What the first collection sets free, the second one finds.
+    """
+    gc.collect()
+    for _ in range(2):
+        spark._jvm.System.gc()
+        time.sleep(0.2)
+
+
+def finished(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The frame that ``build`` makes, written below the shared folder; what was staged on the way is removed."""
+    path = scratch_path(spark, name)
+    with Scope(spark):
+        made = build()
+        made.write.parquet(path)
+        schema = made.schema
+        del made
+    sweep(spark)
+    return spark.read.schema(schema).parquet(path)
+
+
+def give_back() -> None:
+    """Return memory that Arrow and the allocator hold unused, so that a Python worker holds one batch's."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):      # only some C libraries have it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def released(batches: Iterable) -> Iterator:
+    """The batches; memory goes back after each."""
+    for part in batches:
+        yield part
+        del part
+        give_back()
+
+
 def remainder(doc_id: Column, modulus: int) -> Column:
     """crc32(doc_id as text) mod ``modulus``; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")),
@@ -60,7 +108,30 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int
     return [(r[0], *r[2:]) for r in sorted(rows, key=lambda r: (r[1], str(r[2:])))]
 
 
-def worker_cache(name: str) -> dict:
-    """A dictionary that lives as long as the Python worker."""
+def word_numbers(words: list[bytes], table: dict, kind, learn: Callable[[list[bytes]], list]) -> np.ndarray:
+    """The number of every word; ``learn`` gives those of words not in ``table``, which stays below ``TABLE_BYTES``."""
+    try:
+        return np.fromiter(map(table.__getitem__, words), kind, len(words))
+    except KeyError:
+        fresh = set(words).difference(table)
+    held = table.get(None, 0)       # the bytes the table holds
+    need = sum(map(len, fresh)) + ENTRY_BYTES * len(fresh)
+    if held + need > TABLE_BYTES:
+        table.clear()
+        held, fresh = 0, set(words)
+        need = sum(map(len, fresh)) + ENTRY_BYTES * len(fresh)
+    names = list(fresh)
+    learned = dict(zip(names, learn(names)))
+    if need <= TABLE_BYTES:
+        table.update(learned)
+        table[None] = held + need
+        learned = table
+    return np.fromiter(map(learned.__getitem__, words), kind, len(words))
+
+
+def worker_table(owner: str) -> dict:
+    """The table of the Python worker: it keeps one, which goes when another owner asks."""
     holder = sys.modules.setdefault("_floe_worker", types.ModuleType("_floe_worker"))
-    return holder.__dict__.setdefault(name, {})
+    if getattr(holder, "owner", None) != owner:
+        holder.owner, holder.table = owner, {}
+    return holder.table

@@ -23,8 +23,8 @@ often it occurs, so a hot word or word pair has at most one entry a chunk.
 3. every chunk evaluates its distinct n-grams recursively, lowest order first, and
    adds up its documents' tokens.
 
-The chunks are dealt once by their number and kept (memory and disk) for these
-passes; everything that a pass returns is written to the shared folder.
+The chunks, and everything that a pass returns, are written to the shared folder, where the
+next pass reads them; all but the scores is removed at the end.
 
 Defined results: a null or empty text is one end token; words are
 ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; a word not seen in training is the
@@ -40,11 +40,11 @@ import numpy as np
 import pandas as pd
 import xxhash
 import zstandard
-from pyspark import StorageLevel, TaskContext
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from floe.llm.common import staged
+from floe.llm.common import finished, give_back, released, staged, sweep
 from floe.llm.dedup import mix
 
 CHUNK = 2_000_000
@@ -98,7 +98,7 @@ def _chunks(docs: DataFrame) -> DataFrame:
                 "lengths": [pack(np.array([len(s) for s in seqs], np.uint32))],
                 "words": [pack(place[np.concatenate(seqs)])], "vocab": [pack_keys(vocab[order])]})
 
-        for batch in batches:
+        for batch in released(batches):
             known = batch["doc_id"].astype(object).where(batch["doc_id"].notna(), None)
             for name, text, held_out in zip(known, batch["text"], batch["held_out"]):
                 words = (text or "").encode("utf-8", "replace").lower().split()
@@ -142,7 +142,7 @@ class Chunk:
             history = self.history(order)
             codes = mix(history ^ (self.vocab[self.words] * np.uint64(2 * order + 1)))
         keys, place, index = np.unique(codes, return_index=True, return_inverse=True)
-        return keys, index, place, codes
+        return keys, index.astype(np.uint32), place.astype(np.uint32), codes
 
     def history(self, order: int) -> np.ndarray:
         """Key of the ``order`` - 1 tokens before each token; ends stand before a document."""
@@ -287,11 +287,15 @@ def score_documents(docs: DataFrame, held_out: Column, order: int = 2) -> DataFr
 
     The model learns from the rows whose ``held_out`` is false.
     """
+    return finished(docs.sparkSession, "scores", lambda: _scored(docs, held_out, order))
+
+
+def _scored(docs: DataFrame, held_out: Column, order: int) -> DataFrame:
     spark = docs.sparkSession
-    kind = dict(docs.dtypes)["doc_id"]
+    kind = docs.select("doc_id").schema[0].dataType.simpleString()
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    chunks = _chunks(docs.select("doc_id", "text", held_out.alias("held_out"))).repartition(
-        buckets, "chunk").persist(StorageLevel.MEMORY_AND_DISK)
+    # written first: answers belong to a chunk's keys by their order, so a lost executor must find the same chunks
+    chunks = staged(_chunks(docs.select("doc_id", "text", held_out.alias("held_out"))), "chunks")
     facts, model = None, {"d": {}, "tokens": 0}
 
     def add(sent: DataFrame, what: str, o: int) -> DataFrame:
@@ -303,6 +307,7 @@ def score_documents(docs: DataFrame, held_out: Column, order: int = 2) -> DataFr
 
     for o in range(1, order + 1):
         answer = add(chunks.mapInPandas(_counting(o, buckets), SENT), "count", o)
+        sweep(spark)
         tally = answer.agg(*[F.sum(F.col("tally")[i]) for i in range(CUTOFF + 3)]).first()
         types, tokens, *n_r = [int(x or 0) for x in tally]
         model["d"][o] = discounts(n_r)
@@ -314,20 +319,21 @@ def score_documents(docs: DataFrame, held_out: Column, order: int = 2) -> DataFr
         else:
             sums = _gathering(o, {**model, "d": dict(model["d"])}, buckets)
             add(chunks.groupBy("chunk").cogroup(facts.groupBy("chunk")).applyInPandas(sums, SENT), "history", o)
-    scored = staged(chunks.groupBy("chunk").cogroup(facts.groupBy("chunk")).applyInPandas(
+            sweep(spark)
+    return chunks.groupBy("chunk").cogroup(facts.groupBy("chunk")).applyInPandas(
         _scoring(model, order), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, "
-        "base_score double, score double"), "scores")
-    chunks.unpersist()
-    return scored
+        "base_score double, score double")
 
 
 def _counting(o: int, buckets: int):
     def run(batches):
-        for batch in batches:
+        for batch in released(batches):
             for row in batch.itertuples():
                 chunk = Chunk(row)
                 keys, counts = chunk.counts(o)
                 yield _send(chunk.number, keys, [counts], buckets)
+                del chunk, keys, counts
+                give_back()
     return run
 
 
@@ -335,7 +341,10 @@ def _gathering(o: int, model: dict, buckets: int):
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         chunk = Chunk(next(left.itertuples()))
         keys, sums = Evaluation(chunk, _facts(right), model, o).sums
-        return _send(chunk.number, keys, sums, buckets)
+        sent = _send(chunk.number, keys, sums, buckets)
+        del chunk, keys, sums
+        give_back()
+        return sent
     return run
 
 

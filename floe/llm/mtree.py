@@ -20,12 +20,14 @@ leave.  Only the pilot is broadcast.
 Defined results: vectors that are null, empty or hold null or non-finite
 components (also after scaling) take no part; of rows that share an id the smallest vector counts;
 a null id takes no part; points of another length than the query's are no
-candidates; fewer than k candidates are all returned; scores beyond 64 bits are refused.
+candidates; fewer than k candidates are all returned; a score beyond 64 bits fails the query.
+Floors are rounded down and bounds up, so scores beyond 2^53 lose nothing.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 
 import numpy as np
 import pandas as pd
@@ -49,6 +51,23 @@ def integer_points(vectors: pd.Series, scale: float) -> np.ndarray:
     return np.array([[int(x) for x in r] for r in rows], object)
 
 
+def above(x: float) -> float:
+    """The float after ``x``: a bound rounded up."""
+    return math.nextafter(float(x), math.inf)
+
+
+def at_most(x: int) -> float:
+    """The largest float that isn't above the whole number ``x``."""
+    near = float(x)
+    return near if near <= x else math.nextafter(near, -math.inf)
+
+
+def checked(scores: np.ndarray) -> np.ndarray:
+    if scores.dtype == object and any(abs(s) >= 1 << 63 for s in scores.flat):
+        raise ValueError("a score is beyond 64 bits; lower the scale")
+    return scores
+
+
 def distances(points: np.ndarray, centre: np.ndarray) -> np.ndarray:
     delta = points.astype(float) - centre.astype(float)
     return np.sqrt((delta * delta).sum(1))
@@ -101,8 +120,8 @@ def search(pages: list[dict], points: np.ndarray, ids: np.ndarray, query: np.nda
     best: list[tuple] = []        # heap of (score, -id)
     floor = least
     root = pages[0]
-    product = float(query @ root["centre"])
-    heap = [(-(product + norm * root["radius"]), 0, product)]
+    product = above(query @ root["centre"])
+    heap = [(-above(product + norm * root["radius"]), 0, product)]
     while heap:
         bound, number, product = heapq.heappop(heap)
         if -bound < floor:
@@ -111,17 +130,17 @@ def search(pages: list[dict], points: np.ndarray, ids: np.ndarray, query: np.nda
         if page["children"]:
             for child in page["children"]:
                 c = pages[child]
-                if product + norm * (c["to_parent"] + c["radius"]) < floor:
+                if above(product + norm * (c["to_parent"] + c["radius"])) < floor:
                     continue
-                inner = float(query @ c["centre"])
-                limit = inner + norm * c["radius"]
+                inner = above(query @ c["centre"])
+                limit = above(inner + norm * c["radius"])
                 if limit >= floor:
                     heapq.heappush(heap, (-limit, child, inner))
             continue
-        rows = page["rows"][product + norm * page["away"] >= floor]
+        rows = page["rows"][np.nextafter(product + norm * page["away"], np.inf) >= floor]
         if not len(rows):
             continue
-        scores = points[rows] @ query
+        scores = checked(points[rows] @ query)
         for i in np.flatnonzero(scores >= floor):
             name = int(ids[rows[i]])
             if name == own:
@@ -168,7 +187,7 @@ def _search_all(points: DataFrame, trees: int, blocks: int, k: int, scale: float
     spark = points.sparkSession
     part = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
     share = int((1 << 30) * min(1.0, PILOT / (trees * TREE_POINTS)))
-    sample = points.filter(part < max(share, 1)).select("id", "v").toPandas() if share else None
+    sample = points.filter(part < max(share, 1)).select("id", "v").toPandas()
     pilot_points = integer_points(sample["v"], scale) if len(sample) else np.zeros((0, 1))
     pilot = spark.sparkContext.broadcast((sample["id"].to_numpy(), pilot_points))
 
@@ -178,9 +197,11 @@ def _search_all(points: DataFrame, trees: int, blocks: int, k: int, scale: float
             least = np.full(len(rows), -np.inf)
             if len(names) > k and len(rows):
                 q = integer_points(rows["v"], scale)
-                scores = (q @ known.T).astype(float)
-                scores[rows["id"].to_numpy()[:, None] == names[None, :]] = -np.inf
-                least = np.sort(scores, 1)[:, -k]
+                if q.dtype != known.dtype:
+                    q, known = exact(q), exact(known)
+                scores = checked(q @ known.T)
+                own = rows["id"].to_numpy()[:, None] == names[None, :]
+                least = np.array([at_most(sorted(s[~o])[-k]) for s, o in zip(scores, own)])
             yield rows.assign(least=least)
 
     pages = points.select("id", "v", F.pmod(F.xxhash64(F.lit("tree"), "id"), F.lit(trees)).cast("int").alias("tree"))

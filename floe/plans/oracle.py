@@ -348,7 +348,7 @@ SELECT {r6("avg(-ln(greatest(least(CASE y WHEN 0 THEN t0 WHEN 1 THEN t1 ELSE t2
        {r6('avg(CASE WHEN pred = y THEN 1.0 ELSE 0.0 END)')} AS accuracy
 FROM proba_big JOIN pb_pred USING (row_id, y)"""
 SQL["k16_early_stopping"] = f"""WITH RECURSIVE
-h AS (SELECT user_id AS run, CAST(day(ts) AS INTEGER) AS epoch, avg(value) AS metric FROM events GROUP BY 1, 2),
+h AS (SELECT user_id AS run, CAST(date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS INTEGER) AS epoch, avg(value) AS metric FROM events GROUP BY 1, 2),
 hn AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY epoch) AS i FROM h),
 rec AS (
   SELECT run, i, metric AS best, epoch AS best_e, 0 AS wait, CAST(NULL AS INTEGER) AS stop, epoch AS last

@@ -98,8 +98,8 @@ pb_pred AS (
 PROBA = """em_long AS (
   SELECT vec_id AS row_id, label AS y, CAST(i - 1 AS INTEGER) AS pos, CAST(x AS DOUBLE) AS x
   FROM (SELECT vec_id, label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings)),
-pr_t AS (SELECT row_id, y, pos AS class, x FROM em_long WHERE pos < 10),
-pr_s AS (SELECT row_id, y, pos - 10 AS class, x FROM em_long WHERE pos >= 10 AND pos < 20),
+pr_t AS (SELECT row_id, y, pos % 10 AS class, avg(x) AS x FROM em_long GROUP BY ALL),
+pr_s AS (SELECT row_id, y, pos * 10 // 64 AS class, avg(x) AS x FROM em_long GROUP BY ALL),
 pr_tm AS (SELECT *, exp(x - max(x) OVER (PARTITION BY row_id)) AS e FROM pr_t),
 pr_sm AS (SELECT *, exp(x - max(x) OVER (PARTITION BY row_id)) AS e FROM pr_s),
 proba_long AS (

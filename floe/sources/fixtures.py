@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from floe.functions.arrays import softmax_of
+from floe.functions.arrays import softmax, softmax_of
 from floe.sources.tables import read_table
 
 
@@ -64,13 +64,30 @@ def flows_num(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.select(lineitem_key().alias("row_id"), *NUM_FEATURES, "l_linestatus", "l_returnflag")
 
 
-def proba(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Teacher/student probabilities from ``embeddings`` (10 classes)."""
-    em = read_table(spark, sf_dir, "embeddings")
+EMBEDDING = 64      # elements of an embedding, as the driver makes them
+
+
+def _elements():
+    """The embedding as doubles; one of another length fails the query rather than being cut."""
     e = F.col("embedding").cast("array<double>")
+    return F.when(e.isNull() | (F.size(e) == EMBEDDING), e).otherwise(
+        F.raise_error(F.concat(F.lit("embedding of other length: "), F.size(e).cast("string"))))
+
+
+def proba(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Teacher/student probabilities from ``embeddings`` (10 classes), each from all elements.
+
+    A teacher score is the mean of every tenth element, a student score of a run of six or seven.
+    """
+    em = read_table(spark, sf_dir, "embeddings").select("vec_id", "label", _elements().alias("e"))
+
+    def means(class_of):
+        groups = [[j for j in range(EMBEDDING) if class_of(j) == k] for k in range(10)]
+        return F.array(*[sum((F.element_at("e", j + 1) for j in g[1:]), F.element_at("e", g[0] + 1)) / F.lit(float(len(g)))
+                         for g in groups])
     return em.select(F.col("vec_id").alias("row_id"), F.col("label").cast("int").alias("y"),
-                     softmax_of([F.element_at(e, i) for i in range(1, 11)]).alias("teacher"),
-                     softmax_of([F.element_at(e, i) for i in range(11, 21)]).alias("student"))
+                     softmax(means(lambda j: j % 10)).alias("teacher"),
+                     softmax(means(lambda j: j * 10 // EMBEDDING)).alias("student"))
 
 
 def _cut(arr, rows: int, width: int):
@@ -80,10 +97,9 @@ def _cut(arr, rows: int, width: int):
 
 def feature_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Teacher map 16 positions x 4 channels, student map 8 x 8, from ``embeddings``."""
-    em = read_table(spark, sf_dir, "embeddings", ["vec_id", "embedding"])
-    e = F.col("embedding").cast("array<double>")
-    return em.select(F.col("vec_id").alias("row_id"), _cut(e, 16, 4).alias("fm_t"),
-                     _cut(e, 8, 8).alias("fm_s"))
+    em = read_table(spark, sf_dir, "embeddings", ["vec_id", "embedding"]).select("vec_id", _elements().alias("e"))
+    return em.select(F.col("vec_id").alias("row_id"), _cut(F.col("e"), 16, 4).alias("fm_t"),
+                     _cut(F.col("e"), 8, 8).alias("fm_s"))
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,9 +108,9 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Training-history table: run = user, epoch = day of month, metric = mean value."""
+    """Training-history table: run = user, epoch = day (since 1970), metric = mean value."""
     ev = read_table(spark, sf_dir, "events", ["user_id", "ts", "value"])
-    return (ev.groupBy(F.col("user_id").alias("run"), F.dayofmonth("ts").cast("int").alias("epoch"))
+    return (ev.groupBy(F.col("user_id").alias("run"), F.unix_date(F.to_date("ts")).cast("int").alias("epoch"))
             .agg(F.avg("value").alias("metric")))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from floe.llm import (bitplanes, chat, decontaminate, dedup, itq, katz, mixing, mtree, quality, shard,
                       toxicity, trie, variants)
-from floe.llm.common import remainder, table
+from floe.llm.common import finished, remainder, table
 
 
 #: The tokenizer's file; tokenizers come with the installation, not with this repository.
@@ -54,9 +54,11 @@ def op6_factorisation_machine_quality(spark: SparkSession, sf_dir: str) -> DataF
 
 
 def op7_soft_membership_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rates = mixing.document_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return rates.select("doc_id", "tokens", "domain", "p", "rate", mixing.copies_of(
-        F.col("rate"), F.lit("mix"), F.col("doc_id"), F.col("h")).alias("copies"))
+    def build():
+        rates = mixing.document_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+        return rates.select("doc_id", "tokens", "domain", "p", "rate", mixing.copies_of(
+            F.col("rate"), F.lit("mix"), F.col("doc_id"), F.col("h")).alias("copies"))
+    return finished(spark, "rates", build)
 
 
 def op8_superminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,8 +75,10 @@ def op10_bitplane_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_prefix_trie_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = trie.ordered_turns(table(spark, sf_dir, "conversations"))
-    return trie.prefix_trie(*trie.borrow_openings(turns, group=100, most=6))
+    def build():
+        turns = trie.ordered_turns(table(spark, sf_dir, "conversations"))
+        return trie.prefix_trie(*trie.borrow_openings(turns, group=100, most=6))
+    return finished(spark, "trie", build)
 
 
 def op12_permuterm_variants(spark: SparkSession, sf_dir: str) -> DataFrame:

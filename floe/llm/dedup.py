@@ -12,8 +12,8 @@
 3. ``rows`` slots make a band.  Classes that share a band value meet.  A pair at
    the threshold is missed by all bands with probability (1 - t^rows)^bands:
    3e-6 for 0.8 and 7e-9 for 0.85 with 5 rows and 32 bands.
-4. Candidates are confirmed on their whole shingle sets, in two rounds, and no list
-   of all pairs of a large bucket is made.  First all members of a bucket meet its
+4. Candidates are confirmed on their whole shingle sets, in two rounds (pairs that a
+   profile of 128 counts rules out don't travel with their sets), and no list of all pairs of a large bucket is made.  First all members of a bucket meet its
    pivot: the one with most company over all its buckets, of many edited copies the
    one they were made from.  Buckets whose members are then in one component are
    done.  In the others, members of different components meet: pair by pair in
@@ -24,7 +24,8 @@
 Defined results: a text that is null, empty or blank has an empty set and is
 linked with nothing; a text shorter than a shingle is one shingle; rows that
 share a doc_id are one document; rows without doc_id take part, and a component
-of such rows only has a null component_id.  Without documents: no rows.
+of such rows only has a null component_id.  Ids may be numbers or texts.  Without
+documents: no rows.
 """
 
 from __future__ import annotations
@@ -34,16 +35,17 @@ import uuid
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from floe.llm.common import staged
+from floe.llm.common import finished, released, staged, sweep, word_numbers, worker_table
 from floe.llm.components import components, roots_of
 
-BATCH_ELEMENTS = 1 << 17
-BROADCAST_IDS = 2_000_000      # at most 16 MB of ids
+BATCH_ELEMENTS = 1 << 15
+ROWS = 512                     # of a batch whose sets are held at once
 SMALL_BUCKET, BLOCK, COLUMNS = 32, 256, 4_096
-NO_ID = 1 << 62                # nodes of rows without doc_id start here
+BLOCK_ELEMENTS = 500_000       # shingles of a block
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -63,15 +65,7 @@ def shingle_set(text: str | None, size: int, cache: dict) -> np.ndarray:
     words = (text or "").encode("utf-8", "replace").lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    try:
-        h = np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
-    except KeyError:
-        if len(cache) > 500_000:
-            cache.clear()
-        for w in set(words):
-            if w not in cache:
-                cache[w] = word_hash(w)
-        h = np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
+    h = word_numbers(words, cache, np.uint64, lambda fresh: list(map(word_hash, fresh)))
     size = min(size, len(words))
     out = np.full(len(words) - size + 1, np.uint64(size))
     for i in range(size):
@@ -122,36 +116,72 @@ def band_keys(sets: list[np.ndarray], rows: int, bands: int) -> list[np.ndarray]
 
 
 def _signatures(shingle: int, rows: int, bands: int):
+    """Arrow batches (doc_id, text) to (doc_id, n, digest, bands); ids of any type pass through as they are."""
     def run(batches):
-        cache: dict = {}
-        for part in batches:
-            sets = [shingle_set(t, shingle, cache) for t in part["text"]]
-            some = [i for i, s in enumerate(sets) if len(s)]
-            keys = dict(zip(some, band_keys([sets[i] for i in some], rows, bands)))
-            yield pd.DataFrame({
-                "doc_id": part["doc_id"], "n": [len(s) for s in sets],
-                "digest": [set_digest(s) for s in sets],
-                "bands": [keys.get(i) for i in range(len(sets))]})
+        cache = worker_table("shingles")
+        for part in released(batches):
+            for at in range(0, part.num_rows, ROWS):
+                piece = part.slice(at, ROWS)
+                sets = [shingle_set(t, shingle, cache) for t in piece.column("text").to_pylist()]
+                some = [i for i, s in enumerate(sets) if len(s)]
+                keys = dict(zip(some, band_keys([sets[i] for i in some], rows, bands)))
+                yield pa.RecordBatch.from_arrays(
+                    [piece.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
+                     pa.array([set_digest(s) for s in sets], pa.binary()),
+                     pa.array([keys.get(i) for i in range(len(sets))], pa.list_(pa.int64()))],
+                    names=["doc_id", "n", "digest", "bands"])
     return run
 
 
+def _slices(batches):
+    for part in released(batches):
+        for at in range(0, len(part), ROWS):
+            yield part.iloc[at:at + ROWS]
+
+
 def set_digest(items: np.ndarray) -> bytes | None:
     return hashlib.blake2b(items.tobytes(), digest_size=16).digest() if len(items) else None
 
 
-def _sets(shingle: int, digests: bool = False):
+def profile(items: np.ndarray) -> bytes:
+    """How many shingles fall into each of 128 parts of the hash range, 255 standing for that many or more."""
+    return np.minimum(np.bincount((items >> np.uint64(57)).astype(np.int64), minlength=128), 255).astype(np.uint8).tobytes()
+
+
+def _sets(shingle: int):
     def run(batches):
-        cache: dict = {}
-        for part in batches:
+        cache = worker_table("shingles")
+        for part in _slices(batches):
             sets = [shingle_set(t, shingle, cache) for t in part["text"]]
-            out = pd.DataFrame({"id": part["doc_id"] if digests else part["id"], "items": [s.tobytes() for s in sets]})
-            yield out.assign(digest=[set_digest(s) for s in sets]) if digests else out
+            yield pd.DataFrame({"id": part["id"], "items": [s.tobytes() for s in sets], "profile": list(map(profile, sets))})
+    return run
+
+
+def _digested_sets(shingle: int):
+    def run(batches):
+        cache = worker_table("shingles")
+        for part in _slices(batches):
+            sets = [s for s in (shingle_set(t, shingle, cache) for t in part["text"]) if len(s)]
+            yield pd.DataFrame({"digest": [set_digest(s) for s in sets], "items": [s.tobytes() for s in sets],
+                                "profile": list(map(profile, sets))})
+    return run
+
+
+def _possible(percent: int):
+    """Pairs whose profiles allow the similarity: no set shares more with another than their lesser counts."""
+    def run(batches):
+        for part in released(batches):
+            a, b = (np.frombuffer(b"".join(part[c]), np.uint8).reshape(-1, 128) for c in ("x", "y"))
+            most = np.minimum(a, b).sum(1, dtype=np.int64)
+            sizes = a.sum(1, dtype=np.int64) + b.sum(1, dtype=np.int64)
+            open_ = (a == 255).any(1) | (b == 255).any(1)
+            yield part.loc[open_ | (100 * most >= percent * (sizes - most)), ["u", "v"]]
     return run
 
 
 def _verify(percent: int):
     def run(batches):
-        for part in batches:
+        for part in released(batches):
             ok = np.zeros(len(part), bool)
             for i, (a, b) in enumerate(zip(part["x"], part["y"])):
                 a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
@@ -163,54 +193,57 @@ def _verify(percent: int):
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, rows: int = 5,
                     bands: int = 32) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of ``docs``."""
-    kind = dict(docs.dtypes)["doc_id"]
-    signed = staged(docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(
-        _signatures(shingle, rows, bands), "doc_id long, n long, digest binary, bands array<long>"), "signed")
-    own = F.coalesce("doc_id", F.lit(NO_ID) + F.pmod(F.xxhash64("digest"), F.lit(NO_ID - 1)))
-    full = signed.filter("digest is not null").select("digest", "n", "bands", own.alias("node"))
-    classes = staged(full.groupBy("digest").agg(
-        F.min(F.struct("node", "n", "bands")).alias("c")).select(
-            "digest", F.col("c.node").alias("id"), F.col("c.n").alias("n"), F.col("c.bands").alias("bands")),
-        "classes")
+    """(doc_id, n_shingles, component_id, kept) for every row of ``docs``; doc_id of any type that has an order."""
+    return finished(docs.sparkSession, "groups", lambda: _groups(docs, shingle, percent, rows, bands))
+
+
+def _groups(docs: DataFrame, shingle: int, percent: int, rows: int, bands: int) -> DataFrame:
+    kind = docs.select("doc_id").schema[0].dataType.simpleString()
+    signed = staged(docs.select("doc_id", "text").mapInArrow(
+        _signatures(shingle, rows, bands), f"doc_id {kind}, n long, digest binary, bands array<long>"), "signed")
+    full = signed.filter("digest is not null")
+    grouped = staged(full.groupBy("digest").agg(
+        F.min(F.struct("n", "bands")).alias("c"), F.min("doc_id").alias("low")), "grouped")
+    # numbered once written: a class is known by its whole digest, its number is only short
+    classes = staged(grouped.select(F.monotonically_increasing_id().alias("id"), "digest", "low",
+                                    F.col("c.n").alias("n"), F.col("c.bands").alias("bands")), "classes")
     rows, ids, nameless = signed.agg(F.count("doc_id"), F.countDistinct("doc_id"),
                                      F.count(F.when(F.col("doc_id").isNull() & F.col("digest").isNotNull(), 1))).first()
     links = docs.sparkSession.createDataFrame([], "u long, v long")
     if rows > ids:
-        # rows that share a doc_id are one document, so they tie their classes together;
-        # the classes themselves go by their digests
-        classes = classes.withColumn("id", F.lit(NO_ID) + F.pmod(F.xxhash64("digest"), F.lit(NO_ID - 1)))
-        links = staged(full.select("digest", "node").distinct().join(classes.select("digest", "id"), "digest")
-                       .select(F.col("node").alias("u"), F.col("id").alias("v")).filter("u <> v"), "links")
-    roots = _class_roots(docs, classes, links, shingle, percent, nameless > 0, rows > ids)
-    out = signed.select("doc_id", "n", "digest").join(classes.select("digest", "id"), "digest", "left").join(
-        roots, F.col("id") == F.col("node"), "left")
-    out = out.withColumn("comp", F.coalesce("root", "id", "doc_id")).withColumn(
-        "_own", F.when(F.col("digest").isNotNull(), own))
-    # rows without doc_id: of a component without ids the one that names it stays
-    kept = F.when(F.col("doc_id").isNotNull(), F.col("doc_id") == F.col("comp")).otherwise(
-        F.coalesce(F.col("_own") == F.col("comp"), F.lit(True)))
-    return out.select(F.col("doc_id").cast(kind), F.col("n").alias("n_shingles"),
-                      F.when(F.col("comp") < NO_ID, F.col("comp")).cast(kind).alias("component_id"), kept.alias("kept"))
-
-
-def _whole_sets(docs: DataFrame, chosen: DataFrame, few: bool, shingle: int, nameless: bool,
-                repeated: bool) -> DataFrame:
+        # rows that share a doc_id are one document, so they tie their classes together
+        tied = staged(full.filter("doc_id is not null").select("doc_id", "digest").distinct().join(
+            classes.select("digest", "id"), "digest").select("doc_id", "id"), "tied")
+        first = tied.groupBy("doc_id").agg(F.min("id").alias("v"))
+        links = staged(tied.join(first, "doc_id").select(F.col("id").alias("u"), "v").filter("u <> v"), "links")
+    roots = _class_roots(docs, classes, links, shingle, percent, nameless > 0 or rows > ids)
+    comps = staged(classes.select("id", "digest", "low").join(roots, F.col("id") == F.col("node"), "left").select(
+        "id", "digest", "low", F.coalesce("root", "id").alias("root")), "comps")
+    names = comps.groupBy("root").agg(F.min("low").alias("component_id"), F.min("id").alias("first"))
+    named = staged(comps.join(names, "root").select("digest", "component_id", (F.col("id") == F.col("first")).alias("leads")),
+                   "named")
+    out = signed.select("doc_id", "n", "digest").join(named, "digest", "left")
+    comp = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    # rows without doc_id: of a component without ids the rows of its first class stay
+    kept = F.when(F.col("doc_id").isNotNull(), F.col("doc_id") == comp).otherwise(
+        F.col("digest").isNull() | (F.col("component_id").isNull() & F.col("leads")))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), comp.alias("component_id"), kept.alias("kept"))
+
+
+def _whole_sets(docs: DataFrame, chosen: DataFrame, shingle: int, by_digest: bool) -> DataFrame:
     """(id, items) of the classes in ``chosen``, from the text of one of their documents."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ids = chosen.select("_id")
-    named = texts.join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("_id"))
-    if not (nameless or repeated):
-        return named.select(F.col("_id").alias("id"), "text").mapInPandas(_sets(shingle), "id long, items binary")
+    if not by_digest:
+        named = docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("_low"))
+        return named.select(F.col("_id").alias("id"), "text").mapInPandas(
+            _sets(shingle), "id long, items binary, profile binary")
     # ids don't name texts here: find a class by its digest
-    wanted = texts if repeated else named.select("doc_id", "text").union(texts.filter("doc_id is null"))
-    found = wanted.mapInPandas(_sets(shingle, True), "id long, items binary, digest binary")
+    found = docs.select("text").mapInPandas(_digested_sets(shingle), "digest binary, items binary, profile binary")
     return found.join(chosen, F.col("digest") == F.col("_digest")).groupBy(F.col("_id").alias("id")).agg(
-        F.min("items").alias("items"))
+        F.min(F.struct("items", "profile")).alias("s")).select("id", "s.items", "s.profile")
 
 
 def _class_roots(docs: DataFrame, classes: DataFrame, links: DataFrame, shingle: int, percent: int,
-                 nameless: bool, repeated: bool) -> DataFrame:
+                 by_digest: bool) -> DataFrame:
     exploded = classes.select(F.col("id"), F.col("n"), F.posexplode("bands").alias("band", "value"))
     shared = exploded.groupBy("band", "value").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
     # what a hot bucket is joined with is written first: adaptive execution then can split its rows
@@ -219,10 +252,11 @@ def _class_roots(docs: DataFrame, classes: DataFrame, links: DataFrame, shingle:
                   .select(F.xxhash64("band", "value").alias("bucket"), "id", "n", "members"), "members")
     met = rest.groupBy("id").agg(F.sum("members").alias("weight"))
     rest = staged(rest.drop("members").join(met, "id"), "weighed")
+    sweep(docs.sparkSession)
     chosen = staged(classes.join(met, "id", "left_semi").select(
-        F.col("id").alias("_id"), F.col("digest").alias("_digest")), "chosen")
-    few = chosen.count() <= BROADCAST_IDS
-    sets = staged(_whole_sets(docs, chosen, few, shingle, nameless, repeated), "sets")
+        F.col("id").alias("_id"), F.col("low").alias("_low"), F.col("digest").alias("_digest")), "chosen")
+    sets = staged(_whole_sets(docs, chosen, shingle, by_digest), "sets")
+    sweep(docs.sparkSession)
     comp = components(links)
     # first round: everyone against the pivot of each bucket
     pivots = rest.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.max(
@@ -233,6 +267,7 @@ def _class_roots(docs: DataFrame, classes: DataFrame, links: DataFrame, shingle:
     pairs = rest.filter(close & (F.col("id") != F.col("pid"))).select(
         F.greatest("id", "pid").alias("u"), F.least("id", "pid").alias("v"))
     links = staged(links.union(_confirmed(pairs, sets, percent)), "links")
+    sweep(docs.sparkSession)
     comp = components(links)
     # second round: what is still apart within a bucket
     open_ = staged(rest.join(comp, F.col("id") == F.col("node"), "left").select(
@@ -240,6 +275,7 @@ def _class_roots(docs: DataFrame, classes: DataFrame, links: DataFrame, shingle:
     apart = open_.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter(
         "lo <> hi").select("bucket")
     open_ = staged(open_.join(staged(apart, "apart"), "bucket"), "open")
+    sweep(docs.sparkSession)
     small, large = open_.filter(F.col("size") <= SMALL_BUCKET), open_.filter(F.col("size") > SMALL_BUCKET)
     other = small.select("bucket", F.col("id").alias("v"), F.col("n").alias("pn"), F.col("comp").alias("vcomp"))
     pairs = small.join(other, "bucket").filter(
@@ -251,26 +287,40 @@ def _class_roots(docs: DataFrame, classes: DataFrame, links: DataFrame, shingle:
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) whose whole sets are similar enough."""
+    """The pairs (u, v) whose whole sets are similar enough.
+
+    Profiles of 128 bytes go first: what they leave, a small part, is sent with whole sets.
+    """
     pairs = staged(pairs.distinct(), "pairs")
-    left = pairs.join(sets.select(F.col("id").alias("_a"), F.col("items").alias("x")), F.col("u") == F.col("_a"))
-    both = left.join(sets.select(F.col("id").alias("_b"), F.col("items").alias("y")), F.col("v") == F.col("_b"))
-    return both.select("u", "v", "x", "y").mapInPandas(_verify(percent), "u long, v long")
+    sweep(pairs.sparkSession)
+    likely = staged(_beside(pairs, sets.select("id", "profile"), "profile").mapInPandas(
+        _possible(percent), "u long, v long"), "likely")
+    named = staged(likely.select(F.col("u").alias("_n")).union(likely.select("v")).distinct(), "named_sets")
+    own = sets.select("id", "items").join(named, F.col("id") == F.col("_n"), "left_semi")
+    return _beside(likely, own, "items").mapInPandas(_verify(percent), "u long, v long")
+
+
+def _beside(pairs: DataFrame, values: DataFrame, name: str) -> DataFrame:
+    """(u, v, x, y): the value ``name`` of both sides of every pair."""
+    left = pairs.join(values.select(F.col("id").alias("_a"), F.col(name).alias("x")), F.col("u") == F.col("_a"))
+    both = left.join(values.select(F.col("id").alias("_b"), F.col(name).alias("y")), F.col("v") == F.col("_b"))
+    return both.select("u", "v", "x", "y")
 
 
 def _block_links(large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between components inside large buckets, block against block.
 
     Buckets of one pivot hold mostly the same classes, so they are one group.
-    Its classes are dealt into blocks; each pair of blocks is one bounded group.
+    Its classes are dealt into blocks of bounded rows and shingles; each pair of blocks is one group.
     """
-    group = large.select("pid", "id", "comp").distinct()
-    many = group.groupBy("pid").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    group = large.select("pid", "id", "n", "comp").distinct()
+    many = group.groupBy("pid").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_ELEMENTS))
+                                    .cast("int").alias("blocks"))
     dealt = group.join(staged(many, "groups"), "pid").withColumn(
         "block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     sent = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "pid", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "comp")
-    full = sent.join(sets.withColumnRenamed("id", "_s"), F.col("id") == F.col("_s")).drop("_s")
+    full = sent.join(sets.select(F.col("id").alias("_s"), "items"), F.col("id") == F.col("_s")).drop("_s")
     return full.groupBy("pid", "i", "j").applyInPandas(_similar_in_block(percent), "u long, v long")
 
 
@@ -316,10 +366,9 @@ def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
         own = staged(found.filter("kept").select(F.col("doc_id").alias("_kept")), "kept")
         return docs.join(own, docs["doc_id"] == own["_kept"], "left_semi")
     name = f"h_{uuid.uuid4().hex}"
-    keyed = docs.withColumn(name, F.pmod(F.xxhash64(docs["text"]), F.lit(NO_ID)))
+    keyed = docs.withColumn(name, F.when(docs["text"].isNull(), F.lit("-")).otherwise(F.md5(docs["text"])))
     texts = staged(keyed.select(F.col(name).alias("doc_id"), "text").dropDuplicates(["doc_id"]), "texts")
-    found = staged(near_duplicates(texts, **options).select(
-        F.col("doc_id").alias("_text"), "n_shingles", "component_id"), "text_groups")
+    found = near_duplicates(texts, **options).select(F.col("doc_id").alias("_text"), "n_shingles", "component_id")
     met = keyed.select("doc_id", F.col(name).alias("h")).join(found, F.col("h") == F.col("_text"))
     first = met.filter("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct(
         F.col("doc_id").isNull().alias("unnamed"), "doc_id", "h")).alias("m")).select("m.doc_id", "m.h")

@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from floe.llm.common import staged
+from floe.llm.common import finished, released, staged
 from floe.llm.components import components
 
 FIT_ROWS = 8_192
@@ -41,7 +41,7 @@ ROUNDS = 30
 RECALL = 0.995
 MAX_TABLES = 96
 SHORT = 128               # code bits that the first pass sees
-BLOCK = 512
+BLOCK = 256
 
 
 def unit(vectors) -> np.ndarray:
@@ -121,7 +121,7 @@ def fit_codes(sample: np.ndarray, classes: int, threshold: float, seed: int = 13
 def _groups(batches, key: str):
     """Batches cut so that no group of equal ``key`` is parted; rows come sorted by it."""
     held = None
-    for part in batches:
+    for part in released(batches):
         part = part if held is None else pd.concat([held, part], ignore_index=True)
         values = part[key].to_numpy()
         start = int(np.searchsorted(values, values[-1])) if len(values) else 0
@@ -222,7 +222,7 @@ def _links(classes: DataFrame, number: int, threshold: float) -> tuple[DataFrame
 
     def code(batches):
         codes = shared.value
-        for part in batches:
+        for part in released(batches):
             if len(part):
                 x = unit(part["v"])
                 short = codes.short(x)
@@ -248,6 +248,10 @@ def _links(classes: DataFrame, number: int, threshold: float) -> tuple[DataFrame
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
                  threshold: float = 0.95) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of ``vectors``."""
+    return finished(vectors.sparkSession, "near_vectors", lambda: _near(vectors, id_col, vector_col, threshold))
+
+
+def _near(vectors: DataFrame, id_col: str, vector_col: str, threshold: float) -> DataFrame:
     value = F.col(vector_col).cast("array<double>")
     usable = (F.col(vector_col).isNotNull() & (F.size(value) > 0) & F.exists(value, lambda x: x != 0)
               & ~F.exists(value, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))

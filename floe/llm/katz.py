@@ -36,6 +36,8 @@ there are no rows.  Repeated rows are counted and scored as they come.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import xxhash
@@ -48,6 +50,7 @@ from floe.llm.common import finished, give_back, released, staged, sweep
 from floe.llm.dedup import mix
 
 CHUNK = 2_000_000
+BUCKET = 3_000_000         # tokens for each bucket of keys
 CUTOFF = 5
 END = xxhash.xxh3_64_intdigest(b" end ")       # no word holds a space
 
@@ -293,9 +296,10 @@ def score_documents(docs: DataFrame, held_out: Column, order: int = 2) -> DataFr
 def _scored(docs: DataFrame, held_out: Column, order: int) -> DataFrame:
     spark = docs.sparkSession
     kind = docs.select("doc_id").schema[0].dataType.simpleString()
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # written first: answers belong to a chunk's keys by their order, so a lost executor must find the same chunks
     chunks = staged(_chunks(docs.select("doc_id", "text", held_out.alias("held_out"))), "chunks")
+    # a bucket is one group of rows in memory, so there are as many as the tokens need
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(chunks.count() * CHUNK / BUCKET))
     facts, model = None, {"d": {}, "tokens": 0}
 
     def add(sent: DataFrame, what: str, o: int) -> DataFrame:

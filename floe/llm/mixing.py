@@ -7,14 +7,15 @@
 
        1/2 sum_k ((sum_d r_d t_d p_dk - T_k) / T_k)^2 ,   r_d >= 0, nearest to r = 1,
 
-   where T_k is the wanted number of expected tokens of domain k.  The nearest
-   point has r_d = max(1 - t_d sum_k p_dk lambda_k / T_k, 0): one projected gradient
-   step along K numbers, which are found by Newton's method on the dual problem.
-   Its curvature is the K x K Gram matrix of the rows above 0, so long documents
-   don't slow it down.  A step is one pass in which every task adds up its rows'
-   share of the totals and of the matrix; no rate is stored, and a lost executor
-   costs one recomputation.  It ends when every domain is within ``TOLERANCE`` of
-   its target, or when a dual bound proves that no rates come closer.
+   where T_k is the wanted number of expected tokens of domain k, by projected gradient
+   steps on the rates from r = 1:  r_d <- max(r_d - t_d sum_k p_dk y_k / T_k, 0).  The
+   step's K numbers y are the residual, preconditioned by the K x K Gram matrix of the
+   rows above 0, so that very long documents don't slow it down; several lengths of it,
+   and of the plain gradient, are tried in one pass and the best is taken.  A pass is one
+   aggregation in which every task adds up its rows' share of the totals and the matrix.
+   No rate is stored: a row's rate is its replay of the steps, and a lost executor costs
+   one recomputation.  The steps end when every domain is within ``TOLERANCE`` of its
+   target, or when a dual bound proves that no rates come closer.
 
 Without given targets the weights are the domains' natural shares to the power
 ``TEMPERATURE``, at the smallest total that shrinks no domain.
@@ -38,27 +39,20 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from floe.llm.common import labelled_sample, staged, worker_cache
+from floe.llm.common import give_back, labelled_sample, released, staged, word_numbers, worker_table
 
 BUCKETS = 1 << 15
 MAX_TRAIN_ROWS = 4_000
 TEMPERATURE = 0.7
 TOLERANCE = 1e-3
-TRIALS = 0.25 ** np.arange(8)   # lengths of a Newton step that one pass tries
+TRIALS = 0.25 ** np.arange(8)   # lengths of a preconditioned step that one pass tries
+PLAIN = 4.0 ** np.arange(4)     # and of a plain gradient step
 MAX_PASSES = 1_000              # raises, never returns, beyond
 
 
-def _buckets(text: str | None, cache: dict) -> np.ndarray:
+def _buckets(text: str | None, table: dict) -> np.ndarray:
     words = (text or "").encode("utf-8", "replace").lower().split()
-    try:
-        return np.fromiter(map(cache.__getitem__, words), np.int64, len(words))
-    except KeyError:
-        if len(cache) > 1_000_000:
-            cache.clear()
-        for w in set(words):
-            if w not in cache:
-                cache[w] = zlib.crc32(w) & (BUCKETS - 1)
-        return np.fromiter(map(cache.__getitem__, words), np.int64, len(words))
+    return word_numbers(words, table, np.int64, lambda fresh: [zlib.crc32(w) & (BUCKETS - 1) for w in fresh])
 
 
 def fit_domains(rows: list[tuple[str, str | None]], epochs: int = 5, rate: float = 0.5,
@@ -109,9 +103,9 @@ def posteriors(docs: DataFrame, model, extra: list[str]) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for part in batches:
+        for part in released(batches):
             out = part[extra].copy()
-            out["tokens"], out["p"] = _classified(part["text"], shared.value, worker_cache("mixing"))
+            out["tokens"], out["p"] = _classified(part["text"], shared.value, worker_table("mixing"))
             yield out
 
     kinds = dict(docs.dtypes)
@@ -120,71 +114,55 @@ def posteriors(docs: DataFrame, model, extra: list[str]) -> DataFrame:
 
 
 def replay(t: np.ndarray, p: np.ndarray, scale: np.ndarray, step: float, history: list[np.ndarray]) -> np.ndarray:
-    """Rates after the projected steps along ``history``, from 1; ``fit_rates`` finds the one that is enough."""
+    """Rates after the projected steps along ``history``, from 1."""
     r = np.ones(len(t))
     for residual in history:
         np.maximum(r - step * t * (p @ (residual * scale)), 0, out=r)
     return r
 
 
-def shares(t: np.ndarray, p: np.ndarray, scale: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """What rows add up to at each of ``points``, and the smallest p . (scale * point) of a row with tokens.
+def shares(t: np.ndarray, p: np.ndarray, scale: np.ndarray, history: list[np.ndarray], trials: np.ndarray,
+           residual: np.ndarray) -> tuple[np.ndarray, float]:
+    """What rows add up to after ``history`` and each of ``trials``, and the smallest p . (scale * residual).
 
-    A line is half the sum of squared rates, the K scaled totals, the K x K Gram matrix of the rows above 0.
+    A line is the K scaled totals and the K x K Gram matrix of the rows above 0.
     """
-    a, lines, low = t[:, None] * p * scale, [], []
-    for point in points:
-        r = replay(t, p, scale, 1.0, [point])
+    a, lines, base = t[:, None] * p * scale, [], replay(t, p, scale, 1.0, history)
+    for trial in trials:
+        r = np.maximum(base - a @ trial, 0)
         above = a[r > 0]
-        lines.append(np.concatenate([[r @ r / 2], r @ a, (above.T @ above).ravel()]))
-        low.append((p[t > 0] @ (scale * point)).min(initial=np.inf))
-    return np.array(lines), np.array(low)
-
-
-def solve(pass_over: Callable, wanted: np.ndarray, scale: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(point, residual of each domain over its target); ``pass_over(points)`` sums ``shares`` over all rows.
-
-    Minimises 1/2 sum r_d^2 + wanted . point + eps/2 |point|^2 for a falling eps: its minimum has the
-    residual eps * point, and belongs to the least squares plus eps/2 |r - 1|^2.
-    """
-    k, point, passes = len(wanted), np.zeros(len(wanted)), 1
-    lines, low = pass_over(point[None])
-    line, low = lines[0], low[0]
-    diagonal = line[1 + k:].reshape(k, k).diagonal()
-    if not diagonal.any():
-        return point, line[1:1 + k] - wanted
-    eps, first = 1e-4 * diagonal[diagonal > 0].min(), 1.0
-
-    def height(x, at):
-        return at[0] + wanted @ x + eps / 2 * (x @ x)
-
-    while True:
-        residual = line[1:1 + k] - wanted
-        if np.abs(residual).max() <= TOLERANCE:
-            return point, residual
+        lines.append(np.concatenate([r @ a, (above.T @ above).ravel()]))
+    return np.array(lines), float((p[t > 0] @ (scale * residual)).min(initial=np.inf))
+
+
+def solve(pass_over: Callable, wanted: np.ndarray, scale: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """(steps, residual of each domain over its target); ``pass_over`` sums ``shares`` over all rows."""
+    k, history, first = len(wanted), [], 1.0
+    (line,), _ = pass_over(history, np.zeros((1, k)), np.zeros(k))
+    for _ in range(MAX_PASSES):
+        residual, gram = line[:k] - wanted, line[k:].reshape(k, k)
+        if np.abs(residual).max() <= TOLERANCE or not gram.any():
+            return history, residual
+        unit = 1 / np.sqrt(np.where(gram.diagonal() > 0, gram.diagonal(), np.inf))
+        ahead = unit * np.linalg.lstsq(gram * unit[:, None] * unit, unit * residual, rcond=1e-12)[0]
+        plain = residual / np.linalg.eigvalsh(gram)[-1]
+        trials = np.concatenate([first * TRIALS[:, None] * ahead, PLAIN[:, None] * plain])
+        lines, low = pass_over(history, trials, residual)
         # y is a point of the dual of the least squares (y . a_d >= 0 for every row), so it bounds them from below
-        y = eps * point + max(0.0, -eps * low) / scale
+        y = residual + max(0.0, -low) / scale
         bound = -(y @ y) / 2 - y @ wanted
-        if np.linalg.norm(residual) - np.sqrt(max(2 * bound, 0.0)) <= TOLERANCE:
-            return point, residual
-        slope = eps * point - residual
-        matrix = line[1 + k:].reshape(k, k) + eps * np.eye(k)
-        if np.abs(slope).max() <= TOLERANCE / 100 or first < 1e-12:
-            eps, first = eps / 100, 1.0
-            continue
-        if passes >= MAX_PASSES:
-            raise RuntimeError(f"rates not found in {passes} passes; residuals {residual.tolist()}")
-        unit = 1 / np.sqrt(matrix.diagonal())
-        move = -unit * np.linalg.lstsq(matrix * unit[:, None] * unit, unit * slope, rcond=None)[0]
-        points = point + first * TRIALS[:, None] * move
-        lines, lows = pass_over(points)
-        passes += 1
-        heights = [height(x, at) for x, at in zip(points, lines)]
-        best = int(np.argmin(heights))
-        if heights[best] < height(point, line):
-            point, line, low, first = points[best], lines[best], lows[best], 1.0
-        else:
+        size = np.linalg.norm(residual)
+        if size - np.sqrt(max(2 * bound, 0.0)) <= TOLERANCE:
+            return history, residual
+        sizes = np.linalg.norm(lines[:, :k] - wanted, axis=1)
+        best = int(np.argmin(sizes))
+        if sizes[best] < size * (1 - 1e-12):
+            history, line, first = [*history, trials[best]], lines[best], 1.0
+        elif first > 1e-9:
             first *= TRIALS[-1] / 4
+        else:
+            return history, residual        # no step of any length comes closer
+    raise RuntimeError(f"rates not found in {MAX_PASSES} passes; residuals {residual.tolist()}")
 
 
 def fit_rates(rows: DataFrame, targets: np.ndarray | None) -> tuple[dict, np.ndarray]:
@@ -202,26 +180,26 @@ def fit_rates(rows: DataFrame, targets: np.ndarray | None) -> tuple[dict, np.nda
         targets = weight * max((n / w for n, w in zip(now, weight) if w > 0), default=0.0)
     scale = 1 / np.maximum(targets, 1e-9)
     scale = np.where(targets > 0, scale, 1 / max(now.sum(), 1.0))
-    width = 1 + k + k * k
+    width = k + k * k
 
-    def pass_over(points):
+    def pass_over(history, trials, residual):
         def part_of(batches):
-            for part in batches:
+            for part in released(batches):
                 t, p = part["tokens"].to_numpy(float), np.stack(part["p"].to_numpy()) if len(part) else np.zeros((0, k))
-                lines, low = shares(t, p, scale, points)
-                yield pd.DataFrame({"i": np.arange(len(points)), "v": list(lines), "low": low})
+                lines, low = shares(t, p, scale, history, trials, residual)
+                yield pd.DataFrame({"i": np.arange(len(trials)), "v": list(lines), "low": low})
 
         got = rows.select("tokens", "p").mapInPandas(part_of, "i int, v array<double>, low double").groupBy("i").agg(
             *[F.sum(F.col("v")[j]) for j in range(width)], F.min("low")).collect()
-        lines, low = np.zeros((len(points), width)), np.full(len(points), np.inf)
-        for i, *line, least in got:
-            lines[i], low[i] = line, least
-        return lines, low
+        lines = np.zeros((len(trials), width))
+        for i, *line, _ in got:
+            lines[i] = line
+        return lines, min((row[-1] for row in got), default=np.inf)
 
-    point, residual = solve(pass_over, targets * scale, scale)
+    history, residual = solve(pass_over, targets * scale, scale)
     if np.abs(residual).max() > TOLERANCE:
         warnings.warn(f"no rates reach the targets; nearest residuals by domain: {residual.round(4).tolist()}")
-    return {"scale": scale, "step": 1.0, "history": [point] if point.any() else [], "residual": residual,
+    return {"scale": scale, "step": 1.0, "history": history, "residual": residual,
             "reached": targets + residual / scale}, targets
 
 
@@ -255,7 +233,7 @@ def document_rates(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     names = model[0]
 
     def rate(batches):
-        for part in batches:
+        for part in released(batches):
             p = np.stack(part["p"].to_numpy()) if len(part) else np.zeros((0, len(names)))
             out = part.copy()
             out["rate"] = replay(part["tokens"].to_numpy(float), p, state["scale"], state["step"], state["history"])
@@ -285,7 +263,8 @@ def mix_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     def rate(text: pd.Series) -> pd.Series:
         if not len(text):
             return pd.Series([], dtype=float)
-        tokens, post = _classified(text, shared.value, worker_cache("mixing"))
+        tokens, post = _classified(text, shared.value, worker_table("mixing"))
+        give_back()
         return pd.Series(replay(np.array(tokens, float), np.stack(post), state["scale"], state["step"],
                                 state["history"]))
 

@@ -27,25 +27,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from floe.llm.common import labelled_sample, remainder, worker_cache
+from floe.llm.common import give_back, labelled_sample, remainder, word_numbers, worker_table
 
 BUCKETS = 1 << 16
 FACTORS = 8
 MAX_TRAIN_ROWS = 5_000
 N_STATS = 16
-CACHE_WORDS = 1_000_000
 
 
-def word_buckets(words: list[bytes], cache: dict) -> np.ndarray:
-    try:
-        return np.fromiter(map(cache.__getitem__, words), np.int64, len(words))
-    except KeyError:
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
-        for w in set(words):
-            if w not in cache:
-                cache[w] = zlib.crc32(w) & (BUCKETS - 1)
-        return np.fromiter(map(cache.__getitem__, words), np.int64, len(words))
+def word_buckets(words: list[bytes], table: dict) -> np.ndarray:
+    return word_numbers(words, table, np.int64, lambda fresh: [zlib.crc32(w) & (BUCKETS - 1) for w in fresh])
 
 
 def features(text: str | None, cache: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -163,10 +154,12 @@ def _scorer(docs: DataFrame, labels: DataFrame, metadata: tuple[str, ...], modul
         labelled_sample(docs, labels, "quality", modulus, held, max_rows, ["text", *metadata])))
 
     def scores(text: pd.Series, extra: list[pd.Series]) -> np.ndarray:
-        m, cache = model.value, worker_cache("quality")
+        m, cache = model.value, worker_table("quality")
         values = zip(*[e.tolist() for e in extra]) if extra else iter(lambda: (), None)
-        return np.array([m.score(t, metadata_values(None if v is None or v != v else v for v in e), cache)
+        made = np.array([m.score(t, metadata_values(None if v is None or v != v else v for v in e), cache)
                          for t, e in zip(text, values)], float)
+        give_back()
+        return made
 
     return scores
 

@@ -26,13 +26,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from floe.llm.common import labelled_sample, remainder, worker_cache
+from floe.llm.common import labelled_sample, released, remainder, word_numbers, worker_table
 
 BUCKETS = 1 << 18
 DIM = 12
 WINDOW = 4
 MAX_TRAIN_ROWS = 5_000
-CACHE_WORDS = 1_000_000
 NGRAMS = (3, 4, 5)
 MIN_DOCS = 5
 SHRINK = 20
@@ -82,16 +81,11 @@ class SubwordModel:
     bias: float
     fallback: bool = False
 
-    def word_scores(self, words: list[bytes], cache: dict) -> np.ndarray:
-        fresh = [w for w in set(words) if w not in cache]
-        if fresh:
-            if len(cache) > CACHE_WORDS:
-                cache.clear()
-                fresh = list(set(words))
+    def word_scores(self, words: list[bytes], table: dict) -> np.ndarray:
+        def learn(fresh: list[bytes]) -> list[float]:
             ids, of = subwords(fresh)
-            sums = np.bincount(of, self.weights[ids], len(fresh)) / np.bincount(of, minlength=len(fresh))
-            cache.update(zip(fresh, sums.tolist()))
-        return np.fromiter(map(cache.__getitem__, words), float, len(words))
+            return (np.bincount(of, self.weights[ids], len(fresh)) / np.bincount(of, minlength=len(fresh))).tolist()
+        return word_numbers(words, table, float, learn)
 
     def score(self, text: str | None, cache: dict) -> float:
         if self.fallback:
@@ -195,8 +189,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: i
     mark = f"toxicity-{abs(hash((fitted.bias, fitted.weights.tobytes())))}"
 
     def run(batches):
-        m, cache = model.value, worker_cache(mark)
-        for part in batches:
+        m, cache = model.value, worker_table(mark)
+        for part in released(batches):
             yield pd.DataFrame({"doc_id": part["doc_id"], "held_out": part["held_out"],
                                 "score": np.array([m.score(t, cache) for t in part["text"]], float)})
 

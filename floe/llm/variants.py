@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from floe.llm.common import staged
+from floe.llm.common import finished, released, staged
 
 LETTERS = re.compile("[a-zÀ-ÿ]+")
 END = "$"                  # no word holds it
@@ -60,7 +60,7 @@ def count_words(docs: DataFrame, slip: int | None = None) -> DataFrame:
     """
     def run(batches):
         held: Counter = Counter()
-        for part in batches:
+        for part in released(batches):
             for name, text in zip(part["doc_id"], part["text"]):
                 found = _runs((text or "").encode("utf-8", "replace").lower().decode())
                 if slip:
@@ -151,6 +151,10 @@ def roots(links: DataFrame) -> DataFrame:
 
 def spelling_variants(words: DataFrame, ratio: int = 5) -> DataFrame:
     """(word, form, root, n, n_near, form_n) of distinct ``words`` (word, n)."""
+    return finished(words.sparkSession, "variants", lambda: _variants(words, ratio))
+
+
+def _variants(words: DataFrame, ratio: int) -> DataFrame:
     words = staged(words.select("word", "n"), "words")
     known = words.join(neighbours(words), "word", "left")
     good = F.col("best_n") >= F.col("n") * ratio

@@ -178,6 +178,25 @@ def test_mtree_odd_rows(spark):
     assert mtree.top_k(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_mtree_keeps_scores_beyond_the_precision_of_doubles(spark, monkeypatch):
+    monkeypatch.setattr(mtree, "PILOT", 100)
+    same = [(i, [280000003 / 256] * 64) for i in range(300)]
+    got = mtree.top_k(spark.createDataFrame(same, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0).collect()
+    assert len(got) == 30 and {r.score for r in got} == {280000003 ** 2 * 64}
+    rng = np.random.default_rng(2)
+    near = {i: [float(x) for x in 1e6 + rng.integers(0, 40, 64) / 256] for i in range(300)}
+    want = brute_top(near, [i for i in near if i % 50 == 0])
+    rows = mtree.top_k(spark.createDataFrame(list(near.items()), "vec_id long, embedding array<double>"),
+                       F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect()
+    found = defaultdict(list)
+    for r in rows:
+        found[r.query_id].append((r.vec_id, -r.score))
+    assert dict(found) == want
+    huge = spark.createDataFrame([(i, [1e9] * 64) for i in range(60)], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="beyond 64 bits"):
+        mtree.top_k(huge, F.lit(True)).collect()
+
+
 # -- op4 ---------------------------------------------------------------------------
 
 def check_shards(rows, docs, shards):
@@ -351,6 +370,70 @@ def test_toxicity_finds_misspellings(spark):
     assert {x.score for x in toxicity.score_toxicity(odd, labels.limit(0)).collect()} == {0.5}
 
 
+def test_toxicity_scores_equal_plain_loops():
+    rng = np.random.default_rng(3)
+    words = [b"a", b"loathsome", "na\u00efve".encode(), b"x" * 300, b"loathsomme"]
+    ids, of = toxicity.subwords(words)
+    model = toxicity.SubwordModel(rng.normal(size=toxicity.BUCKETS), -0.3)
+
+    def buckets(word):
+        marked, out = b"<" + word + b">", []
+        for n in toxicity.NGRAMS:
+            for i in range(len(marked) - n + 1):
+                h = 14695981039346656037
+                for x in marked[i:i + n]:
+                    h = ((h ^ x) * 1099511628211) % (1 << 64)
+                out.append((h ^ (h >> 29)) % toxicity.BUCKETS)
+        return sorted(out + [(zlib.crc32(word) * 2654435761 >> 7) % toxicity.BUCKETS])
+
+    def value(word):
+        return sum(model.weights[b] for b in buckets(word)) / len(buckets(word))
+    for i, word in enumerate(words):
+        assert sorted(ids[of == i].tolist()) == buckets(word)
+    for n in (1, 2, 3, 4, 5, 6, 7, 30):
+        text = [words[i] for i in rng.integers(0, len(words), n)]
+        size, starts = toxicity.WINDOW, list(range(0, max(n - toxicity.WINDOW, 0) + 1, toxicity.WINDOW // 2))
+        if n > size and starts[-1] + size < n:
+            starts.append(n - size)
+        bags = [text[a:a + size] for a in starts]
+        z = max(sum(map(value, bag)) / len(bag) for bag in bags) + model.bias
+        assert model.score(b" ".join(text).decode(), {}) == pytest.approx(1 / (1 + math.exp(-z)))
+        assert all(any(a <= i < a + size for a in starts) for i in range(n))
+    assert model.score(None, {}) == model.score("", {}) == pytest.approx(1 / (1 + math.exp(0.3)))
+
+
+def test_word_tables_stay_bounded_and_change_owner(monkeypatch):
+    from floe.llm import common
+    monkeypatch.setattr(common, "TABLE_BYTES", 5_000)
+    table, asked = {}, []
+
+    def learn(fresh):
+        asked.extend(fresh)
+        return [len(w) for w in fresh]
+    for at in range(40):
+        words = [b"w%d" % (i % 90 + at) for i in range(100)]
+        assert common.word_numbers(words, table, np.int64, learn).tolist() == [len(w) for w in words]
+        assert table.get(None, 0) <= 5_000
+    long = [b"x" * n for n in range(1, 200)]             # one text beyond the table
+    assert common.word_numbers(long, table, np.int64, learn).tolist() == list(range(1, 200))
+    first = common.worker_table("one")
+    first[b"a"] = 1
+    assert common.worker_table("one") is first and common.worker_table("two") == {} and common.worker_table("one") == {}
+
+
+def test_factorisation_machine_learns_what_only_a_pair_tells():
+    rng = np.random.default_rng(0)
+    rows = []
+    for _ in range(1_200):                # exclusive or of two words: no word alone tells the label
+        a, b = rng.integers(0, 2, 2)
+        rows.append((int(a != b), ("alpha " if a else "amber ") + ("beta" if b else "birch")))
+    model = quality.fit_machine(rows, epochs=40)
+    right = [(model.score(text, [], {}) >= 0.5) == bool(y) for y, text in rows]
+    flat = quality.FactorisationMachine(model.bias, model.linear, np.zeros_like(model.factors), model.mean, model.scale)
+    alone = [(flat.score(text, [], {}) >= 0.5) == bool(y) for y, text in rows]
+    assert np.mean(right) > 0.95 and np.mean(alone) < 0.8
+
+
 # -- op7 ---------------------------------------------------------------------------
 
 def test_rates_reach_the_targets(spark, corpus):
@@ -384,6 +467,31 @@ def test_rates_equal_a_plain_solver():
     assert np.abs((t * r) @ p / targets - 1).max() < 1e-2
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_solver_equals_exact_nonnegative_least_squares(seed):
+    rng = np.random.default_rng(seed)
+    n, k = 60, 3
+    t, p = rng.integers(0, 50, n).astype(float), rng.dirichlet([0.3] * k, n)
+    targets = (t @ p) * rng.choice([0.0, 0.05, 0.5, 1.0, 4.0], k)
+    if seed % 2:
+        p[:, 0] = np.minimum(p[:, 0], 0.2)       # every row of one mix: some targets are out of reach
+        p /= p.sum(1, keepdims=True)
+        targets = np.array([0.9, 0.05, 0.05]) * t.sum()
+    scale = np.where(targets > 0, 1 / np.maximum(targets, 1e-9), 1 / t.sum())
+    history, residual = mixing.solve(lambda *args: mixing.shares(t, p, scale, *args), targets * scale, scale)
+    r = mixing.replay(t, p, scale, 1.0, history)
+    a, wanted = t[:, None] * p * scale, targets * scale
+    assert (r >= 0).all() and residual == pytest.approx(r @ a - wanted, abs=1e-9)
+    # coordinate descent to the exact optimum of the least squares over r >= 0
+    x, rest = np.ones(n), np.ones(n) @ a - wanted
+    for _ in range(3_000):
+        for d in np.flatnonzero(t):
+            new = max(x[d] - a[d] @ rest / (a[d] @ a[d]), 0.0)
+            rest += (new - x[d]) * a[d]
+            x[d] = new
+    assert np.linalg.norm(residual) <= np.linalg.norm(rest) + 2 * mixing.TOLERANCE
+
+
 def test_rates_reach_the_targets_beside_very_long_texts(spark, corpus):
     rng = np.random.default_rng(7)
     for heavy in range(4):
@@ -478,6 +586,40 @@ def test_dropping_copies_goes_by_texts_where_ids_repeat(spark):
     assert got - Counter(lone) == Counter([(1, one), (1, two), (4, "else"), (5, four), (6, None), (None, None), (7, " ")])
 
 
+def test_profiles_never_rule_out_a_similar_pair():
+    import pandas as pd
+    rng = np.random.default_rng(6)
+    for size in (1, 5, 40, 400, 40_000):
+        base = rng.integers(0, 1 << 63, size, dtype=np.uint64) * np.uint64(2)
+        rows, similar = [], []
+        for share in (0.0, 0.5, 0.79, 0.8, 0.89, 0.9, 1.0):
+            a = np.unique(base)
+            b = np.unique(np.concatenate([a[:int(np.ceil(share * len(a)))], rng.integers(0, 1 << 63, size - int(share * size),
+                                                                                         dtype=np.uint64)]))
+            both = len(np.intersect1d(a, b))
+            rows.append((len(rows), 0, dedup.profile(a), dedup.profile(b)))
+            similar.append(100 * both >= 80 * (len(a) + len(b) - both))
+        part = pd.DataFrame(rows, columns=["u", "v", "x", "y"])
+        (left,) = dedup._possible(80)(iter([part]))
+        assert {i for i, s in enumerate(similar) if s} <= set(left["u"])
+        if size in (40, 400):
+            assert 0 not in set(left["u"])
+
+
+def test_ids_may_be_texts_or_very_large(spark):
+    base = "one two three four five six seven eight nine ten eleven twelve"
+    docs = [("b", base), ("a", base + " "), ("c", "another text with quite other words in it"), ("d", None), (None, base)]
+    df = spark.createDataFrame(docs, "doc_id string, text string")
+    got = {(r.doc_id, r.n_shingles): (r.component_id, r.kept) for r in dedup.near_duplicates(df).collect()}
+    assert got == {("b", 8): ("a", False), ("a", 8): ("a", True), ("c", 4): ("c", True), ("d", 0): ("d", True),
+                   (None, 8): ("a", False)}
+    assert sorted(str(r.doc_id) for r in dedup.drop_near_duplicates(df).collect()) == ["a", "c", "d"]
+    top = (1 << 63) - 1
+    large = spark.createDataFrame([(top, base), (top - 1, base), (1 << 62, "x y z"), (None, "p q")], "doc_id long, text string")
+    got = {r.doc_id: (r.component_id, r.kept) for r in dedup.near_duplicates(large).collect()}
+    assert got == {top: (top - 1, False), top - 1: (top - 1, True), 1 << 62: (1 << 62, True), None: (None, True)}
+
+
 def test_minhash_estimates_and_order():
     rng = np.random.default_rng(2)
     base = np.unique(rng.integers(0, 2 ** 63, 400).astype(np.uint64))

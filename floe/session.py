@@ -86,6 +86,13 @@ class Scope:
         self.frames.append(df.persist(StorageLevel.MEMORY_AND_DISK))
         return self.frames[-1]
 
+    def give(self, paths: list[str]) -> None:
+        """Leave ``paths`` to the scope around this one, or to the caller."""
+        self.paths = [p for p in self.paths if p not in paths]
+        outer = _SCOPES[:_SCOPES.index(self)]
+        if outer:
+            outer[-1].paths += paths
+
     def release(self) -> None:
         while self.frames:
             self.frames.pop().unpersist()

@@ -213,3 +213,14 @@ def test_scope_removes_what_was_kept(spark, tmp_path):
         assert set(os.listdir(folder)) != before
     assert set(os.listdir(folder)) == before
     assert spark.sparkContext._jsc.getPersistentRDDs().size() == cached
+
+
+def test_queries_leave_no_cached_dataset(spark):
+    from floe.plans.catalog import QUERIES
+    spark.catalog.clearCache()
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    for name in ("a1_median_impute", "a3_label_mapping", "a8_running_mean_loss", "d1_stratified_split", "d2_tail_validation",
+                 "d4_seeded_shuffle", "d6_row_index", "e8_roc_curve", "e9_auc_per_class", "q1_causal_filter", "q4_max_pool",
+                 "q8_batch_norm", "k16_early_stopping", "pair_flow_report"):
+        QUERIES[name](spark, "/root/testdata/sf0.001").count()
+        assert spark.sparkContext._jsc.getPersistentRDDs().size() == before, name

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -35,6 +35,12 @@ def _scan(spark: SparkSession, path: str, columns: list[str] | None, multi_line:
             .option("multiLine", str(multi_line).lower()).schema(schema).csv(path))
 
 
+def _any(raw: DataFrame) -> Column:
+    """Always true, and names a column: Spark refuses queries, such as a count, on the record alone."""
+    first = c(raw.columns[0])
+    return first.isNull() | (F.length(first) >= 0)
+
+
 def read_text_csv(spark: SparkSession, path: str, columns: list[str] | None = None,
                   na_tokens=None, multi_line: bool = False) -> DataFrame:
     """S1 + S2: header CSV with every column as text; missing tokens -> NULL.
@@ -46,7 +52,7 @@ def read_text_csv(spark: SparkSession, path: str, columns: list[str] | None = No
     price that a file is read by one task.
     """
     raw = _scan(spark, path, columns, multi_line)
-    whole = F.when(F.col(CORRUPT).isNull(), F.lit(True)).otherwise(
+    whole = F.when(F.col(CORRUPT).isNull(), _any(raw)).otherwise(
         F.raise_error(F.concat(F.lit("malformed CSV row: "), F.col(CORRUPT))).cast("boolean"))
     return normalize_na(raw.where(whole).drop(CORRUPT), na_tokens)
 
@@ -55,10 +61,8 @@ def read_csv_with_rejects(spark: SparkSession, path: str, columns: list[str] | N
                           multi_line: bool = False) -> tuple[DataFrame, DataFrame]:
     """S1 with a rejects table: (rows as ``read_text_csv`` gives them, (record,) of each refused row)."""
     raw = _scan(spark, path, columns, multi_line)
-    rows = normalize_na(raw.where(F.col(CORRUPT).isNull()).drop(CORRUPT), na_tokens)
-    # always true, and names a column: Spark refuses queries on the record alone
-    first = c(raw.columns[0])
-    refused = raw.where(F.col(CORRUPT).isNotNull() & (first.isNull() | (F.length(first) >= 0)))
+    rows = normalize_na(raw.where(F.col(CORRUPT).isNull() & _any(raw)).drop(CORRUPT), na_tokens)
+    refused = raw.where(F.col(CORRUPT).isNotNull() & _any(raw))
     return rows, refused.select(F.col(CORRUPT).alias("record"))
 
 

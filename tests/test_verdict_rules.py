@@ -152,6 +152,9 @@ def test_malformed_csv_rows_are_refused_or_set_apart(spark, tmp_path):
     rows, rejects = read_csv_with_rejects(spark, str(path))
     assert sorted(map(tuple, rows.collect()), key=str) == [("1", "2", "3"), (None, None, "x")]
     assert sorted(r.record for r in rejects.collect()) == ["4,5", "6,7,8,9"] and rejects.count() == 2
+    assert rows.count() == 2
+    with pytest.raises(Exception, match="malformed CSV row"):
+        read_text_csv(spark, str(path)).count()
     assert [r.a for r in rows.select("a").where("a is not null").collect()] == ["1"]
 
 

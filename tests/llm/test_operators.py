@@ -66,7 +66,7 @@ def test_preferences_share_the_prefix_once(spark):
 # -- op2 ---------------------------------------------------------------------------
 
 def brute_katz(docs, held):
-    """Bigram Katz model by dictionaries: (scores, distribution after a history)."""
+    """Bigram Katz model by dictionaries: (scores, sum of the distribution after each history)."""
     seqs = {d: brute.words(t) + ["</s>"] for d, t in docs.items()}
     one, two = Counter(), Counter()
     for d, s in seqs.items():
@@ -96,25 +96,29 @@ def brute_katz(docs, held):
             free, c_h = 1.0, c_h + 1
         alpha = free / c_h / (1 - sum(mass[w] for w in kept))
         return {w: kept[w] / c_h if w in kept else alpha * p for w, p in {**mass, None: unk}.items()}
-    cache = {}
-    out = {}
-    for d, s in seqs.items():
-        z = 0.0
+    asked = defaultdict(set)
+    for s in seqs.values():
         for h, w in zip(["</s>"] + s[:-1], s):
-            p = cache.setdefault(h, dist(h))
-            z += math.log10(p[w if w in mass else None])
+            asked[h].add(w if w in mass else None)
+    sums, logs, out = {}, {}, {}
+    for h, words in asked.items():       # one distribution at a time: all of them would take gigabytes
+        p = dist(h)
+        sums[h] = sum(p.values())
+        logs.update({(h, w): math.log10(p[w]) for w in words})
+    for d, s in seqs.items():
+        z = sum(logs[h, w if w in mass else None] for h, w in zip(["</s>"] + s[:-1], s))
         known = sum(w in one for w in s)
         base = sum(math.log10((one[w] + 0.1) / (total + 0.1 * (len(one) + 1))) for w in s)
         out[d] = (len(s), known, total, base, z)
-    return out, cache
+    return out, sums
 
 
 def test_katz_equals_dictionaries(spark, corpus, monkeypatch):
     monkeypatch.setattr(katz, "CHUNK", 4_000)
     docs = texts(corpus)
     held = {d: brute.remainder(d, 10) == 0 for d in docs}
-    want, dists = brute_katz(docs, held)
-    assert all(abs(sum(p.values()) - 1) < 1e-9 for p in dists.values())
+    want, sums = brute_katz(docs, held)
+    assert all(abs(total - 1) < 1e-9 for total in sums.values())
     got = katz.score_documents(corpus.repartition(3), catalog.remainder(F.col("doc_id"), 10) == 0).collect()
     assert len(got) == len(docs)
     for r in got:

@@ -45,16 +45,20 @@ def sweep(spark: SparkSession) -> None:
         time.sleep(0.2)
 
 
-def finished(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """The frame that ``build`` makes, written below the shared folder; what was staged on the way is removed."""
-    path = scratch_path(spark, name)
-    with Scope(spark):
+def finished(spark: SparkSession, name: str, build: Callable[[], DataFrame | list[DataFrame]]) -> DataFrame | list[DataFrame]:
+    """The frame or frames that ``build`` makes, written below the shared folder; what was staged on the way is removed."""
+    written = []
+    with Scope(spark) as scope:
         made = build()
-        made.write.parquet(path)
-        schema = made.schema
-        del made
+        for part in made if isinstance(made, list) else [made]:
+            written.append((part.schema, path := scratch_path(spark, name)))
+            part.write.parquet(path)
+        alone = not isinstance(made, list)
+        del made, part
+        scope.give([path for _, path in written])
     sweep(spark)
-    return spark.read.schema(schema).parquet(path)
+    frames = [spark.read.schema(schema).parquet(path) for schema, path in written]
+    return frames[0] if alone else frames
 
 
 def give_back() -> None:

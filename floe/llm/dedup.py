@@ -197,16 +197,22 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, rows:
     return finished(docs.sparkSession, "groups", lambda: _groups(docs, shingle, percent, rows, bands))
 
 
-def _groups(docs: DataFrame, shingle: int, percent: int, rows: int, bands: int) -> DataFrame:
-    kind = docs.select("doc_id").schema[0].dataType.simpleString()
+def _classes(docs: DataFrame, kind: str, shingle: int, rows: int, bands: int) -> list[DataFrame]:
+    """Rows (doc_id, n, digest), and the distinct sets (id, digest, low, n, bands)."""
     signed = staged(docs.select("doc_id", "text").mapInArrow(
         _signatures(shingle, rows, bands), f"doc_id {kind}, n long, digest binary, bands array<long>"), "signed")
-    full = signed.filter("digest is not null")
-    grouped = staged(full.groupBy("digest").agg(
+    grouped = staged(signed.filter("digest is not null").groupBy("digest").agg(
         F.min(F.struct("n", "bands")).alias("c"), F.min("doc_id").alias("low")), "grouped")
     # numbered once written: a class is known by its whole digest, its number is only short
-    classes = staged(grouped.select(F.monotonically_increasing_id().alias("id"), "digest", "low",
-                                    F.col("c.n").alias("n"), F.col("c.bands").alias("bands")), "classes")
+    return [signed.drop("bands"), grouped.select(
+        F.monotonically_increasing_id().alias("id"), "digest", "low", F.col("c.n").alias("n"),
+        F.col("c.bands").alias("bands"))]
+
+
+def _groups(docs: DataFrame, shingle: int, percent: int, rows: int, bands: int) -> DataFrame:
+    kind = docs.select("doc_id").schema[0].dataType.simpleString()
+    signed, classes = finished(docs.sparkSession, "classes", lambda: _classes(docs, kind, shingle, rows, bands))
+    full = signed.filter("digest is not null")
     rows, ids, nameless = signed.agg(F.count("doc_id"), F.countDistinct("doc_id"),
                                      F.count(F.when(F.col("doc_id").isNull() & F.col("digest").isNotNull(), 1))).first()
     links = docs.sparkSession.createDataFrame([], "u long, v long")
@@ -242,8 +248,8 @@ def _whole_sets(docs: DataFrame, chosen: DataFrame, shingle: int, by_digest: boo
         F.min(F.struct("items", "profile")).alias("s")).select("id", "s.items", "s.profile")
 
 
-def _class_roots(docs: DataFrame, classes: DataFrame, links: DataFrame, shingle: int, percent: int,
-                 by_digest: bool) -> DataFrame:
+def _starred(classes: DataFrame) -> DataFrame:
+    """(bucket, size, pid, pn, id, n): the members of every bucket of two or more, with its pivot."""
     exploded = classes.select(F.col("id"), F.col("n"), F.posexplode("bands").alias("band", "value"))
     shared = exploded.groupBy("band", "value").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
     # what a hot bucket is joined with is written first: adaptive execution then can split its rows
@@ -252,17 +258,22 @@ def _class_roots(docs: DataFrame, classes: DataFrame, links: DataFrame, shingle:
                   .select(F.xxhash64("band", "value").alias("bucket"), "id", "n", "members"), "members")
     met = rest.groupBy("id").agg(F.sum("members").alias("weight"))
     rest = staged(rest.drop("members").join(met, "id"), "weighed")
-    sweep(docs.sparkSession)
-    chosen = staged(classes.join(met, "id", "left_semi").select(
-        F.col("id").alias("_id"), F.col("low").alias("_low"), F.col("digest").alias("_digest")), "chosen")
-    sets = staged(_whole_sets(docs, chosen, shingle, by_digest), "sets")
-    sweep(docs.sparkSession)
-    comp = components(links)
-    # first round: everyone against the pivot of each bucket
+    sweep(classes.sparkSession)
     pivots = rest.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.max(
         F.struct("weight", (-F.col("id")).alias("minus"), "n")).alias("p")).select(
             "bucket", "size", (-F.col("p.minus")).alias("pid"), F.col("p.n").alias("pn"))
-    rest = staged(rest.select("bucket", "id", "n").join(staged(pivots, "pivots"), "bucket"), "starred")
+    return rest.select("bucket", "id", "n").join(staged(pivots, "pivots"), "bucket")
+
+
+def _class_roots(docs: DataFrame, classes: DataFrame, links: DataFrame, shingle: int, percent: int,
+                 by_digest: bool) -> DataFrame:
+    spark = docs.sparkSession
+    rest = finished(spark, "starred", lambda: _starred(classes))
+    chosen = staged(classes.join(rest.select(F.col("id").alias("_i")).distinct(), F.col("id") == F.col("_i"), "left_semi").select(
+        F.col("id").alias("_id"), F.col("low").alias("_low"), F.col("digest").alias("_digest")), "chosen")
+    sets = staged(_whole_sets(docs, chosen, shingle, by_digest), "sets")
+    sweep(spark)
+    # first round: everyone against the pivot of each bucket
     close = 100 * F.least("n", "pn") >= percent * F.greatest("n", "pn")
     pairs = rest.filter(close & (F.col("id") != F.col("pid"))).select(
         F.greatest("id", "pid").alias("u"), F.least("id", "pid").alias("v"))
@@ -320,7 +331,9 @@ def _block_links(large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         "block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     sent = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "pid", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "comp")
-    full = sent.join(sets.select(F.col("id").alias("_s"), "items"), F.col("id") == F.col("_s")).drop("_s")
+    named = staged(group.select(F.col("id").alias("_n")).distinct(), "named_sets")
+    own = sets.join(named, F.col("id") == F.col("_n"), "left_semi").select(F.col("id").alias("_s"), "items")
+    full = sent.join(own, F.col("id") == F.col("_s")).drop("_s")
     return full.groupBy("pid", "i", "j").applyInPandas(_similar_in_block(percent), "u long, v long")
 
 

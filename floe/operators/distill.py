@@ -292,6 +292,9 @@ def early_stopping(history: DataFrame, run_col: str = "run", epoch_col: str = "e
     fresh = state(none, none, F.lit(0), none, none)
     folded = lists.where(~F.col(HOT)).select("run", F.aggregate("h", fresh, step).alias("s"))
     if found.cuts is not None:
+        # written once: a mean metric may differ in its last bit between two executions
+        lists = stored(lists, "epochs")
+        folded = lists.where(~F.col(HOT)).select("run", F.aggregate("h", fresh, step).alias("s"))
         # one row a cell of the hot runs; the last epochs before a cell tell the states it may be entered in
         hot = lists.where(HOT)
         earlier = Window.partitionBy("run").orderBy(CELL).rowsBetween(-patience, -1)

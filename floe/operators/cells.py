@@ -60,22 +60,21 @@ class Cells:
             return df.select("*", F.lit(0).alias(CELL), F.lit(False).alias(HOT))
         key = F.struct(*[c(o).alias(f"o{i}") for i, o in enumerate(self.orders)])
         found = self.match(df, self.cuts, self.groups) if self.groups else df.join(F.broadcast(self.cuts), how="cross")
-        cell = F.when(F.col("_floe_cuts").isNotNull(), _rank(F.col("_floe_cuts"), key, self.steps)).otherwise(F.lit(0))
-        return found.select(*[c(n) for n in df.columns], cell.cast("int").alias(CELL),
-                            F.col("_floe_cuts").isNotNull().alias(HOT))
+        found = _ranked(found.withColumn("_floe_key", key), self.steps)
+        return found.select(*[c(n) for n in df.columns], CELL, F.col("_floe_cuts").isNotNull().alias(HOT))
 
 
-def _rank(bounds: Column, key: Column, steps: int) -> Column:
-    """How many of the sorted ``bounds`` are at or below ``key``."""
-    def halve(s, _):
-        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
-        # a search that has ended looks at any element and stays where it is
-        below = F.element_at(bounds, F.least(mid, F.size(bounds) - 1) + 1) <= key
-        lo = F.when((s["lo"] < s["hi"]) & below, mid + 1).otherwise(s["lo"])
-        hi = F.when((s["lo"] < s["hi"]) & ~below, mid).otherwise(s["hi"])
-        return F.struct(lo.alias("lo"), hi.alias("hi"))
-    start = F.struct(F.lit(0).alias("lo"), F.size(bounds).alias("hi"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve, lambda s: s["lo"])
+def _ranked(df: DataFrame, steps: int) -> DataFrame:
+    """CELL: how many of a row's sorted bounds ``_floe_cuts`` are at or below its ``_floe_key``, 0 without bounds.
+
+    A search by halving steps, one projection each: plain expressions that are compiled, where
+    a lambda over the bounds would be interpreted for every row and step.
+    """
+    out = df.withColumn(CELL, F.lit(0))
+    for j in reversed(range(steps)):
+        reach = F.col(CELL) + F.lit(1 << j)
+        out = out.withColumn(CELL, F.when(F.get("_floe_cuts", reach - 1) <= F.col("_floe_key"), reach).otherwise(F.col(CELL)))
+    return out
 
 
 def find_cells(df: DataFrame, groups: list[str], orders: list[str], cells: int | None = None) -> Cells:
@@ -107,7 +106,7 @@ def find_cells(df: DataFrame, groups: list[str], orders: list[str], cells: int |
     if not table.num_rows:
         return plain
     longest = max(len(row) for row in table.column("_floe_cuts").to_pylist())
-    return Cells(list(groups), list(orders), spark.createDataFrame(table, cuts.schema), longest.bit_length() + 1)
+    return Cells(list(groups), list(orders), spark.createDataFrame(table, cuts.schema), longest.bit_length())
 
 
 def cell_totals(df: DataFrame, groups: list[str], orders: list[str], values: dict[str, Column] | None = None,

@@ -224,3 +224,13 @@ def test_queries_leave_no_cached_dataset(spark):
                  "q8_batch_norm", "k16_early_stopping", "pair_flow_report"):
         QUERIES[name](spark, "/root/testdata/sf0.001").count()
         assert spark.sparkContext._jsc.getPersistentRDDs().size() == before, name
+
+
+def test_cells_are_found_without_lambdas(spark):
+    """The search among the bounds is compiled; nulls come first and the index has no gap."""
+    from floe.operators.ordering import row_index
+    rows = spark.range(3000).select((F.col("id") * 7 % 3000).alias("k"), F.when(F.col("id") % 100 != 0, F.col("id")).alias("v"))
+    got = row_index(rows, ["v", "k"], num_partitions=40)
+    assert "lambda" not in got._jdf.queryExecution().optimizedPlan().toString()
+    want = sorted((r.v is not None, r.v or 0, r.k) for r in rows.collect())
+    assert sorted((r.idx, (r.v is not None, r.v or 0, r.k)) for r in got.collect()) == list(enumerate(want))

@@ -7,10 +7,11 @@ The objective of one row with scores z = W (x, 1):
 that is, the hard loss of the student and, with both sides softened, the divergence from the
 teacher's soft labels q (K5 or K6).  ``alpha`` = 1 is the plain classifier.  It is convex in W.
 
-Each step is one aggregation over the rows: the loss, the k (d + 1) sums of the gradient and
-the sums of the Hessian, built-in expressions that combine map-side.  The driver solves the
-resulting system of k (d + 1) numbers, so nothing that grows with the rows leaves the
-executors.  Starting from 0 with a fixed rule, the fit is a plain function of the table.
+Each step is one pass over the rows: the loss, the k (d + 1) sums of the gradient and the
+sums of the Hessian, products of an Arrow batch's columns that each task adds up and Spark
+sums by position (hundreds of built-in aggregates in one plan took some 50 us a row).  The
+driver solves the resulting system of k (d + 1) numbers, so nothing that grows with the rows
+leaves the executors.  Starting from 0 with a fixed rule, the fit is a plain function of the table.
 
 ``solver='newton'`` takes the exact Hessian: k (k + 1) / 2 * (d + 1) (d + 2) / 2 sums a step,
 few steps.  ``solver='bound'`` is for wide tables: the curvature of every row is at most
@@ -27,6 +28,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,6 +46,74 @@ def _scores(features: list[Column], weights: np.ndarray) -> list[Column]:
     return out
 
 
+def _softmax(z: np.ndarray) -> np.ndarray:
+    e = np.exp(z - z.max(1, keepdims=True))
+    return e / e.sum(1, keepdims=True)
+
+
+def _objective_sums(weights: np.ndarray, alpha: float, t: float, t2_scale: bool, soft: bool, curved: float,
+                    blocks: list[tuple[int, int]], at: tuple[np.ndarray, np.ndarray]):
+    """Function of a batch's (x, 1), y and q: sums of the loss, of the gradient and of the Hessian's ``blocks``."""
+    scale = (1 - alpha) * (t * t if t2_scale else 1.0)
+
+    def sums(x: np.ndarray, y: np.ndarray, q: np.ndarray) -> np.ndarray:
+        z = x @ weights.T
+        p, top, own = _softmax(z), z.max(1), np.arange(len(y))
+        loss = alpha * (np.log(np.exp(z - top[:, None]).sum(1)) + top - z[own, y])
+        residual = alpha * p
+        residual[own, y] -= alpha
+        if soft:
+            s = _softmax(z / t)
+            logs = np.log(np.where(q > 0, q, 1.0)) - np.log(np.maximum(s, 1e-300))
+            loss = loss + scale * np.where(q > 0, q * logs, q).sum(1)
+            residual = residual + scale / t * (s - q)
+        out = [np.array([loss.sum()]), (residual.T @ x).ravel()]
+        for a, b in blocks:
+            v = alpha * p[:, a] * ((a == b) - p[:, b])
+            if soft:
+                v = v + curved * s[:, a] * ((a == b) - s[:, b])
+            out.append((x.T @ (x * v[:, None]))[at])
+        return np.concatenate(out)
+    return sums
+
+
+def _summed(rows: DataFrame, batch_sums, features: int, length: int, classes: int = 0) -> tuple[int, int, np.ndarray]:
+    """(rows, rows left out, sums of ``batch_sums`` over the others) of a table of the columns x.. [y, q..].
+
+    A row with a null, or a ``y`` that is none of the ``classes``, is left out.  A task holds
+    one Arrow batch and sends its ``length`` sums, which Spark adds up by position.
+    """
+    def run(batches):
+        n, bad, total = 0, 0, np.zeros(length)
+        for batch in batches:
+            cols = batch.columns
+            good = np.ones(batch.num_rows, bool)
+            for col in cols:
+                if col.null_count:
+                    good &= col.is_valid().to_numpy(zero_copy_only=False)
+            values = [col.to_numpy(zero_copy_only=False) for col in cols]
+            if classes:
+                good &= (values[features] >= 0) & (values[features] < classes)
+            n, bad = n + len(good), bad + int((~good).sum())
+            x = np.ones((int(good.sum()), features + 1))
+            for i in range(features):
+                x[:, i] = values[i][good]
+            args = []
+            if classes:
+                soft = values[features + 1:]
+                args = [values[features][good].astype(np.int64), np.column_stack([v[good] for v in soft]) if soft else None]
+            with np.errstate(all="ignore"):
+                total += batch_sums(x, *args)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.arange(length + 2), pa.int32()), pa.array(np.concatenate([[n, bad], total]), pa.float64())], ["at", "v"])
+
+    found = rows.mapInArrow(run, "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).collect()
+    out = np.zeros(length + 2)
+    for r in found:
+        out[r["at"]] = r["v"]
+    return int(out[0]), int(out[1]), out[2:]
+
+
 @dataclass
 class SoftmaxModel:
     """Weights (classes x features and constant) and the loss before every step of the fit."""
@@ -94,7 +164,8 @@ class SoftmaxRegression:
             if model.history and loss > model.history[-1] + 1e-12 * abs(loss):
                 weights = (weights + before) / 2
                 continue
-            model.history.append(loss)
+            # a rise within rounding is none
+            model.history.append(min([loss, *model.history[-1:]]))
             model.weights = weights
             if validation is not None:
                 held = self._hard_loss(validation, model)
@@ -134,71 +205,40 @@ class SoftmaxRegression:
         return (1 - self.alpha) * (1.0 if self.t2_scale else 1.0 / self.temperature ** 2)
 
     def _bound(self, rows: DataFrame, k: int) -> np.ndarray:
-        xs = [*[F.col(f"x{i}") for i in range(len(self.features))], F.lit(1.0)]
-        pairs = [(i, j) for i in range(len(xs)) for j in range(i, len(xs))]
-        sums = rows.agg(*[F.avg(xs[i] * xs[j]) for i, j in pairs]).first()
-        moments = np.zeros((len(xs), len(xs)))
-        for (i, j), v in zip(pairs, sums):
-            moments[i, j] = moments[j, i] = v
+        width = len(self.features) + 1
+        xs = [f"x{i}" for i in range(width - 1)]
+        at = np.triu_indices(width)
+        n, _, sums = _summed(rows.select(*xs), lambda x: (x.T @ x)[at], width - 1, len(at[0]))
+        moments = np.zeros((width, width))
+        moments[at] = sums / max(n, 1)
+        moments.T[at] = moments[at]
         return 0.5 * (self.alpha + self._weight_of_soft()) * np.kron(np.eye(k) - 1.0 / k, moments)
 
     def _pass(self, rows: DataFrame, weights: np.ndarray, fixed: np.ndarray | None):
-        """Mean loss, gradient and Hessian (or ``fixed``) at ``weights`` in one aggregation."""
+        """Mean loss, gradient and Hessian (or ``fixed``) at ``weights`` in one pass."""
         k, width = weights.shape
-        t, soft = float(self.temperature), self.soft_col is not None and self.alpha != 1
-        xs = [*[F.col(f"x{i}") for i in range(width - 1)], F.lit(1.0)]
-        scored = rows.select("*", *[z.alias(f"z{a}") for a, z in enumerate(_scores(xs[:-1], weights))])
-        zs = [F.col(f"z{a}") for a in range(k)]
-        made = {"p": softmax_of(zs), "top": F.greatest(*zs) if k > 1 else zs[0]}
-        if soft:
-            made["s"] = softmax_of([z / F.lit(t) for z in zs])
-        scored = scored.select("*", *[v.alias(n) for n, v in made.items()])
-        ps = [F.get("p", a) for a in range(k)]
-        total = ps[0] * 0 + F.exp(zs[0] - F.col("top"))
-        for z in zs[1:]:
-            total = total + F.exp(z - F.col("top"))
-        own = F.get(F.array(*zs), F.col("y"))
-        loss = F.lit(self.alpha) * (F.ln(total) + F.col("top") - own)
-        residual = [F.lit(self.alpha) * (p - (F.col("y") == a).cast("double")) for a, p in enumerate(ps)]
-        if soft:
-            scale = (1 - self.alpha) * (t * t if self.t2_scale else 1.0)
-            for a in range(k):
-                q, s = F.col(f"q{a}"), F.get("s", a)
-                loss = loss + F.lit(scale) * F.when(q > 0, q * (F.ln(q) - F.ln(F.greatest(s, F.lit(1e-300))))).otherwise(q)
-                residual[a] = residual[a] + F.lit(scale / t) * (s - q)
-        need = [F.lit(1.0)] if fixed is not None else []
-        cols = {"loss": loss, **{f"r{a}": r for a, r in enumerate(residual)}}
-        if not need:
-            u = self._weight_of_soft()
-            for a in range(k):
-                for b in range(a, k):
-                    v = F.lit(self.alpha) * ps[a] * (F.lit(float(a == b)) - ps[b])
-                    if soft:
-                        v = v + F.lit(u) * F.get("s", a) * (F.lit(float(a == b)) - F.get("s", b))
-                    cols[f"h{a}_{b}"] = v
-        # written out once a row; the sums below multiply plain columns
-        table = scored.select(*[f"x{i}" for i in range(width - 1)], *[v.alias(n) for n, v in cols.items()])
-        pairs = [(i, j) for i in range(width) for j in range(i, width)]
-        blocks = [n for n in cols if n.startswith("h")]
-        sums = [F.count(F.lit(1)), F.count("loss"), F.avg("loss")]
-        sums += [F.avg(F.col(f"r{a}") * xs[i]) for a in range(k) for i in range(width)]
-        sums += [F.avg(F.col(h) * xs[i] * xs[j]) for h in blocks for i, j in pairs]
-        got = list(table.agg(*[s.alias(f"s{n}") for n, s in enumerate(sums)]).first())
-        if not got[0]:
+        soft = self.soft_col is not None and self.alpha != 1
+        names = [*[f"x{i}" for i in range(width - 1)], "y", *([f"q{a}" for a in range(k)] if soft else [])]
+        blocks = [(a, b) for a in range(k) for b in range(a, k)] if fixed is None else []
+        at = np.triu_indices(width)
+        batch_sums = _objective_sums(weights, self.alpha, float(self.temperature), self.t2_scale, soft,
+                                     self._weight_of_soft(), blocks, at)
+        n, bad, sums = _summed(rows.select(*names), batch_sums, width - 1, 1 + k * width + len(blocks) * len(at[0]), k)
+        if not n:
             raise ValueError("no rows to fit on")
-        if got[0] != got[1] or any(v is None for v in got):
-            raise ValueError(f"{got[0] - got[1]} rows have a null label, feature or soft label, or a label out of range")
-        gradient = np.array(got[3:3 + k * width])
+        if bad:
+            raise ValueError(f"{bad} rows have a null label, feature or soft label, or a label out of range")
+        means = sums / n
+        loss, gradient = float(means[0]), means[1:1 + k * width]
         if fixed is not None:
-            return got[2], gradient, fixed
+            return loss, gradient, fixed
         curvature = np.zeros((k, width, k, width))
-        values = iter(got[3 + k * width:])
-        for h in blocks:
-            a, b = map(int, h[1:].split("_"))
-            for i, j in pairs:
-                v = next(values)
-                curvature[a, i, b, j] = curvature[a, j, b, i] = curvature[b, i, a, j] = curvature[b, j, a, i] = v
-        return got[2], gradient, curvature.reshape(k * width, k * width)
+        for (a, b), values in zip(blocks, means[1 + k * width:].reshape(len(blocks), -1)):
+            block = np.zeros((width, width))
+            block[at] = values
+            block.T[at] = values
+            curvature[a, :, b, :] = curvature[b, :, a, :] = block
+        return loss, gradient, curvature.reshape(k * width, k * width)
 
     def _hard_loss(self, df: DataFrame, model: SoftmaxModel) -> float:
         scored = model.transform(df, "_floe_p")

@@ -77,7 +77,8 @@ def stratified_split(df: DataFrame, label_col: str, key_col: str, test_size: flo
     """
     h = shuffle_key(c(key_col), seed, 0)
     narrow = df.select(c(label_col).alias("_floe_lbl"), h.alias("_floe_h"), c(key_col).alias("_floe_key"),
-                       hash_bucket(h, buckets).alias("_floe_b"))
+                       # never null: a join on it needs no null filter, which would hash every row once more
+                       F.coalesce(hash_bucket(h, buckets), F.lit(0)).alias("_floe_b"))
     bucket_counts = narrow.groupBy("_floe_lbl", "_floe_b").agg(F.count(F.lit(1)).alias("cnt")).persist()
     class_counts = bucket_counts.groupBy("_floe_lbl").agg(F.sum("cnt").alias("n_class"))
     # per-class tables are broadcast only when the class count is checked small

@@ -47,7 +47,7 @@ def prepare_flows(flows: DataFrame, key: str, label: str, categories=(), drop=()
     caches it (memory and disk) for inputs that fit, and the caller
     unpersists it with ``spark.catalog.clearCache()``.  ``written`` stores the
     fitted features once, narrow, in the shared folder for learners that read
-    them many times; they come back from there.
+    them many times; they come back from there and are scaled on the way.
     """
     labelled = flows.withColumn(label, fill_missing(c(label)))
     if persist_input:
@@ -57,13 +57,16 @@ def prepare_flows(flows: DataFrame, key: str, label: str, categories=(), drop=()
     train = split.where(F.col("split") == "train").drop("split")
     test = split.where(F.col("split") == "test").drop("split")
     prep = Preprocess(key, label, drop=drop, bools=bools, categories=categories, sparse=sparse)
-    model = prep.fit(train, fit_frame=labelled if fit_on == "all" else None)
+    model = prep.fit(train, fit_frame=labelled if fit_on == "all" else None, scale=not written)
     if written:
-        whole = model.transform(split, keep=("split",)).withColumnRenamed("split", PART)
+        # written unscaled: the scaler is fitted on the written train rows, not on one more pass over the split's hashes
+        whole = model.transform(split, scale=False, keep=("split",)).withColumnRenamed("split", PART)
         path = scratch_path(flows.sparkSession, "features")
         whole.write.partitionBy(PART).parquet(path)
         rows = flows.sparkSession.read.schema(whole.schema).parquet(path)
-        return Prepared(model, *[rows.where(F.col(PART) == part).drop(PART) for part in ("train", "test")])
+        train, test = [rows.where(F.col(PART) == part).drop(PART) for part in ("train", "test")]
+        model.fit_scaler(train)
+        return Prepared(model, model.scaler.transform(train), model.scaler.transform(test))
     return Prepared(model, model.transform(train), model.transform(test))
 
 

@@ -51,6 +51,10 @@ class PreprocessModel:
         nums = [n for n in self.numeric if n not in self.imputer.dropped]
         return nums + self.onehot.output_names()
 
+    def fit_scaler(self, unscaled: DataFrame) -> None:
+        """Fit the scaler on the train rows' unscaled features."""
+        self.scaler = StandardScaler(self.feature_names).fit(unscaled)
+
     def transform(self, df: DataFrame, scale: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
         """Features (and label code ``y``) with fitted values inlined; ``keep`` names columns to pass through.
 
@@ -87,10 +91,11 @@ class Preprocess:
         self.sparse = sparse
 
     def fit(self, train: DataFrame, fit_frame: DataFrame | None = None,
-            test: DataFrame | None = None) -> PreprocessModel:
+            test: DataFrame | None = None, scale: bool = True) -> PreprocessModel:
         """Fit on ``train``; ``fit_frame`` (e.g. all rows) overrides the frame for
         imputer, one-hot and label encoder.  With ``test`` given, categories are
-        limited to those present in both frames (P8)."""
+        limited to those present in both frames (P8).  ``scale=False`` leaves the scaler to
+        ``fit_scaler``."""
         frames = [train] + ([test] if test is not None else [])
         cats = common_columns(self.categories, *frames)
         base = map_bool_columns(drop_columns(train, self.drop), self.bools)
@@ -105,6 +110,6 @@ class Preprocess:
         labels = LabelEncoder(self.label, "_floe_y").fit(cleaned)
         model = PreprocessModel(self.key, self.label, self.drop, self.bools, cats, numeric, imputer, onehot,
                                 labels, None, self.sparse)
-        unscaled = model.transform(train, scale=False)
-        model.scaler = StandardScaler(model.feature_names).fit(unscaled)
+        if scale:
+            model.fit_scaler(model.transform(train, scale=False))
         return model

@@ -90,3 +90,29 @@ def test_class_without_rows_gets_low_probability(spark):
     assert model.weights.shape == (4, 2)
     p = model.transform(df, "p").select(F.max(F.get("p", 2)).alias("c"), F.max(F.get("p", 3)).alias("d")).first()
     assert p.c < 0.01 and p.d < 0.01
+
+
+def test_many_sums_are_matrix_products(spark):
+    """A fit of 7,000 Hessian sums a step; as aggregates of one plan it would not be compiled."""
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(300, 12)), rng.integers(0, 12, 300)
+    rows = spark.createDataFrame([(int(b), *map(float, r)) for r, b in zip(x, y)],
+                                 "y int, " + ", ".join(f"f{i} double" for i in range(12))).repartition(3)
+    est = SoftmaxRegression([f"f{i}" for i in range(12)], ridge=1e-2)
+    plain, k = est._rows(rows, None)
+    w = rng.normal(size=(12, 13)) / 5
+    loss, gradient, curvature = est._pass(plain, w, None)
+    x1 = np.column_stack([x, np.ones(300)])
+    p = np.exp(x1 @ w.T)
+    p /= p.sum(1, keepdims=True)
+    assert k == 12 and abs(loss + np.log(p[np.arange(300), y]).mean()) < 1e-9
+    assert np.allclose(gradient, ((p - np.eye(12)[y]).T @ x1 / 300).ravel())
+    want = sum(np.kron(np.diag(q) - np.outer(q, q), np.outer(v, v)) for q, v in zip(p, x1)) / 300
+    assert np.allclose(curvature, want)
+
+
+def test_rows_left_out_fail_the_fit(spark):
+    for bad in [(None, 1.0), (1, None), (-1, 1.0)]:
+        df = spark.createDataFrame([(i % 2, float(i)) for i in range(6)] + [bad], "y int, a double")
+        with pytest.raises(ValueError, match="1 rows have"):
+            SoftmaxRegression(["a"]).fit(df)

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from floe.functions.text import c as quoted
-from floe.operators.cells import cell_totals
+from floe.operators.cells import CELL, cell_totals, find_cells
 
 PID = "_floe_pid"
 
@@ -171,14 +171,14 @@ def tail_split(df: DataFrame, order_cols: list[str], fraction: float = 0.1,
     """The last ``fraction`` of rows in order form the validation slice.
 
     As with a Keras ``validation_split``: the first floor(n * (1 - fraction))
-    rows train, the rest validate.  Only the boundary row is located: the
-    narrow order columns are dealt into ranges, the ranges are counted, and
-    only the range that holds the boundary is ranked.  The split itself is a
-    comparison against that one key, with no shuffle of the rows.
+    rows train, the rest validate.  Only the boundary row is located: every row
+    finds its range among explicit bounds (``operators.cells``), the ranges are
+    counted where the rows lie, and only the range that holds the boundary is
+    shuffled and ranked.  The split itself is a comparison against that one key.
     """
-    ranged = df.select(*order_cols).repartitionByRange(*order_cols).withColumn(
-        PID, F.spark_partition_id()).persist(StorageLevel.MEMORY_AND_DISK)
-    counts = sorted(tuple(r) for r in ranged.groupBy(PID).count().collect())   # one row a range
+    keys = df.select(*order_cols)
+    ranged = find_cells(keys, [], order_cols).assign(keys)
+    counts = sorted(tuple(r) for r in ranged.groupBy(CELL).count().collect())   # one row a range
     cut = int(math.floor(sum(n for _, n in counts) * (1.0 - float(fraction))))
     before = 0
     for part, rows in counts:
@@ -186,15 +186,12 @@ def tail_split(df: DataFrame, order_cols: list[str], fraction: float = 0.1,
             break
         before += rows
     else:
-        ranged.unpersist()
         return df.withColumn(split_col, F.lit("train"))
     if cut <= 0:
-        ranged.unpersist()
         return df.withColumn(split_col, F.lit("validation"))
-    place = F.row_number().over(Window.partitionBy(PID).orderBy(*order_cols))
-    first_val = ranged.where(F.col(PID) == part).withColumn("_floe_idx", place).where(
+    place = F.row_number().over(Window.partitionBy(CELL).orderBy(*order_cols))
+    first_val = ranged.where(F.col(CELL) == part).withColumn("_floe_idx", place).where(
         F.col("_floe_idx") == cut - before + 1).select(*order_cols).first()
-    ranged.unpersist()
     is_val = key_at_or_after([F.col(o) for o in order_cols], [first_val[o] for o in order_cols])
     return df.withColumn(split_col, F.when(is_val, F.lit("validation")).otherwise(F.lit("train")))
 

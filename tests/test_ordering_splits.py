@@ -111,3 +111,16 @@ def test_running_totals_keep_all_rows_when_ranges_are_coalesced(spark):
         for k, v in before.items():
             spark.conf.set(k, v)
         spark.catalog.clearCache()
+
+
+def test_tail_split_shuffles_one_range(spark, monkeypatch):
+    """The boundary is found in cells, without a range shuffle or a cache of all rows."""
+    from pyspark.sql import DataFrame
+    from floe.operators import cells
+    monkeypatch.setattr(cells, "MIN_ROWS", 50)
+    monkeypatch.setattr(DataFrame, "repartitionByRange", None)
+    monkeypatch.setattr(DataFrame, "persist", None)
+    df = spark.range(1000).select(F.format_string("%05d", F.col("id") * 7 % 1000).alias("k"), F.col("id").alias("v"))
+    for fraction, train in ((0.1, 900), (0.333, 667), (0.0, 1000), (1.0, 0)):
+        got = tail_split(df, ["k", "v"], fraction).collect()
+        assert sorted(r.k for r in got if r.split == "train") == [f"{i:05d}" for i in range(train)] and len(got) == 1000

@@ -14,8 +14,9 @@ Every query starts with the k-th best score among a bounded pilot of points
 (``PILOT``), a lower bound of its final k-th score.
 
 Queries are met with trees in blocks: pairs (tree, query block) have bounded size
-on both sides and are spread over the cluster; of each pair only k rows a query
-leave.  Only the pilot is broadcast.
+on both sides and are spread over the cluster.  A block goes through a tree's pages
+together (``search_block``), so its products are matrix products; of each pair only
+k rows a query leave.  Only the pilot is broadcast.
 
 Defined results: vectors that are null, empty or hold null or non-finite
 components (also after scaling) take no part; of rows that share an id the smallest vector counts;
@@ -41,6 +42,7 @@ QUERY_BLOCK = 4_096
 LEAF = 64
 FAN_OUT = 16
 PILOT = 1_024
+HELD = 1 << 20         # candidates of a block kept before they are cut to k a query
 
 
 def integer_points(vectors: pd.Series, scale: float) -> np.ndarray:
@@ -155,6 +157,67 @@ def search(pages: list[dict], points: np.ndarray, ids: np.ndarray, query: np.nda
     return [(score, -name) for score, name in best]
 
 
+def search_block(pages: list[dict], points: np.ndarray, ids: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int,
+                 least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``search`` for a block of queries at once: (row of the query, id, score) of the k best of each.
+
+    A page is met once, best first, with the queries whose bound of it reaches their floor, so
+    that products are those of a block with a leaf.  For points whose products floats hold exactly.
+    """
+    norms = np.sqrt((queries ** 2).sum(1)) * (1 + 1e-9) + 1e-6
+    floor, top = np.array(least, float), np.full((len(queries), k), -np.inf)
+    held, found = 0, []
+
+    def bounds(who, centre, radius):
+        product = np.nextafter(queries[who] @ centre, np.inf)
+        return product, np.nextafter(product + norms[who] * radius, np.inf)
+
+    def best():
+        who, names, scores = (np.concatenate(part) for part in zip(*found))
+        order = np.lexsort((names, -scores, who))
+        who, names, scores = who[order], names[order], scores[order]
+        place = np.arange(len(who)) - np.searchsorted(who, who)
+        return who[place < k], names[place < k], scores[place < k]
+
+    everyone = np.arange(len(queries))
+    heap = [(0.0, 0, everyone, *bounds(everyone, pages[0]["centre"], pages[0]["radius"]))]
+    while heap:
+        _, number, who, product, limit = heapq.heappop(heap)
+        live = limit >= floor[who]
+        who, product, page = who[live], product[live], pages[number]
+        if not len(who):
+            continue
+        if page["children"]:
+            for child in page["children"]:
+                c = pages[child]
+                reach = np.nextafter(product + norms[who] * (c["to_parent"] + c["radius"]), np.inf) >= floor[who]
+                asks = who[reach]
+                if len(asks):
+                    inner, limit = bounds(asks, c["centre"], c["radius"])
+                    live = limit >= floor[asks]
+                    if live.any():
+                        heapq.heappush(heap, (-limit.max(), child, asks[live], inner[live], limit[live]))
+            continue
+        near = np.nextafter(product[:, None] + norms[who][:, None] * page["away"], np.inf) >= floor[who][:, None]
+        cols = np.flatnonzero(near.any(0))
+        rows = page["rows"][cols]
+        scores = queries[who] @ points[rows].T
+        hit = near[:, cols] & (scores >= floor[who][:, None]) & (ids[rows] != own[who][:, None])
+        some = np.flatnonzero(hit.any(1))
+        if not len(some):
+            continue
+        at, col = np.nonzero(hit)
+        found.append((who[at], ids[rows[col]], scores[at, col]))
+        better = np.concatenate([top[who[some]], np.where(hit[some], scores[some], -np.inf)], 1)
+        top[who[some]] = np.partition(better, better.shape[1] - k, axis=1)[:, -k:]
+        floor[who[some]] = np.maximum(floor[who[some]], top[who[some]].min(1))
+        held += len(at)
+        if held > HELD:
+            found = [best()]
+            held = len(found[0][0])
+    return best() if found else (np.zeros(0, int), np.zeros(0, np.int64), np.zeros(0))
+
+
 def top_k(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_col: str = "embedding",
           k: int = 5, scale: float = 256.0) -> DataFrame:
     """(query_id, rank, vec_id, score): the k highest integer inner products of every query row."""
@@ -201,7 +264,10 @@ def _search_all(points: DataFrame, trees: int, blocks: int, k: int, scale: float
                     q, known = exact(q), exact(known)
                 scores = checked(q @ known.T)
                 own = rows["id"].to_numpy()[:, None] == names[None, :]
-                least = np.array([at_most(sorted(s[~o])[-k]) for s, o in zip(scores, own)])
+                if scores.dtype == object:
+                    least = np.array([at_most(sorted(s[~o])[-k]) for s, o in zip(scores, own)])
+                else:
+                    least = np.partition(np.where(own, -np.inf, scores), -k, axis=1)[:, -k]
             yield rows.assign(least=least)
 
     pages = points.select("id", "v", F.pmod(F.xxhash64(F.lit("tree"), "id"), F.lit(trees)).cast("int").alias("tree"))
@@ -252,6 +318,10 @@ def _meet(k: int, scale: float):
                 asked, points = exact(asked), exact(points)
                 for p, centre in zip(pages, left["centre"]):
                     p["centre"] = points[at[centre]]
+            if points.dtype != object:
+                names = right["id"].to_numpy()
+                who, others, scores = search_block(pages, points, ids, asked, names, k, right["least"].to_numpy(float))
+                return pd.DataFrame({"query_id": names[who], "vec_id": others, "score": scores}).astype("int64")
             for name, q, least in zip(right["id"].tolist(), asked, right["least"]):
                 rows += [(name, other, score) for score, other in search(pages, points, ids, q, name, k, least)]
         return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"]).astype("int64")

@@ -229,3 +229,20 @@ def test_near_vectors_of_odd_rows(spark):
     got = sorted((tuple(r) for r in itq.near_vectors(repeated).collect()), key=str)
     assert got == sorted([(1, 1, 1, True), (1, 2, 1, True), (2, 2, 1, False), (None, 2, 1, False), (None, 0, None, True),
                           (3, 1, 1, False)], key=str)
+
+
+def test_a_block_of_queries_goes_through_the_pages_together():
+    """Same rows as brute force and as one query at a time, ties to the smaller id, fewer than k below a floor."""
+    from floe.llm import mtree
+    rng = np.random.default_rng(5)
+    points = rng.integers(-4, 5, size=(700, 6)).astype(float)
+    ids, pages = rng.permutation(700).astype(np.int64), mtree.build(points)
+    asks = np.arange(0, 700, 9)
+    for least in (-np.inf, 40.0):
+        floors = np.full(len(asks), least)
+        who, names, scores = mtree.search_block(pages, points, ids, points[asks], ids[asks], 5, floors)
+        for i, at in enumerate(asks):
+            all_of = sorted((-float(s), int(n)) for n, s in zip(ids, points @ points[at]) if n != ids[at] and s >= least)[:5]
+            assert [(-s, n) for n, s in zip(names[who == i], scores[who == i])] == all_of
+            one = mtree.search(pages, points, ids, points[at], int(ids[at]), 5, least)
+            assert sorted((-s, n) for s, n in one) == all_of

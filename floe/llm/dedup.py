@@ -46,6 +46,8 @@ BATCH_ELEMENTS = 1 << 15
 ROWS = 512                     # of a batch whose sets are held at once
 SMALL_BUCKET, BLOCK, COLUMNS = 32, 256, 4_096
 BLOCK_ELEMENTS = 500_000       # shingles of a block
+WORD_BITS, BITS_EACH = 1 << 15, 32
+MOST_BITS = 1 << 26            # of a bitmap of key hashes, 8 MB
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -366,6 +368,24 @@ def _similar_in_block(percent: int):
     return run
 
 
+def _parted(docs: DataFrame, asked: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``docs`` whose key is surely not in ``asked``, and the others: all that are and some that are not.
+
+    A bitmap of key hashes tells them apart where they lie, so that only the others, some three per
+    cent more than are asked for, go through a shuffle with their texts.  It has at most ``MOST_BITS``
+    bits: for more than two million keys more rows go, in the end all.
+    """
+    bits = min(MOST_BITS, max(WORD_BITS, 1 << (BITS_EACH * asked.count()).bit_length()))
+    word, at, bitmap = (f"{name}_{uuid.uuid4().hex}" for name in ("word", "at", "bitmap"))
+    slot = F.pmod(F.xxhash64(*key), F.lit(bits))
+    place = {word: F.shiftright(slot, 15), at: slot % WORD_BITS}
+    marks = staged(asked.withColumns(place).groupBy(word).agg(F.bitmap_construct_agg(at).alias(bitmap)), "marks")
+    met = docs.withColumns(place).join(F.broadcast(marks), word, "left")
+    byte = F.conv(F.hex(F.substring(bitmap, F.shiftright(at, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.getbit(byte, (F.col(at) % 8).cast("int")) == 1, F.lit(False))
+    return met.filter(~hit).drop(word, at, bitmap), met.filter(hit).drop(word, at, bitmap)
+
+
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """One row of each group of near copies stays, the one of the smallest doc_id.  Columns as in ``docs``.
 
@@ -376,16 +396,24 @@ def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     rows, ids = docs.agg(F.count(F.lit(1)), F.countDistinct("doc_id")).first()
     if rows == ids:
         found = near_duplicates(docs.select("doc_id", "text"), **options)
-        own = staged(found.filter("kept").select(F.col("doc_id").alias("_kept")), "kept")
-        return docs.join(own, docs["doc_id"] == own["_kept"], "left_semi")
+        gone = staged(found.filter("not kept").select("doc_id"), "gone")
+        own, others = _parted(docs, gone, ["doc_id"])
+        gone = gone.withColumnRenamed("doc_id", "_gone")
+        return own.union(others.join(gone, others["doc_id"] == gone["_gone"], "left_anti"))
     name = f"h_{uuid.uuid4().hex}"
     keyed = docs.withColumn(name, F.when(docs["text"].isNull(), F.lit("-")).otherwise(F.md5(docs["text"])))
-    texts = staged(keyed.select(F.col(name).alias("doc_id"), "text").dropDuplicates(["doc_id"]), "texts")
-    found = near_duplicates(texts, **options).select(F.col("doc_id").alias("_text"), "n_shingles", "component_id")
+    found = finished(docs.sparkSession, "found", lambda: near_duplicates(staged(
+        keyed.select(F.col(name).alias("doc_id"), "text").dropDuplicates(["doc_id"]), "texts"), **options).select(
+            F.col("doc_id").alias("_text"), "n_shingles", "component_id"))
     met = keyed.select("doc_id", F.col(name).alias("h")).join(found, F.col("h") == F.col("_text"))
     first = met.filter("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct(
         F.col("doc_id").isNull().alias("unnamed"), "doc_id", "h")).alias("m")).select("m.doc_id", "m.h")
     kept = staged(first.union(met.filter("n_shingles = 0").select("doc_id", "h").distinct()).select(
         F.col("doc_id").alias("_kept"), F.col("h").alias("_h")), "kept")
-    out = keyed.join(kept, keyed["doc_id"].eqNullSafe(kept["_kept"]) & (keyed[name] == kept["_h"]), "left_semi")
-    return out.dropDuplicates(["doc_id", name]).drop(name)
+    # what stays and stands there once needn't travel
+    counted = keyed.groupBy("doc_id", name).agg(F.count(F.lit(1)).alias("_times"))
+    asked = staged(counted.join(kept, counted["doc_id"].eqNullSafe(kept["_kept"]) & (counted[name] == kept["_h"]), "left").filter(
+        "_times > 1 or _h is null").select("doc_id", name), "asked")
+    own, others = _parted(keyed, asked, ["doc_id", name])
+    some = others.join(kept, others["doc_id"].eqNullSafe(kept["_kept"]) & (others[name] == kept["_h"]), "left_semi")
+    return own.union(some.dropDuplicates(["doc_id", name])).drop(name)

@@ -590,6 +590,54 @@ def test_dropping_copies_goes_by_texts_where_ids_repeat(spark):
     assert got - Counter(lone) == Counter([(1, one), (1, two), (4, "else"), (5, four), (6, None), (None, None), (7, " ")])
 
 
+def shuffle_files(spark):
+    it, sizes = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().iterator(), {}
+    while it.hasNext():
+        file = it.next()
+        if file.getName().endswith(".data"):
+            sizes[file.getPath()] = file.length()
+    return sizes
+
+
+@pytest.mark.parametrize("nameless", [False, True])
+def test_dropping_copies_leaves_most_texts_where_they_are(spark, tmp_path, nameless):
+    rng = random.Random(8)
+    docs = [(d, " ".join(f"{rng.getrandbits(64):x}" for _ in range(200))) for d in range(300)]
+    copies = [(1000 + d, docs[d][1] + " more") for d in range(0, 300, 30)]
+    odd = [(None, docs[5][1] + " more"), (None, "x y z"), (7, docs[7][1]), (7, "other")] if nameless else []
+    df = spark.createDataFrame([("a", t, d) for d, t in docs + copies + odd], "lang string, text string, doc_id long").repartition(4)
+    df.write.parquet(f"{tmp_path}/docs")
+    df = spark.read.parquet(f"{tmp_path}/docs")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)      # as if the ids were too many to send to all
+    try:
+        out = dedup.drop_near_duplicates(df)
+        before = set(shuffle_files(spark))
+        out.write.parquet(f"{tmp_path}/out")
+        moved = sum(size for path, size in shuffle_files(spark).items() if path not in before)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    got = spark.read.parquet(f"{tmp_path}/out")
+    assert got.columns == df.columns
+    want = docs + ([(None, "x y z"), (7, "other")] if nameless else [])
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter(want)
+    assert moved < sum(len(t) for _, t in docs) / 5
+
+
+def test_parted_rows_hold_all_that_are_asked_for(spark, monkeypatch):
+    keys = [(d, f"k{d % 7}") for d in range(3000)] + [(None, "k1"), (None, None), (5, None)]
+    df = spark.createDataFrame([(k, d, 1) for d, k in keys], "k string, doc_id long, word int").repartition(3)
+    for most, few in ((dedup.MOST_BITS, True), (64, False)):
+        monkeypatch.setattr(dedup, "MOST_BITS", most)
+        for want in ([], keys[::20], keys[-3:], keys):
+            asked = spark.createDataFrame([(k, d) for d, k in want], "k string, doc_id long")
+            own, others = dedup._parted(df, asked, ["doc_id", "k"])
+            assert own.columns == others.columns == df.columns
+            own, others = ([(r.doc_id, r.k) for r in x.collect()] for x in (own, others))
+            assert Counter(own + others) == Counter(keys) and set(want) <= set(others)
+            assert not few or len(others) <= 1.1 * len(want) + 20
+
+
 def test_profiles_never_rule_out_a_similar_pair():
     import pandas as pd
     rng = np.random.default_rng(6)
